@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.llm.ann_forest import nearest
+from terrafold.llm import license_join
+from terrafold.llm.language_id import language_report
 from terrafold.llm.secret_scan import secret_report
 from terrafold.llm.sentencepiece_codec import encode_decode
 
@@ -28,9 +30,17 @@ def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(_table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_ann_forest)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_ann_forest, op4_language_id, op5_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_license_scan": license_join.oracle()}
