@@ -12,6 +12,7 @@ from terrafold.llm import license_join
 from terrafold.llm.language_id import language_report
 from terrafold.llm.secret_scan import secret_report
 from terrafold.llm.sentencepiece_codec import encode_decode
+from terrafold.llm.simhash_index import near_duplicates
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,8 +39,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_ann_forest, op4_language_id, op5_license_scan)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_ann_forest, op4_language_id, op5_license_scan, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
