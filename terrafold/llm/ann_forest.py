@@ -27,8 +27,8 @@ TREES = 4
 LEAF_ROWS, LEAVES_MOST = 200, 256
 #: Of all leaves of the forest, the share that a query reads, and the least number.
 SEARCHED_SHARE, SEARCHED_LEAST = 0.3, 32
-#: Neighbouring leaves of a tree that lie in one group.
-GROUP_LEAVES = 16
+#: Groups of neighbouring leaves in a tree, as many at any size, so that a query asks as many.
+TREE_GROUPS = 4
 #: Rows of a group, and queries, that one task compares at once.
 BLOCK_ROWS = 20_000
 
@@ -160,7 +160,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id"
     rng = np.random.default_rng(seed)
     leaves = max(1, min(LEAVES_MOST, n // LEAF_ROWS))
     forest = [grow(x, leaves, rng) for _ in range(TREES)]
-    groups = -(-leaves // GROUP_LEAVES)
+    groups = min(TREE_GROUPS, leaves)
+    group_leaves = -(-leaves // groups)
     most = max(SEARCHED_LEAST, int(np.ceil(SEARCHED_SHARE * TREES * leaves)))
 
     def matrix(col: pa.Array) -> np.ndarray:
@@ -171,7 +172,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id"
             x = lifted(matrix(b["vec"]), norm, False)
             total = np.zeros(TREES * groups, np.int64)
             for t, tree in enumerate(forest):
-                total += np.bincount(t * groups + leaf_of(tree, x) // GROUP_LEAVES, minlength=TREES * groups)
+                total += np.bincount(t * groups + leaf_of(tree, x) // group_leaves, minlength=TREES * groups)
             yield pa.RecordBatch.from_pydict({"group": pa.array(np.arange(TREES * groups), pa.int32()), "n": pa.array(total, pa.int64())})
 
     held = {r["group"]: r["n"] for r in given.select("vec").mapInArrow(groups_of, "group int, n long").groupBy("group").agg(F.sum("n").alias("n")).collect()}
@@ -195,7 +196,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id"
                 up = lifted(x, norm, False)
                 for t, tree in enumerate(forest):
                     leaf = leaf_of(tree, up)
-                    group = t * groups + leaf // GROUP_LEAVES
+                    group = t * groups + leaf // group_leaves
                     for qb in range(query_blocks):
                         yield made(group, mixed(ids, blocks[group]), np.full(len(ids), qb), False, np.arange(len(ids)), pa.array([[v] for v in leaf.tolist()], pa.list_(pa.int32())), b)
                 if not (asks := np.flatnonzero(np.asarray(b["asks"]))).size:
@@ -206,7 +207,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id"
                 for j, at in enumerate(asks):
                     by_group: dict[int, list[int]] = {}
                     for t, leaf in search(forest, [m[j] for m in margins], most):
-                        by_group.setdefault(t * groups + leaf // GROUP_LEAVES, []).append(leaf)
+                        by_group.setdefault(t * groups + leaf // group_leaves, []).append(leaf)
                     qb = int(mixed(ids[at : at + 1], query_blocks)[0])
                     rows += [(g, rb, qb, at, ls) for g, ls in by_group.items() for rb in range(blocks[g])]
                     if len(rows) > 20_000 or j + 1 == len(asks):
