@@ -13,6 +13,17 @@ from terrafold.llm.language_id import language_report
 from terrafold.llm.secret_scan import secret_report
 from terrafold.llm.sentencepiece_codec import encode_decode
 from terrafold.llm.simhash_index import near_duplicates
+from terrafold.llm.warc_convert import archive_round_trip
+from terrafold.session import scratch_path
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+m AS (SELECT html, max(page_id) AS origin, count(*) AS n FROM p GROUP BY html)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN strlen(p.html) >= 1000 AND page_id <> origin THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(p.html) >= 1000 AND page_id <> origin THEN origin END AS refers_to
+FROM p JOIN m USING (html)"""
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,9 +54,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_ann_forest, op4_language_id, op5_license_scan, op7_simhash)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_ann_forest, op4_language_id, op5_license_scan, op7_simhash, op8_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": license_join.oracle()}
+    return {"op5_license_scan": license_join.oracle(), "op8_warc": OP8_SQL}
