@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.ann_forest import nearest
 from terrafold.llm import license_join
+from terrafold.llm.interleaved import media_documents
 from terrafold.llm.language_id import language_report
 from terrafold.llm.secret_scan import secret_report
 from terrafold.llm.sentencepiece_codec import encode_decode
@@ -58,8 +59,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
 
 
+def op9_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_documents(_table(spark, sf_dir, "documents"), scratch_path(spark, "media"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_ann_forest, op4_language_id, op5_license_scan, op7_simhash, op8_warc)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_ann_forest, op4_language_id, op5_license_scan, op7_simhash, op8_warc, op9_interleaved_media)}
 
 
 def oracle_sql() -> dict[str, str]:
