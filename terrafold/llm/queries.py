@@ -11,6 +11,8 @@ from terrafold.llm.ann_forest import nearest
 from terrafold.llm import license_join
 from terrafold.llm.interleaved import media_documents
 from terrafold.llm.language_id import language_report
+from terrafold.llm.mixing import mix
+from terrafold.llm.pii_surrogates import replace_pii
 from terrafold.llm.secret_scan import secret_report
 from terrafold.llm.sentencepiece_codec import encode_decode
 from terrafold.llm.simhash_index import near_duplicates
@@ -51,6 +53,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -63,8 +69,17 @@ def op9_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_documents(_table(spark, sf_dir, "documents"), scratch_path(spark, "media"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_mentions"), F.array_join("pii_kinds", ",").alias("kinds"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_ann_forest, op4_language_id, op5_license_scan, op7_simhash, op8_warc, op9_interleaved_media)}
+    found = (
+        op1_secret_scan, op2_sentencepiece, op3_ann_forest, op4_language_id, op5_license_scan, op6_pfair_mix,
+        op7_simhash, op8_warc, op9_interleaved_media, op10_pii_surrogates,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
