@@ -36,9 +36,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Edges may repeat, point either way or be loops; null ends are ignored. An
     empty table gives an empty result. Nodes can be any ordered type.
     """
-    raw = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
+    raw = cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL"))
     nodes = raw.select(F.col("u").alias("node")).unionByName(raw.select(F.col("v").alias("node"))).distinct()
-    now = cut(raw.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = raw.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     seen = None
     for _ in range(max_rounds):
         now = cut(_star(_star(now, small=False), small=True))
