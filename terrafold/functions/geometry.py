@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 XYZ = ("x", "y", "z")
@@ -129,17 +129,18 @@ def eigenvalues(c: dict[str, Column]) -> list[Column]:
     return [low, 3 * q - top - low, top]
 
 
-def eigenvector(c: dict[str, Column], value: Column) -> list[Column]:
-    """A unit eigenvector: the longest cross product of two rows of the matrix less the value; null where all vanish."""
+def with_eigen(df: DataFrame, c: dict[str, Column]) -> DataFrame:
+    """``df`` with eigenvalues l0, l1, l2, ascending, and ``normal``, a unit eigenvector of the least: the longest cross product of two
+    rows of the matrix less l0, null where all vanish. In steps, so that each is computed once."""
+    df = df.withColumns({f"l{i}": v for i, v in enumerate(eigenvalues(c))})
+    value = F.col("l0")
     rows = [[c["xx"] - value, c["xy"], c["xz"]], [c["xy"], c["yy"] - value, c["yz"]], [c["xz"], c["yz"], c["zz"] - value]]
-    crosses = []
-    for i, j in ((0, 1), (0, 2), (1, 2)):
+    for n, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
         a, b = rows[i], rows[j]
-        v = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
-        crosses.append((v[0] * v[0] + v[1] * v[1] + v[2] * v[2], v))
-    best = F.greatest(*[n for n, _ in crosses])
-    pick = [F.coalesce(*[F.when(n == best, v[k]) for n, v in crosses]) for k in range(3)]
-    return [F.when(best > 0, p / F.sqrt(best)) for p in pick]
+        df = df.withColumn(f"__v{n}", F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]))
+    longest = F.greatest(*[F.struct(square_sum([F.col(f"__v{n}")[k] for k in range(3)]).alias("s"), F.col(f"__v{n}").alias("v")) for n in range(3)])
+    df = df.withColumn("__v", longest).drop("__v0", "__v1", "__v2")
+    return df.withColumn("normal", F.when(F.col("__v.s") > 0, F.transform("__v.v", lambda x: x / F.sqrt(F.col("__v.s"))))).drop("__v")
 
 
 def shape_features(values: list[Column]) -> dict[str, Column]:

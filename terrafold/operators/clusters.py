@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.functions.geometry import XYZ, dominant_shape, dot, eigenvalues, eigenvector, shape_features
+from terrafold.functions.geometry import XYZ, dominant_shape, dot, eigenvalues, shape_features, with_eigen
 from terrafold.operators.components import connected_components
 from terrafold.operators.neighbors import knn, radius_pairs
 from terrafold.session import cut, ship_package
@@ -42,8 +42,9 @@ def descriptors(clustered: DataFrame, height: str | None = None, min_height: flo
         F.count("*").alias("n"), *[F.avg(c).alias(f"c{c}") for c in XYZ], *[F.min(c).alias(f"min_{c}") for c in XYZ], *[F.max(c).alias(f"max_{c}") for c in XYZ],
         F.min(F.nanvl(h, F.lit(None).cast("double"))).alias("h_min"), F.max(F.nanvl(h, F.lit(None).cast("double"))).alias("h_max"), *moments(),
     )
-    features = shape_features(eigenvalues(as_matrix()))
-    out = out.withColumns(features).withColumn("shape", dominant_shape(F.col("linearity"), F.col("planarity"), F.col("scattering"))).drop(*MOMENTS)
+    out = out.withColumns({f"l{i}": v for i, v in enumerate(eigenvalues(as_matrix()))})
+    out = out.withColumns(shape_features([F.col(f"l{i}") for i in range(3)])).drop("l0", "l1", "l2")
+    out = out.withColumn("shape", dominant_shape(F.col("linearity"), F.col("planarity"), F.col("scattering"))).drop(*MOMENTS)
     if min_height is not None:
         out = out.filter(F.coalesce(F.col("h_max") >= min_height, F.lit(True))).withColumn("cluster_id", F.row_number().over(Window.partitionBy(by).orderBy("cluster_id")) - 1)
     return out
@@ -60,9 +61,8 @@ def neighborhood_moments(queries: DataFrame, points: DataFrame, k: int, key: str
 def normals(points: DataFrame, k: int = 30, min_neighbors: int = 5, orientation: str = "viewpoint", viewpoint: tuple = (0.0, 0.0, 0.0), reference: tuple = (0.0, 0.0, 1.0), key: str = "pid", by: str = "frame", radius: float | None = None) -> DataFrame:
     """Points with normal nx, ny, nz, curvature and verticality; null where too few neighbours lie near."""
     m = cut(neighborhood_moments(points, points, k, key, by, radius))
-    values = eigenvalues(as_matrix())
-    n = eigenvector(as_matrix(), values[0])
-    m = m.select("q", "n", F.array(*n).alias("normal"), *[c.alias(f) for f, c in shape_features(values).items()])
+    m = with_eigen(m, as_matrix())
+    m = m.select("q", "n", "normal", *[c.alias(f) for f, c in shape_features([F.col(f"l{i}") for i in range(3)]).items()])
     few = F.col("n") < min_neighbors
     p = points.join(m, points[key] == m["q"], "left").drop("q")
     at = [F.col("normal")[i] for i in range(3)]

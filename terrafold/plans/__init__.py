@@ -1 +1 @@
-"""plans of the engine."""
+"""Whole pipelines, parameter sweeps and the registered queries."""
