@@ -24,7 +24,7 @@ PERIOD, PERIOD_SOURCE = 1000, 8
 #: Sources that have shares of their own, the largest; all others share one.
 SOURCES_MOST = 4096
 #: Documents, about, that one task ranks at once.
-RANK_ROWS = 20_000
+RANK_ROWS = 4_000
 
 
 def shares(weights: dict, period: int) -> dict:
