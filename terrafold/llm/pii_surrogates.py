@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -49,8 +49,19 @@ PATTERNS = (
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){1,5}(?!\w)|(?<![\w(+.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w|[.-]\d)", re.A)),
     ("name", re.compile(rf"(?<!\w)(?:(?P<title>{_TITLE})\.? (?:(?P<a>{_NAME}) )??(?P<b>{_NAME})(?: (?P<c>{_NAME}))?|(?P<first>{_FIRST}) (?P<last>{_NAME}))(?!\w)")),
 )
-#: What every text with a mention holds: texts without it are left as they are, unread by Python.
-LIKELY = r"@|[0-9](?:[ .()-]{0,3}[0-9]){6}|[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:|(?:" + "|".join([*(t for ts in TITLES.values() for t in ts), *(n for ns in FIRST_NAMES.values() for n in ns)]) + r")\.? "
+#: Of a text with a mention of a number, two digits stand so close; of one with a network address, these.
+NUMBERS, ADDRESSES = r"[0-9][ .():-]{0,3}[0-9]", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"
+#: Surrogates drawn again that tasks are told of as a table; more of them are joined to the texts.
+LATE_MOST = 50_000
+
+
+def likely(text: Column) -> Column:
+    """Whether a text can hold a mention: no text with one fails it, and Python reads only those that pass."""
+    words = [w for group in (TITLES, FIRST_NAMES) for ws in group.values() for w in ws]
+    test = F.contains(text, F.lit("@")) | F.rlike(text, F.lit(NUMBERS)) | (F.contains(text, F.lit(":")) & F.rlike(text, F.lit(ADDRESSES)))
+    for w in words:
+        test = test | F.contains(text, F.lit(w))
+    return F.coalesce(test, F.lit(False))
 
 
 def luhn(digits: str) -> bool:
@@ -168,11 +179,12 @@ def shaped(mention: str, kind: str, core: str) -> str:
 
 
 _MENTIONS = StructType([StructField("entities", ArrayType(StructType([StructField("kind", StringType()), StructField("entity", StringType())])))])
+_LATE = "array<struct<kind:string,entity:string,core:string>>"
 _ASSIGNED = StructType([StructField("kind", StringType()), StructField("entity", StringType()), StructField("draw", LongType()), StructField("core", StringType())])
 
 
 def assign(entities: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """kind, entity, core: a surrogate for each row of distinct (kind, entity), no two alike within a kind and none an entity itself."""
+    """kind, entity, draw, core: a surrogate for each row of distinct (kind, entity), no two alike within a kind and none an entity itself."""
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,7 +204,7 @@ def assign(entities: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
         own = now.join(real, ["kind", "core"], "left_semi").select("kind", "entity", "draw")
         lost = cut(shared.unionByName(own).distinct())
         if lost.isEmpty():
-            return now.select("kind", "entity", "core")
+            return now
         again = made(lost.withColumn("draw", F.col("draw") + 1))
         now = cut(now.join(lost, ["kind", "entity"], "left_anti").unionByName(again))
     raise RuntimeError(f"no distinct surrogates after {MOST_DRAWS} draws")
@@ -206,37 +218,46 @@ def replace_pii(df: DataFrame, text: str = "text", doc_id: str = "doc_id", key:
     and all; a column named ``pii_kinds`` is replaced. An empty table gives an empty result.
     """
     names = [c for c in df.columns if c != "pii_kinds"]
-    marked = df.select(*names, F.coalesce(F.rlike(F.col(text), F.lit(LIKELY)), F.lit(False)).alias("__likely"))
-    clean = marked.filter("NOT __likely").select(*names, F.array().cast("array<string>").alias("pii_kinds"))
-    read = marked.filter("__likely").drop("__likely").withColumn("__hash", F.xxhash64(text))
+    rows = df.select(*names)
+    at = names.index(text)
+    schema = StructType([*rows.schema.fields, StructField("pii_kinds", ArrayType(StringType()))])
 
     def found(texts: list) -> list:
         return [[[{"kind": k, "entity": e} for k, e in dict.fromkeys((k, e) for _, _, k, e in mentions(t))] for t in texts]]
 
-    held = map_texts(read.select(F.col(doc_id).alias("__id"), "__hash", F.col(text).alias("__t")), "__t", ["__id", "__hash"], _MENTIONS, lambda: found)
-    held = cut(held.filter(F.size("entities") > 0).distinct().select("__id", "__hash", F.explode("entities").alias("e")).select("__id", "__hash", "e.*"))
-    cores = assign(held.select("kind", "entity").distinct(), key)
-    by_text = held.join(cores, ["kind", "entity"]).groupBy("__id", "__hash").agg(F.collect_list(F.struct("kind", "entity", "core")).alias("__cores"))
-    by_text = by_text.select(F.col("__id").alias("__i"), F.col("__hash").alias("__h"), "__cores")
-    both = read.join(by_text, F.col(doc_id).eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left").select(*names, "__cores")
-    out = StructType([*df.select(*names).schema.fields, StructField("pii_kinds", ArrayType(StringType()))])
-    at = names.index(text)
-    kind_type = to_arrow_type(ArrayType(StringType()))
+    read = rows.filter(likely(F.col(text))).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("t"))
+    held = map_texts(read, "t", ["id", "hash"], _MENTIONS, lambda: found).filter(F.size("entities") > 0)
+    held = cut(held.select("id", "hash", F.explode("entities").alias("e")).select("id", "hash", "e.*").distinct())
+    assigned = assign(held.select("kind", "entity").distinct(), key)
+    late = assigned.filter("draw > 0")
+    told = {(r["kind"], r["entity"]): r["core"] for r in late.limit(LATE_MOST + 1).collect()}
+    given = rows.withColumn("__likely", likely(F.col(text)))
+    if len(told) > LATE_MOST:
+        told = {}
+        own = held.join(late, ["kind", "entity"]).groupBy("id", "hash").agg(F.collect_list(F.struct("kind", "entity", "core")).alias("__late"))
+        given = given.withColumn("__hash", F.xxhash64(text)).join(own, F.col(doc_id).eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("hash")), "left").select(*names, "__likely", "__late")
+    else:
+        given = given.withColumn("__late", F.lit(None).cast(_LATE))
+    kinds_type = to_arrow_type(ArrayType(StringType()))
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at):
                 texts, kinds = [], []
-                for t, cores_ in zip(part.column(at).to_pylist(), part["__cores"].to_pylist(), strict=True):
-                    known = {(c["kind"], c["entity"]): c["core"] for c in cores_ or ()}
-                    pieces, last, seen = [], 0, []
-                    for start, end, kind, entity in mentions(t) if known else ():
-                        pieces += [t[last:start], shaped(t[start:end], kind, known[kind, entity])]
-                        last = end
-                        seen.append(kind)
-                    texts.append("".join(pieces) + t[last:])
+                for t, may, own in zip(part.column(at).to_pylist(), part["__likely"].to_pylist(), part["__late"].to_pylist(), strict=True):
+                    seen: list[str] = []
+                    if may:
+                        known = told | {(c["kind"], c["entity"]): c["core"] for c in own} if own else told
+                        pieces, last = [], 0
+                        for start, end, kind, entity in mentions(t):
+                            core = known.get((kind, entity)) or surrogate(kind, entity, 0, key)
+                            pieces += [t[last:start], shaped(t[start:end], kind, core)]
+                            last = end
+                            seen.append(kind)
+                        t = "".join(pieces) + t[last:]
+                    texts.append(t)
                     kinds.append(seen)
                 columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(part.columns[: len(names)])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, kind_type)], names=out.names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, kinds_type)], names=schema.names)
 
-    return clean.unionByName(both.mapInArrow(rewritten, out))
+    return given.mapInArrow(rewritten, schema)
