@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from terrafold.functions.geometry import voxel_keys
 
 _KEY = ("ix", "iy", "iz")
+#: Sums of floats differ by the order of adding: evidence equal to so many digits is equal.
+TIE_DIGITS = 9
 
 
 def voxel_map(observations: DataFrame, resolution: float = 0.1, min_confidence: float = 0.0, float32: bool = False, stamp: str = "stamp_us") -> DataFrame:
@@ -20,7 +22,7 @@ def voxel_map(observations: DataFrame, resolution: float = 0.1, min_confidence:
     by_class = kept.groupBy(*_KEY, "class_id").agg(
         F.sum("confidence").alias("s"), F.max("confidence").alias("c"), F.count("*").alias("n"), F.sum("z").alias("sz"), F.min("z").alias("lz"), F.max("z").alias("hz"), F.max(stamp).alias("t")
     )
-    known = F.when((F.col("class_id") >= 0) & (F.col("s") > 0), F.struct("s", (-F.col("class_id")).alias("c")))
+    known = F.when((F.col("class_id") >= 0) & (F.col("s") > 0), F.struct(F.round("s", TIE_DIGITS).alias("e"), (-F.col("class_id")).alias("c"), "s"))
     total = F.sum("s")
     out = by_class.groupBy(*_KEY).agg(
         F.coalesce(-F.max(known)["c"], F.lit(-1)).alias("class_id"), F.coalesce(F.try_divide(F.max(known)["s"], total), F.lit(0.0)).alias("share"),
@@ -54,7 +56,7 @@ def evidence_map(observations: DataFrame, resolution: float = 0.1, classes: int
         seen = seen.withColumns({"w": F.col("confidence"), "p": F.lit(prior)})
     z = F.col("z")
     by_class = seen.groupBy(*_KEY, "class_id").agg(F.sum("w").alias("s"), F.first("p").alias("p"), F.count("*").alias("n"), F.sum("z").alias("sz"), F.sum(z * z).alias("szz"))
-    best = F.max(F.struct((F.col("s") + F.col("p")).alias("e"), (-F.col("class_id")).alias("c")))
+    best = F.max(F.struct(F.round(F.col("s") + F.col("p"), TIE_DIGITS).alias("r"), (-F.col("class_id")).alias("c"), (F.col("s") + F.col("p")).alias("e")))
     n = F.sum("n")
     mean = F.sum("sz") / n
     out = by_class.groupBy(*_KEY).agg(
