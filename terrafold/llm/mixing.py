@@ -101,14 +101,14 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", doc_
         table.append((number[s], seen[s], t, slots[s]))
         seen[s] += 1
     # As many rows as a period has slots: bounded by PERIOD and SOURCES_MOST.
-    timetable = F.broadcast(spark.createDataFrame(table, "lane int, turn long, at long, share long"))
-    named = F.broadcast(spark.createDataFrame([(s, i, counts.get(s, 0)) for s, i in number.items() if s != others], "s string, lane int, n long")) if len(number) > (others in number) else None
+    timetable = F.broadcast(spark.createDataFrame(table, "__l int, __t long, __at long, __share long"))
+    named = F.broadcast(spark.createDataFrame([(s, i, counts.get(s, 0)) for s, i in number.items() if s != others], "__s string, __lane int, __n long")) if len(number) > (others in number) else None
 
     h = F.xxhash64(rows[doc_id], F.lit(seed))
     if named is None:
         lanes = rows.withColumn("__lane", F.lit(0)).withColumn("__n", F.lit(0).cast("long"))
     else:
-        lanes = rows.join(named, src.eqNullSafe(F.col("s")), "left").drop("s").withColumnsRenamed({"lane": "__lane", "n": "__n"})
+        lanes = rows.join(named, src.eqNullSafe(F.col("__s")), "left").drop("__s")
         lanes = lanes.withColumn("__lane", F.coalesce("__lane", F.lit(number.get(others, 0))))
     rest = max(1, df.sparkSession.sparkContext.defaultParallelism) * 64
     # A lane is cut by hash into runs of about RANK_ROWS rows: ranks within runs, then the runs before, give ranks.
@@ -122,10 +122,10 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", doc_
     placed = ranked.withColumn("__block", F.floor(rank / block_docs)).withColumn("__place", rank % block_docs)
     share = F.element_at(F.lit([slots[s] for s in slots]), F.col("__lane") + 1).cast("long")
     placed = placed.withColumn("__turn", F.col("__block") % share)
-    found = placed.join(timetable, (F.col("__lane") == F.col("lane")) & (F.col("__turn") == F.col("turn")))
-    j, a = F.col("__block"), F.col("share")
+    found = placed.join(timetable, (F.col("__lane") == F.col("__l")) & (F.col("__turn") == F.col("__t")))
+    j, a = F.col("__block"), F.col("__share")
     return found.select(
         *[found[c] for c in rows.columns],
-        (F.floor(j / a) * period + F.col("at")).cast("long").alias("mix_slot"), F.col("__place").cast("long").alias("mix_place"), (j + 1).cast("long").alias("mix_block"),
+        (F.floor(j / a) * period + F.col("__at")).cast("long").alias("mix_slot"), F.col("__place").cast("long").alias("mix_place"), (j + 1).cast("long").alias("mix_block"),
         F.floor(j * period / a).cast("long").alias("mix_release"), F.ceil((j + 1) * period / a).cast("long").alias("mix_due"),
     )

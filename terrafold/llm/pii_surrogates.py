@@ -234,8 +234,8 @@ def replace_pii(df: DataFrame, text: str = "text", doc_id: str = "doc_id", key:
     given = rows.withColumn("__likely", likely(F.col(text)))
     if len(told) > LATE_MOST:
         told = {}
-        own = held.join(late, ["kind", "entity"]).groupBy("id", "hash").agg(F.collect_list(F.struct("kind", "entity", "core")).alias("__late"))
-        given = given.withColumn("__hash", F.xxhash64(text)).join(own, F.col(doc_id).eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("hash")), "left").select(*names, "__likely", "__late")
+        own = held.join(late, ["kind", "entity"]).groupBy(F.col("id").alias("__id"), F.col("hash").alias("__text")).agg(F.collect_list(F.struct("kind", "entity", "core")).alias("__late"))
+        given = given.withColumn("__hash", F.xxhash64(text)).join(own, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left").select(*names, "__likely", "__late")
     else:
         given = given.withColumn("__late", F.lit(None).cast(_LATE))
     kinds_type = to_arrow_type(ArrayType(StringType()))

@@ -50,7 +50,7 @@ def arc_archive(records: list[dict], version: int = 1, made: str = "202001010000
 
 def _arc_line(record: dict, length: int, version: int) -> bytes:
     shown = record | {"length": length}
-    return (" ".join(re.sub(r"[\s\x00-\x1f]+", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), str(shown.get(f) or "-")) for f in ARC_FIELDS[version]) + "\n").encode()
+    return (" ".join(re.sub(r"[\s\x00-\x1f]+", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), "-" if shown.get(f) in (None, "") else str(shown[f])) for f in ARC_FIELDS[version]) + "\n").encode()
 
 
 def shown_url(url: str | None) -> str:
