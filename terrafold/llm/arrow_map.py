@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from terrafold.session import ship_package
 
 #: Bytes of text that one call gets, unless a single text is longer.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -29,7 +29,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(at)
 
 
-def map_texts(df: DataFrame, column: str, keep: list[str], fields: StructType, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+def map_texts(df: DataFrame, column: str, keep: list[str], fields: StructType, make: Callable[[], Callable[[list], list]], slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Rows of ``keep`` columns and the columns ``fields`` that a function gives for the texts of ``column``.
 
     ``make()`` runs once a task and returns that function: a list of texts
@@ -46,7 +46,7 @@ def map_texts(df: DataFrame, column: str, keep: list[str], fields: StructType, m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part in slices(batch, n):
+            for part in slices(batch, n, slice_bytes):
                 made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(f(part.column(n).to_pylist()), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=names)
 

@@ -21,8 +21,10 @@ from terrafold.llm.arrow_map import map_texts
 MARK = "▁"
 _CHUNK = re.compile(" *[^ ]+| +")
 _SPLIT_PIECE = re.compile(f"[^{MARK}]{MARK}")
-#: Distinct words kept from batch to batch; the table starts anew beyond it.
-TABLE_WORDS = 100_000
+#: Distinct words kept from slice to slice; the table starts anew beyond it.
+TABLE_WORDS = 60_000
+#: Bytes of text in a slice: its distinct words and ids are Python objects, many times as large.
+SLICE_BYTES = 2 << 20
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -62,11 +64,13 @@ class ChunkTable:
             self.text[w] = ",".join(map(str, ids))
         if not new:
             return
-        # One call decodes all new words, as one text; only if some word does not come back as it was, each is decoded alone.
-        if self.library.decode([i for w in new for i in self.ids[w]]) == "".join(new)[1:]:
-            self.back.update(zip(new, bare, strict=True))
-        else:
-            self.back.update(zip(new, self.library.decode([self.ids[w] for w in new], num_threads=1), strict=True))
+        # Words are decoded many at a time, each lot as one text; of a lot that does not come back as it was each word is decoded alone.
+        lots = [new[i : i + 100] for i in range(0, len(new), 100)]
+        for lot, back in zip(lots, self.library.decode([[i for w in lot for i in self.ids[w]] for lot in lots], num_threads=1), strict=True):
+            if back == "".join(lot)[1:]:
+                self.back.update((w, w[1:]) for w in lot)
+            else:
+                self.back.update(zip(lot, self.library.decode([self.ids[w] for w in lot], num_threads=1), strict=True))
 
     def words(self, text: str) -> list[str]:
         return _CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
@@ -117,4 +121,4 @@ def encode_decode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
     if ids:
         fields.append(StructField("ids", ArrayType(IntegerType())))
-    return map_texts(df, text, list(keep), StructType(fields), _codec(model or model_path(), ids))
+    return map_texts(df, text, list(keep), StructType(fields), _codec(model or model_path(), ids), SLICE_BYTES if ids else 2 * SLICE_BYTES)
