@@ -9,7 +9,7 @@ from terrafold.functions import geometry as g
 from terrafold.functions.geometry import XYZ
 from terrafold.operators import camera as cam
 from terrafold.operators import semantic_map as sm
-from terrafold.plans.registry import PTS, query, rounded
+from terrafold.plans.registry import NUDGE, PTS, query, rounded
 from terrafold.sources.tables import points, table
 
 CAMERA = {"width": 64, "height": 48, "fx": 20.0, "fy": 20.0, "cx": 32.0, "cy": 24.0, "distortion": (0.1, -0.02, 0.001, -0.002, 0.003)}
@@ -130,7 +130,9 @@ _LOOKED = _PROJ + ", " + _MAP + ", pp AS (SELECT pid, frame, CAST(floor(u + 0.5)
 
 
 def _pixels(spark: SparkSession, d: str) -> DataFrame:
-    return cam.class_map(cam.clip_boxes(detections(spark, d), 64, 48)).withColumnRenamed("image_id", "frame")
+    """The class maps of the images that points are looked up in, no others."""
+    seen = points(spark, d).select(F.col("frame").alias("image_id")).distinct()
+    return cam.class_map(cam.clip_boxes(detections(spark, d).join(seen, "image_id", "left_semi"), 64, 48)).withColumnRenamed("image_id", "frame")
 
 
 @query(f"WITH {_LOOKED} SELECT pid, pp.frame, COALESCE(class_id, -1) AS pixel_class, round(COALESCE(confidence, 0.0), 6) AS pixel_confidence FROM pp LEFT JOIN fm ON pp.frame = fm.frame AND pu = u AND pv = v")
@@ -208,10 +210,10 @@ def nms(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_OBS}, c AS (SELECT ix, iy, iz, class_id, sum(confidence) AS s, max(confidence) AS mx, count(*) AS n, sum(z) AS sz, min(z) AS lz, max(z) AS hz, max(stamp_us) AS t FROM key WHERE confidence >= 0.1 GROUP BY ALL),
 t AS (SELECT ix, iy, iz, sum(s) AS tot, max(mx) AS mx, CAST(sum(n) AS BIGINT) AS n, sum(sz) / sum(n) AS mz, min(lz) AS lz, max(hz) AS hz, max(t) AS t FROM c GROUP BY ALL),
 b AS (SELECT * FROM (SELECT *, round(s, 9) AS rs FROM c) WHERE class_id >= 0 AND s > 0 QUALIFY row_number() OVER (PARTITION BY ix, iy, iz ORDER BY rs DESC, class_id) = 1)
-SELECT ix, iy, iz, COALESCE(class_id, -1) AS class_id, round(COALESCE(s / tot, 0.0), 6) AS share, t.n AS observations, round(t.mx, 6) AS confidence_max, round(mz, 6) AS mean_z, round(t.lz, 6) AS min_z, round(t.hz, 6) AS max_z, t.t AS last_stamp FROM t LEFT JOIN b USING (ix, iy, iz)""")
+SELECT ix, iy, iz, COALESCE(class_id, -1) AS class_id, round(COALESCE(s / tot, 0.0), 6) AS share, t.n AS observations, round(t.mx, 6) AS confidence_max, round(mz + 3e-9, 6) AS mean_z, round(t.lz, 6) AS min_z, round(t.hz, 6) AS max_z, t.t AS last_stamp FROM t LEFT JOIN b USING (ix, iy, iz)""")
 def semantic_voxel_map(spark: SparkSession, d: str) -> DataFrame:
     m = sm.voxel_map(observations(spark, d), 5.0, 0.1).select("ix", "iy", "iz", "class_id", "share", "observations", "confidence_max", "mean_z", "min_z", "max_z", "last_stamp")
-    return rounded(m, "share", "confidence_max", "mean_z", "min_z", "max_z")
+    return rounded(rounded(m, "share", "confidence_max", "min_z", "max_z"), "mean_z", nudge=NUDGE)
 
 
 _VALID = _OBS + ", ok AS (SELECT ix, iy, iz, class_id, least(confidence, 1.0) AS c, z, stamp_us FROM key WHERE class_id BETWEEN 0 AND 19 AND isfinite(confidence) AND confidence > 0)"
@@ -222,17 +224,21 @@ def _evidence_sql(weight: str, prior: str) -> str:
 c AS (SELECT ix, iy, iz, class_id, sum({weight}) AS s, any_value({prior}) AS p, count(*) AS n, sum(z) AS sz, sum(z * z) AS szz FROM e GROUP BY ALL),
 t AS (SELECT ix, iy, iz, sum(s) + 20 * max(p) AS tot, CAST(sum(n) AS BIGINT) AS n, sum(sz) / sum(n) AS mz, sum(szz) / sum(n) - (sum(sz) / sum(n)) ** 2 AS vz FROM c GROUP BY ALL),
 b AS (SELECT *, round(s + p, 9) AS rs FROM c QUALIFY row_number() OVER (PARTITION BY ix, iy, iz ORDER BY rs DESC, class_id) = 1)
-SELECT ix, iy, iz, class_id, round((s + p) / tot, 6) AS posterior, t.n AS observations, round(mz, 6) AS mean_z, round(greatest(vz, 0.0), 5) AS var_z FROM t JOIN b USING (ix, iy, iz)"""
+SELECT ix, iy, iz, class_id, round((s + p) / tot, 6) AS posterior, t.n AS observations, round(mz + 3e-9, 6) AS mean_z, round(greatest(vz, 0.0) + 3e-9, 5) AS var_z FROM t JOIN b USING (ix, iy, iz)"""
+
+
+def evidence_rounded(df: DataFrame) -> DataFrame:
+    return rounded(rounded(rounded(df, "posterior"), "mean_z", nudge=NUDGE), "var_z", digits=5, nudge=NUDGE)
 
 
 @query(_evidence_sql("c", "0.001"))
 def evidence_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rounded(sm.evidence_map(observations(spark, d), 5.0), "posterior", "mean_z"), "var_z", digits=5)
+    return evidence_rounded(sm.evidence_map(observations(spark, d), 5.0))
 
 
 @query(_evidence_sql("c * exp(-(t1 - stamp_us) / 1e6 / 31536000.0)", "0.001 * exp(-(t1 - t0) / 1e6 / 31536000.0)"))
 def evidence_decay(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rounded(sm.evidence_map(observations(spark, d), 5.0, tau=31_536_000.0), "posterior", "mean_z"), "var_z", digits=5)
+    return evidence_rounded(sm.evidence_map(observations(spark, d), 5.0, tau=31_536_000.0))
 
 
 @query(f"WITH {_OBS} SELECT count(*) AS voxels FROM (SELECT DISTINCT ix, iy, iz FROM key)")

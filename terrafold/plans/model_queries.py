@@ -10,7 +10,7 @@ from terrafold.functions.geometry import XYZ
 from terrafold.operators import clusters as cl
 from terrafold.operators import planes as pl
 from terrafold.operators import registration as rg
-from terrafold.plans.map_queries import _evidence_sql
+from terrafold.plans.map_queries import _evidence_sql, evidence_rounded
 from terrafold.plans.registry import PTS, query, r6, rounded
 from terrafold.session import scratch_path
 from terrafold.sources import cloud
@@ -143,4 +143,4 @@ def streaming_evidence(spark: SparkSession, d: str) -> DataFrame:
         F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(l_shipdate AS timestamp_ntz))").alias("stamp_us"),
     )
     rows = maps.collected(maps.evidence_stream(seen, 5.0, tau=31_536_000.0), "update")
-    return rounded(rounded(maps.latest(rows, "ix", "iy", "iz"), "posterior", "mean_z"), "var_z", digits=5)
+    return evidence_rounded(maps.latest(rows, "ix", "iy", "iz"))

@@ -32,9 +32,13 @@ def query(sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+#: Means of few decimals lie just between two roundings often; this much above, the order of adding does not decide.
+NUDGE = 3e-9
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6, nudge: float = 0.0) -> DataFrame:
     """Sums of floats depend on their order: columns rounded, on both sides alike, with no negative zero."""
-    return df.withColumns({c: r6(F.col(c), digits) for c in columns})
+    return df.withColumns({c: r6(F.col(c) + nudge if nudge else F.col(c), digits) for c in columns})
 
 
 def r6(c: Column, digits: int = 6) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, ByteType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructField, StructType
 
 from terrafold.session import ship_package
@@ -68,7 +69,7 @@ def decode_clouds(clouds: DataFrame, fields: list[dict], point_step: int, big_en
     dtype, schema = layout_dtype(fields, point_step, big_endian), layout_schema(fields)
     given = clouds.select(key, "height", "width", "row_step", "data")
     out = StructType([given.schema[key], StructField("point_idx", LongType()), *schema.fields])
-    arrow = {f.name: pa.list_(pa.from_numpy_dtype(dtype[f.name].base.newbyteorder("="))) if isinstance(f.dataType, ArrayType) else None for f in schema}
+    arrow = {f.name: to_arrow_type(f.dataType) if isinstance(f.dataType, ArrayType) else None for f in schema}
     wide = {np.dtype("u1"): "i2", np.dtype("u2"): "i4", np.dtype("u4"): "i8"}
 
     def native(x: np.ndarray) -> np.ndarray:
@@ -81,7 +82,7 @@ def decode_clouds(clouds: DataFrame, fields: list[dict], point_step: int, big_en
                 k, h, w, step, data = (b.column(i)[r].as_py() for i in range(5))
                 p = decode_buffer(data or b"", dtype, h, w, step)
                 cols = [native(p[f.name]) for f in schema]
-                cols = [pa.array(c.tolist()) if arrow[f.name] is not None else pa.array(c) for c, f in zip(cols, schema, strict=True)]
+                cols = [pa.array(c.tolist(), arrow[f.name]) if arrow[f.name] is not None else pa.array(c) for c, f in zip(cols, schema, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(p), b.schema.types[0]), pa.array(np.arange(len(p))), *cols], names=out.names)
 
     return given.mapInArrow(run, out)
