@@ -196,3 +196,38 @@ def iou(a: str, b: str) -> Column:
     h = F.greatest(F.lit(0), F.least(ca("y") + ca("h"), cb("y") + cb("h")) - F.greatest(ca("y"), cb("y")))
     inter = (w * h).cast("double")
     return F.coalesce(F.try_divide(inter, ca("w") * ca("h") + cb("w") * cb("h") - inter), F.lit(0.0))
+
+
+def slerp(a, b, part: Column) -> list[Column]:
+    """The unit quaternion between ``a`` and ``b`` on the shorter arc; straight and scaled to length one where they nearly agree."""
+    d = dot(a, b)
+    sign = F.when(d < 0, -1.0).otherwise(1.0)
+    angle = F.acos(clipped(F.abs(d), 0.0, 1.0))
+    near = angle < 1e-4
+    wa = F.when(near, 1 - part).otherwise(F.try_divide(F.sin((1 - part) * angle), F.sin(angle)))
+    wb = F.when(near, part).otherwise(F.try_divide(F.sin(part * angle), F.sin(angle))) * sign
+    raw = [wa * col(x) + wb * col(y) for x, y in zip(a, b, strict=True)]
+    length = F.sqrt(square_sum(raw))
+    return [r / length for r in raw]
+
+
+def plane_basis(normal: tuple[float, float, float]) -> tuple[tuple, tuple]:
+    """Two unit vectors that span the plane across a normal. The x axis helps, unless the normal lies along it."""
+    n = unit(normal)
+    h = (1.0, 0.0, 0.0) if abs(n[0]) < 0.9 else (0.0, 1.0, 0.0)
+    cross = lambda a, b: (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    u = unit(cross(n, h))
+    return u, cross(n, u)
+
+
+# Factor and start of each channel of a class colour, modulo 256.
+CLASS_COLOR = {"r": (193, 37), "g": (97, 113), "b": (53, 71)}
+
+
+def class_color(class_id: Column) -> dict[str, Column]:
+    return {c: (class_id.cast("long") * k + s) % 256 for c, (k, s) in CLASS_COLOR.items()}
+
+
+def corner(center: list[Column], extent: list[Column], number: Column) -> list[Column]:
+    """Corner 0 to 7 of an axis-aligned box: bit i of the number says on which side of axis i."""
+    return [c + e / 2 * (2 * F.shiftright(number, i).bitwiseAND(F.lit(1)) - 1) for i, (c, e) in enumerate(zip(center, extent, strict=True))]

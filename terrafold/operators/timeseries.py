@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafold.functions.geometry import slerp
+
 
 def with_steps(stamps: DataFrame, by: str = "topic", stamp: str = "stamp_us", order: str = "seq") -> DataFrame:
     return stamps.withColumn("dt", (F.col(stamp) - F.lag(stamp).over(Window.partitionBy(by).orderBy(order))) / 1e6)
@@ -49,9 +51,10 @@ def latest_value(ref: DataFrame, other: DataFrame, by: str, value: str, stamp: s
     return o.unionByName(r).withColumn("latest", F.last("v", ignorenulls=True).over(w)).filter("side = 1").select(by, "key", F.col("t").alias("stamp"), F.col("latest.v").alias(value))
 
 
-def interpolated_pose(ref: DataFrame, poses: DataFrame, by: str, columns: tuple[str, ...], stamp: str = "stamp_us", key: str = "seq", timeout: int = 100_000) -> DataFrame:
-    """Each row of ``ref`` with ``columns`` between the poses before and after it, in proportion of time; dropped if either is missing or further than ``timeout``."""
-    kept = F.struct(F.col(stamp).alias("t"), *[F.col(c).alias(c) for c in columns])
+def interpolated_pose(ref: DataFrame, poses: DataFrame, by: str, columns: tuple[str, ...], quaternion: tuple[str, ...] = (), stamp: str = "stamp_us", key: str = "seq", timeout: int = 100_000) -> DataFrame:
+    """Each row of ``ref`` with ``columns`` between the poses before and after it, in proportion of time, and the ``quaternion`` columns on the arc
+    between theirs; dropped if either pose is missing or further than ``timeout``."""
+    kept = F.struct(F.col(stamp).alias("t"), *[F.col(c).alias(c) for c in (*columns, *quaternion)])
     p = poses.select(by, F.lit(None).cast("long").alias("key"), F.col(stamp).alias("t"), kept.alias("p"))
     r = ref.select(by, F.col(key).alias("key"), F.col(stamp).alias("t"), F.lit(None).cast(p.schema["p"].dataType).alias("p"))
     w = Window.partitionBy(by).orderBy("t")
@@ -59,8 +62,10 @@ def interpolated_pose(ref: DataFrame, poses: DataFrame, by: str, columns: tuple[
     a = F.first("p", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
     found = p.unionByName(r).withColumns({"b": b, "a": a}).filter(F.col("key").isNotNull())
     found = found.filter((F.col("t") - F.col("b.t") <= timeout) & (F.col("a.t") - F.col("t") <= timeout))
-    part = F.coalesce(F.try_divide(F.col("t") - F.col("b.t"), F.col("a.t") - F.col("b.t")), F.lit(0.0))
-    return found.select(by, "key", F.col("t").alias("stamp"), *[(F.col(f"b.{c}") + part * (F.col(f"a.{c}") - F.col(f"b.{c}"))).alias(c) for c in columns])
+    found = found.withColumn("part", F.coalesce(F.try_divide(F.col("t") - F.col("b.t"), F.col("a.t") - F.col("b.t")), F.lit(0.0)))
+    part = F.col("part")
+    turned = slerp([F.col(f"b.{q}") for q in quaternion], [F.col(f"a.{q}") for q in quaternion], part) if quaternion else []
+    return found.select(by, "key", F.col("t").alias("stamp"), *[(F.col(f"b.{c}") + part * (F.col(f"a.{c}") - F.col(f"b.{c}"))).alias(c) for c in columns], *[c.alias(q) for q, c in zip(quaternion, turned, strict=True)])
 
 
 def offset_statistics(offsets: DataFrame, by: str, offset: str = "offset") -> DataFrame:

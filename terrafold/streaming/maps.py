@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from terrafold.functions.geometry import voxel_keys
 from terrafold.operators.semantic_map import valid_evidence
+from terrafold.operators.timeseries import last_n
 from terrafold.session import scratch_path, ship_package
 
 
@@ -61,6 +62,21 @@ def voxel_counts(points: DataFrame, size: float) -> DataFrame:
     return points.groupBy(*voxel_keys(size)).agg(F.count("*").alias("observations"), F.sum("confidence").alias("confidence_sum"), F.min("z").alias("min_z"), F.max("z").alias("max_z"))
 
 
+def bounded(stream: DataFrame, n: int, by: str, order: str) -> DataFrame:
+    """The newest n rows of each key of all that a stream brought: each batch is merged with what was kept, into a new table."""
+    spark = stream.sparkSession
+    path, schema = scratch_path(spark, "kept"), stream.schema
+    done: list[int] = []
+
+    def write(df: DataFrame, batch: int) -> None:
+        kept = df if not done else df.unionByName(spark.read.schema(schema).parquet(f"{path}/{done[-1]}"))
+        last_n(kept, n, by, order).drop("age").write.mode("overwrite").parquet(f"{path}/{batch}")
+        done.append(batch)
+
+    drain(stream, "append", write)
+    return spark.read.schema(schema).parquet(f"{path}/{done[-1]}") if done else spark.createDataFrame([], schema)
+
+
 _STATE = "evidence array<double>, last long, n long, mean double, m2 double"
 _OUT = "ix long, iy long, iz long, class_id int, posterior double, observations long, mean_z double, var_z double"
 
