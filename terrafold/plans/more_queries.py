@@ -13,7 +13,7 @@ from terrafold.operators import planes as pl
 from terrafold.operators import timeseries as ts
 from terrafold.plans import lidar
 from terrafold.plans.map_queries import _MATRIX, _POSE, detections, observations, poses
-from terrafold.plans.point_queries import _COMPONENTS, _D2, _KEYS, _REMOVED, _STAGES
+from terrafold.plans.point_queries import _COMPONENTS, _KEYS, _REMOVED, _STAGES
 from terrafold.plans.registry import PTS, RAW, ST, query, rounded
 from terrafold.sources import cloud
 from terrafold.sources.tables import bulk_points, points, raw_points, stamps, table
