@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.language_id import UNKNOWN, identify, learn
 from terrafold.llm.mixing import mix
+from terrafold.llm.near_copies import without_near_copies
 from terrafold.llm.pii_surrogates import replace_pii
 from terrafold.llm.sentencepiece_codec import encode_decode
-from terrafold.llm.simhash_index import near_duplicates
 from terrafold.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,11 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays; of rows with one id the least text. Documents without an id stay."""
-    kept = near_duplicates(docs).filter("component_id = doc_id").select("doc_id").distinct()
-    rest = [c for c in COLUMNS if c != "doc_id"]
-    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("d")).select("doc_id", "d.*")
-    return one.select(COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(COLUMNS))
+    """Of each group of near copies (0.8 of their five-word shingles in common, or more) the document with the least id stays, those without an id last."""
+    return without_near_copies(docs.select(COLUMNS))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
