@@ -6,11 +6,12 @@ columns of ``documents``: doc_id, text, lang, source, n_chars.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm.language_id import UNKNOWN, identify, learn
-from terrafold.llm.mixing import mix
+from terrafold.llm.mixing import BLOCK_DOCS, mix
 from terrafold.llm.near_copies import without_near_copies
 from terrafold.llm.pii_surrogates import replace_pii
 from terrafold.llm.sentencepiece_codec import encode_decode
@@ -41,9 +42,26 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(COLUMNS)
 
 
+def positioned(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``position``, a number that grows in the order in which the mixing stage wrote them.
+
+    Of a table read from Parquet files it counts the rows from 0, file after file
+    by name; the reader itself keeps no order. Of a table that was never written it is made of slot and place.
+    """
+    try:
+        rows = docs.select(*COLUMNS, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        mixed = mix(docs.select(COLUMNS))
+        return mixed.select(*COLUMNS, (F.col("mix_slot") * BLOCK_DOCS + F.col("mix_place")).alias("position"))
+    # One row a file: the rows of the files before it.
+    files = rows.groupBy("__file").agg(F.count("*").alias("n"))
+    files = files.select("__file", (F.sum("n").over(Window.orderBy("__file")) - F.col("n")).alias("__before"))
+    return rows.join(F.broadcast(files), "__file").select(*COLUMNS, (F.col("__before") + F.col("__row")).alias("position"))
+
+
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with its language and source, and the digests of ids and decoded text."""
-    return encode_decode(docs, keep=("doc_id", "lang", "source"), ids=True)
+    """Token ids of each document, with its place in the mixed order, its language and source, and the digests of ids and decoded text."""
+    return encode_decode(positioned(docs), keep=("doc_id", "position", "lang", "source"), ids=True)
 
 
 STAGES = [("language_id", language_id), ("simhash_dedup", simhash_dedup), ("pii", pii), ("mixing", mixing), ("sentencepiece", sentencepiece)]
