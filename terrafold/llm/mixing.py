@@ -1,34 +1,38 @@
 """Sources mixed to target weights by Pfair scheduling.
 
-A source's documents are dealt into blocks. With P slots a period, of which its
-weight gives a source A, its block j (from 1) is released at slot (j - 1) P / A,
-rounded down, and due at j P / A, rounded up. In each slot the released block
+A source's documents are dealt into blocks. With a part w of all weights, its
+block j (from 1) is released at slot (j - 1) / w, rounded down, and due at j / w,
+rounded up: whole numbers, reckoned exactly from the weights as given. In each slot the released block
 with the earliest deadline goes. All blocks then lie between release and
 deadline, so after any number of slots each source is less than one block from its share.
-The schedule of one period is made once, of bounded size; every block finds its
-slot from it by arithmetic, wherever its rows lie.
+One task walks all blocks of all sources in order, with a few numbers a source in memory;
+what it writes is a table that the rows, by source and block, are joined with.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafold.session import cut, ship_package
+
 #: Documents of a block.
 BLOCK_DOCS = 64
-#: Slots of a period, at least, and for each source; targets are met to one in as many.
-PERIOD, PERIOD_SOURCE = 1000, 8
-#: Sources that have shares of their own, the largest; all others share one.
-SOURCES_MOST = 4096
+#: Sources, and blocks, up to which their tables are broadcast; beyond, they are shuffled.
+SOURCES_TOLD, BLOCKS_TOLD = 4096, 200_000
 #: Documents, about, that one task ranks at once.
 RANK_ROWS = 4_000
+#: Blocks in a batch of the timetable.
+TIMES = 20_000
 
 
 def shares(weights: dict, period: int) -> dict:
-    """Slots of each source in a period: its weight's part, rounded by largest remainder, one at least."""
+    """Slots of each source in a period: its weight's part, rounded by largest remainder, one at least. For timetables of a fixed length; ``mix`` does not round."""
     total = sum(weights.values())
     exact = {s: period * w / total for s, w in weights.items()}
     out = {s: max(1, math.floor(x)) for s, x in exact.items()}
@@ -42,29 +46,96 @@ def shares(weights: dict, period: int) -> dict:
     return out
 
 
-def schedule(slots: dict) -> list:
-    """The source of each slot of a period; ``slots``: how many each has, together the period."""
-    period = sum(slots.values())
-    waiting = [(0, math.ceil(period / a), str(s), s, 1) for s, a in slots.items()]
-    heapq.heapify(waiting)
-    ready: list[tuple] = []
-    out = []
-    for t in range(period):
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    parts = [float(w).as_integer_ratio() for w in weights]
+    scale = max((q for _, q in parts), default=1)  # all are powers of two
+    return [p * (scale // q) for p, q in parts]
+
+
+def walk(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """Source, block (both from 0), slot, release and deadline, slot after slot, until all ``blocks`` of each source have gone.
+
+    Slots in which no block is released, since sources have ended, are left out.
+    """
+    total = sum(weights)
+    ready = [(-(-total // w), i, 0, 0) for i, (w, n) in enumerate(zip(weights, blocks, strict=True)) if n]
+    heapq.heapify(ready)
+    waiting: list[tuple] = []
+    t = 0
+    while ready or waiting:
+        if not ready:
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
-            _, due, name, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, name, s, j))
-        due, name, s, j = heapq.heappop(ready)
+            release, due, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, i, j, release))
+        due, i, j, release = heapq.heappop(ready)
         if due <= t:
-            raise AssertionError(f"block {j} of {s} is late")
-        out.append(s)
-        a = slots[s]
-        heapq.heappush(waiting, (j * period // a, -(-(j + 1) * period // a), name, s, j + 1))
-    return out
+            raise AssertionError(f"block {j} of source {i} is late")
+        yield i, j, t, release, due
+        t += 1
+        j += 1
+        if j < blocks[i]:
+            heapq.heappush(waiting, (j * total // weights[i], -(-(j + 1) * total // weights[i]), i, j))
+
 
+def schedule(slots: dict) -> list:
+    """The source of each slot of a period; ``slots``: how many each has, together the period."""
+    names = sorted(slots, key=str)
+    counts = [slots[s] for s in names]
+    return [names[i] for i, *_ in walk(counts, counts)]
 
-def tempered(counts: dict, power: float = 0.5) -> dict:
-    """Weights as the counts to a power, the usual way to lift small sources."""
-    return {s: n**power for s, n in counts.items()}
+
+def weighed(sizes: list[int], given: list[float | None] | None) -> list[float]:
+    """The weight of each source: the square roots of the sizes, or what is ``given``, as ``mix`` says."""
+    roots = [math.sqrt(n) for n in sizes]
+    if given is None:
+        return roots
+    own = [w for w in given if w is not None]
+    mean = math.fsum(own) / len(own) if own else 1.0
+    rest = math.fsum(r for r, w in zip(roots, given, strict=True) if w is None)
+    return [mean * r / rest if w is None else w for r, w in zip(roots, given, strict=True)]
+
+
+def timetable(sizes: DataFrame, weights: dict | None, block_docs: int) -> DataFrame:
+    """key, block (from 0), slot, release, due of all blocks of a table (key, n) of sources and their rows."""
+    spark = sizes.sparkSession
+    ship_package(spark)
+    sources = sizes.withColumn("own", F.lit(None).cast("double"))
+    if weights:
+        given = [(None if s is None else str(s), float(w)) for s, w in weights.items() if w and w > 0]
+        named = spark.createDataFrame(given, "source string, own double")
+        sources = sizes.join(named.select(key_of(F.col("source")).alias("key"), "own"), "key", "left")
+    schema = "key string, block long, slot long, release long, due long"
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = list(batches)
+        if not sum(b.num_rows for b in read):
+            return
+        table = pa.Table.from_batches(read)
+        keys = table["key"].combine_chunks()
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            i, *rest = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(i, pa.int64())), *[pa.array(c, pa.int64()) for c in rest]], names=["key", "block", "slot", "release", "due"])
+
+        sizes_ = table["n"].to_pylist()
+        exact = whole(weighed(sizes_, table["own"].to_pylist() if weights else None))
+        for step in walk(exact, [-(-n // block_docs) for n in sizes_]):
+            out.append(step)
+            if len(out) == TIMES:
+                yield made()
+                out = []
+        if out:
+            yield made()
+
+    return sources.select("key", "n", "own").repartition(1).sortWithinPartitions("key").mapInArrow(walked, schema)
+
+
+def key_of(source: Column) -> Column:
+    """A source as a text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
 def mix(df: DataFrame, weights: dict | None = None, source: str = "source", doc_id: str = "doc_id", seed: int = 5, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -73,59 +144,34 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", doc_
     Rows ordered by slot and place are mixed to ``weights`` (by source; if not
     given, the square roots of the sources' sizes) for as long as every source
     lasts; slots of a source that has ended are left out. No row is dropped or
-    repeated. Null is a source; sources without a weight, or beyond the
-    SOURCES_MOST largest, share the mean weight as one. Within a source the order is by a hash of the id, then by
+    repeated. Null is a source. Every source has a weight, release times and deadlines of its
+    own; those that ``weights`` leaves out have the mean weight together, in
+    proportion to the square roots of their sizes. Within a source the order is by a hash of the id, then by
     all columns, so it is the same in every run. An empty table gives an
     empty result; columns with the new names are replaced.
     """
-    spark = df.sparkSession
     new = ["mix_slot", "mix_place", "mix_block", "mix_release", "mix_due"]
     rows = df.drop(*new)
-    src = rows[source].cast("string")
-    sizes = rows.groupBy(src.alias("s")).count().orderBy(F.desc("count"), "s").limit(SOURCES_MOST).collect()
-    counts = {r["s"]: r["count"] for r in sizes}
-    if not counts:
-        return rows.select("*", *[F.lit(0).cast("long").alias(c) for c in new])
-    wanted = weights or tempered(counts)
-    own = {s: float(wanted[s]) for s in counts if wanted.get(s)}
-    others = ("others",)
-    own[others] = sum(own.values()) / len(own) if own else 1.0
-    if own.keys() >= counts.keys() and len(sizes) < SOURCES_MOST:
-        del own[others]
-    slots = shares(own, max(PERIOD, PERIOD_SOURCE * len(own)))
-    period = sum(slots.values())
-    number = {s: i for i, s in enumerate(slots)}
-    seen: dict = dict.fromkeys(slots, 0)
-    table = []
-    for t, s in enumerate(schedule(slots)):
-        table.append((number[s], seen[s], t, slots[s]))
-        seen[s] += 1
-    # As many rows as a period has slots: bounded by PERIOD and SOURCES_MOST.
-    timetable = F.broadcast(spark.createDataFrame(table, "__l int, __t long, __at long, __share long"))
-    named = F.broadcast(spark.createDataFrame([(s, i, counts.get(s, 0)) for s, i in number.items() if s != others], "__s string, __lane int, __n long")) if len(number) > (others in number) else None
-
-    h = F.xxhash64(rows[doc_id], F.lit(seed))
-    if named is None:
-        lanes = rows.withColumn("__lane", F.lit(0)).withColumn("__n", F.lit(0).cast("long"))
-    else:
-        lanes = rows.join(named, src.eqNullSafe(F.col("__s")), "left").drop("__s")
-        lanes = lanes.withColumn("__lane", F.coalesce("__lane", F.lit(number.get(others, 0))))
-    rest = max(1, df.sparkSession.sparkContext.defaultParallelism) * 64
-    # A lane is cut by hash into runs of about RANK_ROWS rows: ranks within runs, then the runs before, give ranks.
-    runs = F.when(F.col("__n") > 0, F.ceil(F.col("__n") / RANK_ROWS)).otherwise(F.lit(rest))
-    lanes = lanes.withColumn("__h", h).withColumn("__run", F.floor(F.shiftrightunsigned("__h", 33) * runs / F.lit(1 << 31)).cast("long"))
-    before = lanes.groupBy("__lane", "__run").agg(F.count("*").alias("n"))
-    before = before.select("__lane", "__run", (F.sum("n").over(Window.partitionBy("__lane").orderBy("__run")) - F.col("n")).alias("__before"))
-    order = Window.partitionBy("__lane", "__run").orderBy("__h", *[F.xxhash64(*rows.columns)])
-    ranked = lanes.withColumn("__rn", F.row_number().over(order)).join(before, ["__lane", "__run"])
+    key = key_of(rows[source])
+    sizes = cut(rows.groupBy(key.alias("key")).agg(F.count("*").alias("n")))
+    times = cut(timetable(sizes, weights, block_docs))
+    all_ = sizes.agg(F.count("*").alias("sources"), F.sum(F.ceil(F.col("n") / block_docs)).alias("blocks")).first()
+    told = lambda table, few: F.broadcast(table) if few else table
+    counts = told(sizes.select(F.col("key").alias("__s"), F.col("n").alias("__n")), all_["sources"] <= SOURCES_TOLD)
+    times = told(times.select(F.col("key").alias("__s"), F.col("block").alias("__block"), *[F.col(c).alias(f"__{c}") for c in ("slot", "release", "due")]), (all_["blocks"] or 0) <= BLOCKS_TOLD)
+
+    # A source is cut by hash into runs of about RANK_ROWS rows: ranks within runs, then the runs before, give ranks.
+    lanes = rows.withColumn("__s", key).withColumn("__h", F.xxhash64(rows[doc_id], F.lit(seed))).join(counts, "__s")
+    run = F.floor(F.shiftrightunsigned("__h", 33) * F.ceil(F.col("__n") / RANK_ROWS) / F.lit(1 << 31)).cast("long")
+    lanes = lanes.withColumn("__run", run)
+    before = lanes.groupBy("__s", "__run").agg(F.count("*").alias("n"))
+    before = before.select("__s", "__run", (F.sum("n").over(Window.partitionBy("__s").orderBy("__run")) - F.col("n")).alias("__before"))
+    order = Window.partitionBy("__s", "__run").orderBy("__h", F.xxhash64(*rows.columns))
+    ranked = lanes.withColumn("__rn", F.row_number().over(order)).join(before, ["__s", "__run"])
     rank = F.col("__before") + F.col("__rn") - 1
-    placed = ranked.withColumn("__block", F.floor(rank / block_docs)).withColumn("__place", rank % block_docs)
-    share = F.element_at(F.lit([slots[s] for s in slots]), F.col("__lane") + 1).cast("long")
-    placed = placed.withColumn("__turn", F.col("__block") % share)
-    found = placed.join(timetable, (F.col("__lane") == F.col("__l")) & (F.col("__turn") == F.col("__t")))
-    j, a = F.col("__block"), F.col("__share")
-    return found.select(
-        *[found[c] for c in rows.columns],
-        (F.floor(j / a) * period + F.col("__at")).cast("long").alias("mix_slot"), F.col("__place").cast("long").alias("mix_place"), (j + 1).cast("long").alias("mix_block"),
-        F.floor(j * period / a).cast("long").alias("mix_release"), F.ceil((j + 1) * period / a).cast("long").alias("mix_due"),
+    placed = ranked.withColumn("__block", F.floor(rank / block_docs).cast("long")).withColumn("__place", rank % block_docs)
+    at = placed.join(times, ["__s", "__block"])
+    return at.select(
+        *rows.columns, F.col("__slot").alias("mix_slot"), F.col("__place").cast("long").alias("mix_place"), (F.col("__block") + 1).alias("mix_block"),
+        F.col("__release").alias("mix_release"), F.col("__due").alias("mix_due"),
     )
