@@ -1,12 +1,50 @@
-"""Mixing against the weights as they are given, with many sources."""
+"""Mixing against the weights as they are given, with many sources and over long runs."""
 
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
 from terrafold.llm import mixing
 
 
+def held(got, target):
+    """Whether after each slot every source is less than one block from its target, while all last."""
+    blocks = Counter(s for _, s in got)
+    lasts = min(blocks[s] / target[s] for s in target)
+    seen: Counter = Counter()
+    for t, (slot, s) in enumerate(sorted(got), 1):
+        if t > lasts:
+            return True
+        seen[s] += 1
+        if slot != t - 1 or any(abs(seen[x] - t * target[x]) >= 1 for x in target):
+            return False
+    return True
+
+
+def parts(weights):
+    total = sum(map(Fraction, weights.values()))
+    return {s: Fraction(w) / total for s, w in weights.items()}
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.6123, "b": 0.2877, "c": 0.0999, "d": 0.0001}, {"a": 0.3337, "b": 0.3331, "c": 0.3332}])
+def test_blocks_keep_to_exact_weights_over_many_periods(spark, weights):
+    n = 24_000  # blocks: many times 1000 slots
+    target = parts(weights)
+    sizes = {s: int(n * p) + 2 for s, p in target.items()}
+    rows = spark.range(sum(sizes.values())).withColumnRenamed("id", "doc_id")
+    ends, case = 0, "CASE"
+    for s, k in sizes.items():
+        ends += k
+        case += f" WHEN doc_id < {ends} THEN '{s}'"
+    df = rows.selectExpr("doc_id", f"{case} END AS source")
+    got = mixing.mix(df, weights, block_docs=1).collect()
+    assert held([(r.mix_slot, r.source) for r in got], target)
+    for r in got:
+        assert r.mix_release == (r.mix_block - 1) / target[r.source] // 1 and r.mix_due == -(-r.mix_block / target[r.source] // 1)
+        assert r.mix_release <= r.mix_slot < r.mix_due
+
+
 @pytest.mark.parametrize("told", [True, False])
 def test_each_of_many_sources_has_its_own_weight(spark, monkeypatch, told):
     if not told:
