@@ -129,18 +129,43 @@ def eigenvalues(c: dict[str, Column]) -> list[Column]:
     return [low, 3 * q - top - low, top]
 
 
+#: Eigenvalues nearer to each other than this part of the largest are one.
+EIGEN_GAP = 1e-9
+
+
+def _annihilated(c: dict[str, Column], p: Column, q: Column) -> list[list[Column]]:
+    """The rows of (A - p)(A - q): what is left of A lies along the eigenvectors of neither p nor q."""
+    a = [[c["xx"], c["xy"], c["xz"]], [c["xy"], c["yy"], c["yz"]], [c["xz"], c["yz"], c["zz"]]]
+    return [[a[i][0] * a[0][j] + a[i][1] * a[1][j] + a[i][2] * a[2][j] - (p + q) * a[i][j] + (p * q if i == j else F.lit(0.0)) for j in range(3)] for i in range(3)]
+
+
+def _column_of_largest(m: list[list[Column]]) -> Column:
+    """Of a symmetric matrix of rank one the column with the largest diagonal, scaled to length one; null if it vanishes."""
+    best = F.greatest(*[F.struct(F.abs(m[i][i]).alias("s"), F.array(*m[i]).alias("v")) for i in range(3)])["v"]
+    length = F.sqrt(F.aggregate(best, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(length > 0, F.transform(best, lambda x: x / length))
+
+
 def with_eigen(df: DataFrame, c: dict[str, Column]) -> DataFrame:
-    """``df`` with eigenvalues l0, l1, l2, ascending, and ``normal``, a unit eigenvector of the least: the longest cross product of two
-    rows of the matrix less l0, null where all vanish. In steps, so that each is computed once."""
+    """``df`` with eigenvalues l0, l1, l2, ascending, and ``normal``, a unit eigenvector of the least.
+
+    Where the least stands apart, what the other two annihilate leaves its eigenvector. Where
+    the two least are one (points on a line) any direction across the line is right: the one across the axis that the line
+    leans to least. Where all are one it is the z axis; null where nothing spreads.
+    """
     df = df.withColumns({f"l{i}": v for i, v in enumerate(eigenvalues(c))})
-    value = F.col("l0")
-    rows = [[c["xx"] - value, c["xy"], c["xz"]], [c["xy"], c["yy"] - value, c["yz"]], [c["xz"], c["yz"], c["zz"] - value]]
-    for n, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        a, b = rows[i], rows[j]
-        df = df.withColumn(f"__v{n}", F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]))
-    longest = F.greatest(*[F.struct(square_sum([F.col(f"__v{n}")[k] for k in range(3)]).alias("s"), F.col(f"__v{n}").alias("v")) for n in range(3)])
-    df = df.withColumn("__v", longest).drop("__v0", "__v1", "__v2")
-    return df.withColumn("normal", F.when(F.col("__v.s") > 0, F.transform("__v.v", lambda x: x / F.sqrt(F.col("__v.s"))))).drop("__v")
+    l0, l1, l2 = (F.col(f"l{i}") for i in range(3))
+    df = df.withColumns({"__own": _column_of_largest(_annihilated(c, l1, l2)), "__line": _column_of_largest(_annihilated(c, l0, l1))})
+    x, y, z = (F.col("__line")[i] for i in range(3))
+    across = F.when((F.abs(x) <= F.abs(y)) & (F.abs(x) <= F.abs(z)), F.array(F.lit(0.0), z, -y)).when(F.abs(y) <= F.abs(z), F.array(-z, F.lit(0.0), x)).otherwise(F.array(y, -x, F.lit(0.0)))
+    df = df.withColumn("__across", across)
+    length = F.sqrt(F.aggregate("__across", F.lit(0.0), lambda s, v: s + v * v))
+    level = F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    normal = (
+        F.when(~(l2 > 0), None).when((l1 - l0 > EIGEN_GAP * l2) & F.col("__own").isNotNull(), F.col("__own"))
+        .when((l2 - l1 > EIGEN_GAP * l2) & F.col("__line").isNotNull(), F.transform("__across", lambda v: v / length)).otherwise(level)
+    )
+    return df.withColumn("normal", normal).drop("__own", "__line", "__across")
 
 
 def shape_features(values: list[Column]) -> dict[str, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -76,9 +78,9 @@ def normals(points: DataFrame, k: int = 30, min_neighbors: int = 5, orientation:
     return out.withColumn("verticality", 1 - F.abs(F.col("nz"))).drop("normal", "n")
 
 
-# Boxes of whole clusters: a small fit a cluster, in arrays.
+# Boxes of whole clusters: axes from what a cluster's plan or moments say, extents from grouped extremes.
 
-_BOX = "center array<double>, extent array<double>, rotation array<array<double>>, volume double"
+_PLAN = "plan array<struct<x:double,y:double>>"
 
 
 def _hull(p: np.ndarray) -> np.ndarray:
@@ -97,46 +99,75 @@ def _hull(p: np.ndarray) -> np.ndarray:
     return np.array(half(p) + half(p[::-1]))
 
 
-def _framed(p: np.ndarray, axes: np.ndarray) -> tuple:
-    if np.linalg.det(axes) < 0:
-        axes = axes * np.array([1, 1, -1.0])
-    q = p @ axes
-    low, high = q.min(0), q.max(0)
-    return axes @ ((low + high) / 2), high - low, axes
+def plan_direction(hull: np.ndarray) -> np.ndarray:
+    """The unit vector of that edge of a convex outline along which its rectangle has the least area; of equal ones that nearest to the x axis."""
+    edges = np.roll(hull, -1, axis=0) - hull if len(hull) > 1 else np.array([[1.0, 0.0]])
+    sides = edges / np.hypot(*edges.T)[:, None]
+    # A rectangle has four sides: each edge stands for the one of them that points right, or up if none does.
+    sides = np.where(np.abs(sides[:, :1]) >= np.abs(sides[:, 1:]), sides, sides @ np.array([[0.0, 1.0], [-1.0, 0.0]]))
+    sides *= np.where(sides[:, :1] < 0, -1.0, 1.0)
+    reach = lambda e: np.ptp(hull @ e.T, axis=0)
+    area = reach(sides) * reach(sides @ np.array([[0.0, 1.0], [-1.0, 0.0]]))
+    least = np.flatnonzero(area <= area.min() * (1 + 1e-9) + 1e-300)
+    return sides[least[np.argmax(sides[least, 0])]]
+
+
+def _plans(inside: DataFrame, by: str) -> DataFrame:
+    """by, cluster_id and the corners of each cluster's convex outline in plan: outlines of batches first, so no task holds a whole cluster's points."""
 
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            keys = t.group_by([by, "cluster_id"]).aggregate([("x", "list"), ("y", "list")])
+            hulls = [_hull(np.column_stack([x, y])) for x, y in zip(keys["x_list"].to_pylist(), keys["y_list"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({by: keys[by].combine_chunks(), "cluster_id": keys["cluster_id"].combine_chunks(), "plan": [[{"x": a, "y": b} for a, b in h.tolist()] for h in hulls]})
 
-def upright_axes(p: np.ndarray) -> np.ndarray:
-    """Axes with z up whose box around the points' plan has the least area: one side lies along an edge of the hull."""
-    hull = _hull(p[:, :2])
-    if len(hull) < 3:
-        c = np.cov(p[:, :2].T, bias=True) if len(p) > 1 else np.eye(2)
-        v = np.linalg.eigh(c)[1][:, -1]
-        angles = np.array([np.arctan2(v[1], v[0])])
+    keys = ", ".join(f"{c} {inside.schema[c].dataType.simpleString()}" for c in (by, "cluster_id"))
+    parts = inside.select(by, "cluster_id", "x", "y").mapInArrow(partial, f"{keys}, {_PLAN}")
+    return parts.groupBy(by, "cluster_id").agg(F.flatten(F.collect_list("plan")).alias("plan"))
+
+
+def _axes(inside: DataFrame, kind: str, by: str) -> DataFrame:
+    """by, cluster_id, rotation: the axes of each cluster's box as rows of numbers, right-handed."""
+    known = inside.groupBy(by, "cluster_id")
+    if kind == "upright":
+        given, column = _plans(inside, by), "plan"
     else:
-        d = np.roll(hull, -1, axis=0) - hull
-        angles = np.unique(np.round(np.mod(np.arctan2(d[:, 1], d[:, 0]), np.pi / 2), 12))
-    base = hull if len(hull) >= 3 else p[:, :2]
-    c, s = np.cos(angles), np.sin(angles)
-    along, across = base @ np.array([c, s]), base @ np.array([-s, c])
-    best = int(np.argmin(np.ptp(along, axis=0) * np.ptp(across, axis=0)))
-    return np.array([[c[best], -s[best], 0], [s[best], c[best], 0], [0, 0, 1.0]])
+        given, column = known.agg(F.count("*").alias("n"), *moments()), "n"
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if kind == "upright":
+                    c, s = plan_direction(_hull(np.array([(p["x"], p["y"]) for p in row["plan"]])))
+                    axes = np.array([[c, -s, 0], [s, c, 0], [0, 0, 1.0]])
+                elif row["n"] >= 3:
+                    m = [row[k] for k in MOMENTS]
+                    axes = np.linalg.eigh(np.array([[m[0], m[1], m[2]], [m[1], m[3], m[4]], [m[2], m[4], m[5]]]))[1][:, ::-1]
+                    axes = axes * np.array([1, 1, np.sign(np.linalg.det(axes))])
+                else:
+                    axes = np.eye(3)
+                out.append(axes.tolist())
+            yield pa.RecordBatch.from_arrays([b[by], b["cluster_id"], pa.array(out, pa.list_(pa.list_(pa.float64())))], names=[by, "cluster_id", "rotation"])
+
+    keys = ", ".join(f"{c} {inside.schema[c].dataType.simpleString()}" for c in (by, "cluster_id"))
+    return given.select(by, "cluster_id", column, *(MOMENTS if kind == "pca" else ())).mapInArrow(turned, f"{keys}, rotation array<array<double>>")
 
 
 def boxes(clustered: DataFrame, kind: str = "upright", by: str = "frame") -> DataFrame:
-    """A box of each cluster: ``axis`` aligned, ``upright`` of least area, or along the ``pca`` axes, the longest spread first."""
+    """A box of each cluster: ``axis`` aligned, ``upright`` of least area in plan, or along the ``pca`` axes, the longest spread first: center, extent, rotation, volume."""
     ship_package(clustered.sparkSession)
     inside = clustered.filter("cluster_id >= 0").select(by, "cluster_id", *XYZ)
-    schema = f"{by} {inside.schema[by].dataType.simpleString()}, cluster_id {inside.schema['cluster_id'].dataType.simpleString()}, {_BOX}"
-
-    def fit(table: pa.Table) -> pa.Table:
-        p = np.column_stack([np.asarray(table[c]) for c in XYZ])
-        if kind == "upright":
-            axes = upright_axes(p)
-        elif kind == "pca" and len(p) >= 3:
-            axes = np.linalg.eigh(np.cov(p.T, bias=True))[1][:, ::-1]
-        else:
-            axes = np.eye(3)
-        center, extent, axes = _framed(p, axes)
-        return pa.table({by: table[by][:1], "cluster_id": table["cluster_id"][:1], "center": [center.tolist()], "extent": [extent.tolist()], "rotation": [axes.tolist()], "volume": [float(extent.prod())]})
-
-    return inside.groupBy(by, "cluster_id").applyInArrow(fit, schema)
+    if kind == "axis":
+        unit_axes = F.array(*[F.array(*[F.lit(float(i == j)) for j in range(3)]) for i in range(3)])
+        placed = inside.withColumn("rotation", unit_axes)
+    else:
+        placed = inside.join(_axes(inside, kind, by), [by, "cluster_id"])
+    r = lambda i, j: F.col("rotation")[i][j]
+    along = [F.col("x") * r(0, j) + F.col("y") * r(1, j) + F.col("z") * r(2, j) for j in range(3)]
+    found = placed.groupBy(by, "cluster_id").agg(F.first("rotation").alias("rotation"), *[f(a).alias(f"{n}{j}") for j, a in enumerate(along) for n, f in (("lo", F.min), ("hi", F.max))])
+    middle = [(F.col(f"lo{j}") + F.col(f"hi{j}")) / 2 for j in range(3)]
+    extent = [F.col(f"hi{j}") - F.col(f"lo{j}") for j in range(3)]
+    center = F.array(*[r(i, 0) * middle[0] + r(i, 1) * middle[1] + r(i, 2) * middle[2] for i in range(3)])
+    return found.select(by, "cluster_id", center.alias("center"), F.array(*extent).alias("extent"), "rotation", (extent[0] * extent[1] * extent[2]).alias("volume"))

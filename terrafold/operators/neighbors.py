@@ -1,21 +1,24 @@
 """Neighbour search as equi-joins on grid cells.
 
 Space is cut into cells as wide as the radius: whoever lies within it is in the same
-cell or one of the 26 around it. For the k nearest the radius grows until
-every point has k within it; a point is settled once its k-th lies within the radius.
+cell or one of the 26 around it. For the k nearest the radius grows for those points that have
+not k within it yet; a point is settled once its k-th lies within the radius.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.functions.geometry import XYZ
+from terrafold.functions.geometry import XYZ, all_finite
 from terrafold.session import cut
 
 _AROUND = list(product((-1, 0, 1), repeat=3))
+#: Cell sizes that a first radius is chosen from, each half the one before.
+LEVELS = 16
 
 
 def _cells(df: DataFrame, size: float, prefix: str) -> DataFrame:
@@ -45,49 +48,90 @@ def radius_pairs(points: DataFrame, radius: float, key: str = "pid", by: tuple[s
     return pairs.select(*[F.col(f"q_{b}").alias(b) for b in by], F.col(f"q_{key}").alias("a"), F.col(f"p_{key}").alias("b"), F.sqrt("d2").alias("distance"))
 
 
+def _start(points: DataFrame, k: int, by: tuple[str, ...]) -> tuple[float, float] | None:
+    """Two radii: one that leads most points to about k others, and one that reaches across every frame; None of no points.
+
+    The first comes from how many points share a cell, averaged over points: a stray point adds one cell
+    with one point, so it moves nothing, and where points lie dense the cells are not overfull.
+    """
+    spans = points.groupBy(*by).agg(*[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).agg(*[F.max(c).alias(c) for c in XYZ]).first()
+    if spans is None or spans["x"] is None:
+        return None
+    reach = max(1e-9, sum(spans[c] * spans[c] for c in XYZ) ** 0.5 * 1.001)
+    sizes = F.explode(F.array(*[F.lit(reach / 2**j) for j in range(1, LEVELS)])).alias("size")
+    cells = points.select(*by, *XYZ, sizes).groupBy("size", *by, *[F.floor(F.col(c) / F.col("size")).alias(f"c{c}") for c in XYZ]).agg(F.count("*").cast("double").alias("n"))
+    shared = {r["size"]: r["n"] for r in cells.groupBy("size").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n")).collect()}  # LEVELS rows
+    radius, above, want = reach, None, 0.5 * (k + 1)
+    for size, n in sorted(shared.items(), reverse=True):
+        if n <= want:
+            # Between two sizes the number grows as a power of the size.
+            part = 0.0 if above is None or above[1] <= n else math.log(want / n) / math.log(above[1] / n)
+            return size * 2**part, reach
+        radius, above = size, (size, n)
+    return radius, reach
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, key: str = "pid", by: tuple[str, ...] = ("frame",), include_self: bool = True, point_filter: Column | None = None) -> DataFrame:
     """q, p, rank (from 1), distance: the k nearest points of each query in its own frame, ties to the smaller id; all, where a frame has fewer.
 
-    Starts from the radius that holds k points at the mean density of a frame's
-    box, and doubles it for those not yet settled.
+    Rows without finite coordinates have no neighbours and are nobody's. The radius
+    starts small and grows only for queries that lack neighbours, so what a query is
+    held against stays near k wherever it lies.
     """
-    q, p = queries.select(key, *by, *XYZ), points.select(key, *by, *XYZ)
-    spans = p.groupBy(*by).agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"s{c}") for c in XYZ])
-    frames = spans.agg(F.max("n").alias("n"), *[F.max(f"s{c}").alias(f"s{c}") for c in XYZ]).first()
-    if not frames or frames["n"] is None:
+    q, p = (df.select(key, *by, *XYZ).filter(all_finite()) for df in (queries, points if point_filter is None else points.filter(point_filter)))
+    radii = _start(p, k, by)
+    if radii is None:
         return q.join(p.select(F.col(key).alias("p")), F.lit(False)).select(F.col(key).alias("q"), "p", F.lit(1).alias("rank"), F.lit(0.0).alias("distance"))
-    sides = [max(frames[f"s{c}"], 1e-6) for c in XYZ]
-    reach = sum(s * s for s in sides) ** 0.5 * 1.001 + 1e-9
-    radius = min(reach, 1.5 * (sides[0] * sides[1] * sides[2] * (k + 1) / frames["n"]) ** (1 / 3))
-    w = Window.partitionBy("q_" + key).orderBy("d2", "p_" + key)
-    found, todo = None, q
+    radius, reach = radii
+    reach = max(reach, _apart(q, p, reach, by))
+    own = F.col(f"q_{key}") == F.col(f"p_{key}")
+    ahead = Window.partitionBy("q_" + key).orderBy("d2", "p_" + key)
+    sizes = p.groupBy(*by).agg(F.count("*").alias("__n"))
+    todo, left, found, factor = q.join(sizes, list(by)), None, None, 2
     while True:
         pairs = radius_join(todo, p, radius, by)
+        need = F.least(F.lit(k), F.col("q___n") - (0 if include_self else F.max(own.cast("int")).over(Window.partitionBy("q_" + key))))
+        pairs = pairs.select(f"q_{key}", f"p_{key}", "d2", need.alias("need"))
         if not include_self:
-            pairs = pairs.filter(F.col(f"q_{key}") != F.col(f"p_{key}"))
-        best = pairs.select(F.col(f"q_{key}"), F.col(f"p_{key}"), "d2").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        if radius >= reach:
-            settled, more = best, None
-        else:
+            pairs = pairs.filter(~own)
+        best = pairs.withColumn("rank", F.row_number().over(ahead)).filter(F.col("rank") <= k)
+        if radius < reach:
             best = cut(best)
-            done = best.filter(F.col("rank") == k).select(F.col(f"q_{key}").alias(key))
+            done = best.filter(F.col("rank") == F.col("need")).select(F.col(f"q_{key}").alias(key))
             settled = best.join(done, best[f"q_{key}"] == done[key], "left_semi")
-            more = cut(todo.join(done, key, "left_anti"))
+        else:
+            settled = best
         settled = settled.select(F.col(f"q_{key}").alias("q"), F.col(f"p_{key}").alias("p"), "rank", F.sqrt("d2").alias("distance"))
         found = settled if found is None else found.unionByName(settled)
-        if more is None or more.isEmpty():
+        if radius >= reach:
+            return found
+        left = (todo.count() if left is None else left) - done.count()
+        if left <= 0:
             return found
-        todo, radius = more, min(reach, radius * 2)
+        todo, radius, factor = cut(todo.join(done, key, "left_anti")), min(reach, radius * factor), 4
+
+
+def _apart(q: DataFrame, p: DataFrame, reach: float, by: tuple[str, ...]) -> float:
+    """A radius that leads any query to any point of its frame, for queries that are not points themselves."""
+    if q.sameSemantics(p):
+        return reach
+    both = q.select(*by, *XYZ).unionByName(p.select(*by, *XYZ)).groupBy(*by).agg(*[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).agg(*[F.max(c).alias(c) for c in XYZ]).first()
+    return sum((both[c] or 0.0) ** 2 for c in XYZ) ** 0.5 * 1.001
 
 
 def statistical_outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, key: str = "pid", by: str = "frame") -> DataFrame:
-    """All points with ``mean_distance`` to their k nearest others and ``kept``: not above mean + ratio * population deviation over the frame."""
+    """All points with ``mean_distance`` to their k nearest others and ``kept``: not above mean + ratio * population deviation over the frame.
+
+    A frame of k finite points or fewer keeps them all; points that are not finite have no mean and are not kept.
+    """
     near = knn(points, points, k, key, (by,), include_self=False)
     mean = near.groupBy("q").agg(F.avg("distance").alias("mean_distance"))
-    w = Window.partitionBy(by)
-    out = points.join(mean, points[key] == mean["q"], "left").drop("q").withColumn("__n", F.count("*").over(w))
-    limit = F.avg("mean_distance").over(w) + ratio * F.stddev_pop("mean_distance").over(w)
-    return out.withColumn("kept", (F.col("__n") <= k) | F.coalesce(F.col("mean_distance") <= limit, F.lit(True))).drop("__n")
+    out = points.join(mean, points[key] == mean["q"], "left").drop("q")
+    # Figures a frame are an aggregate joined back, so a frame is not sorted in one task.
+    frames = out.groupBy(by).agg(F.count_if(all_finite()).alias("__n"), F.avg("mean_distance").alias("__m"), F.stddev_pop("mean_distance").alias("__s"))
+    out = out.join(frames, by)
+    within = (F.col("__n") <= k) | F.coalesce(F.col("mean_distance") <= F.col("__m") + ratio * F.col("__s"), F.lit(True))
+    return out.withColumn("kept", all_finite() & within).drop("__n", "__m", "__s")
 
 
 def radius_outliers(points: DataFrame, radius: float = 0.2, min_points: int = 5, key: str = "pid", by: str = "frame") -> DataFrame:

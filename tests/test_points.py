@@ -292,3 +292,46 @@ def test_bags(spark, tmp_path):
     assert cloud.header_stamp(b"\0\0\0\0" + struct.pack(">iI", 7, 8)) == (7, 8)
     with pytest.raises(FileNotFoundError):
         bag.find_bags(str(tmp_path / "none"))
+
+
+def test_neighbours_of_strays_and_points_that_are_not_finite(spark):
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.uniform(-1, 1, (300, 3)), [[5e5, 0, 0]], [[NAN, 0, 0]], [[0, math.inf, 0]]])
+    p = frame(spark, x.tolist()).withColumn("frame", (F.col("pid") % 2).cast("long"))
+    got = {}
+    for r in neighbors.knn(p, p, 3).collect():
+        got.setdefault(r.q, []).append((r["rank"], r.p))
+    assert set(got) == set(range(301))
+    for i in range(301):
+        same = [j for j in range(i % 2, 301, 2)]
+        d = ((x[same] - x[i]) ** 2).sum(1)
+        assert [p for _, p in sorted(got[i])] == [same[j] for j in np.argsort(d, kind="stable")[:3]]
+    few = frame(spark, [(0, 0, 0), (1, 1, 1), (NAN, 1, 1)])
+    assert sorted((r.q, r.p) for r in neighbors.knn(few, few, 20, include_self=False).collect()) == [(0, 1), (1, 0)]
+    assert [r.pid for r in neighbors.statistical_outliers(few, 20).filter("NOT kept").collect()] == [2]
+    far = frame(spark, [(100, 0, 0)])
+    assert [r.p for r in neighbors.knn(far, few, 1).collect()] == [1]
+
+
+def test_axes_of_lines_and_balls(spark):
+    line = {"xx": 4.0, "xy": 2.0, "xz": 0.0, "yy": 1.0, "yz": 0.0, "zz": 0.0}
+    rows = [tuple(line.values()), (1.0, 0.0, 0.0, 1.0, 0.0, 1.0), (0.0,) * 6, (2.0, 0.0, 0.0, 3.0, 0.0, 1.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"{m} double" for m in line))
+    got = {r.i: r.normal for r in g.with_eigen(df, {m: F.col(m) for m in line}).collect()}
+    along = np.array([2.0, 1, 0]) / math.sqrt(5)
+    assert abs(np.dot(got[0], along)) < 1e-6 and abs(np.linalg.norm(got[0]) - 1) < 1e-9
+    assert got[1] == [0, 0, 1] and got[2] is None and np.allclose(np.abs(got[3]), [0, 0, 1])
+
+
+def test_fits_do_not_depend_on_order_and_count_their_draws(spark):
+    s = scene(spark, np.random.default_rng(12), n=600)
+    a, b = (planes.planes(x, max_iterations=100).first() for x in (s, s.orderBy(F.desc("z")).repartition(5)))
+    assert np.allclose(list(a)[1:7], list(b)[1:7]) and a.status == "ok" and 1 <= a.iterations <= 100 and a.iterations == b.iterations
+    noise = frame(spark, np.random.default_rng(13).uniform(-5, 5, (400, 3)).tolist())
+    assert planes.planes(noise, max_iterations=100, min_inliers=3).first().iterations == 100
+
+
+def test_upright_box_of_a_turned_plan_is_exact():
+    square = np.array([(0, 0), (2, 1), (1, 3), (-1, 2)], float)
+    assert np.allclose(clusters.plan_direction(square), np.array([2, 1]) / math.sqrt(5))
+    assert clusters.plan_direction(np.array([[1.0, 1.0]])).tolist() == [1, 0] and np.allclose(clusters.plan_direction(np.array([[0.0, 0], [0, 3]])), [1, 0])
