@@ -1,36 +1,38 @@
 """Near-duplicate documents by SimHash and a Gray-order hierarchical index.
 
-Two fingerprints that differ in DISTANCE bits or fewer agree wholly in all but
-DISTANCE of the bands that 64 bits are cut into. So every choice of the
-remaining bands is a key that leads each pair at least once into one key group. In a
-group fingerprints are sorted by Gray rank, which puts codes with few changes side
-by side; runs of them become leaves, runs of leaves upper nodes, each with the
-bits that all below it share. Two nodes whose shared bits already differ too
-often are left at once, with all below; two whose bits can differ too little are
-linked at once. A group gives the edges of a spanning forest, not all its pairs.
+The index cuts 64 bits into one block more than the bits that may differ. Of two
+linked fingerprints one turn of the blocks exists in which, block after block from its first, the
+differences never run ahead of their even share: none in the first block, one at most in the first two,
+and so on. So each fingerprint is stored once for every turn, in Gray order, ranges of which are the
+partitions; equal first blocks lie in one range. In a range runs of codes are leaves, runs of leaves upper nodes,
+each with the bits that all below it share. Two nodes whose shared bits run ahead of that share are left at once, with
+all below; two whose bits can differ too little are linked at once. A range gives the edges of a spanning forest, not all its pairs.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from terrafold.llm.arrow_map import map_texts
+from terrafold.llm.hot_keys import join_split
 from terrafold.operators.components import connected_components
-from terrafold.session import cut
+from terrafold.session import cut, ship_package
 
 #: Words of a shingle, the hash seed, and the bits in which linked fingerprints may differ.
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Codes in a leaf, and nodes below an upper node.
-LEAF, FANOUT = 64, 16
-#: Rows that one task call indexes, about; a key group with more is read in pairs of blocks of as many.
-BUCKET_ROWS = 50_000
+FANOUT = 8
+#: Node pairs that are looked at together.
+PAIRS_AT_ONCE = 4096
+#: Rows of a range, about, that one task call indexes.
+RANGE_ROWS = 50_000
+#: Bytes of a long text that are hashed together.
+TEXT_BYTES = 4 << 20
 
 
 def fingerprint(text: str) -> int:
@@ -38,15 +40,20 @@ def fingerprint(text: str) -> int:
     words = text.encode().lower().split()
     if not words:
         return 0
-    joined, k = b" ".join(words), min(SHINGLE, len(words))
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[: len(words) - k]])
+    k = min(SHINGLE, len(words))
+    total, ones, at = len(words) - k + 1, np.zeros(64, np.int64), 0
     digest = xxhash.xxh64_intdigest
-    codes = np.array([digest(joined[a:z], SEED) for a, z in zip(starts.tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for a in range(0, len(codes), 65_536):
-        ones += np.unpackbits(codes[a : a + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(codes)).view(">i8")[0])
+    while at < total:
+        # A long text is hashed in runs of shingles, so that little more than the text is held.
+        some = words[at : at + TEXT_BYTES // 8 + k - 1]
+        joined = b" ".join(some)
+        ends = np.cumsum([len(w) + 1 for w in some])
+        starts = np.concatenate([[0], ends[: len(some) - k]])
+        codes = np.array([digest(joined[a:z], SEED) for a, z in zip(starts.tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)], np.uint64)
+        for a in range(0, len(codes), 65_536):
+            ones += np.unpackbits(codes[a : a + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        at += len(codes)
+    return int(np.packbits(2 * ones > total).view(">i8")[0])
 
 
 def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -54,17 +61,17 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     return map_texts(df, text, list(keep), StructType([StructField("fp", LongType())]), lambda: lambda texts: [[fingerprint(t or "") for t in texts]])
 
 
-def band_masks(bands: int) -> list[int]:
-    """Masks of every choice of ``bands - DISTANCE`` of the bands, as signed longs."""
-    edges = [round(i * 64 / bands) for i in range(bands + 1)]
-    whole = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(bands)]
-    masks = [sum(c) for c in combinations(whole, bands - DISTANCE)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def block_edges(distance: int) -> list[int]:
+    """Where the blocks begin and end, in bits from the top: one block more than bits that may differ."""
+    return [round(i * 64 / (distance + 1)) for i in range(distance + 2)]
 
 
-def bands_for(n: int) -> int:
-    """Enough bands that a key group of evenly spread fingerprints stays small."""
-    return 6 if n < 1 << 25 else 7 if n < 1 << 31 else 8
+def shares(turn: int, distance: int) -> list[tuple[np.uint64, int]]:
+    """Of codes turned so that block ``turn`` comes first: the mask of the first 1, 2, ... blocks, and the differences that linked codes have there at most."""
+    edges, b = block_edges(distance), distance + 1
+    widths = [edges[(turn + j) % b + 1] - edges[(turn + j) % b] for j in range(b)]
+    ends = np.cumsum(widths).tolist()
+    return [(np.uint64(((1 << e) - 1) << (64 - e)), j * distance // b) for j, e in enumerate(ends, 1)]
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -76,7 +83,7 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class _Forest:
-    """Spanning edges among the rows of one call."""
+    """Spanning edges among the rows of one call, each a pair that was linked itself."""
 
     def __init__(self, n: int):
         self.top = np.arange(n)
@@ -92,98 +99,103 @@ class _Forest:
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         while (self.top != (up := self.top[self.top])).any():
             self.top = up
-        a, b = self.top[a], self.top[b]
-        for i, j in np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)])[a != b], axis=0).tolist():
+        x, y = self.top[a], self.top[b]
+        _, first = np.unique(np.minimum(x, y) * len(self.top) + np.maximum(x, y), return_index=True)
+        for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True):
             if (x := self.root(i)) != (y := self.root(j)):
                 self.top[max(x, y)] = min(x, y)
-                self.edges.append((x, y))
+                self.edges.append((i, j))
 
 
-def link_group(codes: np.ndarray, at: int, forest: _Forest) -> None:
-    """Links all codes of one key group, in Gray order, through the hierarchy; ``at``: the row of the first."""
-    n = len(codes)
-    levels = [(codes, codes)]  # by level, from single codes: all bits set in every code below a node, and in any
-    starts = [np.arange(n)]
-    width = LEAF
+def build(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By level, from single codes in Gray order to the few nodes on top: the bits set in every code below a node, and in any."""
+    levels = [(codes, codes)]
     while len(levels) == 1 or len(levels[-1][0]) > FANOUT:
-        low, high = levels[-1]
-        step = np.arange(0, len(low), width)
-        levels.append((np.bitwise_and.reduceat(low, step), np.bitwise_or.reduceat(high, step)))
-        starts.append(starts[-1][step])
-        width = FANOUT
-    top = len(levels) - 1
-    a, b = np.triu_indices(len(levels[top][0]))
-    todo = [(top, a, b)]
+        step = np.arange(0, len(levels[-1][0]), FANOUT)
+        levels.append((np.bitwise_and.reduceat(levels[-1][0], step), np.bitwise_or.reduceat(levels[-1][1], step)))
+    return levels
+
+
+def link_codes(codes: np.ndarray, limits: list[tuple[np.uint64, int]], distance: int = DISTANCE) -> list[tuple[int, int]]:
+    """Pairs (i, j) of places that span all links among ``codes``, distinct and in Gray order, which keep within ``limits``: see ``shares``."""
+    n = len(codes)
+    forest, levels = _Forest(n), build(codes) if n else []
+    a, b = np.triu_indices(len(levels[-1][0])) if n else (np.zeros(0, int),) * 2
+    todo = [(len(levels) - 1, a, b)]
     while todo:
         level, a, b = todo.pop()
-        if len(a) > 4096:
-            todo += [(level, a[i : i + 4096], b[i : i + 4096]) for i in range(0, len(a), 4096)]
+        if len(a) > PAIRS_AT_ONCE:
+            todo += [(level, a[i : i + PAIRS_AT_ONCE], b[i : i + PAIRS_AT_ONCE]) for i in range(0, len(a), PAIRS_AT_ONCE)]
             continue
         every, some = levels[level]
-        both, any_ = every[a] & every[b], some[a] | some[b]
-        apart = np.bitwise_count((every[a] & ~some[b]) | (every[b] & ~some[a]))  # bits shared on either side, and different
-        open_ = apart <= DISTANCE
-        sure = np.bitwise_count(any_ & ~both) <= DISTANCE  # bits in which any two below can differ
-        ends = np.append(starts[level][1:], n)
-        if level:
-            for i, j in zip(a[sure].tolist(), b[sure].tolist(), strict=True):
-                rows = np.concatenate([np.arange(starts[level][x], ends[x]) for x in {i, j}])
-                forest.link(at + rows, np.full(len(rows), at + starts[level][i]))
-            a, b = a[open_ & ~sure], b[open_ & ~sure]
-            below = LEAF if level == 1 else FANOUT
-            size, most = len(levels[level - 1][0]), 200_000 // (below * below) + 1
-            for k in range(0, len(a), most):
-                x = (a[k : k + most, None] * below + np.arange(below))[:, :, None].repeat(below, 2)
-                y = (b[k : k + most, None] * below + np.arange(below))[:, None, :].repeat(below, 1)
-                good = (x < size) & (y < size) & (x <= y if level > 1 else x < y)
-                if level > 1:
-                    todo.append((level - 1, x[good], y[good]))
-                else:
-                    x, y = x[good], y[good]
-                    near = np.bitwise_count(codes[x] ^ codes[y]) <= DISTANCE
-                    forest.link(at + x[near], at + y[near])
-
-
-def link_rows(group: np.ndarray, codes: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Edges (node, node) that join all rows of equal ``group`` linked through codes DISTANCE bits apart or fewer."""
-    order = np.lexsort((gray_rank(codes), group))
-    group, codes, nodes = group[order], codes[order], nodes[order]
-    forest = _Forest(len(codes))
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    size = np.diff(np.append(first, len(group)))
-    small = np.repeat(size <= LEAF, size)
-    for s in range(1, LEAF):  # groups of one leaf, all at once
-        i = np.flatnonzero(small[:-s] & (group[s:] == group[:-s])) if s < len(group) else np.zeros(0, int)
-        if not i.size:
-            break
-        near = i[np.bitwise_count(codes[i] ^ codes[i + s]) <= DISTANCE]
-        forest.link(near, near + s)
-    for f, n in zip(first[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
-        link_group(codes[f : f + n], f, forest)
-    return nodes[np.array(forest.edges, np.int64).reshape(-1, 2)]
-
-
-def links(points: DataFrame) -> DataFrame:
-    """Edges (src, dst) between the ``node`` values of a table (fp, node) of distinct fingerprints, enough to connect all that are linked."""
-    n = points.count()
-    masks = band_masks(bands_for(n))
-    keyed = points.select("fp", "node", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("k")).select("fp", "node", F.xxhash64("k.choice", "k.key").alias("key"))
-    hot = keyed.groupBy("key").count().filter(F.col("count") > BUCKET_ROWS)
-    hot = cut(hot.select("key", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("blocks")))
-    if hot.isEmpty():
-        dealt = keyed.select("fp", "node", F.col("key").alias("group"))
+        for mask, most in limits:
+            apart = (every[a] & ~some[b]) | (every[b] & ~some[a])  # bits shared on either side, and different
+            near = np.bitwise_count(apart & mask) <= most
+            a, b = a[near], b[near]
+        if not level:
+            forest.link(a, b)
+            continue
+        loose = (some[a] | some[b]) & ~(every[a] & every[b])  # bits in which any two below can differ
+        sure = np.bitwise_count(loose) <= distance
+        width = FANOUT**level
+        for i, j in zip(a[sure].tolist(), b[sure].tolist(), strict=True):
+            rows = np.concatenate([np.arange(x * width, min(n, (x + 1) * width)) for x in {i, j}])
+            forest.link(rows[1:], np.full(len(rows) - 1, rows[0]))
+        a, b = a[~sure], b[~sure]
+        size = len(levels[level - 1][0])
+        x = (a[:, None] * FANOUT + np.arange(FANOUT))[:, :, None].repeat(FANOUT, 2)
+        y = (b[:, None] * FANOUT + np.arange(FANOUT))[:, None, :].repeat(FANOUT, 1)
+        good = (x < size) & (y < size) & (x <= y if level > 1 else x < y)
+        todo.append((level - 1, x[good], y[good]))
+    return forest.edges
+
+
+def _turned(fp: Column, by: int) -> Column:
+    """The bits of a long moved up by so many places, those that leave coming in below."""
+    return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by))
+
+
+def links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Edges (src, dst) between the ``node`` values of a table (lane, fp, node): pairs of fingerprints of one lane within the distance, enough to connect all that are.
+
+    The fingerprints of a lane are distinct. A first block with more than RANGE_ROWS codes is dealt by its second one: a code then goes to its own
+    second block and to those that lack one of its bits, so that two which differ in one bit there meet once.
+    """
+    ship_package(points.sparkSession)
+    edges, b = block_edges(distance), distance + 1
+    width = [edges[t + 1] - edges[t] for t in range(b)]
+    turns = F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), _turned(F.col("fp"), edges[t]).alias("code")) for t in range(b)])).alias("t")
+    rows = points.select("lane", "node", turns).select("lane", "node", "t.turn", "t.code")
+    of_turn = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("turn") + 1)
+    rows = rows.withColumn("first", F.expr(f"shiftrightunsigned(code, 64 - element_at(array({', '.join(map(str, width))}), turn + 1))"))
+    # Ranges of first blocks in Gray order: as many rows as blocks, turns and lanes have values, at any size of the table.
+    sizes = cut(rows.groupBy("lane", "turn", "first").agg(F.count("*").alias("n")))
+    gray = F.col("first")
+    for s in (1, 2, 4, 8):
+        gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, s))
+    before = F.sum(F.when(F.col("n") <= RANGE_ROWS, F.col("n")).otherwise(0)).over(Window.partitionBy("lane", "turn").orderBy("gray"))
+    ranges = sizes.withColumn("gray", gray).select("lane", "turn", "first", F.floor(before / RANGE_ROWS).cast("long").alias("range"), F.when(F.col("n") > RANGE_ROWS, F.ceil(F.col("n") * 8 / RANGE_ROWS)).alias("parts"))
+    placed = rows.join(F.broadcast(ranges), ["lane", "turn", "first"])
+    if sizes.filter(F.col("n") > RANGE_ROWS).isEmpty():
+        dealt = placed.select("lane", "turn", "range", "code", "node")
     else:
-        # Each block of a large group meets each other block: a row goes into all pairs that its block is part of.
-        wide = keyed.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("int"))
-        wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        dealt = wide.select("fp", "node", F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("group"))
-    buckets = max(1, -(-n * len(masks) // BUCKET_ROWS))
+        second = F.expr(f"shiftrightunsigned(code, 64 - element_at(array({', '.join(str(width[t] + width[(t + 1) % b]) for t in range(b))}), turn + 1))")
+        w2 = of_turn([width[(t + 1) % b] for t in range(b)])
+        bit = lambda i: F.lit(1).cast("long") * F.pow(F.lit(2.0), i).cast("long")
+        lacking = F.filter(F.sequence(F.lit(0), w2 - 1), lambda i: F.col("second").bitwiseAND(bit(i)) != 0)
+        meets = F.concat(F.array("second"), F.transform(lacking, lambda i: F.col("second") - bit(i)))
+        many = placed.filter("parts IS NOT NULL").withColumn("second", second).withColumn("target", F.explode(meets))
+        many = many.select("lane", "turn", (-1 - F.pmod(F.xxhash64("target"), F.col("parts"))).cast("long").alias("range"), "code", "node").distinct()
+        dealt = placed.filter("parts IS NULL").select("lane", "turn", "range", "code", "node").unionByName(many)
 
     def linked(table: pa.Table) -> pa.Table:
-        edges = link_rows(np.asarray(table["group"]), np.asarray(table["fp"]).view(np.uint64), np.asarray(table["node"]))
-        return pa.table({"src": pa.array(edges[:, 0], pa.int64()), "dst": pa.array(edges[:, 1], pa.int64())})
+        codes, nodes = np.asarray(table["code"]).view(np.uint64), np.asarray(table["node"])
+        order = np.argsort(gray_rank(codes), kind="stable")
+        found = np.array(link_codes(codes[order], shares(table["turn"][0].as_py(), distance), distance), np.int64).reshape(-1, 2)
+        nodes = nodes[order]
+        return pa.table({"src": pa.array(nodes[found[:, 0]], pa.int64()), "dst": pa.array(nodes[found[:, 1]], pa.int64())})
 
-    return dealt.groupBy(F.pmod(F.col("group"), F.lit(buckets))).applyInArrow(linked, "src long, dst long").distinct()
+    return dealt.groupBy("lane", "turn", "range").applyInArrow(linked, "src long, dst long")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -191,17 +203,20 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
     Documents without words, null texts too, have fingerprint 0 and are linked
     like any other. Rows that repeat are linked to each other; an id that stands
-    for several texts joins their groups. A null id has the component of the
-    documents with its fingerprint, null if they have no ids either. An empty table
+    for several texts joins their groups. A row without id is linked and links like others; a component has the least
+    of the ids that it has, null if it has none. An empty table
     gives an empty result; other columns take no part.
     """
     given = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     marked = cut(fingerprints(given))
-    points = cut(marked.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
+    points = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
     # An id that has several texts ties their fingerprints together.
-    ties = marked.filter("doc_id IS NOT NULL").join(points, "fp").filter("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
-    several = marked.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select(F.col("doc_id").alias("src"))
-    edges = links(points).unionByName(ties.join(several, "src", "left_semi"))
-    found = connected_components(edges)
-    groups = points.join(found, points["node"] == found["node"], "left").select("fp", F.coalesce(found["component"], points["node"]).alias("component_id"))
-    return marked.join(groups, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    held = marked.filter("doc_id IS NOT NULL").select("doc_id", "fp").distinct()
+    several = held.groupBy("doc_id").agg(F.min("fp").alias("dst"), F.max("fp").alias("most")).filter("dst <> most").select("doc_id", "dst")
+    ties = held.join(several, "doc_id").filter("fp <> dst").select(F.col("fp").alias("src"), "dst")
+    found = connected_components(links(points.select(F.lit(0).alias("lane"), "fp", F.col("fp").alias("node"))).unionByName(ties))
+    placed = points.join(found, points["fp"] == found["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    groups = placed.select("fp", "component").join(least, "component").select("fp", "component_id")
+    out = join_split(marked, groups, "fp", points.select("fp", "n"), points.agg(F.sum("n")).first()[0] or 0)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -80,32 +80,67 @@ def plain_components(fps):
     return {i: root(i) for i in ids}
 
 
-def test_link_rows_links_all_near_codes():
+def spread(distance, n=500):
+    """Codes far apart, codes near them, and many around one."""
     rng = np.random.default_rng(5)
-    codes = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    codes = rng.integers(0, 1 << 63, n).astype(np.uint64)
     flip = lambda c, n: np.bitwise_xor.reduce([c] + [np.uint64(1 << int(b)) for b in rng.choice(64, n, replace=False)])
-    near = [flip(c, k % 7) for k, c in enumerate(codes)]
-    ball = [flip(codes[0], 3) for _ in range(600)]
-    every = np.unique(np.array([*codes, *near, *ball], np.uint64))
-    edges = simhash_index.link_rows(np.zeros(len(every), np.int64), every, np.arange(len(every)))
-    assert all(np.bitwise_count(every[a] ^ every[b]) <= 64 for a, b in edges.tolist())
-    top = list(range(len(every)))
+    near = [flip(c, k % (distance + 3)) for k, c in enumerate(codes)]
+    ball = [flip(codes[0], distance - 1) for _ in range(600)]
+    return np.unique(np.array([*codes, *near, *ball], np.uint64))
+
+
+def joined(n, edges):
+    top = list(range(n))
 
     def root(i):
         while top[i] != i:
             i = top[i]
         return i
 
-    for a, b in edges.tolist():
+    for a, b in edges:
         a, b = root(a), root(b)
         top[max(a, b)] = min(a, b)
-    expected = plain_components(list(enumerate(every.tolist())))
-    assert {i: root(i) for i in range(len(every))} == expected
-
-
-@pytest.mark.parametrize("bucket", [50_000, 40])
-def test_near_duplicates_match_plain(spark, monkeypatch, bucket):
-    monkeypatch.setattr(simhash_index, "BUCKET_ROWS", bucket)
+    return [root(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("distance", [4, 8])
+def test_the_gray_order_index_links_all_near_codes(distance):
+    every = spread(distance)
+    edges = []
+    for turn in range(distance + 1):
+        by = np.uint64(simhash_index.block_edges(distance)[turn])
+        codes = every if not turn else (every << by) | (every >> (np.uint64(64) - by))
+        order = np.argsort(simhash_index.gray_rank(codes), kind="stable")
+        found = simhash_index.link_codes(codes[order], simhash_index.shares(turn, distance), distance)
+        edges += [(int(order[a]), int(order[b])) for a, b in found]
+    assert all(np.bitwise_count(every[a] ^ every[b]) <= distance for a, b in edges)
+    d = np.bitwise_count(every[:, None] ^ every[None]) <= distance
+    assert joined(len(every), edges) == joined(len(every), np.argwhere(np.triu(d, 1)).tolist())
+
+
+def test_upper_nodes_prune_whole_groups(monkeypatch):
+    codes = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64))
+    codes = codes[np.argsort(simhash_index.gray_rank(codes), kind="stable")]
+    looked = []
+    count = np.bitwise_count
+    monkeypatch.setattr(simhash_index.np, "bitwise_count", lambda x: looked.append(x.size) or count(x))
+    simhash_index.link_codes(codes, simhash_index.shares(0, 4))
+    assert sum(looked) < 0.02 * len(codes) ** 2 / 2
+
+
+@pytest.mark.parametrize("rows", [50_000, 8])
+def test_links_are_whole_where_first_blocks_are_split(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash_index, "RANGE_ROWS", rows)
+    every = spread(4, 200)
+    df = spark.createDataFrame([(0, int(c), i) for i, c in enumerate(every.view(np.int64))], "lane int, fp long, node long")
+    edges = [(r.src, r.dst) for r in simhash_index.links(df).collect()]
+    d = np.bitwise_count(every[:, None] ^ every[None]) <= 4
+    assert all(d[a, b] for a, b in edges)
+    assert joined(len(every), edges) == joined(len(every), np.argwhere(np.triu(d, 1)).tolist())
+
+
+def test_near_duplicates_match_plain(spark):
     rnd = random.Random(2)
     vocabulary = [f"w{i}" for i in range(400)]
     base = [[rnd.choice(vocabulary) for _ in range(rnd.randint(1, 300))] for _ in range(60)]
@@ -119,13 +154,28 @@ def test_near_duplicates_match_plain(spark, monkeypatch, bucket):
     texts += [texts[0]] * 80 + [None, "", " \n", "one", "One", "a b c d e " * 9000]
     rows = [(i, t) for i, t in enumerate(texts)]
     rnd.shuffle(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS node")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS node", "3 AS lane")
     got = {r.doc_id: r for r in simhash_index.near_duplicates(df).collect()}
     fps = [(i, plain_fingerprint(t)) for i, t in sorted(rows)]
     assert {i: r.fingerprint for i, r in got.items()} == {i: f"{x:016x}" for i, x in fps}
     assert {i: r.component_id for i, r in got.items()} == plain_components(fps)
 
 
+def test_long_texts_are_hashed_in_runs(monkeypatch):
+    text = " ".join(f"w{i % 97}" for i in range(5000))
+    whole = simhash_index.fingerprint(text)
+    monkeypatch.setattr(simhash_index, "TEXT_BYTES", 800)
+    assert simhash_index.fingerprint(text) == whole == int(np.uint64(plain_fingerprint(text)).view(np.int64))
+
+
+def test_rows_without_id_are_linked_and_link(spark, monkeypatch):
+    at = {"a": 0, "b": 0b11, "c": 0b1111, "d": 0b1111111, "far": -1, "away": -1 ^ 0b1}
+    monkeypatch.setattr(simhash_index, "fingerprints", lambda df: df.select("doc_id", F.create_map(*[F.lit(x) for kv in at.items() for x in kv])[F.col("text")].cast("long").alias("fp")))
+    rows = [(1, "a"), (None, "c"), (9, "d"), (None, "far"), (None, "away"), (4, "b")]
+    got = simhash_index.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted([("1", "1"), ("None", "1"), ("9", "1"), ("4", "1"), ("None", "None"), ("None", "None")])
+
+
 def test_near_duplicates_of_odd_ids(spark):
     rows = [(5, "same words here now and then"), (5, "same words here now and then"), (None, "same words here now and then"), (9, "other text of its own kind"), (5, "other text of its own kind"), (None, "alone in all the world")]
     got = simhash_index.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
