@@ -18,9 +18,17 @@ def similarity(a, b):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("all_pairs", [12, 2])
-def test_stage_leaves_no_pair_of_eight_tenths(spark, monkeypatch, all_pairs):
-    monkeypatch.setattr(near_copies, "ALL_PAIRS", all_pairs)
+def test_prints_count_bits_alike_for_few_and_many():
+    some = {(f"w{i}".encode(),) for i in range(700)}
+    whole = near_copies.prints(some)
+    near_copies_codes, near_copies.CODES = near_copies.CODES, 100
+    try:
+        assert near_copies.prints(some) == whole and len(set(whole)) == near_copies.LANES and near_copies.prints(set()) == [0] * near_copies.LANES
+    finally:
+        near_copies.CODES = near_copies_codes
+
+
+def test_stage_leaves_no_pair_of_eight_tenths(spark):
     rnd = random.Random(3)
     texts = []
     for _ in range(80):
@@ -48,6 +56,7 @@ def test_stage_leaves_no_pair_of_eight_tenths(spark, monkeypatch, all_pairs):
     first = {root(i) for i in range(len(texts))}
     assert len(near) > 500 and first <= kept
     assert sum(i in kept and j in kept for i, j in near) <= 0.01 * len(near)
+    assert len(kept) <= 1.02 * len(first)
 
 
 def test_stage_goes_by_text_not_id(spark):

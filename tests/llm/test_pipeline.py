@@ -11,7 +11,7 @@ pipeline = pytest.importorskip("corpus_pipeline")
 def test_pipeline_matches_plain_stages(spark):
     import sentencepiece
 
-    from tests.llm.test_records import plain_components, plain_fingerprint
+    from tests.llm.test_near_copies import plain_shingles, similarity
     from terrafold.llm import language_id, mixing, pii_surrogates, sentencepiece_codec
 
     folder = "/root/testdata/sf0.001"
@@ -19,7 +19,18 @@ def test_pipeline_matches_plain_stages(spark):
     got = {r.doc_id: r for r in pipeline.run(spark, folder).collect()}
 
     kept = {i: r.text for i, r in docs.items() if r.text and any(c.isalpha() for c in r.text)}
-    least = plain_components([(i, plain_fingerprint(t)) for i, t in sorted(kept.items())])
+    sets, least = {i: plain_shingles(t) for i, t in kept.items()}, {i: i for i in kept}
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i in sorted(sets):
+        for j in sets:
+            if j > i and similarity(sets[i], sets[j]) >= 0.8:
+                a, b = root(i), root(j)
+                least[max(a, b)] = min(a, b)
     kept = {i: t for i, t in kept.items() if least[i] == i}
     assert set(got) == set(kept)
     assert Counter(r.source for r in got.values()) == Counter(docs[i].source for i in kept)
