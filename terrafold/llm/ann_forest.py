@@ -2,9 +2,10 @@
 
 Trees are grown on a bounded sample of rows; every row is then put into a leaf of
 each tree. A query takes leaves from one queue, ordered by how far it lies beyond
-the splits on the way, whichever tree they belong to. Leaves are read in blocks
-of bounded size, so a leaf that holds a third of all rows is many blocks, and
-each block returns its best candidates, scored on the original vectors.
+the splits on the way, whichever tree they belong to, until these hold as many rows as it may read. Neighbouring leaves
+lie together in blocks of bounded size, so a leaf that holds a third of all rows is many blocks. Queries pass by
+the blocks that they read from and are held against the rows of their leaves there, and no others; each block
+returns its best candidates, scored on the original vectors.
 """
 
 from __future__ import annotations
@@ -16,26 +17,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType
 
 from terrafold.session import ship_package
 
 #: Rows, about, that the trees are grown on.
-SAMPLE_ROWS = 10_000
-TREES = 4
+SAMPLE_ROWS = 20_000
+TREES = 8
 #: Rows, about, in a leaf; a tree has LEAVES_MOST leaves at most, so that the sample can place its splits.
-LEAF_ROWS, LEAVES_MOST = 200, 256
-#: Of all leaves of the forest, the share that a query reads, and the least number.
-SEARCHED_SHARE, SEARCHED_LEAST = 0.3, 32
-#: Groups of neighbouring leaves in a tree, as many at any size, so that a query asks as many.
-TREE_GROUPS = 4
-#: Rows of a group, and queries, that one task compares at once.
+LEAF_ROWS, LEAVES_MOST = 100, 1024
+#: Of n rows a query reads READS * n ** READS_POWER, counted in each tree anew.
+READS, READS_POWER = 9.0, 0.75
+#: Rows that lie together, about: neighbouring leaves of a tree, or a part of one leaf.
 BLOCK_ROWS = 20_000
-
-_BLOCK = StructType([
-    *[StructField(c, IntegerType()) for c in ("group", "rows_block", "query_block")],
-    StructField("query", LongType()), StructField("id", LongType()), StructField("vec", ArrayType(FloatType())), StructField("leaves", ArrayType(IntegerType())),
-])
+#: Queries that are held against a block at once.
+QUERIES_AT_ONCE = 256
 
 
 def usable(vec: Column) -> Column:
@@ -86,50 +82,50 @@ def leaf_of(tree: tuple, x: np.ndarray) -> np.ndarray:
     return -1 - at
 
 
-def search(forest: list[tuple], margins: list[np.ndarray], most: int) -> list[tuple[int, int]]:
-    """The (tree, leaf) pairs that one query reads, from a queue shared by all trees. margins: its distance to each split, by tree."""
+def search(forest: list[tuple], margins: list[np.ndarray], counts: list[np.ndarray], most: float) -> list[tuple[int, int]]:
+    """The (tree, leaf) pairs that one query reads, from a queue shared by all trees, until they hold ``most`` rows. margins: its distance to each split, by tree; counts: rows a leaf."""
     queue = [(0.0, t, 0 if len(tree[1]) else -1) for t, tree in enumerate(forest)]
-    found = []
-    while queue and len(found) < most:
+    found, held = [], 0
+    while queue and held < most:
         gap, t, node = heapq.heappop(queue)
         kids, at = forest[t][2], margins[t]
         while node >= 0:
             z = at[node]
-            heapq.heappush(queue, (max(gap, abs(z)), t, int(kids[node, 0 if z > 0 else 1])))
+            heapq.heappush(queue, (gap + z * z, t, int(kids[node, 0 if z > 0 else 1])))
             node = int(kids[node, 1 if z > 0 else 0])
-        found.append((t, -1 - node))
+        if counts[t][-1 - node]:
+            found.append((t, -1 - node))
+            held += counts[t][-1 - node]
     return found
 
 
-def best_in_block(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, allowed: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best rows of a block: (query, ids, scores). allowed: bool (query, row), own: the queries' ids.
+def best_of_leaves(queries: np.ndarray, own: np.ndarray, reads: np.ndarray, rows: np.ndarray, ids: np.ndarray, ends: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query the k best rows of the leaves that it reads: (query, ids, scores).
 
-    A fast product picks candidates, with room for its rounding; scores are then
+    own: the queries' ids; reads: bool (query, leaf); leaf i has the rows ends[i] to ends[i + 1]. Only these are
+    multiplied. The fast product picks candidates, with room for its rounding; scores are then
     summed alike for every pair, so equal vectors tie exactly.
     """
-    for a in range(0, len(queries), 256):
-        part = queries[a : a + 256]
-        rough = part @ rows.T
-        rough[~allowed[a : a + 256] | (own[a : a + 256, None] == ids[None, :])] = -np.inf
-        for i, line in enumerate(rough):
-            open_ = np.flatnonzero(line > -np.inf)
-            if not open_.size:
-                continue
-            need = k
-            while True:  # an id that repeats fills several of the k places
-                if open_.size > need:
-                    edge = np.partition(line[open_], open_.size - need)[open_.size - need]
-                    pick = open_[line[open_] >= edge - 1e-9 * (1 + abs(edge))]
-                else:
-                    pick = open_
-                if pick.size == open_.size or np.unique(ids[pick]).size >= k:
-                    break
-                need *= 4
-            score = np.einsum("j,ij->i", part[i], rows[pick])
-            order = np.lexsort((ids[pick], -score))
-            chosen = ids[pick][order]
-            first = np.sort(np.unique(chosen, return_index=True)[1])[:k]
-            yield a + i, chosen[first], score[order][first]
+    rough = np.full((len(queries), len(rows)), -np.inf)
+    for leaf in np.flatnonzero(reads.any(0)):
+        who, at = np.flatnonzero(reads[:, leaf]), slice(ends[leaf], ends[leaf + 1])
+        rough[who, at] = queries[who] @ rows[at].T
+    for i, line in enumerate(rough):
+        open_ = np.flatnonzero((line > -np.inf) & (ids != own[i]))
+        need = k
+        while open_.size:
+            pick = open_
+            if open_.size > need:
+                edge = np.partition(line[open_], open_.size - need)[open_.size - need]
+                pick = open_[line[open_] >= edge - 1e-9 * (1 + abs(edge))]
+            if pick.size == open_.size or np.unique(ids[pick]).size >= k:
+                score = np.einsum("j,ij->i", queries[i], rows[pick])
+                order = np.lexsort((ids[pick], -score))
+                chosen = ids[pick][order]
+                first = np.sort(np.unique(chosen, return_index=True)[1])[:k]
+                yield i, chosen[first], score[order][first]
+                break
+            need *= 4  # an id that repeats fills several of the k places
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", seed: int = 7) -> DataFrame:
@@ -144,14 +140,15 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id"
     """
     spark = df.sparkSession
     ship_package(spark)
-    out = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType())])
-    given = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    element = df.schema[vector].dataType.elementType
+    kind, number = (ArrayType(FloatType()), np.float32) if isinstance(element, FloatType) else (ArrayType(DoubleType()), np.float64)
+    given = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast(kind).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     given = given.filter(F.col("id").isNotNull() & usable(F.col("vec")))
     square = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    sizes = given.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q"), F.max(square).alias("s")).orderBy(F.desc("n"), "dim").first()
+    sizes = given.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("s")).orderBy(F.desc("n"), "dim").first()
     if sizes is None:
-        return spark.createDataFrame([], StructType([*out.fields, StructField("score", FloatType())])).select("query_id", F.lit(1).alias("rank"), "vec_id", F.col("score").cast("double"))
-    dim, n, asked, norm = sizes["dim"], sizes["n"], sizes["q"], float(sizes["s"]) ** 0.5
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, n, norm = sizes["dim"], sizes["n"], float(sizes["s"]) ** 0.5
     given = given.filter(F.size("vec") == dim)
 
     share = min(1.0, SAMPLE_ROWS / n)
@@ -160,34 +157,41 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id"
     rng = np.random.default_rng(seed)
     leaves = max(1, min(LEAVES_MOST, n // LEAF_ROWS))
     forest = [grow(x, leaves, rng) for _ in range(TREES)]
-    groups = min(TREE_GROUPS, leaves)
-    group_leaves = -(-leaves // groups)
-    most = max(SEARCHED_LEAST, int(np.ceil(SEARCHED_SHARE * TREES * leaves)))
 
     def matrix(col: pa.Array) -> np.ndarray:
         return np.asarray(col.flatten(), np.float64).reshape(-1, dim)
 
-    def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def leaf_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((TREES, leaves), np.int64)
         for b in batches:
             x = lifted(matrix(b["vec"]), norm, False)
-            total = np.zeros(TREES * groups, np.int64)
             for t, tree in enumerate(forest):
-                total += np.bincount(t * groups + leaf_of(tree, x) // group_leaves, minlength=TREES * groups)
-            yield pa.RecordBatch.from_pydict({"group": pa.array(np.arange(TREES * groups), pa.int32()), "n": pa.array(total, pa.int64())})
-
-    held = {r["group"]: r["n"] for r in given.select("vec").mapInArrow(groups_of, "group int, n long").groupBy("group").agg(F.sum("n").alias("n")).collect()}
-    blocks = np.array([max(1, -(-held.get(g, 0) // BLOCK_ROWS)) for g in range(TREES * groups)])
-    query_blocks = max(1, -(-asked // BLOCK_ROWS))
+                total[t] += np.bincount(leaf_of(tree, x), minlength=leaves)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(total.size), pa.int32()), "n": pa.array(total.ravel(), pa.int64())})
+
+    # As many numbers as the forest has leaves: TREES * LEAVES_MOST at most.
+    counts = np.zeros(TREES * leaves, np.int64)
+    for r in given.select("vec").mapInArrow(leaf_sizes, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        counts[r["at"]] = r["n"]
+    counts = counts.reshape(TREES, leaves)
+    # Neighbouring leaves make a group of about BLOCK_ROWS rows; what is larger is a leaf by itself, dealt into blocks.
+    group_of = (np.cumsum(counts, 1) - counts) // BLOCK_ROWS + (np.arange(TREES) * (n // BLOCK_ROWS + 1))[:, None]
+    held = np.bincount(group_of.ravel(), counts.ravel(), minlength=TREES * (n // BLOCK_ROWS + 1)).astype(np.int64)
+    blocks = np.maximum(1, -(-held // (2 * BLOCK_ROWS)))
+    most = READS * n**READS_POWER
 
     def mixed(ids: np.ndarray, many: np.ndarray | int) -> np.ndarray:
         return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % many
 
+    block = StructType([
+        StructField("group", IntegerType()), StructField("block", IntegerType()), StructField("asks", BooleanType()), StructField("id", LongType()),
+        StructField("vec", kind), StructField("leaves", ArrayType(IntegerType())),
+    ])
+
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(group, rows_block, query_block, query, at, leaf_lists, b):
-            cols = [pa.array(np.asarray(c), pa.int32()) for c in (group, rows_block, query_block)]
-            ids = b["id"].take(pa.array(at))
-            none = pa.nulls(len(at), pa.int64())
-            return pa.RecordBatch.from_arrays([*cols, *((ids, none) if query else (none, ids)), b["vec"].take(pa.array(at)), leaf_lists], names=_BLOCK.names)
+        def made(group, rows_block, asks, at, leaf_lists, b):
+            cols = [pa.array(np.asarray(group), pa.int32()), pa.array(np.asarray(rows_block), pa.int32()), pa.array(np.full(len(at), asks))]
+            return pa.RecordBatch.from_arrays([*cols, b["id"].take(pa.array(at)), b["vec"].take(pa.array(at)), leaf_lists], names=block.names)
 
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
@@ -196,9 +200,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id"
                 up = lifted(x, norm, False)
                 for t, tree in enumerate(forest):
                     leaf = leaf_of(tree, up)
-                    group = t * groups + leaf // group_leaves
-                    for qb in range(query_blocks):
-                        yield made(group, mixed(ids, blocks[group]), np.full(len(ids), qb), False, np.arange(len(ids)), pa.array([[v] for v in leaf.tolist()], pa.list_(pa.int32())), b)
+                    group = group_of[t, leaf]
+                    yield made(group, mixed(ids, blocks[group]), False, np.arange(len(ids)), pa.ListArray.from_arrays(pa.array(np.arange(len(leaf) + 1), pa.int32()), pa.array(leaf, pa.int32())), b)
                 if not (asks := np.flatnonzero(np.asarray(b["asks"]))).size:
                     continue
                 up = lifted(x[asks], norm, True)
@@ -206,37 +209,53 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id"
                 rows: list[tuple] = []
                 for j, at in enumerate(asks):
                     by_group: dict[int, list[int]] = {}
-                    for t, leaf in search(forest, [m[j] for m in margins], most):
-                        by_group.setdefault(t * groups + leaf // group_leaves, []).append(leaf)
-                    qb = int(mixed(ids[at : at + 1], query_blocks)[0])
-                    rows += [(g, rb, qb, at, ls) for g, ls in by_group.items() for rb in range(blocks[g])]
+                    for t, leaf in search(forest, [m[j] for m in margins], counts, most):
+                        by_group.setdefault(int(group_of[t, leaf]), []).append(leaf)
+                    rows += [(g, rb, at, ls) for g, ls in by_group.items() for rb in range(blocks[g])]
                     if len(rows) > 20_000 or j + 1 == len(asks):
-                        g, rb, q, at_, ls = zip(*rows, strict=True)
-                        yield made(g, rb, q, True, np.array(at_), pa.array(ls, pa.list_(pa.int32())), b)
+                        if rows:
+                            g, rb, at_, ls = zip(*rows, strict=True)
+                            yield made(g, rb, True, np.array(at_), pa.array(ls, pa.list_(pa.int32())), b)
                         rows = []
 
-    def compared(table: pa.Table) -> pa.Table:
-        asks = np.asarray(table["query"].is_valid())
-        q, r = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
-        found: list[list[np.ndarray]] = [[], [], []]
-        if q.num_rows and r.num_rows:
-            leaf, lists = np.asarray(r["leaves"].combine_chunks().flatten()), q["leaves"].combine_chunks()
-            base = leaf.min()
-            reads = np.zeros((q.num_rows, leaf.max() - base + 1), bool)
-            who = np.repeat(np.arange(q.num_rows), np.asarray(lists.value_lengths()))
-            flat = np.asarray(lists.flatten()) - base
-            inside = (flat >= 0) & (flat < reads.shape[1])
-            reads[who[inside], flat[inside]] = True
-            qx, rx, own, ids = matrix(q["vec"].combine_chunks()), matrix(r["vec"].combine_chunks()), np.asarray(q["query"]), np.asarray(r["id"])
-            for a in range(0, len(qx), 256):
-                for i, got, score in best_in_block(qx[a : a + 256], rx, ids, reads[a : a + 256][:, leaf - base], own[a : a + 256], k):
-                    found[0].append(np.full(len(got), own[a + i]))
-                    found[1].append(got)
-                    found[2].append(score)
-        cat = [np.concatenate(f) if f else np.zeros(0) for f in found]
-        return pa.table({"query_id": pa.array(cat[0].astype(np.int64)), "vec_id": pa.array(cat[1].astype(np.int64)), "score": pa.array(cat[2].astype(np.float64))})
-
-    pairs = given.mapInArrow(dealt, _BLOCK).groupBy("group", "rows_block", "query_block").applyInArrow(compared, "query_id long, vec_id long, score double")
-    once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    out = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()), StructField("score", DoubleType())])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come group by group and block by block, those of the block before the queries: a block is kept, queries pass."""
+        key, parts, ready = None, [], None
+
+        def found(q: pa.RecordBatch) -> pa.RecordBatch:
+            rows, ids, base, ends = ready
+            lists = q["leaves"]
+            reads = np.zeros((q.num_rows, len(ends) - 1), bool)
+            who, leaf = np.repeat(np.arange(q.num_rows), np.asarray(lists.value_lengths())), np.asarray(lists.flatten()) - base
+            inside = (leaf >= 0) & (leaf < reads.shape[1])
+            reads[who[inside], leaf[inside]] = True
+            own = np.asarray(q["id"])
+            got = list(best_of_leaves(matrix(q["vec"]), own, reads, rows, ids, ends, k))
+            cat = lambda xs, t: pa.array(np.concatenate(xs) if xs else np.zeros(0), t)
+            return pa.RecordBatch.from_arrays([cat([np.full(len(i), own[j]) for j, i, _ in got], pa.int64()), cat([i for _, i, _ in got], pa.int64()), cat([s for _, _, s in got], pa.float64())], names=out.names)
+
+        for batch in batches:
+            keys = np.column_stack([np.asarray(batch["group"]), np.asarray(batch["block"]), np.asarray(batch["asks"].cast(pa.int8()))])
+            for a, z in zip(cuts := [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()], [*cuts[1:], len(keys)], strict=True):
+                part, now, asks = batch.slice(a, z - a), tuple(keys[a, :2]), keys[a, 2]
+                if now != key:
+                    key, parts, ready = now, [], None
+                if not asks:
+                    parts.append(part)
+                elif parts or ready is not None:
+                    if ready is None:
+                        table = pa.Table.from_batches(parts).combine_chunks()
+                        leaf, ids = np.asarray(table["leaves"].combine_chunks().flatten()), np.asarray(table["id"])
+                        order = np.lexsort((ids, leaf))
+                        base = int(leaf.min())
+                        ready = matrix(table["vec"].combine_chunks())[order], ids[order], base, np.concatenate([[0], np.cumsum(np.bincount(leaf - base))])
+                        parts = []
+                    for i in range(0, part.num_rows, QUERIES_AT_ONCE):
+                        yield found(part.slice(i, QUERIES_AT_ONCE))
+
+    placed = given.mapInArrow(dealt, block).repartition("group", "block").sortWithinPartitions("group", "block", "asks")
+    once = placed.mapInArrow(compared, out).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -51,6 +51,25 @@ def test_nearest_of_few_and_none(spark):
     assert ann_forest.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_only_rows_of_chosen_leaves_are_compared(monkeypatch):
+    rng = np.random.default_rng(1)
+    rows, queries = rng.standard_normal((90, 8)), rng.standard_normal((4, 8))
+    reads = np.array([[True, False, False], [False, True, True], [False, False, False], [True, True, True]])
+    ends, ids = np.array([0, 30, 70, 90]), np.arange(90) + 100
+    got = {i: (found, score) for i, found, score in ann_forest.best_of_leaves(queries, np.array([1, 2, 3, 105]), reads, rows, ids, ends, 5)}
+    assert set(got) == {0, 1, 3}
+    for i, leaves in ((0, [0]), (1, [1, 2]), (3, [0, 1, 2])):
+        at = [r for leaf in leaves for r in range(ends[leaf], ends[leaf + 1]) if ids[r] != (105 if i == 3 else 0)]
+        best = sorted(at, key=lambda r: -(rows[r] @ queries[i]))[:5]
+        assert got[i][0].tolist() == [100 + r for r in best]
+
+
+def test_doubles_are_scored_as_they_are(spark):
+    x = [[1.0, 1e-12, 0.0], [1.0, 2e-12, 0.0], [1.0, 0.0, 1e-12], [1.0, 1.0, 1.0]]
+    got = ann_forest.nearest(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>"), F.col("vec_id") == 3).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [1, 0, 2] and max(r.score for r in got) == 1.0 + 2e-12
+
+
 # Near-duplicates
 
 
