@@ -111,11 +111,36 @@ def test_licenses_match_plain_containment(spark, empty):
             at = [i for i in range(len(ws)) if ws[i : i + len(ph)] == ph]
             places += at
             own |= {label} if at else set()
-        for line in (text or "").split("\n"):
-            held = set(words(line))
-            for _, label, t, need in license_join.template_sets():
-                if len(held & set(t)) >= need:
-                    more.add(label)
-                    best = max(best, len(held & set(t)) / len(t))
+        for n in license_join.LENGTHS:
+            for start in range(0, max(1, len(ws)), n):
+                run = ws[start : start + 2 * n]
+                met = []
+                for i, label, t, need, length, keys in license_join.template_sets():
+                    common = len(set(run) & set(t))
+                    if length == n and common >= need and all(k in f" {' '.join(run)} " for k in keys):
+                        met.append((common / len(t), len(t), -i, label))
+                if met:
+                    more.add(max(met)[3])
+                    best = max(best, max(met)[0])
         expected.append((doc, len(ws), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(own)), ",".join(sorted(own | more)), 1.0 if places else best))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
+
+
+def test_labels_of_usual_notices(spark):
+    cases = [
+        ("Licensed under CC BY 4.0", "cc-by,cc-by-4.0"),
+        ("This work is licensed under a Creative Commons\nAttribution 4.0 International License", "cc-by-4.0"),
+        ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc-4.0"),
+        ("licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc-sa-4.0"),
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+        ("licensed under the GNU General Public License, version 2", "gpl,gpl-2.0"),
+        ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "lgpl-2.1"),
+        ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", "gpl,gpl-3.0"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met", "bsd"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at x", "mpl-2.0"),
+        ("released under the BSD license", "bsd"), ("released under the license", ""), ("Copyright 2001. All rights reserved.", "all-rights-reserved"), ("all the rights of the reserved", ""),
+        ("Released under the MIT license", "mit"), ("x " * 900 + "Licensed under the Apache License,\n\n Version 2.0" + " y" * 900, "apache,apache-2.0"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_join.scan_licenses(df).collect()}
+    assert got == {i: labels for i, (_, labels) in enumerate(cases)}
