@@ -1,11 +1,9 @@
-"""Rule expressions to one minimal transition array: parse, subset construction, minimisation."""
+"""Rule expressions to one minimal transition array: parse, subset construction, minimisation; and what reads with it."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Longest hop over which a counted repeat is written out.
-MAX_REPEAT = 64
 #: Separates texts in a scanned stream; no UTF-8 text holds it.
 BREAK = 255
 
@@ -13,8 +11,8 @@ BREAK = 255
 class _Parser:
     """Byte expressions: literals, \\xHH, classes, groups, ``|``, ``? * + {n} {n,m}``."""
 
-    def __init__(self, text: str, fold: bool):
-        self.text, self.at, self.fold = text, 0, fold
+    def __init__(self, text: str, fold: bool, backward: bool = False):
+        self.text, self.at, self.fold, self.backward = text, 0, fold, backward
         self.eps: list[list[int]] = []
         self.move: list[list[tuple[frozenset, int]]] = []
         self.count: dict[int, int] = {}
@@ -91,7 +89,7 @@ class _Parser:
         a search that is further in the run ends first, so it stands for those behind it."""
         node = self.either()
         end = node[1][-1] if node[0] == "seq" and node[1] else node
-        self.last = end if end[0] == "rep" and end[1][0] == "set" and end[2] > 1 else None
+        self.last = end if not self.backward and end[0] == "rep" and end[1][0] == "set" and end[2] > 1 else None
         return self.build(node)
 
     def build(self, node: tuple) -> tuple[int, int]:
@@ -100,7 +98,7 @@ class _Parser:
             self.move[a].append((node[1], z))
         elif kind == "seq":
             at = a
-            for part in node[1]:
+            for part in reversed(node[1]) if self.backward else node[1]:
                 b, e = self.build(part)
                 self.eps[at].append(b)
                 at = e
@@ -125,7 +123,7 @@ class _Parser:
                 self.eps[at] += [b, z]
                 self.eps[e] += [b, z]
             else:
-                for _ in range(min(high, MAX_REPEAT) - low):
+                for _ in range(high - low):
                     b, e = self.build(inner)
                     self.eps[at] += [b, z]
                     at = e
@@ -133,18 +131,18 @@ class _Parser:
         return a, z
 
 
-def compile_rules(rules: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``rules``: (expression, whether letters match in either case).
+def compile_rules(rules: list[tuple[str, bool]], search: bool = True, backward: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``rules``: (expression, whether letters match in either case). ``search``: matches may begin anywhere, else only where reading begins. ``backward``: bytes are read from the last to the first.
 
     Returns ``step``, ``column`` and ``hits``: with a state's row offset s and a
     byte b, ``step[s + column[b]]`` is the next row offset, and ``hits[state]``
-    has bit r set where a match of rule r can end. The search is unanchored.
+    has bit r set where a match of rule r can end. Where no match can follow any more the state is that without hits which leads to itself only.
     """
     eps: list[list[int]] = []
     move: list[list[tuple[frozenset, int]]] = []
     starts, ends, counts = [], {}, {}
     for r, (text, fold) in enumerate(rules):
-        p = _Parser(text, fold)
+        p = _Parser(text, fold, backward)
         a, z = p.whole()
         base = len(eps)
         counts |= {x + base: (r, i) for x, i in p.count.items()}
@@ -177,7 +175,7 @@ def compile_rules(rules: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray
         row = []
         for c in range(n):
             b = sample[c]
-            there = first if b == BREAK else closed({y for x in here for s, y in move[x] if b in s} | set(starts))
+            there = first if b == BREAK else closed({y for x in here for s, y in move[x] if b in s} | (set(starts) if search else set()))
             if there not in known:
                 known[there] = len(known)
                 queue.append(there)
@@ -196,26 +194,34 @@ def compile_rules(rules: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray
     return step.ravel(), column.astype(np.int32), hits[order]
 
 
-#: Bytes that one lane reads; a batch of texts is read by as many lanes side by side as it has bytes.
-LANE = 2048
+#: Bytes that one lane reads; a block of bytes is read by as many lanes side by side as it needs, blocks one after another.
+LANE, BLOCK = 2048, 4 << 20
 
 
 def scan(data: bytes, step: np.ndarray, column: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``data`` where a match can end, and the rules of each as bits: one step a byte.
+    """Places in ``data`` where a match can end, and the rules of each as bits: one step a byte. Memory is that of a block."""
+    where, bits, state = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for a in range(0, len(data), BLOCK):
+        at, found, state = _scan_block(data[a : a + BLOCK], state, step, column, hits)
+        where.append(at + a)
+        bits.append(found)
+    return np.concatenate(where), np.concatenate(bits)
+
 
-    Lanes start in the start state; a lane whose true start differs (the lane
+def _scan_block(data: bytes, state: int, step: np.ndarray, column: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """``scan`` of one block from ``state`` on, and the state after it.
+
+    Lanes but the first start in the start state; a lane whose true start differs (the lane
     before ended elsewhere) is read again from there until both ways agree.
     """
-    n = int(column.max()) + 1
-    size = len(data)
-    if not size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n, size = int(column.max()) + 1, len(data)
     lanes = -(-size // LANE)
     raw = np.full(lanes * LANE, BREAK, np.uint8)
     raw[:size] = np.frombuffer(data, np.uint8)
     cols = np.ascontiguousarray(column[raw].reshape(lanes, LANE).T)
     path = np.empty((LANE, lanes), np.int32)
     at = np.zeros(lanes, np.int32)
+    at[0] = state
     for i in range(LANE):
         at = np.take(step, at + cols[i], out=path[i])
     for k in range(1, lanes):
@@ -226,10 +232,34 @@ def scan(data: bytes, step: np.ndarray, column: np.ndarray, hits: np.ndarray) ->
             guess = int(path[i, k])
             path[i, k] = true
             i += 1
-    marks = (hits != 0)[path // n]
-    i, k = np.nonzero(marks)
+    marked = (hits != 0).repeat(n)[path]
+    i, k = np.nonzero(marked)
     where = k * LANE + i
     order = np.argsort(where, kind="stable")
-    rules = hits[path[i, k] // n]
-    keep = order[where[order] < size]
-    return where[keep], rules[keep]
+    order = order[where[order] < size]
+    found = hits[path[i, k] // n]
+    return where[order], found[order], int(path[(size - 1) % LANE, (size - 1) // LANE])
+
+
+class Walk:
+    """One expression read from a given place on, byte by byte, forward or backward, as far as a match can still come."""
+
+    def __init__(self, text: str, fold: bool, backward: bool = False):
+        step, column, hits = compile_rules([(text, fold)], search=False, backward=backward)
+        n = int(column.max()) + 1
+        self.rows = [[int(x) // n for x in step[i * n : (i + 1) * n]] for i in range(len(hits))]
+        self.column, self.good = column.tolist(), [bool(h) for h in hits]
+        self.dead = [not g and all(x == i for x in row) for i, (g, row) in enumerate(zip(self.good, self.rows, strict=True))]
+        self.by = -1 if backward else 1
+
+    def furthest(self, data: bytes, at: int, limit: int) -> int | None:
+        """Where the longest match from ``at`` ends that stays before ``limit`` (after, read backward), or None: the place behind its last byte, or of its first."""
+        state, found, by = 0, None, self.by
+        while at != limit:
+            state = self.rows[state][self.column[data[at if by > 0 else at - 1]]]
+            if self.dead[state]:
+                break
+            at += by
+            if self.good[state]:
+                found = at
+        return found
