@@ -1,43 +1,48 @@
 """Personal data in texts, replaced by keyed surrogates of the same type and form.
 
-Mentions are found text by text. Each distinct entity of the whole table gets one
-surrogate, so mentions that mean the same stay the same in all documents; a
-surrogate that two entities would share, or that is itself an entity of the
-table, is drawn anew until all are distinct. A mention keeps its own form:
-separators, letter case, script, the gender a title or first name shows.
+Mentions are found text by text. An entity's surrogate is its place in a keyed permutation of all
+values of its form: no two entities share one and none is its own, so mentions that mean the same stay the same in all
+documents and those that do not stay apart, without a table of entities. Each letter gives way to one of
+its script, vowels to vowels, digits to digits; separators, letter case, hyphens, the ending that shows a
+gender, a first name's or title's gender, checksums, and the ranges of private addresses stay. ``collisions`` holds a whole table against that.
 """
 
 from __future__ import annotations
 
 import hashlib
-import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from terrafold.llm.arrow_map import map_texts, slices
-from terrafold.session import cut
+from terrafold.session import ship_package
 
 #: The key of a run; surrogates of another key cannot be matched with these.
 DEFAULT_KEY = b"terrafold surrogates"
-#: Draws that keep an entity's length; later ones add digits or syllables, of which there is no end.
-FORM_DRAWS, MOST_DRAWS = 6, 40
-
-# Titles by the gender they show, and first names by gender.
-TITLES = {"m": "Mr Herr Monsieur Señor Sr Г-н Господин".split(), "f": "Mrs Ms Miss Frau Madame Mme Señora Sra Г-жа Госпожа".split()}
+#: Passes of the permutation.
+PASSES = 6
+
+# Titles by the gender they show ("" for none), and first names by gender.
+TITLES = {
+    "m": "Mr Herr Monsieur Señor Sr Don Signor Г-н Господин Κύριος Sir Lord Pan".split(), "f": "Mrs Ms Miss Frau Madame Mme Señora Sra Doña Signora Г-жа Госпожа Κυρία Lady Pani".split(),
+    "": "Dr Prof Professor Doctor Docteur Doktor Dra".split(),
+}
 FIRST_NAMES = {
-    "m": "James John Robert Michael William David Thomas Peter Hans Jürgen Klaus Pierre Jean Luc Carlos José Juan Иван Сергей Дмитрий".split(),
-    "f": "Mary Patricia Jennifer Linda Elizabeth Susan Sarah Anna Ursula Monika Sophie Camille Isabelle María Carmen Lucía Ольга Мария Елена".split(),
+    "m": "James John Robert Michael William David Thomas Peter Hans Jürgen Klaus Pierre Jean Luc Carlos José Juan Иван Сергей Дмитрий Daniel Paul Mark Andrew Kevin Brian Steven Edward Stefan Andreas Wolfgang Markus Jacques François Antoine Miguel Pedro Luis Алексей Андрей".split(),
+    "f": "Mary Patricia Jennifer Linda Elizabeth Susan Sarah Anna Ursula Monika Sophie Camille Isabelle María Carmen Lucía Ольга Мария Елена Karen Nancy Margaret Lisa Emily Laura Marta Petra Sabine Claudia Heike Nathalie Claire Hélène Marie Ana Elena Pilar Татьяна Наталья".split(),
 }
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _FIRST = "|".join(n for ns in FIRST_NAMES.values() for n in ns)
-_NAME = r"[^\W\d_][^\W\d_'’]+(?:-[^\W\d_]+)?"
-_SYLLABLES = {"latin": ("b c d f g h k l m n p r s t v".split(), "a e i o u".split(), {"m": ["n", "s", "r"], "f": ["a", "ia"], "": ["er", "man", "son"]}), "cyrillic": ("б в г д к л м н п р с т".split(), "а е и о у".split(), {"m": ["н", "й"], "f": ["а", "я"], "": ["ов", "ин", "ко"]})}
+_NAME = r"[^\W\d_][^\W\d_'’]+(?:-[^\W\d_]+)*"
+#: Letters that give way to each other, beside whole runs of code points.
+_VOWELS = ("aeiou", "аеиоуыэюя", "αεηιουω")
 
 PATTERNS = (
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])")),
@@ -51,8 +56,6 @@ PATTERNS = (
 )
 #: Of a text with a mention of a number, two digits stand so close; of one with a network address, these.
 NUMBERS, ADDRESSES = r"[0-9][ .():-]{0,3}[0-9]", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"
-#: Surrogates drawn again that tasks are told of as a table; more of them are joined to the texts.
-LATE_MOST = 50_000
 
 
 def likely(text: Column) -> Column:
@@ -72,8 +75,9 @@ def iban_rest(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
-def _script(word: str) -> str:
-    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
+def _lower(s: str) -> str:
+    """Letters in lower case, as far as each stays one letter."""
+    return "".join(x if len(x := c.lower()) == 1 else c for c in s)
 
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
@@ -85,6 +89,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "name":
                 title = m["title"]
                 gender = next(g for g, ts in (TITLES if title else FIRST_NAMES).items() if (title or m["first"]) in ts)
+                gender = gender or next((g for g, ts in FIRST_NAMES.items() if m["a"] in ts), "")
                 # After a title: a surname, or a first name and a surname; only words that begin with a capital count.
                 words = [x for x in (("a", "b", "c") if title else ("first", "last")) if m[x]]
                 while words and not m[words[-1]][0].isupper():
@@ -93,7 +98,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                     continue
                 for x in words[:2]:
                     part = "surname" if x == words[:2][-1] else f"first_{gender}"
-                    found.append((m.start(x), -m.end(x), rank, part, m[x].lower()))
+                    found.append((m.start(x), -m.end(x), rank, part, _lower(m[x])))
                 continue
             if kind == "ip" and any(int(x) > 255 for x in s.split(".")):
                 continue
@@ -103,7 +108,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             if kind == "phone" and not 7 <= len(digits) <= 15:
                 continue
-            entity = s.lower() if kind in ("email", "ip6") else s if kind == "ip" else s.replace(" ", "") if kind == "iban" else ("+" if s[0] == "+" else "") + digits
+            entity = _lower(s) if kind in ("email", "ip6") else s if kind == "ip" else s.replace(" ", "") if kind == "iban" else ("+" if s[0] == "+" else "") + digits
             found.append((m.start(), -m.end(), rank, kind, entity))
     out, at = [], 0
     for start, end, _, kind, entity in sorted(found):
@@ -113,54 +118,110 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-class _Draw:
-    """A stream of numbers that a key and a label fix."""
-
-    def __init__(self, key: bytes, label: str):
-        self.key, self.label, self.block, self.bytes = key, label.encode(), 0, b""
-
-    def below(self, n: int) -> int:
-        if len(self.bytes) < 4:
-            self.bytes += hmac.digest(self.key, self.label + b"|%d" % self.block, hashlib.sha256)
-            self.block += 1
-        value, self.bytes = int.from_bytes(self.bytes[:4], "big"), self.bytes[4:]
-        return value % n
-
-    def like(self, s: str) -> str:
-        """Digits for digits, letters for letters, all else as it is."""
-        return "".join(str(self.below(10)) if c.isdigit() else "abcdefghijklmnopqrstuvwxyz"[self.below(26)] if "a" <= c <= "z" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[self.below(26)] if "A" <= c <= "Z" else c for c in s)
-
-
-def surrogate(kind: str, entity: str, draw: int, key: bytes = DEFAULT_KEY) -> str:
-    """The ``draw``-th surrogate of an entity, in the form of entities of its kind."""
-    r, more = _Draw(key, f"{kind}|{draw}|{entity}"), max(0, draw - FORM_DRAWS)
+@lru_cache(4096)
+def alphabet(c: str) -> str:
+    """The characters that may stand in the place of ``c``: digits for digits, letters of its kind, script and case for letters, nothing else for others."""
+    if c.isascii():
+        for group in ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ"):
+            if c in group:
+                return group
+        return c
+    kind, low = unicodedata.category(c), c.lower()
+    if kind[0] != "L":
+        return c
+    vowels = next((v for v in _VOWELS if low in v), None)
+    run = ord(c) - ord(c) % 64
+    some = [chr(x) for x in range(run, run + 64) if unicodedata.category(chr(x)) == kind and len(chr(x).lower()) == 1]
+    return "".join(x for x in some if (any(x.lower() in v for v in _VOWELS)) == (vowels is not None)) or c
+
+
+def _mixed(key: bytes, label: bytes, step: int, value: int, bits: int) -> int:
+    size = (bits + 7) // 8
+    raw = b"".join(hashlib.blake2b(label + b"|%d|%d|%d" % (step, i, value), key=key[:64]).digest() for i in range(-(-size // 64)))
+    return int.from_bytes(raw[:size], "big") & ((1 << bits) - 1)
+
+
+def permuted(x: int, n: int, key: bytes, label: bytes, back: bool = False) -> int:
+    """A keyed permutation of the numbers below ``n``: a Feistel network of the next even number of bits, walked on until a number below ``n`` comes."""
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        a, b = x >> half, x & mask
+        for step in reversed(range(PASSES)) if back else range(PASSES):
+            if back:
+                a, b = b ^ _mixed(key, label, step, a, half), a
+            else:
+                a, b = b, a ^ _mixed(key, label, step, b, half)
+        x = a << half | b
+        if x < n:
+            return x
+
+
+def moved(s: str, letters: list[str], key: bytes, label: str) -> str:
+    """Another text with a character of ``letters[i]`` in each place i: a permutation of all such texts that leaves none where it is, if there are two."""
+    n, x = 1, 0
+    for c, group in zip(s, letters, strict=True):
+        n, x = n * len(group), x * len(group) + group.index(c)
+    if n == 1:
+        return s
+    tag = hashlib.blake2b(repr((label, letters)).encode(), key=key[:64]).digest()
+    turn = 1 + _mixed(key, tag, PASSES, 0, n.bit_length() + 64) % (n - 1)
+    # The texts in the order of one keyed permutation, each moved on by the same number of places.
+    x = permuted((permuted(x, n, key, tag) + turn) % n, n, key, tag, True)
+    out = []
+    for group in reversed(letters):
+        x, i = divmod(x, len(group))
+        out.append(group[i])
+    return "".join(reversed(out))
+
+
+def _like(s: str, key: bytes, label: str) -> str:
+    return moved(s, [alphabet(c) for c in s], key, label)
+
+
+# The ranges of private and local addresses, by the octets that tell them.
+def _private(octets: list[str]) -> int:
+    """How many octets at the head of an address say that it is private; 0 of a public one."""
+    return 1 if octets[0] in ("10", "127") else 2 if octets[:2] == ["192", "168"] or (octets[0] == "172" and 16 <= int(octets[1]) < 32) else 0
+
+
+def surrogate(kind: str, entity: str, key: bytes = DEFAULT_KEY) -> str:
+    """The surrogate of an entity, in the form of entities of its kind. Of one kind no two entities have the same."""
     if kind == "email":
         local, _, domain = entity.partition("@")
-        labels = domain.split(".")
-        where = _Draw(key, f"domain|{domain}").like(".".join(labels[:-1]))  # of one domain all addresses stay in one
-        return r.like(local) + "".join(str(r.below(10)) for _ in range(more)) + "@" + where + "." + labels[-1]
+        name, _, top = domain.rpartition(".")
+        return _like(local, key, "local") + "@" + _like(name, key, "domain") + "." + top  # of one domain all addresses stay in one
     if kind == "ip":
-        octets = entity.split(".")
-        kept = 1 if octets[0] in ("10", "127") else 2 if octets[:2] == ["192", "168"] or (octets[0] == "172" and 16 <= int(octets[1]) < 32) else 0
-        return ".".join(octets[:kept] + [str(1 + r.below(223 if i == 0 and not kept else 254)) for i in range(4 - kept)])
+        octets = [str(int(x)) for x in entity.split(".")]
+        kept = _private(octets)
+        n, x = 256 ** (4 - kept), int.from_bytes(bytes(int(x) for x in octets[kept:]), "big")
+        tag = ("ip" + ".".join(octets[:kept])).encode()
+        while True:  # a public address walks on until it is public again
+            x = permuted((permuted(x, n, key, tag) + 1) % n, n, key, tag, True)
+            out = octets[:kept] + [str(b) for b in x.to_bytes(4 - kept, "big")]
+            if kept or not _private(out):
+                return ".".join(out)
     if kind == "ip6":
-        return "".join("0123456789abcdef"[r.below(16)] if c != ":" else c for c in entity)
+        return moved(entity, ["0123456789abcdef" if c != ":" else c for c in entity], key, "ip6")
     if kind == "iban":
-        body = r.like(entity[4:])
+        body = _like(entity[4:], key, "iban" + entity[:2])
         return entity[:2] + f"{98 - iban_rest(entity[:2] + '00' + body):02d}" + body
     if kind == "card":
-        made = entity[0] + r.like(entity[1:])
-        return next(x for d in "0123456789" if luhn(x := made[:-1] + d)) if luhn(entity) else made
-    if kind == "ssn":
-        return f"{1 + r.below(665):03d}{1 + r.below(99):02d}{1 + r.below(9999):04d}"
+        if luhn(entity):
+            made = entity[0] + _like(entity[1:-1], key, "card")
+            return next(x for d in "0123456789" if luhn(x := made + d))
+        made = entity[0] + _like(entity[1:], key, "number")
+        while luhn(made):
+            made = entity[0] + _like(made[1:], key, "number")
+        return made
     if kind == "phone":
         kept = 2 if entity[0] == "+" else 0
-        rest = entity[kept:]
-        return entity[:kept] + str(2 + r.below(8)) + r.like(rest[1:])
-    opens, vowels, ends = _SYLLABLES[_script(entity)]
-    stem = "".join(opens[r.below(len(opens))] + vowels[r.below(len(vowels))] for _ in range(2 + r.below(2) + more))
-    own = ends[kind[-1] if kind.startswith("first") else ""]
-    return stem + own[r.below(len(own))]
+        first = "23456789" if entity[kept] in "23456789" else "01"
+        return entity[:kept] + moved(entity[kept:], [first, *[alphabet(c) for c in entity[kept + 1 :]]], key, "phone" + entity[:kept])
+    if kind == "ssn":
+        return _like(entity, key, "ssn")
+    # Names keep their last letter, which shows the gender in many languages.
+    return _like(entity[:-1], key, kind) + entity[-1]
 
 
 def shaped(mention: str, kind: str, core: str) -> str:
@@ -170,47 +231,25 @@ def shaped(mention: str, kind: str, core: str) -> str:
         return "".join(next(left) if c.isalnum() else c for c in mention)
     if kind == "ip":
         return core
-    if mention.isupper():
-        return core.upper()
-    if kind in ("email", "ip6"):
-        same = len(mention) == len(core)
-        return "".join(c.upper() if m.isupper() else c for m, c in zip(mention, core, strict=True)) if same else core
-    return "-".join(p.capitalize() for p in core.split("-"))
-
-
-_MENTIONS = StructType([StructField("entities", ArrayType(StructType([StructField("kind", StringType()), StructField("entity", StringType())])))])
-_LATE = "array<struct<kind:string,entity:string,core:string>>"
-_ASSIGNED = StructType([StructField("kind", StringType()), StructField("entity", StringType()), StructField("draw", LongType()), StructField("core", StringType())])
-
-
-def assign(entities: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """kind, entity, draw, core: a surrogate for each row of distinct (kind, entity), no two alike within a kind and none an entity itself."""
-
-    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.to_pylist()
-            yield pa.RecordBatch.from_arrays([b["kind"], b["entity"], b["draw"], pa.array([surrogate(r["kind"], r["entity"], r["draw"], key) for r in rows], pa.string())], names=_ASSIGNED.names)
-
-    def made(todo: DataFrame) -> DataFrame:
-        return todo.select("kind", "entity", F.col("draw").cast("long").alias("draw")).mapInArrow(drawn, _ASSIGNED)
-
-    entities = cut(entities.select("kind", "entity"))
-    real = entities.select("kind", F.col("entity").alias("core"))
-    now = cut(made(entities.withColumn("draw", F.lit(0))))
-    for _ in range(MOST_DRAWS):
-        # Of entities with one surrogate the one drawn for the fewest times keeps it, then the first by name.
-        first = now.groupBy("kind", "core").agg(F.min(F.struct("draw", "entity")).alias("keeps"), F.count("*").alias("n")).filter("n > 1")
-        shared = now.join(first, ["kind", "core"]).filter(F.col("entity") != F.col("keeps.entity")).select("kind", "entity", "draw")
-        own = now.join(real, ["kind", "core"], "left_semi").select("kind", "entity", "draw")
-        lost = cut(shared.unionByName(own).distinct())
-        if lost.isEmpty():
-            return now
-        again = made(lost.withColumn("draw", F.col("draw") + 1))
-        now = cut(now.join(lost, ["kind", "entity"], "left_anti").unionByName(again))
-    raise RuntimeError(f"no distinct surrogates after {MOST_DRAWS} draws")
-
-
-def replace_pii(df: DataFrame, text: str = "text", doc_id: str = "doc_id", key: bytes = DEFAULT_KEY) -> DataFrame:
+    return "".join(c.upper() if m.isupper() and len(c.upper()) == 1 else c for m, c in zip(mention, core, strict=True))
+
+
+_MENTIONS = StructType([StructField("entities", ArrayType(StructType([StructField(c, StringType()) for c in ("kind", "entity", "surrogate")])))])
+
+
+def collisions(df: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
+    """kind, surrogate, n: surrogates that several entities of the table share, or that are the entity itself. None are expected: a check over all rows."""
+
+    def found(texts: list) -> list:
+        return [[[{"kind": k, "entity": e, "surrogate": surrogate(k, e, key)} for k, e in dict.fromkeys((k, e) for _, _, k, e in mentions(t))] for t in texts]]
+
+    read = df.filter(likely(F.col(text))).select(F.col(text).alias("t"))
+    every = map_texts(read, "t", [], _MENTIONS, lambda: found).select(F.explode("entities").alias("e")).select("e.*").distinct()
+    shared = every.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.max(F.col("entity") == F.col("surrogate")).alias("own"))
+    return shared.filter("n > 1 OR own").select("kind", "surrogate", "n")
+
+
+def replace_pii(df: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
     """All columns of ``df`` with personal data in ``text`` replaced, and ``pii_kinds``, the kinds of the mentions in order.
 
     A null text stays null, an empty one empty; both have no mentions, as have
@@ -221,37 +260,20 @@ def replace_pii(df: DataFrame, text: str = "text", doc_id: str = "doc_id", key:
     rows = df.select(*names)
     at = names.index(text)
     schema = StructType([*rows.schema.fields, StructField("pii_kinds", ArrayType(StringType()))])
-
-    def found(texts: list) -> list:
-        return [[[{"kind": k, "entity": e} for k, e in dict.fromkeys((k, e) for _, _, k, e in mentions(t))] for t in texts]]
-
-    read = rows.filter(likely(F.col(text))).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("t"))
-    held = map_texts(read, "t", ["id", "hash"], _MENTIONS, lambda: found).filter(F.size("entities") > 0)
-    held = cut(held.select("id", "hash", F.explode("entities").alias("e")).select("id", "hash", "e.*").distinct())
-    assigned = assign(held.select("kind", "entity").distinct(), key)
-    late = assigned.filter("draw > 0")
-    told = {(r["kind"], r["entity"]): r["core"] for r in late.limit(LATE_MOST + 1).collect()}
-    given = rows.withColumn("__likely", likely(F.col(text)))
-    if len(told) > LATE_MOST:
-        told = {}
-        own = held.join(late, ["kind", "entity"]).groupBy(F.col("id").alias("__id"), F.col("hash").alias("__text")).agg(F.collect_list(F.struct("kind", "entity", "core")).alias("__late"))
-        given = given.withColumn("__hash", F.xxhash64(text)).join(own, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left").select(*names, "__likely", "__late")
-    else:
-        given = given.withColumn("__late", F.lit(None).cast(_LATE))
     kinds_type = to_arrow_type(ArrayType(StringType()))
+    ship_package(df.sparkSession)
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(100_000)(lambda kind, entity: surrogate(kind, entity, key))
         for batch in batches:
             for part in slices(batch, at):
                 texts, kinds = [], []
-                for t, may, own in zip(part.column(at).to_pylist(), part["__likely"].to_pylist(), part["__late"].to_pylist(), strict=True):
+                for t, may in zip(part.column(at).to_pylist(), part["__likely"].to_pylist(), strict=True):
                     seen: list[str] = []
                     if may:
-                        known = told | {(c["kind"], c["entity"]): c["core"] for c in own} if own else told
                         pieces, last = [], 0
                         for start, end, kind, entity in mentions(t):
-                            core = known.get((kind, entity)) or surrogate(kind, entity, 0, key)
-                            pieces += [t[last:start], shaped(t[start:end], kind, core)]
+                            pieces += [t[last:start], shaped(t[start:end], kind, known(kind, entity))]
                             last = end
                             seen.append(kind)
                         t = "".join(pieces) + t[last:]
@@ -260,4 +282,4 @@ def replace_pii(df: DataFrame, text: str = "text", doc_id: str = "doc_id", key:
                 columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(part.columns[: len(names)])]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, kinds_type)], names=schema.names)
 
-    return given.mapInArrow(rewritten, schema)
+    return rows.withColumn("__likely", likely(F.col(text))).mapInArrow(rewritten, schema)

@@ -41,7 +41,7 @@ def test_pipeline_matches_plain_stages(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
     for i, t in kept.items():
         for a, z, kind, entity in reversed(pii_surrogates.mentions(t)):
-            t = t[:a] + pii_surrogates.shaped(t[a:z], kind, pii_surrogates.surrogate(kind, entity, 0)) + t[z:]
+            t = t[:a] + pii_surrogates.shaped(t[a:z], kind, pii_surrogates.surrogate(kind, entity)) + t[z:]
         ids = library.encode(t)
         assert got[i].ids == ids and got[i].n_tokens == len(ids) and got[i].decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
     assert mixing.BLOCK_DOCS > 1
