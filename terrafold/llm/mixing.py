@@ -31,21 +31,6 @@ RANK_ROWS = 4_000
 TIMES = 20_000
 
 
-def shares(weights: dict, period: int) -> dict:
-    """Slots of each source in a period: its weight's part, rounded by largest remainder, one at least. For timetables of a fixed length; ``mix`` does not round."""
-    total = sum(weights.values())
-    exact = {s: period * w / total for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (out[s] - exact[s], str(s)))
-    while sum(out.values()) < period:
-        for s in order[: period - sum(out.values())]:
-            out[s] += 1
-    while (over := sum(out.values()) - period) > 0:  # where many small ones were raised to one
-        for s in sorted((s for s in out if out[s] > 1), key=lambda s: (exact[s] - out[s], str(s)))[:over]:
-            out[s] -= 1
-    return out
-
-
 def whole(weights: list[float]) -> list[int]:
     """Whole numbers in exactly the proportions of the weights."""
     parts = [float(w).as_integer_ratio() for w in weights]
@@ -79,31 +64,43 @@ def walk(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int,
             heapq.heappush(waiting, (j * total // weights[i], -(-(j + 1) * total // weights[i]), i, j))
 
 
-def schedule(slots: dict) -> list:
-    """The source of each slot of a period; ``slots``: how many each has, together the period."""
-    names = sorted(slots, key=str)
-    counts = [slots[s] for s in names]
-    return [names[i] for i, *_ in walk(counts, counts)]
-
-
 def weighed(sizes: list[int], given: list[float | None] | None) -> list[float]:
     """The weight of each source: the square roots of the sizes, or what is ``given``, as ``mix`` says."""
     roots = [math.sqrt(n) for n in sizes]
     if given is None:
         return roots
-    own = [w for w in given if w is not None]
+    own = [w for w in given if w]
     mean = math.fsum(own) / len(own) if own else 1.0
     rest = math.fsum(r for r, w in zip(roots, given, strict=True) if w is None)
     return [mean * r / rest if w is None else w for r, w in zip(roots, given, strict=True)]
 
 
+def walk_all(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """``walk`` of the sources with a weight; those without one, whose share is nothing, go after all others, by turns, each block at its own slot."""
+    live = [i for i, w in enumerate(weights) if w]
+    t = 0
+    for i, j, slot, release, due in walk([weights[i] for i in live], [blocks[i] for i in live]):
+        yield live[i], j, slot, release, due
+        t = slot + 1
+    waiting = [i for i, w in enumerate(weights) if not w and blocks[i]]
+    j = 0
+    while waiting:
+        for i in waiting:
+            yield i, j, t, t, t + 1
+            t += 1
+        j += 1
+        waiting = [i for i in waiting if j < blocks[i]]
+
+
 def timetable(sizes: DataFrame, weights: dict | None, block_docs: int) -> DataFrame:
     """key, block (from 0), slot, release, due of all blocks of a table (key, n) of sources and their rows."""
     spark = sizes.sparkSession
     ship_package(spark)
     sources = sizes.withColumn("own", F.lit(None).cast("double"))
     if weights:
-        given = [(None if s is None else str(s), float(w)) for s, w in weights.items() if w and w > 0]
+        given = [(None if s is None else str(s), float(w)) for s, w in weights.items() if w is not None]
+        if bad := [s for s, w in given if not 0 <= w < math.inf]:
+            raise ValueError(f"weights must be finite and not negative: {bad}")
         named = spark.createDataFrame(given, "source string, own double")
         sources = sizes.join(named.select(key_of(F.col("source")).alias("key"), "own"), "key", "left")
     schema = "key string, block long, slot long, release long, due long"
@@ -122,7 +119,7 @@ def timetable(sizes: DataFrame, weights: dict | None, block_docs: int) -> DataFr
 
         sizes_ = table["n"].to_pylist()
         exact = whole(weighed(sizes_, table["own"].to_pylist() if weights else None))
-        for step in walk(exact, [-(-n // block_docs) for n in sizes_]):
+        for step in walk_all(exact, [-(-n // block_docs) for n in sizes_]):
             out.append(step)
             if len(out) == TIMES:
                 yield made()
@@ -138,7 +135,7 @@ def key_of(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def mix(df: DataFrame, weights: dict | None = None, source: str = "source", doc_id: str = "doc_id", seed: int = 5, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def mix(df: DataFrame, weights: dict | None = None, source: str = "source", seed: int = 5, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """All columns of ``df`` with ``mix_slot``, ``mix_place`` (in the block), ``mix_block`` (of the source, from 1), ``mix_release`` and ``mix_due``.
 
     Rows ordered by slot and place are mixed to ``weights`` (by source; if not
@@ -146,8 +143,9 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", doc_
     lasts; slots of a source that has ended are left out. No row is dropped or
     repeated. Null is a source. Every source has a weight, release times and deadlines of its
     own; those that ``weights`` leaves out have the mean weight together, in
-    proportion to the square roots of their sizes. Within a source the order is by a hash of the id, then by
-    all columns, so it is the same in every run. An empty table gives an
+    proportion to the square roots of their sizes. A weight of 0 means no share: such sources come after all others. Negative weights and such
+    that are not finite raise ValueError. Within a source the order is by a hash of
+    all columns, so it is the same in every run and rows without an id spread like others. An empty table gives an
     empty result; columns with the new names are replaced.
     """
     new = ["mix_slot", "mix_place", "mix_block", "mix_release", "mix_due"]
@@ -161,12 +159,12 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", doc_
     times = told(times.select(F.col("key").alias("__s"), F.col("block").alias("__block"), *[F.col(c).alias(f"__{c}") for c in ("slot", "release", "due")]), (all_["blocks"] or 0) <= BLOCKS_TOLD)
 
     # A source is cut by hash into runs of about RANK_ROWS rows: ranks within runs, then the runs before, give ranks.
-    lanes = rows.withColumn("__s", key).withColumn("__h", F.xxhash64(rows[doc_id], F.lit(seed))).join(counts, "__s")
+    lanes = rows.withColumn("__s", key).withColumn("__h", F.xxhash64(*[rows[c] for c in rows.columns], F.lit(seed))).join(counts, "__s")
     run = F.floor(F.shiftrightunsigned("__h", 33) * F.ceil(F.col("__n") / RANK_ROWS) / F.lit(1 << 31)).cast("long")
     lanes = lanes.withColumn("__run", run)
     before = lanes.groupBy("__s", "__run").agg(F.count("*").alias("n"))
     before = before.select("__s", "__run", (F.sum("n").over(Window.partitionBy("__s").orderBy("__run")) - F.col("n")).alias("__before"))
-    order = Window.partitionBy("__s", "__run").orderBy("__h", F.xxhash64(*rows.columns))
+    order = Window.partitionBy("__s", "__run").orderBy("__h")
     ranked = lanes.withColumn("__rn", F.row_number().over(order)).join(before, ["__s", "__run"])
     rank = F.col("__before") + F.col("__rn") - 1
     placed = ranked.withColumn("__block", F.floor(rank / block_docs).cast("long")).withColumn("__place", rank % block_docs)

@@ -265,13 +265,24 @@ def test_media_of_texts_come_back(spark):
 def test_schedule_stays_within_one_block():
     rnd = random.Random(4)
     for _ in range(30):
-        weights = {f"s{i}": rnd.random() ** 3 + 1e-4 for i in range(rnd.randint(1, 30))}
-        slots = mixing.shares(weights, 1000)
-        assert sum(slots.values()) == 1000 and min(slots.values()) >= 1
-        seen: Counter = Counter()
-        for t, s in enumerate(mixing.schedule(slots), 1):
-            seen[s] += 1
-            assert all(abs(seen[x] - t * a / 1000) < 1 for x, a in slots.items())
+        weights = mixing.whole([rnd.random() ** 3 + 1e-4 for _ in range(rnd.randint(1, 30))])
+        seen, total = Counter(), sum(weights)
+        for t, (i, *_) in enumerate(mixing.walk(weights, [5000 * w // total + 1 for w in weights]), 1):
+            seen[i] += 1
+            if t <= 3000:
+                assert all(abs(seen[x] * total - t * w) < total for x, w in enumerate(weights))
+
+
+def test_weights_of_nothing_and_bad_ones(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(200)] + [(i, "c") for i in range(7)], "doc_id long, source string")
+    got = mixing.mix(df, {"a": 1.0, "b": 0.0, "c": 0}, block_docs=1).collect()
+    order = [r.source for r in sorted(got, key=lambda r: r.mix_slot)]
+    assert set(order[:100]) == {"a"} and order[100:104] == ["b", "c", "b", "c"] and len({r.mix_slot for r in got}) == 207
+    assert all(r.mix_release <= r.mix_slot < r.mix_due for r in got)
+    assert mixing.mix(df, {"a": 0.0, "b": 0.0, "c": 0.0}).count() == 207
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.mix(df, {"a": bad})
 
 
 def test_mix_places_every_row_once(spark, monkeypatch):
