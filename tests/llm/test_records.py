@@ -1,6 +1,7 @@
 """Neighbours, near-duplicates, archives, media, mixing, surrogates, and the pipeline, with odd rows."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -212,15 +213,42 @@ def test_arc_records_become_warc(version):
     data = warc_convert.arc_archive(records, version)
     read = list(warc_convert.read_arc(data))
     assert [r["body"] for r in read] == [http, b""] and read[0]["url"] == "http://a%20b/%0A" and ("result" in read[0]) == (version == 2)
-    assert len(list(warc_convert.read_arc(data[:-20]))) < 2 and list(warc_convert.read_arc(b"")) == []
-    text = "".join(warc_convert.warc_record(r, f"at{i}", str(i)) + "\r\n\r\n" for i, r in enumerate(read))
-    first, second = warc_convert.read_warc(text.encode())
+    assert list(warc_convert.read_arc(b"")) == []
+    raw = b"".join(warc_convert.warc_record(r, f"at{i}", str(i)) for i, r in enumerate(read))
+    first, second = warc_convert.read_warc(raw)
     assert first["warc-type"] == "response" and second["warc-type"] == "resource" and first["warc-date"] == "2019-01-02T03:04:05Z"
     payload = "<p>é</p>\r\n\r\nmore".encode()
     assert first["block"] == http and first["warc-payload-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
     assert first["warc-record-id"] != second["warc-record-id"] and first["warc-record-id"].startswith("<urn:uuid:")
 
 
+def test_stored_arc_files_are_read_and_converted(spark, tmp_path):
+    image = b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n" + bytes(range(256)) * 20 + b"\0" * 9
+    old = [{"url": "http://a/i.png", "ip": "1.2.3.4", "date": "199901020304", "type": "image/png", "body": image}, {"url": "http://a/l", "ip": "1.2.3.4", "date": "19990102030405", "type": "text/html", "body": "caf\xe9".encode("latin-1")}]
+    one, two = warc_convert.arc_archive(old, 1), warc_convert.arc_archive(old, 2)
+    bad = one.replace(b" 199901020304 ", b" 199913020304 ") + b"http://b/ 1.2.3.4 19990102030405 text/html 99999\nshort\nno header at all\nhttp://c/ 1.2.3.4 19990102030405 text/html 4\nlast\n"
+    for name, data in {"v1.arc": one, "v2.arc.gz": gzip.compress(two), "bad.arc": bad, "broken.arc.gz": gzip.compress(two)[:100], "none.arc": b""}.items():
+        (tmp_path / name).write_bytes(data)
+    rows = warc_convert.read_arc_files(spark, str(tmp_path)).collect()
+    by = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.at):
+        by[r.file].append(r)
+    payload = image.split(b"\r\n\r\n", 1)[1]
+    for name in ("v1.arc", "v2.arc.gz"):
+        assert [bytes(r.body) for r in by[name]] == [image, "caf\xe9".encode("latin-1")] and by[name][0].payload_digest == hashlib.sha1(payload).hexdigest() and not by[name][0].reason
+    assert [r.reason for r in by["bad.arc"]] == ["date", None, "length", None] and bytes(by["bad.arc"][-1].body) == b"last" and [r.reason for r in by["broken.arc.gz"]] == ["gzip"]
+    out = scratch_path(spark, "warc")
+    good = warc_convert.read_arc_files(spark, str(tmp_path), bodies=False).filter("reason IS NULL")
+    warc_convert.convert_files(spark, str(tmp_path), out, warc_convert.revisits(good))
+    raw = [bytes(r.content) for r in spark.read.format("binaryFile").load(out).collect()]
+    found = [r for data in raw for r in warc_convert.read_warc(data)]
+    assert len(found) == 6 and {r["warc-date"] for r in found} == {"1999-01-02T03:04:00Z", "1999-01-02T03:04:05Z"} and sum(r["block"] == image for r in found) == 2
+    for data in raw:
+        members = zlib.decompressobj(31)
+        assert members.decompress(data).startswith(b"WARC/1.0") and members.decompress(b"") == b""
+    assert warc_convert.read_archives(spark, out).filter(F.col("payload_digest") == hashlib.sha1(payload).hexdigest()).count() == 2
+
+
 def test_pages_round_trip(spark):
     big = "<p>é" + "x" * 2000 + "</p>\r\n\r\n"
     rows = [(1, "http://a/", big), (7, "http://b b/", big), (3, None, big), (4, "http://c/", "short"), (5, "http://d/", "short"), (6, "", None), (8, "u", ""), (9, "u", "HTTP/1.1 404 x\r\n\r\n" + "y" * 5000), (10, "u", "z" * 300_000), (12, "http://e/", "q" * 999), (13, "http://e/", "q" * 999), (7, "http://b b/", big), (None, "n", big)]
