@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Keys that are split, at most: one is if it holds more than this part of all rows, so there are fewer of them than that.
 KEYS_SPLIT = 4096
 #: Rows of a key that are never too many.
-ROWS_LEAST = 2000
+ROWS_LEAST = 500
 
 
 def join_split(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame, total: int) -> DataFrame:

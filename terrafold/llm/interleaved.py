@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from terrafold.llm.arrow_map import map_texts, slices
-from terrafold.session import ship_package
+from terrafold.llm.hot_keys import join_split
+from terrafold.session import cut, ship_package
 
 #: Samples of an image: rows of WIDTH, a multiple of UNIT in all, padded with PAD.
 WIDTH, UNIT, PAD = 24, 576, b"\xff"
@@ -32,7 +33,18 @@ ITEMS = StructType([StructField("items", ArrayType(StructType([
 ])))])
 _TEXT_ENDS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "tr", "section", "article", "blockquote", "ul", "ol", "table", "nav", "title"}
 _MEDIA = {"img", "video", "audio", "source", "embed"}
-_SKIPPED = {"script", "style", "template", "noscript"}
+_SKIPPED = {"script", "style"}
+
+
+def references(tag: str, given: dict) -> list[str]:
+    """What a media element refers to: its source, where that is put off or chosen by size the later or first one; and the still of a video."""
+    source = given.get("src")
+    if not source or (source.startswith("data:") and given.get("data-src")):
+        source = given.get("data-src") or source
+    if not source and given.get("srcset", given.get("data-srcset")):
+        source = (given.get("srcset") or given["data-srcset"]).split(",")[0].split()[0:1]
+        source = source[0] if source else None
+    return [x for x in (source, given.get("poster") if tag == "video" else None) if x]
 
 
 class _Sequence(HTMLParser):
@@ -40,7 +52,8 @@ class _Sequence(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.skipping: list[str] = []
+        self.skipping = 0
+        self.templates: list[int] = []
         self.figure: int | None = None
         self.caption: list[str] | None = None
 
@@ -50,49 +63,76 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
+    def end_caption(self) -> None:
+        """The caption goes to the media of its figure; if there is none it is text like other."""
+        if self.caption is None:
+            return
+        words, self.caption = self.caption, None
+        text = " ".join(" ".join(words).split())
+        media = [i for i in self.items[self.figure if self.figure is not None else len(self.items) :] if i["kind"] == "media"]
+        for item in media:
+            item["caption"] = text or item["caption"]
+        if not media:
+            self.words += words
+            self.flush()
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.flush()
+        self.figure = None
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _SKIPPED:
-            self.skipping.append(tag)
-        elif tag in _MEDIA and not self.skipping:
+            self.skipping += 1
+        elif tag == "template":
+            self.flush()
+            self.templates.append(len(self.items))
+        elif tag in _MEDIA:
             given = dict(attrs)
-            if given.get("src"):
+            for ref in references(tag, given):
                 self.flush()
-                self.items.append({"kind": "media", "text": None, "ref": given["src"], "caption": given.get("alt") or None})
+                self.items.append({"kind": "media", "text": None, "ref": ref, "caption": given.get("alt") or None})
         elif tag == "figure":
-            self.flush()
+            self.end_figure()
             self.figure = len(self.items)
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
-        elif tag in _TEXT_ENDS:
+        elif tag in _TEXT_ENDS and self.caption is None:
             self.flush()
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skipping and tag == self.skipping[-1]:
-            self.skipping.pop()
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join(" ".join(self.caption).split())
-            self.caption = None
-            for item in self.items[self.figure if self.figure is not None else len(self.items) :]:
-                if item["kind"] == "media" and text:
-                    item["caption"] = text
-        elif tag == "figure":
+        if tag in _SKIPPED:
+            self.skipping = max(0, self.skipping - 1)
+        elif tag == "template" and self.templates:
             self.flush()
-            self.figure = None
-        elif tag in _TEXT_ENDS:
+            del self.items[self.templates.pop() :]
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure":
+            self.end_figure()
+        elif tag in _TEXT_ENDS and self.caption is None:
             self.flush()
 
     def handle_data(self, data: str) -> None:
         if not self.skipping:
             (self.words if self.caption is None else self.caption).append(data)
 
+    def end(self) -> None:
+        """What is still open at the end of a page is closed there; a template that never ends is no template."""
+        self.end_figure()
+
 
 def sequence(html: str | None) -> list[dict]:
-    """The items of a page in order; of a figure its caption goes to the media in it, else a media's own alternative text does."""
+    """The items of a page in order; of a figure its caption goes to the media in it, else a media's own alternative text does.
+
+    Elements that never end lose no text: a caption ends with its figure or with the page, and a
+    template without end is read as if it were not there. Only what scripts and styles hold is left out."""
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
-    parser.flush()
+    parser.end()
     return [item | {"position": i} for i, item in enumerate(parser.items)]
 
 
@@ -157,11 +197,15 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("media").mapInArrow(measure, _STORED).dropDuplicates(["media_sha256"])
 
 
-def resolve(sequences: DataFrame, store: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """One row for each item, in place: what a reference by digest names in ``store``, joined on the digest; null where it has no such media."""
+def resolve(sequences: DataFrame, store: DataFrame, keep: tuple[str, ...] = ("page_id",), media_only: bool = False) -> DataFrame:
+    """One row for each item, in place: what a reference by digest names in ``store``, joined on the digest; null where it has no such media. A digest that very many items name is dealt into parts."""
     items = sequences.select(*keep, F.explode("items").alias("item")).select(*keep, "item.*")
-    by_digest = items.withColumn("digest", F.when(F.startswith("ref", F.lit(SCHEME)), F.substring("ref", len(SCHEME) + 1, 64)))
-    return by_digest.join(store, by_digest["digest"] == store["media_sha256"], "left").drop("digest")
+    items = items.filter("kind = 'media'") if media_only else items
+    named = F.when(F.startswith("ref", F.lit(SCHEME)), F.substring("ref", len(SCHEME) + 1, 64))
+    items = cut(items.withColumn("__digest", F.coalesce(named, F.lit(""))))
+    sizes = cut(items.groupBy("__digest").agg(F.count("*").alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    return join_split(items, store.withColumn("__digest", F.col("media_sha256")), "__digest", sizes, total).drop("__digest")
 
 
 def page_of(doc_id: Column, digest: Column) -> Column:
@@ -181,5 +225,5 @@ def media_documents(df: DataFrame, path: str, text: str = "text", doc_id: str =
     given = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     given.select(image_of(F.col("text")).alias("media")).write.option("compression", "zstd").parquet(path)
     pages = given.select("doc_id", page_of(F.col("doc_id"), F.sha2(image_of(F.col("text")), 256)).alias("html"))
-    shown = resolve(interleave(pages, "html", ("doc_id",)), read_store(df.sparkSession, path), ("doc_id",)).filter("kind = 'media'")
+    shown = resolve(interleave(pages, "html", ("doc_id",)), read_store(df.sparkSession, path), ("doc_id",), media_only=True)
     return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

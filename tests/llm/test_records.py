@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from terrafold.llm import ann_forest, interleaved, mixing, pii_surrogates, simhash_index, warc_convert
+from terrafold.llm import ann_forest, hot_keys, interleaved, mixing, pii_surrogates, simhash_index, warc_convert
 from terrafold.session import scratch_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -270,10 +270,34 @@ def test_pages_are_sequences():
     html = '<title>T</title><script>var a="<p>"</script><p>One <b>two</b><img src="a.png" alt="A">three</p><figure><img src="b.png" alt="no"><img src="c.png"><figcaption>Cap <i>tion</i></figcaption></figure>tail &amp; end'
     got = [(i["position"], i["kind"], i["text"], i["ref"], i["caption"]) for i in interleaved.sequence(html)]
     assert got == [(0, "text", "T", None, None), (1, "text", "One two", None, None), (2, "media", None, "a.png", "A"), (3, "text", "three", None, None), (4, "media", None, "b.png", "Cap tion"), (5, "media", None, "c.png", "Cap tion"), (6, "text", "tail & end", None, None)]
-    assert interleaved.sequence(None) == [] and interleaved.sequence("<img><figcaption>x") == []
-
-
-def test_media_of_texts_come_back(spark):
+    assert interleaved.sequence(None) == [] and [i["text"] for i in interleaved.sequence("<img><figcaption>x")] == ["x"]
+
+
+@pytest.mark.parametrize(
+    "html, expected",
+    [
+        ("<figure><img src=x><figcaption>cap</figure><p>kept text</p>", [("x", "cap"), "kept text"]),
+        ("<figure><img src=x><figcaption>cap<p>more", [("x", "cap more")]),
+        ("<p>a</p><template><p>kept", ["a", "kept"]), ("<p>a<template><img src=y><p>no</template>b", ["a", "b"]), ("<noscript><img src=z>t", [("z", None), "t"]),
+        ("<script>no</script>yes<style>p{}</style>", ["yes"]), ("<img srcset='s1 1x, s2 2x'><img data-src=late src=data:x><video src=v poster=p></video>", [("s1", None), ("late", None), ("v", None), ("p", None)]),
+        ("<figure><figcaption>alone</figcaption></figure>x", ["alone", "x"]), ("</template></figure></figcaption>text", ["text"]),
+    ],
+)
+def test_no_text_is_lost_in_odd_pages(html, expected):
+    assert [i["text"] or (i["ref"], i["caption"]) for i in interleaved.sequence(html)] == expected
+
+
+def plain_feature(samples):
+    edges = [k * len(samples) // 64 for k in range(65)]
+    mean = sum(samples) / len(samples)
+    bits = "".join("1" if sum(samples[a:z]) * len(samples) > sum(samples) * (z - a) else "0" for a, z in zip(edges, edges[1:], strict=False))
+    spread = (sum(x * x for x in samples) / len(samples) - mean * mean) ** 0.5
+    return f"{int(bits, 2):016x}:{mean:.3f}:{spread:.3f}"
+
+
+@pytest.mark.parametrize("least", [500, 1])
+def test_media_of_texts_come_back(spark, monkeypatch, least):
+    monkeypatch.setattr(hot_keys, "ROWS_LEAST", least)
     texts = [None, "", "a" * 575, "b" * 576, "é" * 400, "c" * 100_000, "c" * 100_000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "x")], "doc_id long, text string").selectExpr("*", "1 AS media", "2 AS digest")
     got = interleaved.media_documents(df, scratch_path(spark, "media")).collect()
@@ -283,7 +307,7 @@ def test_media_of_texts_come_back(spark):
         padded = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         image = b"P5\n24 %d\n255\n" % (len(padded) // 24) + padded
         assert tuple(r)[:7] == (r.doc_id, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]), len(image), hashlib.sha256(image).hexdigest())
-        assert r.position == 1 and r.caption == f"text of document {'without id' if r.doc_id is None else r.doc_id}" and r.feature == interleaved.feature_of(padded)
+        assert r.position == 1 and r.caption == f"text of document {'without id' if r.doc_id is None else r.doc_id}" and r.feature == plain_feature(padded)
     assert interleaved.media_documents(df.limit(0), scratch_path(spark, "media")).count() == 0
 
 
