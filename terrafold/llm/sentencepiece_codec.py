@@ -21,8 +21,9 @@ from terrafold.llm.arrow_map import map_texts
 MARK = "▁"
 _CHUNK = re.compile(" *[^ ]+| +")
 _SPLIT_PIECE = re.compile(f"[^{MARK}]{MARK}")
-#: Distinct words kept from slice to slice; the table starts anew beyond it.
-TABLE_WORDS = 60_000
+#: Bytes, about, of the words kept from slice to slice with their ids; the table starts anew beyond it. A word of more
+#: characters than WORD_MOST (a line without spaces, a packed file) is kept for its slice only.
+TABLE_BYTES, WORD_MOST = 48 << 20, 256
 #: Bytes of text in a slice: its distinct words and ids are Python objects, many times as large.
 SLICE_BYTES = 2 << 20
 
@@ -46,14 +47,21 @@ class ChunkTable:
         # Only a model that keeps text as it is, but for a marker put before it, can be read word by word.
         probe = " a  b ﬁ "
         self.apart &= self.library.decode(self.library.encode(probe)) == probe and self.library.encode("a") == self.library.encode("a b")[:1]
+        self.clear()
+
+    def clear(self) -> None:
         self.ids: dict[str, list[int]] = {}
         self.text: dict[str, str] = {}
         self.back: dict[str, str] = {}
+        self.held, self.long = 0, []
 
     def learn(self, words: set[str]) -> None:
         """Segment the words that the table lacks, all in one call."""
-        if len(self.ids) > TABLE_WORDS:
-            self.ids, self.text, self.back = {}, {}, {}
+        for w in self.long:
+            del self.ids[w], self.text[w], self.back[w]
+        self.long = []
+        if self.held > TABLE_BYTES:
+            self.clear()
         new = [w for w in words if w not in self.ids]
         # The library itself puts a marker before a text, so each word goes without its first.
         bare = [w[1:] for w in new]
@@ -62,6 +70,10 @@ class ChunkTable:
                 ids = [self.library.piece_to_id(MARK)]
             self.ids[w] = ids
             self.text[w] = ",".join(map(str, ids))
+            if len(w) > WORD_MOST:
+                self.long.append(w)
+            else:
+                self.held += 500 + 3 * len(w) + 46 * len(ids)
         if not new:
             return
         # Words are decoded many at a time, each lot as one text; of a lot that does not come back as it was each word is decoded alone.
