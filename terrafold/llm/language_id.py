@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-A letter has a random vector of ones and minus ones. Three letters in a row are
+Every letter of every script has a random vector of ones and minus ones of its own. Three letters in a row are
 bound into one vector, each letter's vector rotated by its place, and the
 vectors of all such runs of a text, or of all texts of a language, are bundled by
 adding. A text gets the language whose bundle lies at the smallest angle.
@@ -21,51 +21,68 @@ from terrafold.session import ship_package
 
 #: Components of a vector.
 WIDTH = 512
-#: Labelled rows, about, that the languages are learned from, chosen by a hash of the id.
-TRAIN_ROWS = 20_000
-#: Letter classes: none, a to z, and 37 that all other letters share by code point.
-CLASSES, OTHERS = 64, 37
+#: Labelled rows, about, that each language is learned from, chosen by a hash of the id: of a rare language all.
+TRAIN_ROWS = 5_000
+#: Run vectors that a task keeps.
+RUNS_KEPT = 60_000
+#: Characters of a long text that are read at once.
+CHARS = 1 << 20
 UNKNOWN = "und"
 
 
-def letter_classes() -> np.ndarray:
-    """The class of each code point, 0 where it is no letter; both cases of a letter have one class."""
-    out = np.zeros(0x110000, np.int64)
-    for point in range(0x110000):
-        c = chr(point)
-        if c.isalpha():
-            low = ord(c.lower()[0])
-            out[point] = low - 96 if 97 <= low <= 122 else 27 + low % OTHERS
-    return out
+def letters_of(text: str) -> np.ndarray:
+    """The letters of a text as code points in lower case, 0 for each run of other characters, one at either end; empty if there is no letter."""
+    points = np.frombuffer("".join(c if len(c) == 1 else c[0] for c in map(str.lower, text)).encode("utf-32-le") if not text.isascii() else text.lower().encode("utf-32-le"), np.uint32).astype(np.int64)
+    low = points < 128
+    letter = (points >= 97) & (points <= 122)
+    if not low.all():
+        some = np.unique(points[~low])
+        letter |= np.isin(points, some[[chr(x).isalpha() for x in some.tolist()]])
+    if not letter.any():
+        return np.zeros(0, np.int64)
+    c = np.concatenate([[0], np.where(letter, points, 0), [0]])
+    keep = np.ones(len(c), bool)
+    keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
+    return c[keep]
 
 
 class Profiles:
-    """Run vectors, made as they are met; a run is a number below CLASSES ** 3."""
+    """Run vectors, made as they are met; a run is three code points of 21 bits each."""
 
     def __init__(self, seed: int = 11):
-        letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), size=(CLASSES, WIDTH))
-        self.by_place = [np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters]
-        self.classes = letter_classes()
-        self.row = np.full(CLASSES**3, -1, np.int64)
-        self.vectors = np.zeros((0, WIDTH), np.int8)
+        self.seed, self.letters = seed, {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.vectors = np.zeros(0, np.int64), np.zeros((0, WIDTH), np.int8)
+
+    def letter(self, point: int) -> np.ndarray:
+        """The vector of a letter, from the seed and its code point: the same in every task."""
+        if point not in self.letters:
+            self.letters[point] = np.random.default_rng([self.seed, point]).choice(np.array([-1, 1], np.int8), WIDTH)
+        return self.letters[point]
 
     def runs(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct runs of three in a text, other characters squeezed to one break, and their counts."""
-        c = self.classes[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-        if not c.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        c = np.concatenate([[0], c, [0]])
-        keep = np.ones(len(c), bool)
-        keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
-        c = c[keep]
-        return np.unique((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], return_counts=True)
+        """Distinct runs of three in a text, other characters squeezed to one break, and their counts. A long text is read piece by piece."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for a in range(0, len(text), CHARS):
+            c = letters_of(text[a : a + CHARS])
+            found.append(np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:], return_counts=True))
+        if len(found) < 2:
+            return found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        runs, at = np.unique(np.concatenate([r for r, _ in found]), return_inverse=True)
+        return runs, np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64)
 
     def bundle(self, runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        if (new := runs[self.row[runs] < 0]).size:
-            a, b, c = self.by_place
-            self.row[new] = len(self.vectors) + np.arange(len(new))
-            self.vectors = np.concatenate([self.vectors, a[new // CLASSES**2] * b[new // CLASSES % CLASSES] * c[new % CLASSES]])
-        return np.einsum("i,ij->j", counts.astype(np.float32), self.vectors[self.row[runs]])
+        if len(self.known) > RUNS_KEPT:
+            self.clear()
+        new = np.setdiff1d(runs, self.known, assume_unique=True)
+        if new.size:
+            parts = [np.stack([np.roll(self.letter(x), turn) for x in ((new >> shift) & 0x1FFFFF).tolist()]) for shift, turn in ((42, 2), (21, 1), (0, 0))]
+            known = np.concatenate([self.known, new])
+            order = np.argsort(known, kind="stable")
+            self.known, self.vectors = known[order], np.concatenate([self.vectors, parts[0] * parts[1] * parts[2]])[order]
+        return counts.astype(np.float32) @ self.vectors[np.searchsorted(self.known, runs)]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -74,13 +91,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their unit bundles, from about ``rows`` labelled rows that are not held out."""
+    """Languages and their unit bundles, from about ``rows`` labelled rows of each that are not held out: a sample of bounded size a language, all rows of one that has no more."""
     ship_package(df.sparkSession)
     known = df.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     known = known.filter(F.col("id").isNotNull() & ~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = known.count()
-    if n > rows:
-        known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+    # One row a language.
+    rates = known.groupBy("lang").agg((F.lit(float(rows)) / F.count("*") * (1 << 30)).alias("most"))
+    known = known.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("most"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, total = Profiles(), {}

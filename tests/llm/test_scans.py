@@ -103,13 +103,43 @@ def test_languages_on_rows_held_out(spark):
     assert none[0].lang_pred == "und" and language_id.language_report(odd.limit(0)).count() == 0
 
 
+def plain_language(model, text):
+    """The nearest language of a text, letter by letter."""
+    p, (names, bundles) = language_id.Profiles(), model
+    c = re.sub(r"\0+", "\0", "\0" + "".join(x.lower()[0] if x.lower()[0].isalpha() else "\0" for x in text) + "\0")
+    if not c.strip("\0"):
+        return "und", 0.0
+    v = sum(np.roll(p.letter(ord(a)), 2).astype(int) * np.roll(p.letter(ord(b)), 1) * p.letter(ord(d)) for a, b, d in zip(c, c[1:], c[2:], strict=False))
+    cosine = [float(b @ v / np.linalg.norm(v)) for b in bundles]
+    return names[int(np.argmax(cosine))], min(1.0, max(0.0, max(cosine)))
+
+
+def test_languages_match_letter_by_letter(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(10**6 + i, t, "x", "x", 1) for i, t in enumerate(["Ünïcödé 12 ßt", "漢字 かな", "ab", "İstanbul ΑΘΗΝΑ"])], SCHEMA)
+    model = language_id.learn(docs)
+    texts = {r.doc_id: r.text or "" for r in docs.limit(60).collect() + odd.collect()}
+    for kept in (60_000, 50):
+        monkeypatch.setattr(language_id, "RUNS_KEPT", kept)
+        got = {r.doc_id: r for r in language_id.identify(docs.unionByName(odd), model).collect()}
+        for i, t in texts.items():
+            name, score = plain_language(model, t)
+            assert got[i].lang_pred == name and abs(got[i].score - score) < 1e-4
+
+
+def test_rare_languages_are_learned_whole(spark):
+    rows = [(i, f"the word and the other {i}", "en", "a", 1) for i in range(4000)] + [(10**5 + i, "жил был у бабушки серенький козлик", "ru", "a", 1) for i in range(8)]
+    names, bundles = language_id.learn(spark.createDataFrame(rows, SCHEMA), rows=100)
+    assert names == ["en", "ru"] and np.allclose(np.linalg.norm(bundles, axis=1), 1)
+    assert language_id.identify(spark.createDataFrame([(1, "у бабушки козлик")], "doc_id long, text string"), (names, bundles)).first().lang_pred == "ru"
+
+
 def test_language_run_vectors_are_bound_letters():
     p = language_id.Profiles()
     runs, counts = p.runs("Ab, ab")
     assert counts.sum() == 4 + 1  # breaks before, between and after
     v = p.bundle(runs, counts)
-    a, b, c = p.by_place
-    plain = sum(int(n) * a[r // 4096].astype(int) * b[r // 64 % 64] * c[r % 64] for r, n in zip(runs.tolist(), counts.tolist(), strict=True))
+    plain = sum(int(n) * np.roll(p.letter(r >> 42), 2).astype(int) * np.roll(p.letter(r >> 21 & 0x1FFFFF), 1) * p.letter(r & 0x1FFFFF) for r, n in zip(runs.tolist(), counts.tolist(), strict=True))
     assert (v == plain).all() and not len(p.runs("12 ,")[0])
 
 
