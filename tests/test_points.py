@@ -229,6 +229,38 @@ def test_stamps(spark):
     assert timeseries.nearest_offsets(ref.filter("seq = 2"), one, "topic").first().offset == 300
 
 
+@pytest.mark.parametrize("run", [50, 1 << 40])
+def test_streams_cut_into_runs_are_as_whole(spark, run):
+    rng = np.random.default_rng(14)
+    t = np.sort(rng.integers(0, 3000, 400)).tolist()
+    r = spark.createDataFrame([(i, x, "a") for i, x in enumerate(t)] + [(9000, 5, None)], "seq long, stamp_us long, topic string")
+    o = spark.createDataFrame([(i, int(x), "a", float(x)) for i, x in enumerate(rng.choice([*range(0, 900), *range(2000, 2100)], 60, replace=False))] + [(70, 7, None, 7.0)], "seq long, stamp_us long, topic string, v double")
+    stamps = np.array(sorted(x.stamp_us for x in o.filter("topic = 'a'").collect()))
+    got = {x.key: x.other_stamp for x in timeseries.nearest_offsets(r, o, "topic", run=run).collect()}
+    last = {x.key: x.v for x in timeseries.latest_value(r, o, "topic", "v", run=run).collect()}
+    assert got.pop(9000) == 7 and last.pop(9000) is None
+    for i, x in enumerate(t):
+        assert got[i] == min(stamps.tolist(), key=lambda s: (abs(s - x), s))
+        before = stamps[stamps <= x]
+        assert last[i] == (float(before[-1]) if len(before) else None)
+    rolled = timeseries.in_runs(r.filter("topic = 'a'"), "topic", "seq", 4, 10)
+    parts = rolled[0].withColumn("own", rolled[1]).collect()
+    assert sorted(p.seq for p in parts if p.own) == list(range(400)) and sum(not p.own for p in parts) == 39 * 4
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(timeseries, "SKETCH", 20)
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(0, 1, 3000), np.zeros(800), rng.exponential(1e6, 200)])
+    rows = [(int(k % 3), float(v)) for k, v in enumerate(x)] + [(7, 1.5), (8, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r.g: r for r in timeseries.quantiles(df, ("g",), {"a": (F.col("v"), 0.5), "b": (F.abs("v"), 0.95), "c": (F.col("v"), 0.0), "d": (F.col("v"), 1.0)}).collect()}
+    for g in range(3):
+        v = x[g::3]
+        assert np.allclose([got[g].a, got[g].b, got[g].c, got[g].d], [np.quantile(v, 0.5), np.quantile(np.abs(v), 0.95), v.min(), v.max()], rtol=1e-12)
+    assert got[7].a == got[7].b == 1.5 and 8 not in got
+
+
 def test_suppression_and_masks(spark):
     boxes = spark.createDataFrame([(1, 0, 1, 0.9, 0, 0, 10, 10), (1, 1, 2, 0.8, 1, 1, 10, 10), (1, 2, 3, 0.7, 30, 30, 5, 5), (2, 3, 1, 0.5, 0, 0, 10, 10)], "image_id long, det_idx long, class_id int, confidence double, x int, y int, w int, h int")
     assert sorted(r.det_idx for r in camera.suppress(boxes, 0.45).collect()) == [0, 2, 3]
