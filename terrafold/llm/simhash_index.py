@@ -29,8 +29,8 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 FANOUT = 8
 #: Node pairs that are looked at together.
 PAIRS_AT_ONCE = 4096
-#: Rows of a range, about, that one task call indexes.
-RANGE_ROWS = 50_000
+#: Rows of a range, about, that one task call indexes, and of a first block that is dealt by its second one.
+RANGE_ROWS, BLOCK_ROWS = 8192, 50_000
 #: Bytes of a long text that are hashed together.
 TEXT_BYTES = 4 << 20
 
@@ -158,7 +158,7 @@ def _turned(fp: Column, by: int) -> Column:
 def links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (src, dst) between the ``node`` values of a table (lane, fp, node): pairs of fingerprints of one lane within the distance, enough to connect all that are.
 
-    The fingerprints of a lane are distinct. A first block with more than RANGE_ROWS codes is dealt by its second one: a code then goes to its own
+    The fingerprints of a lane are distinct. A first block with more than BLOCK_ROWS codes is dealt by its second one: a code then goes to its own
     second block and to those that lack one of its bits, so that two which differ in one bit there meet once.
     """
     ship_package(points.sparkSession)
@@ -173,10 +173,10 @@ def links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
     gray = F.col("first")
     for s in (1, 2, 4, 8):
         gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, s))
-    before = F.sum(F.when(F.col("n") <= RANGE_ROWS, F.col("n")).otherwise(0)).over(Window.partitionBy("lane", "turn").orderBy("gray"))
-    ranges = sizes.withColumn("gray", gray).select("lane", "turn", "first", F.floor(before / RANGE_ROWS).cast("long").alias("range"), F.when(F.col("n") > RANGE_ROWS, F.ceil(F.col("n") * 8 / RANGE_ROWS)).alias("parts"))
+    before = F.sum(F.when(F.col("n") <= BLOCK_ROWS, F.col("n")).otherwise(0)).over(Window.partitionBy("lane", "turn").orderBy("gray"))
+    ranges = sizes.withColumn("gray", gray).select("lane", "turn", "first", F.floor(before / RANGE_ROWS).cast("long").alias("range"), F.when(F.col("n") > BLOCK_ROWS, F.ceil(F.col("n") * 8 / BLOCK_ROWS)).alias("parts"))
     placed = rows.join(F.broadcast(ranges), ["lane", "turn", "first"])
-    if sizes.filter(F.col("n") > RANGE_ROWS).isEmpty():
+    if sizes.filter(F.col("n") > BLOCK_ROWS).isEmpty():
         dealt = placed.select("lane", "turn", "range", "code", "node")
     else:
         second = F.expr(f"shiftrightunsigned(code, 64 - element_at(array({', '.join(str(width[t] + width[(t + 1) % b]) for t in range(b))}), turn + 1))")

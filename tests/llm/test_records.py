@@ -152,6 +152,7 @@ def test_upper_nodes_prune_whole_groups(monkeypatch):
 @pytest.mark.parametrize("rows", [50_000, 8])
 def test_links_are_whole_where_first_blocks_are_split(spark, monkeypatch, rows):
     monkeypatch.setattr(simhash_index, "RANGE_ROWS", rows)
+    monkeypatch.setattr(simhash_index, "BLOCK_ROWS", rows)
     every = spread(4, 200)
     df = spark.createDataFrame([(0, int(c), i) for i, c in enumerate(every.view(np.int64))], "lane int, fp long, node long")
     edges = [(r.src, r.dst) for r in simhash_index.links(df).collect()]
