@@ -256,3 +256,17 @@ def class_color(class_id: Column) -> dict[str, Column]:
 def corner(center: list[Column], extent: list[Column], number: Column) -> list[Column]:
     """Corner 0 to 7 of an axis-aligned box: bit i of the number says on which side of axis i."""
     return [c + e / 2 * (2 * F.shiftright(number, i).bitwiseAND(F.lit(1)) - 1) for i, (c, e) in enumerate(zip(center, extent, strict=True))]
+
+
+def ramp(value: Column, low: Column, high: Column) -> Column:
+    """Where a value lies between two others, from 0 to 1."""
+    return clipped(F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0)), 0.0, 1.0)
+
+
+#: The part of a turn by which one number's hue lies from the next one's.
+GOLDEN = 0.618033988749895
+
+
+def golden_hue(number: Column) -> Column:
+    """A hue from 0 to 1 for each number; near numbers have hues far apart."""
+    return (number * GOLDEN) % 1.0

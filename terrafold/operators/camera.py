@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,10 +94,42 @@ def best_class(candidates: DataFrame, scores: str, threshold: float) -> DataFram
 
 
 def class_map(boxes: DataFrame, by: str = "image_id") -> DataFrame:
-    """(image, v, u, class_id, confidence) of all pixels that boxes cover: the most confident wins, the earlier of equals."""
-    rows = boxes.filter("w > 0 AND h > 0").withColumn("v", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1))).withColumn("u", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1)))
-    best = rows.groupBy(by, "v", "u").agg(F.max_by(F.struct("class_id", "confidence"), F.struct("confidence", -F.col("det_idx"))).alias("b"))
-    return best.select(by, "v", "u", "b.*")
+    """(image, v, u, class_id, confidence) of all pixels that boxes cover: the most confident wins, the earlier of equals.
+
+    Only boxes are shuffled: an image's boxes are painted one over the other, the winner last.
+    """
+    ship_package(boxes.sparkSession)
+    kept = boxes.filter("w > 0 AND h > 0").select(by, "det_idx", "class_id", "confidence", "x", "y", "w", "h")
+    kind = lambda c: kept.schema[c].dataType.simpleString()
+
+    def painted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            image = np.asarray(t[by])
+            ends = np.flatnonzero(image[1:] != image[:-1]) + 1
+            last = int(ends[-1]) if len(ends) else 0  # the last image may go on in the next batch
+            held = t.slice(last)
+            for a, z in zip([0, *ends.tolist()[:-1]], ends.tolist(), strict=True) if len(ends) else ():
+                yield image_of(t.slice(a, z - a))
+        if held is not None and held.num_rows:
+            yield image_of(held)
+
+    def image_of(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        x, y, w, h = (np.asarray(t[c]).astype(np.int64) for c in "xywh")
+        left, top = int(x.min()), int(y.min())
+        owner = np.full((int((y + h).max()) - top, int((x + w).max()) - left), -1, np.int64)
+        for i in np.lexsort((-np.asarray(t["det_idx"]), np.asarray(t["confidence"]))).tolist():
+            owner[y[i] - top : y[i] - top + h[i], x[i] - left : x[i] - left + w[i]] = i
+        v, u = np.nonzero(owner >= 0)
+        who = pa.array(owner[v, u])
+        place = lambda at, low: pa.array((at + low).astype(np.int32), pa.int32())
+        cols = [t[by].take(who), place(v, top), place(u, left), t["class_id"].take(who), t["confidence"].take(who)]
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=[by, "v", "u", "class_id", "confidence"])
+
+    dealt = kept.repartition(by).sortWithinPartitions(by)
+    return dealt.mapInArrow(painted, f"{by} {kind(by)}, v int, u int, class_id {kind('class_id')}, confidence {kind('confidence')}")
 
 
 def masked_class_map(boxes: DataFrame, masks: DataFrame, by: str = "image_id") -> DataFrame:

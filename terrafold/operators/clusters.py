@@ -15,6 +15,8 @@ from terrafold.operators.neighbors import knn, radius_pairs
 from terrafold.session import cut, ship_package
 
 MOMENTS = ("xx", "xy", "xz", "yy", "yz", "zz")
+#: Local shape of a point's neighbourhood, as ``normals`` gives it.
+LOCAL = ("curvature", "linearity", "planarity", "scattering")
 
 
 def clusters(points: DataFrame, tolerance: float, min_size: int = 1, max_size: int = 0, key: str = "pid", by: str = "frame") -> DataFrame:
@@ -37,12 +39,14 @@ def as_matrix(prefix: str = "") -> dict[str, Column]:
 
 
 def descriptors(clustered: DataFrame, height: str | None = None, min_height: float | None = None, by: str = "frame") -> DataFrame:
-    """Per cluster: count, centroid, extremes, heights, shape; clusters lower than ``min_height`` go and the rest are numbered anew."""
+    """Per cluster: count, centroid, extremes, heights, shape, and the means of what local shape its points have (``mean_curvature`` and so on, of those that are numbers);
+    clusters lower than ``min_height`` go and the rest are numbered anew."""
     inside = clustered.filter("cluster_id >= 0")
+    local = [F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(f"mean_{c}") for c in LOCAL if c in clustered.columns]
     h = F.col(height) if height else F.col("z")
     out = inside.groupBy(by, "cluster_id").agg(
         F.count("*").alias("n"), *[F.avg(c).alias(f"c{c}") for c in XYZ], *[F.min(c).alias(f"min_{c}") for c in XYZ], *[F.max(c).alias(f"max_{c}") for c in XYZ],
-        F.min(F.nanvl(h, F.lit(None).cast("double"))).alias("h_min"), F.max(F.nanvl(h, F.lit(None).cast("double"))).alias("h_max"), *moments(),
+        F.min(F.nanvl(h, F.lit(None).cast("double"))).alias("h_min"), F.max(F.nanvl(h, F.lit(None).cast("double"))).alias("h_max"), *moments(), *local,
     )
     out = out.withColumns({f"l{i}": v for i, v in enumerate(eigenvalues(as_matrix()))})
     out = out.withColumns(shape_features([F.col(f"l{i}") for i in range(3)])).drop("l0", "l1", "l2")

@@ -82,3 +82,12 @@ def point_to_voxel(points: DataFrame, size: float, min_points: int = 1, by: tupl
     cells = keyed.groupBy(*by, "ix", "iy", "iz").agg(F.count("*").alias("point_count"))
     kept = cells.filter(F.col("point_count") >= min_points).withColumn("voxel", F.row_number().over(Window.partitionBy(*by).orderBy("ix", "iy", "iz")) - 1)
     return keyed.join(kept, [*by, "ix", "iy", "iz"], "left").withColumn("voxel", F.coalesce("voxel", F.lit(-1)))
+
+
+def sample_rows(rows: DataFrame, n: int, by: str, key: str, seed: int = 0) -> DataFrame:
+    """n rows of each group, or all of fewer, drawn without replacement: the same in every run, with ``draw``, the order in which they were drawn.
+
+    Keys are mixed by a multiplication; tasks keep their n least of a group before they meet.
+    """
+    mixed = F.pmod(F.col(key) * F.lit(2654435761) + seed, F.lit(1 << 32))
+    return rows.withColumn("draw", F.row_number().over(Window.partitionBy(by).orderBy(mixed, key))).filter(F.col("draw") <= n)

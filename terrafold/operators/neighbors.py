@@ -41,6 +41,13 @@ def radius_count(queries: DataFrame, points: DataFrame, radius: float, key: str
     return radius_join(queries.select(key, *by, *XYZ), points.select(key, *by, *XYZ), radius, by).groupBy(F.col(f"q_{key}").alias(key)).agg(F.count("*").alias("n"))
 
 
+def radius_lists(queries: DataFrame, points: DataFrame, radius: float, key: str = "pid", by: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """key, n, neighbours (ids, the nearest first, of equal distance the smaller id), farthest: what lies within the radius of each query that has anything there."""
+    pairs = radius_join(queries.select(key, *by, *XYZ), points.select(key, *by, *XYZ), radius, by)
+    near = F.array_sort(F.collect_list(F.struct(F.round("d2", 12).alias("d"), F.col(f"p_{key}").alias("p"))))
+    return pairs.groupBy(F.col(f"q_{key}").alias(key)).agg(F.count("*").alias("n"), near["p"].alias("neighbours"), F.sqrt(F.max("d2")).alias("farthest"))
+
+
 def radius_pairs(points: DataFrame, radius: float, key: str = "pid", by: tuple[str, ...] = ("frame",)) -> DataFrame:
     """Unordered pairs (a < b) within the radius."""
     p = points.select(key, *by, *XYZ)
@@ -58,9 +65,9 @@ def _start(points: DataFrame, k: int, by: tuple[str, ...]) -> tuple[float, float
     if spans is None or spans["x"] is None:
         return None
     reach = max(1e-9, sum(spans[c] * spans[c] for c in XYZ) ** 0.5 * 1.001)
-    sizes = F.explode(F.array(*[F.lit(reach / 2**j) for j in range(1, LEVELS)])).alias("size")
-    cells = points.select(*by, *XYZ, sizes).groupBy("size", *by, *[F.floor(F.col(c) / F.col("size")).alias(f"c{c}") for c in XYZ]).agg(F.count("*").cast("double").alias("n"))
-    shared = {r["size"]: r["n"] for r in cells.groupBy("size").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n")).collect()}  # LEVELS rows
+    sizes = F.explode(F.array(*[F.lit(reach / 2**j) for j in range(1, LEVELS)])).alias("__size")
+    cells = points.select(*by, *XYZ, sizes).groupBy("__size", *by, *[F.floor(F.col(c) / F.col("__size")).alias(f"c{c}") for c in XYZ]).agg(F.count("*").cast("double").alias("n"))
+    shared = {r["__size"]: r["n"] for r in cells.groupBy("__size").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n")).collect()}  # LEVELS rows
     radius, above, want = reach, None, 0.5 * (k + 1)
     for size, n in sorted(shared.items(), reverse=True):
         if n <= want:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from terrafold.functions.geometry import XYZ, all_finite, norm, square_sum
 from terrafold.operators.filters import nonzero, removal_counts, removal_stages, voxel_grid, with_removed_by
 from terrafold.operators.neighbors import knn, radius_outliers, statistical_outliers
+from terrafold.operators.timeseries import quantiles
+from terrafold.session import cut
 
 
 @dataclass(frozen=True)
@@ -105,16 +107,16 @@ def range_histogram(points: DataFrame, width: float, bins: int) -> DataFrame:
 
 
 def voxel_sweep(points: DataFrame, sizes: list[float]) -> DataFrame:
-    """For each voxel size: voxels, what part of the points they are, and how far points lie from the centroid of their voxel."""
+    """For each voxel size: voxels, what part of the points they are, and how far points lie from the nearest centroid of their frame's voxels. One search serves all sizes."""
     n = points.count()
-    keyed = points.select("frame", *XYZ, F.explode(F.array(*[F.lit(float(s)) for s in sizes])).alias("size"))
+    keyed = cut(points.select("frame", "pid", *XYZ, F.explode(F.array(*[F.lit(float(s)) for s in sizes])).alias("size")).withColumn("key", F.xxhash64("pid", "size")))
     cell = [F.floor(F.col(c) / F.col("size")).cast("long").alias(f"i{c}") for c in XYZ]
-    keyed = keyed.select("*", *cell)
-    voxels = keyed.groupBy("size", "frame", "ix", "iy", "iz").agg(*[F.avg(c).alias(f"m{c}") for c in XYZ])
-    gap = F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in XYZ[1:]), (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx"))))
-    errors = keyed.join(voxels, ["size", "frame", "ix", "iy", "iz"]).withColumn("e", gap).groupBy("size").agg(F.avg("e").alias("error_mean"), F.percentile("e", F.lit(0.95)).alias("error_p95"))
-    counts = voxels.groupBy("size").agg(F.count("*").alias("voxels"))
-    return counts.join(errors, "size").withColumn("reduction", F.col("voxels") / F.lit(float(max(n, 1))))
+    voxels = keyed.select("size", "frame", *XYZ, *cell).groupBy("size", "frame", "ix", "iy", "iz").agg(*[F.avg(c).alias(c) for c in XYZ])
+    voxels = cut(voxels.withColumn("key", F.xxhash64("size", "ix", "iy", "iz")))
+    near = knn(keyed, voxels, 1, "key", ("size", "frame")).select(F.col("q").alias("key"), F.col("distance").alias("e"))
+    errors = cut(keyed.select("key", "size").join(near, "key"))
+    figures = errors.groupBy("size").agg(F.avg("e").alias("error_mean")).join(quantiles(errors, ("size",), {"error_p95": (F.col("e"), 0.95)}), "size")
+    return voxels.groupBy("size").agg(F.count("*").alias("voxels")).join(figures, "size").withColumn("reduction", F.col("voxels") / F.lit(float(max(n, 1))))
 
 
 def centroid_error(points: DataFrame, size: float) -> DataFrame:
@@ -125,14 +127,11 @@ def centroid_error(points: DataFrame, size: float) -> DataFrame:
 
 def outlier_comparison(points: DataFrame, methods: dict[str, DataFrame]) -> DataFrame:
     """method, removed, share removed, and median distances of removed and kept; ``methods``: points with ``kept``."""
-    out = None
+    every = None
     for name, marked in methods.items():
-        r = norm()
-        one = marked.groupBy().agg(
-            F.lit(name).alias("method"), F.count_if(~F.col("kept")).alias("removed"), F.avg((~F.col("kept")).cast("double")).alias("removed_share"),
-            F.percentile(F.when(~F.col("kept"), r), F.lit(0.5)).alias("median_removed"), F.percentile(F.when(F.col("kept"), r), F.lit(0.5)).alias("median_kept"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
+        one = marked.select(F.lit(name).alias("method"), "kept", norm().alias("r"))
+        every = one if every is None else every.unionByName(one)
+    every = cut(every)
+    out = every.groupBy("method").agg(F.count_if(~F.col("kept")).alias("removed"), F.avg((~F.col("kept")).cast("double")).alias("removed_share"))
+    medians = quantiles(every, ("method",), {"median_removed": (F.when(~F.col("kept"), F.col("r")), 0.5), "median_kept": (F.when(F.col("kept"), F.col("r")), 0.5)})
+    return out.join(medians, "method", "left")

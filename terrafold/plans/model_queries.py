@@ -12,7 +12,7 @@ from terrafold.operators import planes as pl
 from terrafold.operators import registration as rg
 from terrafold.plans.map_queries import _evidence_sql, evidence_rounded
 from terrafold.plans.registry import PTS, query, r6, rounded
-from terrafold.session import scratch_path
+from terrafold.session import cut, scratch_path
 from terrafold.sources import cloud
 from terrafold.sources.tables import points
 from terrafold.streaming import maps
@@ -27,14 +27,14 @@ def ransac_plane(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ransac_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Thresholds and seeds: inliers, residual and tilt of the plane found."""
-    out = None
-    for threshold in (0.2, 0.4, 0.8):
-        for seed in (0, 1):
-            p = pl.planes(points(spark, d), threshold=threshold, max_angle=45.0, min_inliers=5, seed=seed)
-            one = p.groupBy().agg(F.lit(threshold).alias("threshold"), F.lit(seed).alias("seed"), F.avg("inliers").alias("inliers"), F.avg("rms").alias("rms"), F.avg(F.degrees(F.acos(F.least(F.abs("nz"), F.lit(1.0))))).alias("tilt"))
-            out = one if out is None else out.unionByName(one)
-    return rounded(out, "inliers", "rms", "tilt", digits=4)
+    """Thresholds over seeds: share of inliers, residual and tilt of the planes found, and how far apart the seeds lead. All are one fit."""
+    value = lambda v: F.explode(F.array(*[F.lit(x) for x in v]))
+    p = points(spark, d).select("frame", *XYZ, value((0.2, 0.4, 0.8)).alias("threshold")).withColumn("seed", value((0, 1, 2)))
+    by = ("frame", "threshold", "seed")
+    found = pl.planes(p, by, threshold="threshold", seed="seed", max_angle=45.0, min_inliers=5).join(p.groupBy(*by).agg(F.count("*").alias("n")), list(by))
+    spread = pl.normal_spread(found, ("frame", "threshold")).groupBy("threshold").agg(F.avg("spread").alias("spread"))
+    out = found.groupBy("threshold").agg(F.avg(F.col("inliers") / F.col("n")).alias("inlier_share"), F.avg("rms").alias("rms"), F.avg(F.degrees(F.acos(F.least(F.abs("nz"), F.lit(1.0))))).alias("tilt"))
+    return rounded(out.join(spread, "threshold"), "inlier_share", "rms", "tilt", "spread", digits=4)
 
 
 @query()
@@ -55,7 +55,11 @@ def ground_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ground_bands(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pl.ground_by_band(pl.ground_by_plane(points(spark, d), **_PLANE), [0.0, 1.0, 2.0, 4.0]), "ground_share")
+    """Share of ground in bands of distance, by one plane and by a grid of them."""
+    p, edges = points(spark, d), [0.0, 1.0, 2.0, 4.0]
+    ways = {"plane": pl.ground_by_plane(p, **_PLANE), "grid": pl.ground_by_grid(p, cell=2.0, min_points=6, threshold=0.4, max_tilt=45.0, max_offset=1.0, base={"max_angle": 45.0, "min_inliers": 5})}
+    out = [pl.ground_by_band(g, edges).withColumn("method", F.lit(name)) for name, g in ways.items()]
+    return rounded(out[0].unionByName(out[1]), "ground_share")
 
 
 @query()
@@ -66,13 +70,15 @@ def upright_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def box_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Mean volume of three kinds of boxes around the same clusters."""
-    c = cl.clusters(points(spark, d), 0.8, 4)
+    """Mean volume of three kinds of boxes around the same clusters, and its ratio to that of the upright ones."""
+    c = cut(cl.clusters(points(spark, d), 0.8, 4).select("frame", "cluster_id", *XYZ))
     out = None
     for kind in ("axis", "upright", "pca"):
         one = cl.boxes(c, kind).groupBy().agg(F.lit(kind).alias("kind"), F.avg("volume").alias("mean_volume"), F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
-    return rounded(out, "mean_volume")
+    figures = cut(out)
+    upright = figures.filter("kind = 'upright'").select(F.col("mean_volume").alias("u"))
+    return rounded(figures.join(F.broadcast(upright)).select("kind", "mean_volume", "n", F.try_divide("mean_volume", "u").alias("ratio")), "mean_volume", "ratio")
 
 
 def _moved(spark: SparkSession, d: str, method: str) -> DataFrame:

@@ -10,58 +10,73 @@ from terrafold.functions.geometry import XYZ
 from terrafold.operators import clusters as cl
 from terrafold.operators import neighbors as nb
 from terrafold.operators import planes as pl
+from terrafold.operators import filters as sm
 from terrafold.operators import timeseries as ts
 from terrafold.plans import lidar
 from terrafold.plans.map_queries import _MATRIX, _POSE, detections, observations, poses
 from terrafold.plans.point_queries import _COMPONENTS, _KEYS, _REMOVED, _STAGES
 from terrafold.plans.registry import PTS, RAW, ST, query, rounded
+from terrafold.session import cut
 from terrafold.sources import cloud
 from terrafold.sources.tables import bulk_points, points, raw_points, stamps, table
 from terrafold.streaming import maps
 
 
-@query(f"""WITH {RAW}, m AS (SELECT *, {_REMOVED} AS r FROM fin), k AS (SELECT frame, r, {_KEYS.format(s=1.0)} FROM m),
+PIPELINE = f"""WITH {RAW}, m AS (SELECT *, {_REMOVED} AS r FROM fin), k AS (SELECT frame, r, {_KEYS.format(s=1.0)} FROM m),
 v AS (SELECT frame, count(DISTINCT (ix, iy, iz)) AS voxelized FROM k WHERE r IS NULL GROUP BY frame)
 SELECT k.frame, count(*) AS input, count(*) FILTER (r = 'nonfinite') AS removed_nonfinite, count(*) FILTER (r = 'zero') AS removed_zero, count(*) FILTER (r = 'range') AS removed_range,
- count(*) FILTER (r = 'crop') AS removed_crop, count(*) FILTER (r IS NULL) AS filtered, COALESCE(any_value(voxelized), 0) AS voxelized FROM k LEFT JOIN v ON k.frame = v.frame GROUP BY k.frame""")
+ count(*) FILTER (r = 'crop') AS removed_crop, count(*) FILTER (r IS NULL) AS filtered, COALESCE(any_value(voxelized), 0) AS voxelized FROM k LEFT JOIN v ON k.frame = v.frame GROUP BY k.frame"""
+
+
+@query(PIPELINE)
 def scan_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return lidar.run_scan(raw_points(spark, d), lidar.ScanConfig(range=(0.5, 3.0), crop=_STAGES["crop"], voxel=1.0, averages=()))["stats"]
 
 
+@query(f"""WITH s AS (SELECT frame, input, filtered, voxelized FROM ({PIPELINE})) SELECT count(*) AS frames, round(avg(input), 6) AS input, round(avg(filtered), 6) AS filtered, round(avg(voxelized), 6) AS voxelized,
+ round(avg(CASE WHEN voxelized > 0 THEN voxelized ELSE filtered END / input), 6) AS ratio FROM s""")
+def scan_means(spark: SparkSession, d: str) -> DataFrame:
+    """What the scan pipeline leaves of a frame, in the mean."""
+    s = lidar.reduction(scan_pipeline(spark, d))
+    return rounded(s.agg(F.count("*").alias("frames"), *[F.avg(c).alias(c) for c in ("input", "filtered", "voxelized", "ratio")]), "input", "filtered", "voxelized", "ratio")
+
+
 @query()
 def geometry_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Ground by plane, clusters of the rest, a row of figures for each frame."""
+    """Ground by plane, normals, clusters of the rest with their descriptors and mean local shape, a row of figures for each frame."""
     ground = pl.ground_by_plane(points(spark, d), threshold=0.4, max_angle=45.0, min_inliers=5)
     rest = ground.filter("NOT ground").select("pid", "frame", *XYZ, "height")
+    rest = cut(cl.normals(rest, 10).select("pid", "frame", *XYZ, "height", *cl.LOCAL))
     found = cl.descriptors(cl.clusters(rest, 0.8, 2), "height", min_height=0.0)
-    per = found.groupBy("frame").agg(F.count("*").alias("clusters"), F.sum("n").alias("clustered"), F.max("h_max").alias("highest"), F.count_if(F.col("shape") == "linear").alias("linear"))
+    per = found.groupBy("frame").agg(F.count("*").alias("clusters"), F.sum("n").alias("clustered"), F.max("h_max").alias("highest"), F.count_if(F.col("shape") == "linear").alias("linear"), F.avg("mean_curvature").alias("curvature"))
     out = pl.ground_statistics(ground).select("frame", "n", "ground_n", "slope").join(per, "frame", "left").fillna(0, ["clusters", "clustered", "linear"])
-    return rounded(out, "slope", "highest")
+    return rounded(out, "slope", "highest", "curvature")
 
 
 def _sweep_sql(tolerance: float) -> str:
     c = _COMPONENTS.replace("RECURSIVE ", "").replace("<= 0.64", f"<= {tolerance * tolerance!r}")
     return f"""(WITH RECURSIVE {c}, z AS (SELECT frame, size FROM s WHERE size >= 2)
 SELECT {tolerance!r}::DOUBLE AS tolerance, (SELECT count(*) FROM z) AS clusters, (SELECT max(size) FROM z) AS largest, (SELECT quantile_cont(size, 0.5) FROM z) AS median,
- round((SELECT sum(size) FROM z) / (SELECT count(*) FROM pts), 6) AS clustered_share, (SELECT count(*) FROM e WHERE a < b) AS pairs)"""
+ round((SELECT sum(size) FROM z) / (SELECT count(*) FROM pts), 6) AS clustered_share, (SELECT count(*) FROM s WHERE size < 2) AS rejected, (SELECT count(*) FROM e WHERE a < b) AS pairs)"""
 
 
 @query(" UNION ALL ".join(f"SELECT * FROM {_sweep_sql(t)}" for t in (0.5, 0.8)))
 def cluster_sweep(spark: SparkSession, d: str) -> DataFrame:
     """How the tolerance changes the clusters of two points or more."""
     p, rows = points(spark, d), None
-    figures = ("clusters", "largest", "median", "inside", "pairs", "total")
+    figures = ("clusters", "largest", "median", "inside", "pairs", "total", "rejected")
     for t in (0.5, 0.8):
-        sizes = cl.clusters(p, t, 2).filter("cluster_id >= 0").groupBy("frame", "cluster_id").agg(F.count("*").alias("size"))
+        every = cut(cl.clusters(p, t, 2).groupBy("frame", "component").agg(F.count("*").alias("size"), F.max("cluster_id").alias("cluster_id")))
+        sizes = every.filter("cluster_id >= 0")
         found = [
             sizes.agg(F.count("*").alias("clusters"), F.max("size").alias("largest"), F.percentile("size", F.lit(0.5)).alias("median"), F.sum("size").alias("inside")),
-            nb.radius_pairs(p, t).agg(F.count("*").alias("pairs")), p.agg(F.count("*").alias("total")),
+            nb.radius_pairs(p, t).agg(F.count("*").alias("pairs")), p.agg(F.count("*").alias("total")), every.filter("cluster_id < 0").agg(F.count("*").alias("rejected")),
         ]
         for part in found:
             part = part.withColumn("tolerance", F.lit(t))
             rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     out = rows.groupBy("tolerance").agg(*[F.max(c).alias(c) for c in figures])
-    out = out.select("tolerance", "clusters", "largest", "median", (F.col("inside").cast("double") / F.col("total")).alias("clustered_share"), "pairs")
+    out = out.select("tolerance", "clusters", "largest", "median", (F.col("inside").cast("double") / F.col("total")).alias("clustered_share"), "rejected", "pairs")
     return rounded(out, "clustered_share")
 
 
@@ -153,3 +168,26 @@ def header_stamps(spark: SparkSession, d: str) -> DataFrame:
 def streaming_last_n(spark: SparkSession, d: str) -> DataFrame:
     s = maps.arriving(spark, d, "events").select(F.col("event_id").alias("seq"), "user_id", "value")
     return maps.bounded(s, 20, "user_id", "seq")
+
+
+@query(f"""WITH {PTS}, r AS (SELECT pid, frame, row_number() OVER (PARTITION BY frame ORDER BY (pid * 2654435761 + 12345) % 4294967296, pid) AS draw FROM pts) SELECT pid, frame, draw FROM r WHERE draw <= 20""")
+def sampled_points(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty points of each frame, drawn without replacement: those whose mixed ids are least."""
+    return sm.sample_rows(points(spark, d), 20, "frame", "pid", 12345).select("pid", "frame", F.col("draw").cast("long").alias("draw"))
+
+
+@query(f"""WITH {PTS}, m AS (SELECT a.pid, b.pid AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM pts a JOIN pts b ON a.frame = b.frame)
+SELECT pid, count(*) AS n, list(other ORDER BY round(d2, 12), other) AS neighbours, round(sqrt(max(d2)), 6) AS farthest FROM m WHERE d2 <= 0.49 GROUP BY pid""")
+def radius_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The points within a radius of each, the nearest first."""
+    p = points(spark, d)
+    return rounded(nb.radius_lists(p, p, 0.7), "farthest")
+
+
+@query(f"""WITH {PTS}, h AS (SELECT pid, frame, round(z, 6) AS z, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (z - (SELECT quantile_cont(z, 0.02) FROM pts)) / (SELECT quantile_cont(z, 0.98) - quantile_cont(z, 0.02) FROM pts))) AS ramp FROM pts)
+SELECT pid, frame, round(ramp, 6) + 0.0 AS ramp, round((class_id * 0.618033988749895::DOUBLE) % 1.0::DOUBLE, 6) AS hue FROM h JOIN (SELECT pid, class_id FROM pts) USING (pid)""")
+def point_colors(spark: SparkSession, d: str) -> DataFrame:
+    """Height as a ramp between the second and the 98th percentile, and a hue by class that keeps neighbours apart."""
+    p = points(spark, d)
+    ends = ts.quantiles(p.withColumn("all", F.lit(0)), ("all",), {"low": (F.col("z"), 0.02), "high": (F.col("z"), 0.98)}).select("low", "high")
+    return rounded(p.join(F.broadcast(ends)).select("pid", "frame", g.ramp(F.col("z"), F.col("low"), F.col("high")).alias("ramp"), g.golden_hue(F.col("class_id")).alias("hue")), "ramp", "hue")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.functions.geometry import XYZ, all_finite, angle_degrees, dominant_shape, eigenvalues, shape_features
+from terrafold.functions.geometry import XYZ, all_finite, angle_degrees, dominant_shape, eigenvalues, shape_features, with_eigen
 from terrafold.operators import clusters as cl
 from terrafold.operators import filters as fl
 from terrafold.operators import neighbors as nb
+from terrafold.operators import planes as pl
 from terrafold.plans import lidar
 from terrafold.plans.registry import BULK, PTS, RAW, query, r6, rounded
+from terrafold.session import cut
 from terrafold.sources.tables import bulk_points, points, raw_points
 
 _STAGES = {"nonfinite": True, "zero_eps": 1e-6, "range": (0.5, 3.0), "crop": ((-0.5, -0.5, -0.5), (0.5, 0.5, 0.5), True)}
@@ -110,8 +112,8 @@ def range_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {PTS}, t(size) AS (VALUES (0.5::DOUBLE), (1.0), (2.0)), k AS (SELECT size, frame, x, y, z, floor(x / size) AS ix, floor(y / size) AS iy, floor(z / size) AS iz FROM pts, t),
-v AS (SELECT size, frame, ix, iy, iz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM k GROUP BY ALL),
-e AS (SELECT size, sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2) AS e FROM k JOIN v USING (size, frame, ix, iy, iz)),
+v AS (SELECT size, frame, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM k GROUP BY size, frame, ix, iy, iz),
+e AS (SELECT size, pid, min(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2)) AS e FROM pts JOIN v USING (frame) GROUP BY size, pid),
 c AS (SELECT size, count(*) AS voxels FROM v GROUP BY size), m AS (SELECT size, avg(e) AS error_mean, quantile_cont(e, 0.95) AS error_p95 FROM e GROUP BY size)
 SELECT size, voxels, round(error_mean, 6) AS error_mean, round(error_p95, 6) AS error_p95, round(voxels / (SELECT count(*) FROM pts), 6) AS reduction FROM c JOIN m USING (size)""")
 def voxel_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -253,12 +255,29 @@ def point_normals(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def normals_by_k(spark: SparkSession, d: str) -> DataFrame:
+    """For each number of neighbours: points with a normal, their curvature, the angle to the widest, and the share of ground points whose normal agrees with the ground's. One search serves all."""
+    p, ks = cut(points(spark, d).select("pid", "frame", *XYZ)), (6, 10, 16)
+    near = cut(nb.knn(p, p, max(ks)).join(p.select(F.col("pid").alias("p"), *XYZ), "p"))
+    each = F.explode(F.array(*[F.lit(k) for k in ks]))
+    m = near.withColumn("k", each).filter(F.col("rank") <= F.col("k")).groupBy("q", "k").agg(F.count("*").alias("n"), *cl.moments())
+    n = cut(with_eigen(cut(m), cl.as_matrix()).select("q", "k", *[F.when(F.col("n") >= 5, F.col("normal")[i]).alias(f"n{c}") for i, c in enumerate(XYZ)], *[c.alias(f) for f, c in shape_features([F.col(f"l{i}") for i in range(3)]).items() if f == "curvature"]))
+    widest = n.filter(F.col("k") == max(ks)).select("q", *[F.col(f"n{c}").alias(f"w{c}") for c in XYZ])
+    ground = pl.ground_by_plane(p, threshold=0.4, max_angle=45.0, min_inliers=5).filter("ground").select(F.col("pid").alias("q"), *[F.col(f"n{c}").alias(f"g{c}") for c in XYZ])
+    between = lambda a: angle_degrees(F.abs(F.col("nx") * F.col(f"{a}x") + F.col("ny") * F.col(f"{a}y") + F.col("nz") * F.col(f"{a}z")))
+    both = n.join(widest, "q").join(ground, "q", "left")
+    out = both.groupBy("k").agg(F.avg(F.col("nx").isNotNull().cast("double")).alias("valid_share"), F.avg("curvature").alias("curvature"), F.avg(between("w")).alias("angle_to_widest"), F.avg((between("g") < 15).cast("double")).alias("ground_agrees"))
+    return rounded(out, "valid_share", "curvature", "angle_to_widest", "ground_agrees", digits=4)
+
+
+_LOCAL = _EIGEN.split(PTS, 1)[1].lstrip(", ")
+
+
+@query(f"""WITH {_COMPONENTS}, {_LOCAL}, f AS (SELECT q, l0 / (l0 + l1 + l2) AS curvature, (l2 - l1) / l2 AS linearity, (l1 - l0) / l2 AS planarity, l0 / l2 AS scattering FROM e5)
+SELECT frame, cluster_id, count(*) AS n, round(avg(curvature), 4) AS mean_curvature, round(avg(linearity), 4) AS mean_linearity, round(avg(planarity), 4) AS mean_planarity, round(avg(scattering), 4) AS mean_scattering
+FROM clu JOIN f ON clu.pid = f.q WHERE cluster_id >= 0 GROUP BY frame, cluster_id""")
+def cluster_local_shape(spark: SparkSession, d: str) -> DataFrame:
+    """Of each cluster the means of its points' local shape."""
     p = points(spark, d)
-    widest = cl.normals(p, 16, orientation="reference").select("pid", *[F.col(f"n{c}").alias(f"w{c}") for c in XYZ])
-    out = None
-    for k in (6, 10, 16):
-        n = cl.normals(p, k, orientation="reference").join(widest, "pid")
-        gap = angle_degrees(F.abs(F.col("nx") * F.col("wx") + F.col("ny") * F.col("wy") + F.col("nz") * F.col("wz")))
-        one = n.groupBy().agg(F.lit(k).alias("k"), F.avg(F.col("nx").isNotNull().cast("double")).alias("valid_share"), F.avg("curvature").alias("curvature"), F.avg(gap).alias("angle_to_widest"), F.avg((gap < 15).cast("double")).alias("agrees"))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out, "valid_share", "curvature", "angle_to_widest", "agrees", digits=4)
+    local = cl.normals(p, 10).select("pid", *cl.LOCAL)
+    out = cl.descriptors(cut(_clustered(spark, d).join(local, "pid")))
+    return rounded(out.select("frame", F.col("cluster_id").cast("long").alias("cluster_id"), "n", *[f"mean_{c}" for c in cl.LOCAL]), *[f"mean_{c}" for c in cl.LOCAL], digits=4)
