@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from terrafold.functions.geometry import XYZ
 from terrafold.operators.clusters import normals
 from terrafold.operators.filters import voxel_grid
 from terrafold.operators.neighbors import radius_join
-from terrafold.session import cut
+from terrafold.session import cut, ship_package
 
 
 def frame_pairs(points: DataFrame, by: str = "frame", min_points: int = 20) -> DataFrame:
@@ -83,6 +84,10 @@ def icp(source: DataFrame, target: DataFrame, max_distance: float = 0.3, iterati
         if np.abs(step - np.eye(4)).max() < epsilon or change < epsilon * epsilon:
             converged = True
             break
+    # What the last step left, not what it started from.
+    last = correspondences(transformed(source, t), target, max_distance).agg(F.count("*").alias("n"), F.avg("d2").alias("f")).first()
+    if last["n"]:
+        fitness, found = last["f"], last["n"]
     return {"transform": t, "fitness": fitness, "inlier_rmse": fitness**0.5, "correspondences": found, "iterations": done, "converged": converged}
 
 
@@ -95,7 +100,7 @@ def multiscale_icp(source: DataFrame, target: DataFrame, sizes=(0.2, 0.1, 0.05),
         s, t = (thin(p, size) for p in (source, target))
         if method == "point_to_plane":
             t = with_normals(t)
-        out = icp(s, t, size * factor, most, method=method, initial=out["transform"])
+        out = icp(s, t, (size or sizes[0]) * factor, most, method=method, initial=out["transform"])
     return out
 
 
@@ -113,7 +118,58 @@ def with_normals(points: DataFrame, k: int = 12) -> DataFrame:
     return normals(flat, k, orientation="reference").select("pid", *XYZ, *[f"n{c}" for c in XYZ])
 
 
-def motion_metrics(t: np.ndarray) -> dict:
-    """Length of the shift and angle of the rotation."""
+def motion_metrics(t: np.ndarray, start: np.ndarray | None = None) -> dict:
+    """Length of the shift and angle of the rotation; with ``start``, of what the motion adds to it."""
+    t = t if start is None else t @ np.linalg.inv(start)
     cosine = float(np.clip((np.trace(t[:3, :3]) - 1) / 2, -1, 1))
     return {"translation_m": float(np.linalg.norm(t[:3, 3])), "rotation_deg": float(np.degrees(np.arccos(cosine)))}
+
+
+_MOTION = tuple(f"t{i}{j}" for i in range(3) for j in range(4))
+
+
+def register_frames(points: DataFrame, max_distance: float = 0.3, iterations: int = 20, epsilon: float = 1e-6, by: str = "frame", min_points: int = 20) -> DataFrame:
+    """previous, current, t00 to t23 (the motion that takes the current frame onto the previous one), n, rmse, shift, turn: all pairs of consecutive frames at once, point to point.
+
+    A step is one neighbour join and one aggregate over all pairs; the motions of the pairs are a table of one row each, solved where they
+    lie. Pairs that move no more than ``epsilon`` stay as they are; it ends when none moves.
+    """
+    ship_package(points.sparkSession)
+    pairs = frame_pairs(points, by, min_points).select("previous", "current")
+    identity = [F.lit(float(i == j)).alias(f"t{i}{j}") for i in range(3) for j in range(4)]
+    motions = cut(pairs.select("previous", "current", *identity, F.lit(True).alias("moves")))
+    p = cut(points.select("pid", by, *XYZ))
+    kind = p.schema[by].dataType.simpleString()
+    target = p.join(pairs.select(F.col("previous").alias(by), F.col("current").alias("pair")), by).select("pid", "pair", *XYZ)
+    turned = {c: F.col(f"t{i}0") * F.col("x") + F.col(f"t{i}1") * F.col("y") + F.col(f"t{i}2") * F.col("z") + F.col(f"t{i}3") for i, c in enumerate(XYZ)}
+    schema = f"previous {kind}, current {kind}, {', '.join(f'{m} double' for m in _MOTION)}, moves boolean"
+
+    def met(motions: DataFrame) -> DataFrame:
+        source = p.join(motions, p[by] == motions["current"]).select("pid", F.col("current").alias("pair"), *[v.alias(c) for c, v in turned.items()])
+        near = radius_join(source, target, max_distance, ("pair",))
+        return near.groupBy("q_pair", "q_pid").agg(F.min_by(F.struct("d2", *[f"{s}_{a}" for s in "qp" for a in XYZ]), F.struct("d2", "p_pid")).alias("b")).select(F.col("q_pair").alias("pair"), "b.*")
+
+    def step(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                if r["n"] is None or r["n"] < 3:
+                    r["moves"] = False
+                    continue
+                move = rigid(np.array([[r[f"h{i}{j}"] for j in range(3)] for i in range(3)]), np.array([r[f"mq{a}"] for a in XYZ]), np.array([r[f"mp{a}"] for a in XYZ]))
+                t = move @ np.vstack([np.array([r[m] for m in _MOTION]).reshape(3, 4), [0, 0, 0, 1]])
+                r |= dict(zip(_MOTION, t[:3].ravel().tolist(), strict=True)) | {"moves": bool(np.abs(move - np.eye(4)).max() >= epsilon)}
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in rows], batch.schema.field(c).type) for c in ("previous", "current", *_MOTION, "moves")})
+
+    for _ in range(iterations):
+        open_ = motions.filter("moves")
+        sums = met(open_).groupBy("pair").agg(F.count("*").alias("n"), *[F.covar_pop(f"q_{a}", f"p_{b}").alias(f"h{i}{j}") for i, a in enumerate(XYZ) for j, b in enumerate(XYZ)], *[F.avg(f"{s}_{a}").alias(f"m{s}{a}") for s in "qp" for a in XYZ])
+        moved = open_.join(sums, open_["current"] == sums["pair"], "left").drop("pair").mapInArrow(step, schema)
+        motions = cut(motions.filter("NOT moves").unionByName(moved))
+        if motions.filter("moves").isEmpty():
+            break
+    last = met(motions).groupBy("pair").agg(F.count("*").alias("n"), F.sqrt(F.avg("d2")).alias("rmse"))
+    angle = F.degrees(F.acos(F.least(F.greatest((F.col("t00") + F.col("t11") + F.col("t22") - 1) / 2, F.lit(-1.0)), F.lit(1.0))))
+    shift = F.sqrt(F.col("t03") * F.col("t03") + F.col("t13") * F.col("t13") + F.col("t23") * F.col("t23"))
+    out = motions.join(last, motions["current"] == last["pair"], "left").drop("pair", "moves")
+    return out.withColumns({"n": F.coalesce("n", F.lit(0)), "shift": shift, "turn": angle})

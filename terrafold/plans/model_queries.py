@@ -10,11 +10,12 @@ from terrafold.functions.geometry import XYZ
 from terrafold.operators import clusters as cl
 from terrafold.operators import planes as pl
 from terrafold.operators import registration as rg
+from terrafold.operators import timeseries as ts
 from terrafold.plans.map_queries import _evidence_sql, evidence_rounded
 from terrafold.plans.registry import PTS, query, r6, rounded
 from terrafold.session import cut, scratch_path
-from terrafold.sources import cloud
-from terrafold.sources.tables import points
+from terrafold.sources import bag, cloud
+from terrafold.sources.tables import points, stamps
 from terrafold.streaming import maps
 
 _PLANE = {"threshold": 0.4, "max_angle": 45.0, "min_inliers": 5}
@@ -150,3 +151,50 @@ def streaming_evidence(spark: SparkSession, d: str) -> DataFrame:
     )
     rows = maps.collected(maps.evidence_stream(seen, 5.0, tau=31_536_000.0), "update")
     return evidence_rounded(maps.latest(rows, "ix", "iy", "iz"))
+
+
+def _arriving_events(spark: SparkSession, d: str) -> DataFrame:
+    return maps.arriving(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("topic"), "value")
+
+
+@query("SELECT user_id, event_id AS seq, value, lag(event_id) OVER w AS previous, lag(value) OVER w AS previous_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def streaming_previous(spark: SparkSession, d: str) -> DataFrame:
+    return maps.collected(maps.with_previous(_arriving_events(spark, d), "user_id", "seq", "value")).drop("batch")
+
+
+@query("SELECT * FROM (SELECT user_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS received FROM events) WHERE (received - 1) % 5 = 0")
+def streaming_every_nth(spark: SparkSession, d: str) -> DataFrame:
+    return maps.collected(maps.every_nth_arrival(_arriving_events(spark, d), 5, "user_id", "seq")).drop("batch")
+
+
+@query("SELECT r.user_id, r.event_id AS seq, o.value AS latest FROM (SELECT * FROM events WHERE event_type = 'click') r ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') o ON r.user_id = o.user_id AND r.event_id >= o.event_id")
+def streaming_latest(spark: SparkSession, d: str) -> DataFrame:
+    s = _arriving_events(spark, d).filter(F.col("topic").isin("click", "view")).withColumn("side", F.col("topic") == "view")
+    return maps.collected(maps.with_latest(s, "user_id", "seq", "side", "value")).drop("batch")
+
+
+@query()
+def frame_registration(spark: SparkSession, d: str) -> DataFrame:
+    """Each frame taken onto the one before it."""
+    found = rg.register_frames(points(spark, d), 0.8, 8)
+    return rounded(found.select("previous", "current", "n", "rmse", "shift", "turn"), "rmse", "shift", "turn", digits=4)
+
+
+@query(f"""WITH e AS (SELECT event_id AS id, event_type AS topic, epoch_us(ts) AS h, epoch_us(ts) + event_id % 7 * 1000 AS b FROM events),
+s AS (SELECT *, (h - lag(h) OVER w) / 1e6 AS dh, (b - lag(b) OVER w) / 1e6 AS db FROM e WINDOW w AS (PARTITION BY topic ORDER BY id))
+SELECT topic, 'event' AS type, count(*) AS n, round(quantile_cont(dh, 0.5) FILTER (dh > 0), 6) AS header_step, round(quantile_cont(db, 0.5) FILTER (db > 0), 6) AS bag_step, count(*) FILTER (dh <= 0) AS steps_back, round(avg(b - h), 3) AS delay_mean, max(b - h) AS delay_max FROM s GROUP BY topic
+UNION ALL SELECT 'unused', 'event', 0, NULL, NULL, NULL, NULL, NULL""")
+def inspect_bag(spark: SparkSession, d: str) -> DataFrame:
+    """A bag recorded from the events, read back: its topics, the steps of header and bag stamps, and how long after its header a message was received."""
+    e = stamps(spark, d).select(F.col("seq").alias("id"), "topic", "stamp_us", (F.col("stamp_us") + F.col("seq") % 7 * 1000).alias("timestamp"))
+    path = scratch_path(spark, "bag").removeprefix("file://")
+    bag.register(spark)
+    known = e.select("topic").distinct().unionByName(spark.createDataFrame([("unused",)], "topic string")).withColumn("type", F.lit("event"))
+    bag.write_bags(e.withColumn("data", cloud.header_bytes(F.col("stamp_us"))), known, path, 4)
+    m = spark.read.format("bag").load(path).select("id", "topic", F.col("timestamp").alias("bag_us"), cloud.header_stamp_ns().alias("ns"))
+    m = cut(m.select("id", "topic", "bag_us", F.expr("ns div 1000").alias("header_us")))
+    header, received = (ts.stamp_statistics(m, "topic", c, "id") for c in ("header_us", "bag_us"))
+    delay = ts.offset_statistics(m.withColumn("delay", F.col("bag_us") - F.col("header_us")), "topic", "delay")
+    out = bag.topics(spark, path).join(header.select("topic", F.col("median_dt").alias("header_step"), F.col("non_monotonic").alias("steps_back")), "topic", "left")
+    out = out.join(received.select("topic", F.col("median_dt").alias("bag_step")), "topic", "left").join(delay.select("topic", F.col("mean").alias("delay_mean"), F.col("max_abs").cast("long").alias("delay_max")), "topic", "left")
+    return rounded(rounded(out.select("topic", "type", "n", "header_step", "bag_step", "steps_back", "delay_mean", "delay_max"), "header_step", "bag_step"), "delay_mean", digits=3)

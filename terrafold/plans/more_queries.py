@@ -158,9 +158,7 @@ def rotated_axis(spark: SparkSession, d: str) -> DataFrame:
 def header_stamps(spark: SparkSession, d: str) -> DataFrame:
     """Stamps read from the heads of serialized messages, the rest of which is not touched."""
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
-    word = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0"))
-    flip = lambda b: F.concat(*[F.substring(b, i, 1) for i in (4, 3, 2, 1)])
-    head = F.concat(F.unhex(F.lit("00010000")), flip(word(F.floor(us / 1_000_000))), flip(word(us % 1_000_000 * 1000)), F.encode("props", "UTF-8"))
+    head = F.concat(cloud.header_bytes(us), F.encode("props", "UTF-8"))
     return table(spark, d, "events").select("event_id", head.alias("data")).select("event_id", cloud.header_stamp_ns().alias("stamp_ns"))
 
 

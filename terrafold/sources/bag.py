@@ -1,4 +1,4 @@
-"""Recorded message bags (SQLite files of topics and messages) as a data source: one partition a file, topics pushed down."""
+"""Recorded message bags (SQLite files of topics and messages) as data sources: messages in partitions of so many ids a file, topics pushed down; and the catalogue of topics."""
 
 from __future__ import annotations
 
@@ -20,14 +20,23 @@ def find_bags(path: str) -> list[str]:
     return found
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Ids of messages that one partition reads.
+IDS = 100_000
+TOPICS = "file string, topic string, type string, n long"
+
+
+class _Part(InputPartition):
+    def __init__(self, path: str, low: int, high: int):
+        self.path, self.low, self.high = path, low, high
+
+
+def _open(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
 
 
 class BagReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.topics = path, None
+    def __init__(self, path: str, ids: int):
+        self.path, self.ids, self.topics = path, ids, None
 
     def pushFilters(self, filters):
         for f in filters:
@@ -39,23 +48,50 @@ class BagReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        return [_File(p) for p in find_bags(self.path)]
+        out = []
+        for p in find_bags(self.path):
+            db = _open(p)
+            try:
+                low, high = db.execute("SELECT min(id), max(id) FROM messages").fetchone()
+            finally:
+                db.close()
+            if low is not None:
+                out += [_Part(p, a, min(high, a + self.ids - 1)) for a in range(low, high + 1, self.ids)]
+        return out
 
     def read(self, partition):
-        db = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)
+        db = _open(partition.path)
         try:
-            sql, args = "SELECT m.id, t.name, t.type, m.timestamp, m.data FROM messages m JOIN topics t ON m.topic_id = t.id", []
+            sql, args = "SELECT m.id, t.name, t.type, m.timestamp, m.data FROM messages m JOIN topics t ON m.topic_id = t.id WHERE m.id BETWEEN ? AND ?", [partition.low, partition.high]
             if self.topics is not None:
-                args = sorted(self.topics)
-                sql += f" WHERE t.name IN ({', '.join('?' * len(args))})"
-            for row in db.execute(sql, args):
+                args += sorted(self.topics)
+                sql += f" AND t.name IN ({', '.join('?' * len(self.topics))})"
+            for row in db.execute(sql + " ORDER BY m.id", args):
+                yield (partition.path, *row)
+        finally:
+            db.close()
+
+
+class TopicReader(DataSourceReader):
+    """Counts of a file's topics, those without messages too."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self):
+        return [_Part(p, 0, 0) for p in find_bags(self.path)]
+
+    def read(self, partition):
+        db = _open(partition.path)
+        try:
+            for row in db.execute("SELECT t.name, t.type, count(m.id) FROM topics t LEFT JOIN messages m ON m.topic_id = t.id GROUP BY t.id ORDER BY t.id"):
                 yield (partition.path, *row)
         finally:
             db.close()
 
 
 class BagSource(DataSource):
-    """``spark.read.format("bag").load(path)`` after ``register(spark)``. Files must be where executors can open them."""
+    """``spark.read.format("bag").load(path)`` after ``register(spark)``: messages in the order of their ids within a partition; option ``ids``: how many a partition has. Files must be where executors can open them."""
 
     @classmethod
     def name(cls):
@@ -65,14 +101,59 @@ class BagSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return BagReader(self.options["path"])
+        return BagReader(self.options["path"], int(self.options.get("ids", IDS)))
+
+
+class TopicSource(DataSource):
+    """``spark.read.format("bag_topics").load(path)``: file, topic, type, n."""
+
+    @classmethod
+    def name(cls):
+        return "bag_topics"
+
+    def schema(self):
+        return TOPICS
+
+    def reader(self, schema):
+        return TopicReader(self.options["path"])
 
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BagSource)
+    spark.dataSource.register(TopicSource)
+
+
+def topics(spark: SparkSession, path: str) -> DataFrame:
+    """topic, type, n over all files of a bag; topics without messages have 0."""
+    return spark.read.format("bag_topics").load(path).groupBy("topic", "type").agg(F.sum("n").alias("n"))
+
+
+def write_bags(messages: DataFrame, topics: DataFrame, path: str, files: int = 1) -> None:
+    """Bag files in a folder that all executors can open, from messages (id, topic, timestamp, data) dealt by id, and topics (topic, type), one row each, that every file lists."""
+    known = sorted((r["topic"], r["type"]) for r in topics.select("topic", "type").collect())
+    os.makedirs(path, exist_ok=True)
+
+    def write(rows):
+        file = None
+        for r in rows:
+            if file != r["file"]:
+                if file is not None:
+                    db.commit()
+                    db.close()
+                file = r["file"]
+                target = os.path.join(path, f"part_{file}.db3")
+                if os.path.exists(target):  # of a task that was lost
+                    os.remove(target)
+                db = sqlite3.connect(target)
+                db.execute("CREATE TABLE topics (id INTEGER PRIMARY KEY, name TEXT, type TEXT)")
+                db.execute("CREATE TABLE messages (id INTEGER PRIMARY KEY, topic_id INTEGER, timestamp INTEGER, data BLOB)")
+                db.executemany("INSERT INTO topics VALUES (?, ?, ?)", [(i, t, k) for i, (t, k) in enumerate(known, 1)])
+                at = {t: i for i, (t, _) in enumerate(known, 1)}
+            db.execute("INSERT INTO messages VALUES (?, ?, ?, ?)", (r["id"], at[r["topic"]], r["timestamp"], bytes(r["data"])))
+        if file is not None:
+            db.commit()
+            db.close()
 
-
-def topics(messages: DataFrame) -> DataFrame:
-    """topic, type, n over all files of a bag."""
-    return messages.groupBy("topic", "type").agg(F.count("*").alias("n"))
+    dealt = messages.withColumn("file", F.pmod("id", F.lit(files))).repartition("file").sortWithinPartitions("file", "id")
+    dealt.select("id", "topic", "timestamp", "data", "file").foreachPartition(write)

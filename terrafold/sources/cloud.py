@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, ByteType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructField, StructType
@@ -122,6 +122,13 @@ def header_stamp_ns(column: str = "data"):
     return signed * 1_000_000_000 + nano
 
 
+def header_bytes(stamp_us: Column) -> Column:
+    """The head of a little-endian serialized message with a stamp in microseconds."""
+    word = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0"))
+    flip = lambda b: F.concat(*[F.substring(b, i, 1) for i in (4, 3, 2, 1)])
+    return F.concat(F.unhex(F.lit("00010000")), flip(word(F.floor(stamp_us / 1_000_000))), flip(word(stamp_us % 1_000_000 * 1000)))
+
+
 def write_frames(points: DataFrame, path: str, key: str = "frame") -> None:
     """Frames as a partitioned table; writing one again replaces it and no other."""
     points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)

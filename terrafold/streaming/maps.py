@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from terrafold.functions.geometry import voxel_keys
@@ -22,11 +23,18 @@ def arriving(spark: SparkSession, folder: str, name: str, files: int = 8) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}.parquet*")
 
 
-def drain(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None]) -> None:
-    """Runs a stream until what has arrived is read; batches go to ``write``, state and offsets to the shared folder."""
-    spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start()
-    q.awaitTermination()
+def drain(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
+    """Runs a stream until what has arrived is read; batches go to ``write``, state and offsets to ``checkpoint``, a new place in the shared folder if not given.
+
+    A stream that is run again with the checkpoint of an earlier run goes on where that ended.
+    """
+    place = checkpoint or scratch_path(stream.sparkSession, "stream")
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+
+
+def publish(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second", mode: str = "complete") -> StreamingQuery:
+    """A live query that gives its whole result to ``write`` on a timer, such as a map once a second; stop it by its handle, start it again with the same checkpoint."""
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def snapshot(stream: DataFrame) -> DataFrame:
@@ -45,15 +53,15 @@ def snapshot(stream: DataFrame) -> DataFrame:
     return spark.read.parquet(f"{path}/{last[-1]}")
 
 
-def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows that a stream gives, with their ``batch``; a batch that is written again after a failure replaces itself."""
+def collected(stream: DataFrame, mode: str = "append", path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """All rows that a stream gives, with their ``batch``; a batch that is written again after a failure replaces itself. With ``path`` and ``checkpoint`` of an earlier run it adds to that."""
     spark = stream.sparkSession
-    path = scratch_path(spark, "rows")
+    path = path or scratch_path(spark, "rows")
 
     def write(df: DataFrame, batch: int) -> None:
         df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/part={batch}")
 
-    drain(stream, mode, write)
+    drain(stream, mode, write, checkpoint)
     return spark.read.schema(stream.withColumn("batch", F.lit(0)).schema).parquet(f"{path}/part=*")
 
 
@@ -114,3 +122,47 @@ def latest(rows: DataFrame, *key: str) -> DataFrame:
     """The last row of each key by batch."""
     w = Window.partitionBy(*key).orderBy(F.desc("batch"))
     return rows.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r", "batch")
+
+
+# Streams whose rows depend on those of their key before them.
+
+
+def folded(stream: DataFrame, by: str, order: str, out: str, state: str, begin: tuple, step: Callable[[tuple, dict], tuple[tuple, tuple | None]]) -> DataFrame:
+    """What ``step(state, row)`` gives for the rows of each key, in order within a batch: the state after it, and a row of ``out`` or None. The state is one row a key."""
+    ship_package(stream.sparkSession)
+    names = [f.split()[0] for f in out.split(",")]
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = tuple(held.get) if held.exists else begin
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        made = []
+        for r in rows.astype(object).where(rows.notna(), None).to_dict("records"):
+            now, row = step(now, r)
+            if row is not None:
+                made.append(row)
+        held.update(now)
+        yield pd.DataFrame(made, columns=names)
+
+    return stream.groupBy(by).applyInPandasWithState(update, out, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def with_previous(stream: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """by, order, value (a number), and those of the row of its key before it, ``previous`` and ``previous_value``: the first row of a key has none."""
+    out = f"{by} long, {order} long, {value} double, previous long, previous_value double"
+    return folded(stream.select(by, order, value), by, order, out, "o long, v double", (None, None), lambda s, r: ((r[order], r[value]), (r[by], r[order], r[value], *s)))
+
+
+def every_nth_arrival(stream: DataFrame, n: int, by: str, order: str) -> DataFrame:
+    """by, order, received: the first row of each key and every n-th after it."""
+    out = f"{by} long, {order} long, received long"
+    return folded(stream.select(by, order), by, order, out, "n long", (0,), lambda s, r: ((s[0] + 1,), (r[by], r[order], s[0] + 1) if s[0] % n == 0 else None))
+
+
+def with_latest(stream: DataFrame, by: str, order: str, is_side: str, value: str) -> DataFrame:
+    """by, order, latest: the rows of a stream that are not of the side input (``is_side``), each with the value of the side row of its key that came last before it."""
+    out = f"{by} long, {order} long, latest double"
+
+    def step(s: tuple, r: dict) -> tuple[tuple, tuple | None]:
+        return ((r[value],), None) if r[is_side] else (s, (r[by], r[order], s[0]))
+
+    return folded(stream.select(by, order, is_side, value), by, order, out, "v double", (None,), step)

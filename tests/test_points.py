@@ -185,6 +185,34 @@ def test_registration_finds_the_motion(spark, method):
         registration.multiscale_icp(source, target, (0.2,), (1, 2), (3,))
 
 
+def test_consecutive_frames_are_registered_at_once(spark):
+    rng = np.random.default_rng(16)
+    xy = rng.uniform(-3, 3, (250, 2))
+    p = np.column_stack([xy, np.sin(xy[:, 0]) + np.cos(xy[:, 1])])
+    rows, at, steps = [], np.eye(4), []
+    for f in range(3):
+        rows += [(1000 * f + i, f, *map(float, (at @ [*x, 1])[:3])) for i, x in enumerate(p)]
+        steps.append(registration.small_motion(np.array([0.01, -0.01, 0.02, 0.04, 0.03 * f, -0.02])))
+        at = steps[-1] @ at
+    rows += [(9000, 9, 0.0, 0.0, 0.0)]
+    got = registration.register_frames(spark.createDataFrame(rows, "pid long, frame long, x double, y double, z double"), 0.5, 15).orderBy("current").collect()
+    assert [(r.previous, r.current) for r in got] == [(0, 1), (1, 2)]
+    for r, step in zip(got, steps, strict=False):
+        t = np.array([[r[f"t{i}{j}"] for j in range(4)] for i in range(3)])
+        assert np.abs(t - np.linalg.inv(step)[:3]).max() < 0.01 and r.n > 200 and r.rmse < 0.02
+    m = registration.motion_metrics(steps[1] @ steps[0], steps[0])
+    assert abs(m["translation_m"] - np.linalg.norm(steps[1][:3, 3])) < 1e-9
+
+
+def test_multiscale_registration(spark):
+    rng = np.random.default_rng(17)
+    xy = rng.uniform(-3, 3, (250, 2))
+    source = frame(spark, np.column_stack([xy, np.sin(xy[:, 0]) + np.cos(xy[:, 1])]).tolist()).select("pid", "x", "y", "z")
+    t = registration.small_motion(np.array([0.02, -0.02, 0.03, 0.1, -0.08, 0.05]))
+    found = registration.multiscale_icp(source, registration.transformed(source, t), (0.4, 0.0), (2.0, 1.0), (6, 8))
+    assert found["correspondences"] > 0 and np.abs(found["transform"] - t).max() < 0.1
+
+
 def test_evidence_of_one_class(spark):
     rows = [(0.01, 0.01, 0.1, 3, 0.91, 10), (0.02, 0.02, 0.2, 3, 0.83, 20), (0.03, 0.03, 0.3, 3, 0.95, 30), (0.01, 0.01, 0.1, 25, 0.9, 5), (0.01, 0.01, 0.1, 3, NAN, 5), (0.01, 0.01, 0.1, 3, 0.0, 5)]
     o = spark.createDataFrame(rows, "x double, y double, z double, class_id int, confidence double, stamp_us long")
@@ -312,17 +340,22 @@ def test_bags(spark, tmp_path):
         db = sqlite3.connect(tmp_path / f"b_{n}.db3")
         db.execute("CREATE TABLE topics (id INTEGER, name TEXT, type TEXT)")
         db.execute("CREATE TABLE messages (id INTEGER, topic_id INTEGER, timestamp INTEGER, data BLOB)")
-        db.executemany("INSERT INTO topics VALUES (?, ?, ?)", [(1, "/a", "A"), (2, "/b", "B")])
+        db.executemany("INSERT INTO topics VALUES (?, ?, ?)", [(1, "/a", "A"), (2, "/b", "B"), (3, "/none", "N")])
         head = b"\0\x01\0\0" + struct.pack("<iI", 100 + n, 5)
         db.executemany("INSERT INTO messages VALUES (?, ?, ?, ?)", [(i, 1 + i % 2, i, head) for i in range(6)])
         db.commit()
         db.close()
     bag.register(spark)
-    m = spark.read.format("bag").load(str(tmp_path))
-    assert {(r.topic, r.type, r.n) for r in bag.topics(m).collect()} == {("/a", "A", 6), ("/b", "B", 6)}
+    m = spark.read.format("bag").option("ids", 4).load(str(tmp_path))
+    assert {(r.topic, r.type, r.n) for r in bag.topics(spark, str(tmp_path)).collect()} == {("/a", "A", 6), ("/b", "B", 6), ("/none", "N", 0)}
+    assert m.rdd.getNumPartitions() == 4 and [r.id for r in m.filter(F.col("file").endswith("b_0.db3")).collect()] == [0, 1, 2, 3, 4, 5]
     some = m.filter("topic = '/a'")
     assert some.count() == 6 and {r[0] for r in some.select(cloud.header_stamp_ns()).collect()} == {100_000_000_005, 101_000_000_005}
     assert cloud.header_stamp(b"\0\0\0\0" + struct.pack(">iI", 7, 8)) == (7, 8)
+    made = str(tmp_path / "made")
+    bag.write_bags(m.filter(F.col("file").endswith("b_0.db3")), bag.topics(spark, str(tmp_path)), made, 2)
+    back = spark.read.format("bag").load(made)
+    assert sorted((r.id, r.topic, r.timestamp) for r in back.collect()) == [(i, "/ab"[0] + "ab"[i % 2], i) for i in range(6)] and bag.topics(spark, made).count() == 3
     with pytest.raises(FileNotFoundError):
         bag.find_bags(str(tmp_path / "none"))
 
@@ -368,3 +401,23 @@ def test_upright_box_of_a_turned_plan_is_exact():
     square = np.array([(0, 0), (2, 1), (1, 3), (-1, 2)], float)
     assert np.allclose(clusters.plan_direction(square), np.array([2, 1]) / math.sqrt(5))
     assert clusters.plan_direction(np.array([[1.0, 1.0]])).tolist() == [1, 0] and np.allclose(clusters.plan_direction(np.array([[0.0, 0], [0, 3]])), [1, 0])
+
+
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    from terrafold.session import scratch_path
+    from terrafold.streaming import maps
+
+    source, out, place = str(tmp_path / "in"), scratch_path(spark, "rows"), scratch_path(spark, "stream")
+    schema = "user_id long, seq long, value double"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    for part in ([(1, 1, 1.0), (2, 2, 2.0)], [(1, 4, 4.0), (1, 3, 3.0)], [(2, 5, 5.0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        found = maps.collected(maps.with_previous(stream, "user_id", "seq", "value"), path=out, checkpoint=place)
+    assert sorted((r.seq, r.previous, r.previous_value) for r in found.collect()) == [(1, None, None), (2, None, None), (3, 1, 1.0), (4, 3, 3.0), (5, 2, 2.0)]
+    seen: list = []
+    counts = stream.groupBy("user_id").count()
+    q = maps.publish(counts, lambda df, batch: seen.append({r.user_id: r["count"] for r in df.collect()}), scratch_path(spark, "stream"), "100 milliseconds")
+    q.processAllAvailable()
+    q.stop()
+    assert seen[-1] == {1: 3, 2: 2} and len(seen) == 3
