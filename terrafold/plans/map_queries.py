@@ -202,7 +202,14 @@ def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cam.iou_pairs(cam.clip_boxes(detections(spark, d), 64, 48)), "iou")
 
 
-@query()
+_LAP = "greatest(0, least(b.x + b.w, d.x + d.w) - greatest(b.x, d.x)) * greatest(0, least(b.y + b.h, d.y + d.h) - greatest(b.y, d.y))"
+
+
+@query(f"""WITH RECURSIVE {_CLIP}, d AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, det_idx) AS k FROM cl WHERE w > 0 AND h > 0),
+r(image_id, k, boxes, kept) AS (SELECT image_id, k, [{{'x': x, 'y': y, 'w': w, 'h': h}}], true FROM d WHERE k = 1 UNION ALL
+ SELECT image_id, k, CASE WHEN free THEN list_append(boxes, box) ELSE boxes END, free FROM (SELECT d.image_id, d.k, r.boxes, {{'x': d.x, 'y': d.y, 'w': d.w, 'h': d.h}} AS box,
+  len(list_filter(r.boxes, lambda b: {_LAP} > 0 AND CAST({_LAP} AS DOUBLE) / (b.w * b.h + d.w * d.h - {_LAP}) > 0.45)) = 0 AS free FROM r JOIN d ON d.image_id = r.image_id AND d.k = r.k + 1))
+SELECT d.image_id, d.det_idx, d.class_id, d.confidence FROM r JOIN d USING (image_id, k) WHERE r.kept""")
 def nms(spark: SparkSession, d: str) -> DataFrame:
     return cam.suppress(cam.clip_boxes(detections(spark, d), 64, 48).filter("w > 0 AND h > 0")).select("image_id", "det_idx", "class_id", "confidence")
 
@@ -246,7 +253,14 @@ def voxel_count(spark: SparkSession, d: str) -> DataFrame:
     return observations(spark, d).select(*g.voxel_keys(5.0)).distinct().groupBy().agg(F.count("*").alias("voxels"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PTS}, o AS (SELECT class_id, confidence, CAST(floor(x / 2.0) AS BIGINT) AS ix, CAST(floor(y / 2.0) AS BIGINT) AS iy, CAST(floor(z / 2.0) AS BIGINT) AS iz, pid FROM pts WHERE class_id >= 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY ix, iy, iz ORDER BY pid) AS n, count(*) OVER (PARTITION BY ix, iy, iz) AS total FROM o),
+r(ix, iy, iz, n, slots) AS (SELECT ix, iy, iz, n, [{{'s': confidence, 'c': class_id}}] FROM k WHERE n = 1 UNION ALL
+ SELECT k.ix, k.iy, k.iz, k.n, CASE WHEN len(list_filter(slots, lambda x: x.c = k.class_id)) > 0 THEN list_transform(slots, lambda x: CASE WHEN x.c = k.class_id THEN {{'s': x.s + k.confidence, 'c': x.c}} ELSE x END)
+  WHEN len(slots) < 4 THEN list_append(slots, {{'s': k.confidence, 'c': k.class_id}})
+  WHEN k.confidence > list_sort(slots)[1].s THEN list_append(list_sort(slots)[2:], {{'s': k.confidence, 'c': k.class_id}}) ELSE slots END
+ FROM r JOIN k ON k.ix = r.ix AND k.iy = r.iy AND k.iz = r.iz AND k.n = r.n + 1)
+SELECT r.ix, r.iy, r.iz, list_transform(list_sort(slots), lambda x: x.c) AS classes, round(list_sum(list_transform(slots, lambda x: x.s)), 6) AS score FROM r JOIN k ON k.ix = r.ix AND k.iy = r.iy AND k.iz = r.iz AND k.n = r.n WHERE k.n = k.total""")
 def class_slots(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d).withColumnRenamed("pid", "seq")
     out = sm.slots_in_order(p, 2.0, 4)

@@ -97,3 +97,15 @@ def frame_pairing(spark: SparkSession, d: str) -> DataFrame:
     from terrafold.operators.registration import frame_pairs
 
     return frame_pairs(stamps(spark, d), "user_id")
+
+
+@query(f"""WITH {_NEAREST}, v AS (SELECT user_id, stamp_us AS t, value FROM st WHERE topic <> 'click'),
+b2 AS (SELECT r.user_id, r.seq, r.stamp_us, v.t AS t0, v.value AS v0 FROM r ASOF JOIN v ON r.user_id = v.user_id AND r.stamp_us >= v.t),
+a2 AS (SELECT b2.*, v.t AS t1, v.value AS v1 FROM b2 ASOF JOIN v ON b2.user_id = v.user_id AND b2.stamp_us <= v.t)
+SELECT a2.user_id, seq AS key, stamp_us AS stamp, round(v0 + COALESCE((stamp_us - t0) / nullif(t1 - t0, 0), 0.0) * (v1 - v0), 4) AS value, other_stamp AS image_stamp, other_stamp - stamp_us AS image_offset
+FROM a2 JOIN n ON n.user_id = a2.user_id AND n.key = a2.seq WHERE stamp_us - t0 <= 36000000000 AND t1 - stamp_us <= 36000000000 AND abs(other_stamp - stamp_us) <= 7200000000""")
+def synchronized_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Each click as a frame: the value between the other events around it, and the nearest view."""
+    s = stamps(spark, d)
+    out = ts.synchronized(s.filter("topic = 'click'"), s.filter("topic <> 'click'"), s.filter("topic = 'view'"), "user_id", ("value",), timeout=36_000_000_000, slack=7_200_000_000)
+    return rounded(out, "value", digits=4)
