@@ -24,7 +24,7 @@ WIDTH = 512
 #: Labelled rows, about, that each language is learned from, chosen by a hash of the id: of a rare language all.
 TRAIN_ROWS = 5_000
 #: Run vectors that a task keeps.
-RUNS_KEPT = 60_000
+RUNS_KEPT = 40_000
 #: Characters of a long text that are read at once.
 CHARS = 1 << 20
 UNKNOWN = "und"
@@ -32,7 +32,10 @@ UNKNOWN = "und"
 
 def letters_of(text: str) -> np.ndarray:
     """The letters of a text as code points in lower case, 0 for each run of other characters, one at either end; empty if there is no letter."""
-    points = np.frombuffer("".join(c if len(c) == 1 else c[0] for c in map(str.lower, text)).encode("utf-32-le") if not text.isascii() else text.lower().encode("utf-32-le"), np.uint32).astype(np.int64)
+    small = text.lower()
+    if len(small) != len(text) or "\u03a3" in text:  # letters whose small form is two, or depends on what follows
+        small = "".join(c.lower()[0] for c in text)
+    points = np.frombuffer(small.encode("utf-32-le"), np.uint32).astype(np.int64)
     low = points < 128
     letter = (points >= 97) & (points <= 122)
     if not low.all():
@@ -54,7 +57,7 @@ class Profiles:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.vectors = np.zeros(0, np.int64), np.zeros((0, WIDTH), np.int8)
+        self.known, self.vectors = np.zeros(0, np.int64), np.zeros((0, WIDTH), np.float32)
 
     def letter(self, point: int) -> np.ndarray:
         """The vector of a letter, from the seed and its code point: the same in every task."""
@@ -81,7 +84,7 @@ class Profiles:
             parts = [np.stack([np.roll(self.letter(x), turn) for x in ((new >> shift) & 0x1FFFFF).tolist()]) for shift, turn in ((42, 2), (21, 1), (0, 0))]
             known = np.concatenate([self.known, new])
             order = np.argsort(known, kind="stable")
-            self.known, self.vectors = known[order], np.concatenate([self.vectors, parts[0] * parts[1] * parts[2]])[order]
+            self.known, self.vectors = known[order], np.concatenate([self.vectors, (parts[0] * parts[1] * parts[2]).astype(np.float32)])[order]
         return counts.astype(np.float32) @ self.vectors[np.searchsorted(self.known, runs)]
 
 

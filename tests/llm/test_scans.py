@@ -119,7 +119,7 @@ def test_languages_match_letter_by_letter(spark, monkeypatch):
     odd = spark.createDataFrame([(10**6 + i, t, "x", "x", 1) for i, t in enumerate(["Ünïcödé 12 ßt", "漢字 かな", "ab", "İstanbul ΑΘΗΝΑ"])], SCHEMA)
     model = language_id.learn(docs)
     texts = {r.doc_id: r.text or "" for r in docs.limit(60).collect() + odd.collect()}
-    for kept in (60_000, 50):
+    for kept in (40_000, 50):
         monkeypatch.setattr(language_id, "RUNS_KEPT", kept)
         got = {r.doc_id: r for r in language_id.identify(docs.unionByName(odd), model).collect()}
         for i, t in texts.items():
