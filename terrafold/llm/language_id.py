@@ -23,8 +23,8 @@ from terrafold.session import ship_package
 WIDTH = 512
 #: Labelled rows, about, that each language is learned from, chosen by a hash of the id: of a rare language all.
 TRAIN_ROWS = 5_000
-#: Run vectors that a task keeps.
-RUNS_KEPT = 40_000
+#: Run vectors that a task keeps, and runs of texts that are bundled together.
+RUNS_KEPT, RUNS_AT_ONCE = 20_000, 30_000
 #: Characters of a long text that are read at once.
 CHARS = 1 << 20
 UNKNOWN = "und"
@@ -76,16 +76,32 @@ class Profiles:
         runs, at = np.unique(np.concatenate([r for r, _ in found]), return_inverse=True)
         return runs, np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64)
 
-    def bundle(self, runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def bundles(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The bundle of each text, given as runs and counts: one product of all counts and run vectors."""
         if len(self.known) > RUNS_KEPT:
             self.clear()
-        new = np.setdiff1d(runs, self.known, assume_unique=True)
+        new = np.setdiff1d(np.concatenate([r for r, _ in texts]), self.known)
         if new.size:
             parts = [np.stack([np.roll(self.letter(x), turn) for x in ((new >> shift) & 0x1FFFFF).tolist()]) for shift, turn in ((42, 2), (21, 1), (0, 0))]
             known = np.concatenate([self.known, new])
             order = np.argsort(known, kind="stable")
             self.known, self.vectors = known[order], np.concatenate([self.vectors, (parts[0] * parts[1] * parts[2]).astype(np.float32)])[order]
-        return counts.astype(np.float32) @ self.vectors[np.searchsorted(self.known, runs)]
+        counts = np.zeros((len(texts), len(self.known)), np.float32)
+        for row, (runs, n) in zip(counts, texts, strict=True):
+            row[np.searchsorted(self.known, runs)] = n
+        return counts @ self.vectors
+
+    def of(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """Place and bundle of each text with a letter, in lots of about RUNS_AT_ONCE runs."""
+        lot, places, held = [], [], 0
+        for i, t in enumerate(texts):
+            if len((found := self.runs(t or ""))[0]):
+                lot.append(found)
+                places.append(i)
+                held += len(found[0])
+            if lot and (held >= RUNS_AT_ONCE or i + 1 == len(texts)):
+                yield from zip(places, self.bundles(lot), strict=True)
+                lot, places, held = [], [], 0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -106,8 +122,9 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         profiles, total = Profiles(), {}
         for batch in batches:
             for part in slices(batch, 1):
-                for name, t in zip(part["lang"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    total[name] = total.get(name, 0) + profiles.bundle(*profiles.runs(t)).astype(np.float64)
+                langs = part["lang"].to_pylist()
+                for i, v in profiles.of(part["text"].to_pylist()):
+                    total[langs[i]] = total.get(langs[i], 0) + v.astype(np.float64)
         if total:
             yield pa.RecordBatch.from_pydict({"lang": list(total), "bundle": [v.tolist() for v in total.values()]})
 
@@ -135,18 +152,12 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
         profiles = Profiles()
 
         def run(texts: list) -> list:
-            pred, score = [], []
-            for t in texts:
-                runs, counts = profiles.runs(t or "")
-                if not names or not len(runs):
-                    pred.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                v = profiles.bundle(runs, counts).astype(np.float64)
+            pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            for i, v in profiles.of(texts) if names else ():
+                v = v.astype(np.float64)
                 cosine = bundles @ v / max(1e-12, np.linalg.norm(v))
                 best = int(np.argmax(cosine))
-                pred.append(names[best])
-                score.append(float(min(1.0, max(0.0, cosine[best]))))
+                pred[i], score[i] = names[best], float(min(1.0, max(0.0, cosine[best])))
             return [pred, score]
 
         return run

@@ -119,8 +119,9 @@ def test_languages_match_letter_by_letter(spark, monkeypatch):
     odd = spark.createDataFrame([(10**6 + i, t, "x", "x", 1) for i, t in enumerate(["Ünïcödé 12 ßt", "漢字 かな", "ab", "İstanbul ΑΘΗΝΑ"])], SCHEMA)
     model = language_id.learn(docs)
     texts = {r.doc_id: r.text or "" for r in docs.limit(60).collect() + odd.collect()}
-    for kept in (40_000, 50):
+    for kept in (20_000, 50):
         monkeypatch.setattr(language_id, "RUNS_KEPT", kept)
+        monkeypatch.setattr(language_id, "RUNS_AT_ONCE", kept)
         got = {r.doc_id: r for r in language_id.identify(docs.unionByName(odd), model).collect()}
         for i, t in texts.items():
             name, score = plain_language(model, t)
@@ -138,7 +139,7 @@ def test_language_run_vectors_are_bound_letters():
     p = language_id.Profiles()
     runs, counts = p.runs("Ab, ab")
     assert counts.sum() == 4 + 1  # breaks before, between and after
-    v = p.bundle(runs, counts)
+    v = p.bundles([(runs, counts)])[0]
     plain = sum(int(n) * np.roll(p.letter(r >> 42), 2).astype(int) * np.roll(p.letter(r >> 21 & 0x1FFFFF), 1) * p.letter(r & 0x1FFFFF) for r, n in zip(runs.tolist(), counts.tolist(), strict=True))
     assert (v == plain).all() and not len(p.runs("12 ,")[0])
 
