@@ -72,11 +72,12 @@ def reduction(stats: DataFrame) -> DataFrame:
     return stats.withColumn("ratio", F.coalesce(F.try_divide(left.cast("double"), F.col("input")), F.lit(0.0)))
 
 
-def cloud_quality(points: DataFrame, by: str = "frame", ring: str | None = None) -> DataFrame:
-    """Per frame: points, non-finite, zero, valid ones and their distances."""
+def cloud_quality(points: DataFrame, by: str = "frame", ring: str | None = None, time: str | None = None) -> DataFrame:
+    """Per frame: points, non-finite, zero, valid ones and their distances; how many rings, and the span of times, where there are such columns."""
     ok = all_finite() & nonzero()
     r = F.when(ok, norm())
     more = [F.countDistinct(ring).alias("rings")] if ring else []
+    more += [(F.max(time) - F.min(time)).alias("t_span")] if time else []
     return points.groupBy(by).agg(
         F.count("*").alias("n"), F.count_if(~all_finite()).alias("nonfinite"), F.count_if(all_finite() & ~nonzero()).alias("zero"), F.count_if(ok).alias("valid"),
         F.avg(ok.cast("double")).alias("valid_share"), F.min(r).alias("range_min"), F.percentile(r, F.lit(0.5)).alias("range_median"), F.percentile(r, F.lit(0.99)).alias("range_p99"), F.max(r).alias("range_max"), *more,

@@ -49,6 +49,12 @@ def grid_ground(spark: SparkSession, d: str) -> DataFrame:
     return rounded(g.select("pid", "frame", "height", "ground", "cell_status"), "height")
 
 
+@query()
+def grid_cells(spark: SparkSession, d: str) -> DataFrame:
+    """How many cells of each frame have a plane of their own, and why others have none."""
+    return pl.cell_counts(pl.ground_by_grid(points(spark, d), cell=2.0, min_points=6, threshold=0.4, max_tilt=45.0, max_offset=1.0, base={"max_angle": 45.0, "min_inliers": 5}))
+
+
 @query()
 def ground_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pl.ground_statistics(pl.ground_by_plane(points(spark, d), **_PLANE)), "slope", "sensor_height", "rms", "roughness")

@@ -85,13 +85,13 @@ def bulk_voxel_stats(spark: SparkSession, d: str) -> DataFrame:
 _QUALITY = f"""{RAW}, g AS (SELECT *, ok AND (abs(x) > 1e-6 OR abs(y) > 1e-6 OR abs(z) > 1e-6) AS good, sqrt(s) AS r FROM fin),
 q AS (SELECT frame, count(*) AS n, count(*) FILTER (NOT ok) AS nonfinite, count(*) FILTER (ok AND NOT good) AS zero, count(*) FILTER (good) AS valid,
  round(avg(CASE WHEN good THEN 1.0 ELSE 0.0 END), 6) AS valid_share, round(min(r) FILTER (good), 6) AS range_min, round(quantile_cont(r, 0.5) FILTER (good), 6) AS range_median,
- round(quantile_cont(r, 0.99) FILTER (good), 6) AS range_p99, round(max(r) FILTER (good), 6) AS range_max, count(DISTINCT class_id) AS rings FROM g GROUP BY frame)"""
+ round(quantile_cont(r, 0.99) FILTER (good), 6) AS range_p99, round(max(r) FILTER (good), 6) AS range_max, count(DISTINCT class_id) AS rings, max(pid) - min(pid) AS t_span FROM g GROUP BY frame)"""
 _RANGES = ("valid_share", "range_min", "range_median", "range_p99", "range_max")
 
 
 @query(f"WITH {_QUALITY} SELECT * FROM q")
 def cloud_quality(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(lidar.cloud_quality(raw_points(spark, d), ring="class_id"), *_RANGES)
+    return rounded(lidar.cloud_quality(raw_points(spark, d), ring="class_id", time="pid"), *_RANGES)
 
 
 @query(f"WITH {_QUALITY}, u AS (SELECT metric, v FROM (SELECT CAST(valid AS DOUBLE) AS valid, valid_share, range_max FROM q) UNPIVOT (v FOR metric IN (valid, valid_share, range_max))) SELECT metric, round(avg(v), 5) AS mean, round(min(v), 5) AS min, round(max(v), 5) AS max FROM u GROUP BY metric")

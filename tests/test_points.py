@@ -158,6 +158,8 @@ def test_grid_follows_waves(spark):
     one = recall(planes.ground_by_plane(s, 0.08))
     many = planes.ground_by_grid(s, 2.0, 10, 0.08, 25.0, 1.5, base={"max_angle": 5.0})
     assert recall(many) > one + 0.3
+    cells = planes.cell_counts(many).first()
+    assert cells.cells == sum(cells[2:]) > 100 and cells.accepted > 50
     assert {r[0] for r in many.select("cell_status").distinct().collect()} <= {"too_few_points", "no_plane_within_tilt", "height_offset", "tilt", "accepted"}
 
 
@@ -308,6 +310,11 @@ def test_quaternions(spark):
     for r in df.select("i", *[c.alias(n) for n, c in zip("xyzw", back, strict=True)]).collect():
         assert abs(abs(np.dot(q[r.i], [r.x, r.y, r.z, r.w])) - 1) < 1e-9
     assert g.rpy_matrix(0, 0, 0) == [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
+    a, b, c = 0.3, -0.5, 1.1
+    rx = np.array([[1, 0, 0], [0, math.cos(a), -math.sin(a)], [0, math.sin(a), math.cos(a)]])
+    ry = np.array([[math.cos(b), 0, math.sin(b)], [0, 1, 0], [-math.sin(b), 0, math.cos(b)]])
+    rz = np.array([[math.cos(c), -math.sin(c), 0], [math.sin(c), math.cos(c), 0], [0, 0, 1]])
+    assert np.allclose(g.rpy_matrix(a, b, c), rz @ ry @ rx)
     with pytest.raises(ValueError):
         g.unit((0, 0, 0))
 
