@@ -75,18 +75,14 @@ def quantiles(rows: DataFrame, by: tuple[str, ...], wanted: dict[str, tuple[Colu
         one = held.filter(F.col("part") == p).groupBy(*key).agg(F.count("*").alias("n"), F.min("part").alias("p"), F.min("v").alias("least"), F.max("v").alias("most"), ends.alias("e"))
         cuts = one if cuts is None else cuts.unionByName(one)
     # At either end of the values, and where they are few, the ends themselves: a sketch may fall short of them.
-    cuts = cut(cuts.select(*[F.col(c).alias(f"c_{c}") for c in key], "n", "p", F.when((F.col("p") <= near) | few, F.col("least")).otherwise(F.col("e")[0]).alias("low"), F.when((F.col("p") >= 1 - near) | few, F.col("most")).otherwise(F.col("e")[1]).alias("high")))
+    cuts = cuts.select(*[F.col(c).alias(f"c_{c}") for c in key], "n", "p", F.when((F.col("p") <= near) | few, F.col("least")).otherwise(F.col("e")[0]).alias("low"), F.when((F.col("p") >= 1 - near) | few, F.col("most")).otherwise(F.col("e")[1]).alias("high"))
     same = held[key[0]].eqNullSafe(cuts[f"c_{key[0]}"])
     for c in key[1:]:
         same = same & held[c].eqNullSafe(cuts[f"c_{c}"])
-    joined = held.join(cuts, same)
-    below = joined.filter(F.col("v") < F.col("low")).groupBy(*key).agg(F.count("*").alias("under"))
-    inside = joined.filter(F.col("v").between(F.col("low"), F.col("high"))).groupBy(*key, "v").agg(F.count("*").alias("same"), F.first("n").alias("n"), F.first("p").alias("p"))
-    b = below.select(*[F.col(c).alias(f"b_{c}") for c in key], "under")
-    same = inside[key[0]].eqNullSafe(b[f"b_{key[0]}"])
-    for c in key[1:]:
-        same = same & inside[c].eqNullSafe(b[f"b_{c}"])
-    ranked = inside.join(b, same, "left").withColumn("upto", F.coalesce("under", F.lit(0)) + F.sum("same").over(Window.partitionBy(*key).orderBy("v")))
+    # What lies below is one row of each key, before the values between.
+    upto = held.join(cuts, same).filter(F.col("v") <= F.col("high")).withColumn("v", F.when(F.col("v") >= F.col("low"), F.col("v")))
+    inside = upto.groupBy(*key, "v").agg(F.count("*").alias("same"), F.first("n").alias("n"), F.first("p").alias("p"))
+    ranked = inside.withColumn("upto", F.sum("same").over(Window.partitionBy(*key).orderBy(F.asc_nulls_first("v"))))
     place = F.col("p") * (F.col("n") - 1)
     covers = lambda i: (F.col("upto") > i) & (F.col("upto") - F.col("same") <= i)
     at = ranked.groupBy(*key).agg(F.first("n").alias("n"), F.first("p").alias("p"), F.max(F.when(covers(F.floor(place)), F.col("v"))).alias("lo"), F.max(F.when(covers(F.ceil(place)), F.col("v"))).alias("hi"))
