@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.llm.ann_forest import nearest
-from terrafold.llm import license_join, merkle_manifest
+from terrafold.llm import collocations, license_join, merkle_manifest
 from terrafold.llm.interleaved import media_documents
 from terrafold.llm.language_id import language_report
 from terrafold.llm.mixing import mix
@@ -78,13 +78,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_secret_scan, op2_sentencepiece, op3_ann_forest, op4_language_id, op5_license_scan, op6_pfair_mix,
-        op7_simhash, op8_warc, op9_interleaved_media, op10_pii_surrogates, op11_merkle_manifest,
+        op7_simhash, op8_warc, op9_interleaved_media, op10_pii_surrogates, op11_merkle_manifest, op13_collocations,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": license_join.oracle(), "op8_warc": OP8_SQL, "op11_merkle_manifest": merkle_manifest.oracle()}
+    return {"op5_license_scan": license_join.oracle(), "op8_warc": OP8_SQL, "op11_merkle_manifest": merkle_manifest.oracle(), "op13_collocations": collocations.SQL}
