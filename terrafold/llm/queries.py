@@ -16,6 +16,7 @@ from terrafold.llm.pii_surrogates import replace_pii
 from terrafold.llm.secret_scan import secret_report
 from terrafold.llm.sentencepiece_codec import encode_decode
 from terrafold.llm.simhash_index import near_duplicates
+from terrafold.llm.toxic_spans import toxicity_report
 from terrafold.llm.warc_convert import archive_round_trip
 from terrafold.session import scratch_path
 
@@ -78,6 +79,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -85,7 +90,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_secret_scan, op2_sentencepiece, op3_ann_forest, op4_language_id, op5_license_scan, op6_pfair_mix,
-        op7_simhash, op8_warc, op9_interleaved_media, op10_pii_surrogates, op11_merkle_manifest, op13_collocations,
+        op7_simhash, op8_warc, op9_interleaved_media, op10_pii_surrogates, op11_merkle_manifest, op12_toxicity, op13_collocations,
     )
     return {f.__name__: f for f in found}
 
