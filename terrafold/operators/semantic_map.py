@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions.geometry import voxel_keys
@@ -31,11 +31,15 @@ def voxel_map(observations: DataFrame, resolution: float = 0.1, min_confidence:
     return out.withColumns({f"c{a}": (F.col(f"i{a}") + 0.5) * resolution for a in "xyz"})
 
 
-def valid_evidence(observations: DataFrame, classes: int) -> DataFrame:
-    """Observations of a known class and a finite confidence above 0, cut to 1."""
+def is_evidence(classes: int) -> Column:
+    """Whether an observation has a known class and a finite confidence above 0."""
     c = F.col("confidence")
-    ok = (F.col("class_id") >= 0) & (F.col("class_id") < classes) & ~F.isnan(c) & (F.abs(c) < float("inf")) & (c > 0)
-    return observations.filter(F.coalesce(ok, F.lit(False))).withColumn("confidence", F.least(c, F.lit(1.0)))
+    return F.coalesce((F.col("class_id") >= 0) & (F.col("class_id") < classes) & ~F.isnan(c) & (F.abs(c) < float("inf")) & (c > 0), F.lit(False))
+
+
+def valid_evidence(observations: DataFrame, classes: int) -> DataFrame:
+    """Observations that are evidence, their confidence cut to 1."""
+    return observations.filter(is_evidence(classes)).withColumn("confidence", F.least("confidence", F.lit(1.0)))
 
 
 def evidence_map(observations: DataFrame, resolution: float = 0.1, classes: int = 20, prior: float = 0.001, tau: float = 0.0, min_posterior: float = 0.0, stamp: str = "stamp_us") -> DataFrame:
@@ -54,14 +58,14 @@ def evidence_map(observations: DataFrame, resolution: float = 0.1, classes: int
         seen = seen.withColumns({"w": F.col("confidence") * faded(stamp), "p": F.lit(prior) * faded("t0")})
     else:
         seen = seen.withColumns({"w": F.col("confidence"), "p": F.lit(prior)})
-    z = F.col("z")
-    by_class = seen.groupBy(*_KEY, "class_id").agg(F.sum("w").alias("s"), F.first("p").alias("p"), F.count("*").alias("n"), F.sum("z").alias("sz"), F.sum(z * z).alias("szz"))
+    z = F.col("z") - F.col("iz") * resolution  # heights from the voxel's floor: their squares lose nothing, however high it lies
+    by_class = seen.groupBy(*_KEY, "class_id").agg(F.sum("w").alias("s"), F.first("p").alias("p"), F.count("*").alias("n"), F.sum("z").alias("sz"), F.sum(z).alias("sl"), F.sum(z * z).alias("szz"))
     best = F.max(F.struct(F.round(F.col("s") + F.col("p"), TIE_DIGITS).alias("r"), (-F.col("class_id")).alias("c"), (F.col("s") + F.col("p")).alias("e")))
     n = F.sum("n")
-    mean = F.sum("sz") / n
+    mean, low = F.sum("sz") / n, F.sum("sl") / n
     out = by_class.groupBy(*_KEY).agg(
         (-best["c"]).cast("int").alias("class_id"), (best["e"] / (F.sum("s") + classes * F.max("p"))).alias("posterior"), n.alias("observations"),
-        mean.alias("mean_z"), F.greatest(F.sum("szz") / n - mean * mean, F.lit(0.0)).alias("var_z"),
+        mean.alias("mean_z"), F.greatest(F.sum("szz") / n - low * low, F.lit(0.0)).alias("var_z"),
     )
     return out.filter(F.col("posterior") >= min_posterior)
 

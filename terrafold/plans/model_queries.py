@@ -11,7 +11,6 @@ from terrafold.operators import clusters as cl
 from terrafold.operators import planes as pl
 from terrafold.operators import registration as rg
 from terrafold.operators import timeseries as ts
-from terrafold.plans.map_queries import _evidence_sql, evidence_rounded
 from terrafold.plans.registry import PTS, query, r6, rounded
 from terrafold.session import cut, scratch_path
 from terrafold.sources import bag, cloud
@@ -127,13 +126,6 @@ def frame_store(spark: SparkSession, d: str) -> DataFrame:
     return cloud.read_frames(spark, path, 3).select("pid", F.col("frame").cast("long").alias("frame"), "x")
 
 
-@query(f"WITH {PTS} SELECT CAST(floor(x / 2.0) AS BIGINT) AS ix, CAST(floor(y / 2.0) AS BIGINT) AS iy, CAST(floor(z / 2.0) AS BIGINT) AS iz, count(*) AS observations, round(sum(confidence), 6) AS confidence_sum, min(z) AS min_z, max(z) AS max_z FROM pts GROUP BY ALL")
-def streaming_voxel_map(spark: SparkSession, d: str) -> DataFrame:
-    e = lambda i: F.col("embedding")[i].cast("double")
-    p = maps.arriving(spark, d, "embeddings").select((e(0) * 10).alias("x"), (e(1) * 10).alias("y"), (e(2) * 10).alias("z"), F.least(F.abs(e(4)) * 4, F.lit(1.0)).alias("confidence"))
-    return rounded(maps.snapshot(maps.voxel_counts(p, 2.0)), "confidence_sum")
-
-
 @query("SELECT DISTINCT user_id, event_type AS topic FROM events")
 def streaming_dedup(spark: SparkSession, d: str) -> DataFrame:
     s = maps.arriving(spark, d, "events").select("user_id", F.col("event_type").alias("topic")).dropDuplicates(["user_id", "topic"])
@@ -148,37 +140,6 @@ def streaming_windows(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "total", digits=4)
 
 
-@query(_evidence_sql("c * exp(-(t1 - stamp_us) / 1e6 / 31536000.0)", "0.001 * exp(-(t1 - t0) / 1e6 / 31536000.0)"))
-def streaming_evidence(spark: SparkSession, d: str) -> DataFrame:
-    raw = maps.arriving(spark, d, "lineitem")
-    seen = raw.select(
-        F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 2500).alias("y"), ((F.col("l_discount") + F.col("l_tax")) * 10).alias("z"), (F.col("l_linenumber") - 2).alias("class_id"), (F.col("l_discount") * 12).alias("confidence"),
-        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(l_shipdate AS timestamp_ntz))").alias("stamp_us"),
-    )
-    rows = maps.collected(maps.evidence_stream(seen, 5.0, tau=31_536_000.0), "update")
-    return evidence_rounded(maps.latest(rows, "ix", "iy", "iz"))
-
-
-def _arriving_events(spark: SparkSession, d: str) -> DataFrame:
-    return maps.arriving(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("topic"), "value")
-
-
-@query("SELECT user_id, event_id AS seq, value, lag(event_id) OVER w AS previous, lag(value) OVER w AS previous_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
-def streaming_previous(spark: SparkSession, d: str) -> DataFrame:
-    return maps.collected(maps.with_previous(_arriving_events(spark, d), "user_id", "seq", "value")).drop("batch")
-
-
-@query("SELECT * FROM (SELECT user_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS received FROM events) WHERE (received - 1) % 5 = 0")
-def streaming_every_nth(spark: SparkSession, d: str) -> DataFrame:
-    return maps.collected(maps.every_nth_arrival(_arriving_events(spark, d), 5, "user_id", "seq")).drop("batch")
-
-
-@query("SELECT r.user_id, r.event_id AS seq, o.value AS latest FROM (SELECT * FROM events WHERE event_type = 'click') r ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') o ON r.user_id = o.user_id AND r.event_id >= o.event_id")
-def streaming_latest(spark: SparkSession, d: str) -> DataFrame:
-    s = _arriving_events(spark, d).filter(F.col("topic").isin("click", "view")).withColumn("side", F.col("topic") == "view")
-    return maps.collected(maps.with_latest(s, "user_id", "seq", "side", "value")).drop("batch")
-
-
 @query()
 def frame_registration(spark: SparkSession, d: str) -> DataFrame:
     """Each frame taken onto the one before it."""

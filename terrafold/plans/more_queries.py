@@ -162,12 +162,6 @@ def header_stamps(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", head.alias("data")).select("event_id", cloud.header_stamp_ns().alias("stamp_ns"))
 
 
-@query(f"WITH {ST}, n AS (SELECT seq, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS age FROM st) SELECT seq, user_id, value FROM n WHERE age <= 20")
-def streaming_last_n(spark: SparkSession, d: str) -> DataFrame:
-    s = maps.arriving(spark, d, "events").select(F.col("event_id").alias("seq"), "user_id", "value")
-    return maps.bounded(s, 20, "user_id", "seq")
-
-
 @query(f"""WITH {PTS}, r AS (SELECT pid, frame, row_number() OVER (PARTITION BY frame ORDER BY (pid * 2654435761 + 12345) % 4294967296, pid) AS draw FROM pts) SELECT pid, frame, draw FROM r WHERE draw <= 20""")
 def sampled_points(spark: SparkSession, d: str) -> DataFrame:
     """Twenty points of each frame, drawn without replacement: those whose mixed ids are least."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrafold.plans import map_queries, model_queries, more_queries, point_queries, stream_queries  # noqa: F401
+from terrafold.plans import live_queries, map_queries, model_queries, more_queries, point_queries, stream_queries  # noqa: F401
 from terrafold.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from terrafold.functions.geometry import voxel_keys
-from terrafold.operators.semantic_map import valid_evidence
-from terrafold.operators.timeseries import last_n
-from terrafold.session import scratch_path, ship_package
+from terrafold.operators.semantic_map import is_evidence
+from terrafold.session import cut, scratch_path
+from terrafold.streaming import keyed
 
 
 def arriving(spark: SparkSession, folder: str, name: str, files: int = 8) -> DataFrame:
@@ -23,6 +20,22 @@ def arriving(spark: SparkSession, folder: str, name: str, files: int = 8) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}.parquet*")
 
 
+def replayed(rows: DataFrame, batch: Column, batches: int, path: str | None = None, stamp: str | None = None, files: int = 4) -> DataFrame:
+    """A stream that brings ``rows`` as ``batch`` (from 0) tells, in files below ``path``, and with ``stamp`` a last row that ends it (see ``keyed.END_US``).
+
+    A batch is written as ``files`` files and read as as many; one of fewer rows than files comes together with rows of the next.
+    """
+    spark = rows.sparkSession
+    path = path or scratch_path(spark, "replay")
+    dealt = cut(rows.withColumn("__batch", batch))
+    for i in range(batches):
+        dealt.filter(F.col("__batch") == i).drop("__batch").repartition(files).write.mode("append").parquet(path)
+    if stamp:
+        last = [F.lit(keyed.END_US if f.name == stamp else None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+        spark.range(1).select(*last).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def drain(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
     """Runs a stream until what has arrived is read; batches go to ``write``, state and offsets to ``checkpoint``, a new place in the shared folder if not given.
 
@@ -71,51 +84,35 @@ def voxel_counts(points: DataFrame, size: float) -> DataFrame:
 
 
 def bounded(stream: DataFrame, n: int, by: str, order: str) -> DataFrame:
-    """The newest n rows of each key of all that a stream brought: each batch is merged with what was kept, into a new table."""
-    spark = stream.sparkSession
-    path, schema = scratch_path(spark, "kept"), stream.schema
-    done: list[int] = []
-
-    def write(df: DataFrame, batch: int) -> None:
-        kept = df if not done else df.unionByName(spark.read.schema(schema).parquet(f"{path}/{done[-1]}"))
-        last_n(kept, n, by, order).drop("age").write.mode("overwrite").parquet(f"{path}/{batch}")
-        done.append(batch)
-
-    drain(stream, "append", write)
-    return spark.read.schema(schema).parquet(f"{path}/{done[-1]}") if done else spark.createDataFrame([], schema)
-
+    """The newest n rows of each key, as they came, of all that a stream brought; columns are numbers or strings.
 
-_STATE = "evidence array<double>, last long, n long, mean double, m2 double"
-_OUT = "ix long, iy long, iz long, class_id int, posterior double, observations long, mean_z double, var_z double"
-
-
-def evidence_stream(observations: DataFrame, size: float, classes: int = 20, prior: float = 0.001, tau: float = 0.0) -> DataFrame:
-    """A voxel's class whenever its evidence changes. The state of a voxel is bounded: one number a class and four more.
-
-    Within a batch observations are taken by stamp. One that is older than the last is
-    added without fading, and the clock does not go back: the batch form is met exactly if batches come in order.
+    The state of a key is a ring of chunks in RocksDB; what is left in it when the stream has been read is taken from the state itself.
+    """
+    spark = stream.sparkSession
+    kinds = {f.name: f.dataType.simpleString().replace("bigint", "long") for f in stream.schema.fields}
+    fields = [c for c in stream.columns if c != by]
+    place = scratch_path(spark, "stream")
+    fold = keyed.RingFold(fields, [kinds[f] for f in fields], [order], None, n=n)
+    drain(keyed.grouped(stream, [by], fold, f"{by} {kinds[by]}, kept long, first long", False), "update", lambda df, batch: df.write.format("noop").mode("overwrite").save(), place)
+    chunks = spark.read.format("statestore").option("stateVarName", "chunks").load(place)
+    rows = chunks.select(F.col(f"key.{by}").alias(by), F.col("user_map_key.at").alias("at"), F.posexplode(F.arrays_zip(*[F.col(f"user_map_value.{f}") for f in fields])).alias("place", "row"))
+    # The oldest chunk reaches further back than n rows.
+    ahead = Window.partitionBy(by).orderBy(F.desc("at"))
+    sizes = chunks.select(F.col(f"key.{by}").alias(by), F.col("user_map_key.at").alias("at"), F.size(f"user_map_value.{fields[0]}").alias("size"))
+    sizes = sizes.withColumn("newer", F.sum("size").over(ahead) - F.col("size"))
+    kept = rows.join(sizes, [by, "at"]).filter(F.col("newer") + F.col("size") - F.col("place") <= n)
+    return kept.select(by, *[F.col(f"row.{f}").alias(f) for f in fields]).select(*stream.columns)
+
+
+def evidence_stream(observations: DataFrame, size: float, classes: int = 20, prior: float = 0.001, tau: float = 0.0, delay: str | None = None) -> DataFrame:
+    """A voxel's class whenever its evidence changes, and how many of its observations came too ``late``. The state of a voxel is bounded by the number of classes, and with a ``delay`` by what that time brings.
+
+    With a delay observations wait until the watermark has passed them. Fading has a closed form, so what a voxel comes to
+    does not depend on the order of those that are taken: the table form, ``evidence_map``, gives the same.
     """
-    ship_package(observations.sparkSession)
-    seen = valid_evidence(observations, classes).select(*voxel_keys(size), "class_id", "confidence", "z", "stamp_us")
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        evidence, last, n, mean, m2 = state.get if state.exists else ([prior] * classes, None, 0, 0.0, 0.0)
-        evidence = list(evidence)
-        for c, k, z, t in pd.concat(list(batches)).sort_values("stamp_us", kind="stable")[["class_id", "confidence", "z", "stamp_us"]].itertuples(index=False):
-            if last is not None and tau > 0 and t > last:
-                fade = math.exp(-(t - last) / 1e6 / tau)
-                evidence = [e * fade for e in evidence]
-            last = int(t) if last is None else max(last, int(t))
-            evidence[int(c)] += k
-            n += 1
-            step = z - mean
-            mean += step / n
-            m2 += step * (z - mean)
-        state.update((evidence, last, n, mean, m2))
-        total, best = sum(evidence), max(range(classes), key=lambda i: (round(evidence[i], 9), -i))
-        yield pd.DataFrame([(*map(int, key), best, evidence[best] / total, n, mean, m2 / n)], columns=["ix", "iy", "iz", "class_id", "posterior", "observations", "mean_z", "var_z"])
-
-    return seen.groupBy("ix", "iy", "iz").applyInPandasWithState(update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    fold = keyed.EvidenceFold(classes, prior, tau, delay is not None)
+    rows = keyed.timed(observations, "stamp_us", delay, is_evidence(classes)).select(*voxel_keys(size), "class_id", F.least("confidence", F.lit(1.0)).alias("confidence"), "z", "stamp_us")
+    return keyed.grouped(rows, ["ix", "iy", "iz"], fold, keyed.EVIDENCE, delay is not None)
 
 
 def latest(rows: DataFrame, *key: str) -> DataFrame:
@@ -127,42 +124,26 @@ def latest(rows: DataFrame, *key: str) -> DataFrame:
 # Streams whose rows depend on those of their key before them.
 
 
-def folded(stream: DataFrame, by: str, order: str, out: str, state: str, begin: tuple, step: Callable[[tuple, dict], tuple[tuple, tuple | None]]) -> DataFrame:
-    """What ``step(state, row)`` gives for the rows of each key, in order within a batch: the state after it, and a row of ``out`` or None. The state is one row a key."""
-    ship_package(stream.sparkSession)
-    names = [f.split()[0] for f in out.split(",")]
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(held.get) if held.exists else begin
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        made = []
-        for r in rows.astype(object).where(rows.notna(), None).to_dict("records"):
-            now, row = step(now, r)
-            if row is not None:
-                made.append(row)
-        held.update(now)
-        yield pd.DataFrame(made, columns=names)
-
-    return stream.groupBy(by).applyInPandasWithState(update, out, state, "append", GroupStateTimeout.NoTimeout)
-
-
-def with_previous(stream: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """by, order, value (a number), and those of the row of its key before it, ``previous`` and ``previous_value``: the first row of a key has none."""
-    out = f"{by} long, {order} long, {value} double, previous long, previous_value double"
-    return folded(stream.select(by, order, value), by, order, out, "o long, v double", (None, None), lambda s, r: ((r[order], r[value]), (r[by], r[order], r[value], *s)))
+def with_previous(stream: DataFrame, by: str, order: str, value: str, stamp: str | None = None, delay: str | None = None) -> DataFrame:
+    """by, order, value (a number), those of the row of its key before it, ``previous`` and ``previous_value`` (the first row of a key has none), and whether it came too ``late`` to be told."""
+    out = f"{by} long, {order} long, {value} double, previous long, previous_value double, late boolean"
+    return _in_order(stream, by, keyed.PreviousFold, [(order, "long"), (value, "double")], order, stamp, delay, out)
 
 
-def every_nth_arrival(stream: DataFrame, n: int, by: str, order: str) -> DataFrame:
-    """by, order, received: the first row of each key and every n-th after it."""
-    out = f"{by} long, {order} long, received long"
-    return folded(stream.select(by, order), by, order, out, "n long", (0,), lambda s, r: ((s[0] + 1,), (r[by], r[order], s[0] + 1) if s[0] % n == 0 else None))
+def every_nth_arrival(stream: DataFrame, n: int, by: str, order: str, stamp: str | None = None, delay: str | None = None) -> DataFrame:
+    """by, order, received: the first row of each key and every n-th after it; late rows do not count."""
+    return _in_order(stream, by, keyed.EveryNthFold, [(order, "long")], order, stamp, delay, f"{by} long, {order} long, received long", n=n)
 
 
-def with_latest(stream: DataFrame, by: str, order: str, is_side: str, value: str) -> DataFrame:
+def with_latest(stream: DataFrame, by: str, order: str, is_side: str, value: str, stamp: str | None = None, delay: str | None = None) -> DataFrame:
     """by, order, latest: the rows of a stream that are not of the side input (``is_side``), each with the value of the side row of its key that came last before it."""
-    out = f"{by} long, {order} long, latest double"
+    return _in_order(stream, by, keyed.LatestFold, [(order, "long"), (is_side, "boolean"), (value, "double")], order, stamp, delay, f"{by} long, {order} long, latest double")
 
-    def step(s: tuple, r: dict) -> tuple[tuple, tuple | None]:
-        return ((r[value],), None) if r[is_side] else (s, (r[by], r[order], s[0]))
 
-    return folded(stream.select(by, order, is_side, value), by, order, out, "v double", (None,), step)
+def _in_order(stream: DataFrame, by: str, fold: type, fields: list[tuple[str, str]], order: str, stamp: str | None, delay: str | None, out: str, **more) -> DataFrame:
+    """``stamp`` (microseconds) and ``delay`` tell how long rows are waited for; without them the batches themselves must be in order."""
+    if delay is not None and stamp not in [f for f, _ in fields]:
+        fields = [*fields, (stamp, "long")]
+    names = [f for f, _ in fields]
+    rows = stream.select(by, *names) if delay is None else keyed.timed(stream, stamp, delay).select(by, *names)
+    return keyed.grouped(rows, [by], fold(names, [k for _, k in fields], [stamp, order] if delay else [order], stamp if delay else None, **more), out, delay is not None)
