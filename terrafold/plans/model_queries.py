@@ -154,7 +154,7 @@ UNION ALL SELECT 'unused', 'event', 0, NULL, NULL, NULL, NULL, NULL""")
 def inspect_bag(spark: SparkSession, d: str) -> DataFrame:
     """A bag recorded from the events, read back: its topics, the steps of header and bag stamps, and how long after its header a message was received."""
     e = stamps(spark, d).select(F.col("seq").alias("id"), "topic", "stamp_us", (F.col("stamp_us") + F.col("seq") % 7 * 1000).alias("timestamp"))
-    path = scratch_path(spark, "bag").removeprefix("file://")
+    path = scratch_path(spark, "bag")
     bag.register(spark)
     known = e.select("topic").distinct().unionByName(spark.createDataFrame([("unused",)], "topic string")).withColumn("type", F.lit("event"))
     bag.write_bags(e.withColumn("data", cloud.header_bytes(F.col("stamp_us"))), known, path, 4)

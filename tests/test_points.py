@@ -353,7 +353,7 @@ def test_bags(spark, tmp_path):
         db.commit()
         db.close()
     bag.register(spark)
-    m = spark.read.format("bag").option("ids", 4).load(str(tmp_path))
+    m = spark.read.format("bag").option("messages", 4).load(str(tmp_path))
     assert {(r.topic, r.type, r.n) for r in bag.topics(spark, str(tmp_path)).collect()} == {("/a", "A", 6), ("/b", "B", 6), ("/none", "N", 0)}
     assert m.rdd.getNumPartitions() == 4 and [r.id for r in m.filter(F.col("file").endswith("b_0.db3")).collect()] == [0, 1, 2, 3, 4, 5]
     some = m.filter("topic = '/a'")
