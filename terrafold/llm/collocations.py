@@ -4,9 +4,9 @@ The edges are the four-word runs inside pieces, weighted by how often each occur
 they join. Only edges are counted in the texts. The count of a node is the weight of the edges that leave it plus the pieces that end in it,
 and so on down to single words. Chains of nodes with one edge in and one out are compacted to paths.
 
-No phrase occurs more often than its rarest pair of words. A sketch of a fixed size holds for each hash value how
-often pairs and words with it occur, so a pair below the least count is known to be rare, and pieces are cut there before edges are counted. A
-sketch that overflows cuts less; the counts of what can be a candidate are exact either way.
+No phrase occurs more often than any run of words in it. Two sketches of a fixed size hold for each hash value how often runs
+with it occur, first of one and two words, then of three and four, so a run below the least count is known to be rare: a place counts for the longest run from it that is not. A
+sketch that overflows tells less; the counts of what can be a candidate are exact either way.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrafold.llm.arrow_map import SLICE_BYTES, slices
+from terrafold.llm.arrow_map import slices
 from terrafold.operators.components import connected_components
 from terrafold.session import cut, ship_package
 
@@ -31,6 +31,8 @@ LONGEST = 4
 SCALE = 2_000_000
 #: Counters of the sketch as a power of two, those of one row in the shuffle, and what a counter holds at most.
 SKETCH_BITS, CHUNK, FULL = 25, 1 << 17, 255
+#: Bytes of text that are counted together, unless a single piece is longer.
+SLICE_BYTES = 2 << 20
 #: Parts of a language that are ranked on their own first.
 PARTS = 64
 UNKNOWN = "und"
@@ -62,19 +64,32 @@ class Words:
         lengths = np.array([len(t) + 1 for t in texts])
         self.langs = of[np.searchsorted(np.cumsum(lengths), starts, "right")]
 
-    def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where each word, and each pair of a word and the next, is counted in a sketch."""
-        h = np.array([xxhash.xxh64_intdigest(w) for w in self.words.cast(pa.large_binary()).to_pylist()], np.uint64)[self.ids]
-        of = np.array([xxhash.xxh64_intdigest(n, 1) for n in self.names], np.uint64)[self.langs]
-        shift = np.uint64(64 - bits)
-        pair = (h[:-1] ^ (h[:-1] >> np.uint64(31))) * _B + h[1:] + of[:-1]
-        return ((h ^ of) * _A) >> shift, ((pair ^ (pair >> np.uint64(29))) * _C) >> shift
+    def cells(self, bits: int) -> list[np.ndarray]:
+        """Where the runs of 1, 2, 3 and 4 words that begin at each word are counted in a sketch. Runs that leave their piece have no meaning."""
+        own = np.array([xxhash.xxh64_intdigest(w) for w in self.words.cast(pa.large_binary()).to_pylist()], np.uint64)[self.ids]
+        now = own ^ np.array([xxhash.xxh64_intdigest(n, 1) for n in self.names], np.uint64)[self.langs]
+        out = [now * _A]
+        for k in range(1, LONGEST):
+            now = (now ^ (now >> np.uint64(31))) * _B + np.roll(own, -k)
+            out.append((now ^ (now >> np.uint64(29))) * _C)
+        return [x >> np.uint64(64 - bits) for x in out]
+
+    def common(self, cells: list[np.ndarray], known: list[np.ndarray]) -> list[np.ndarray]:
+        """Whether the run of 1, 2, 3 and 4 words from each word stays in its piece and is not known to be rare, nor any run in it. Sketches: of one and two words, then of three and four."""
+        out: list[np.ndarray] = []
+        for k, at in enumerate(cells):
+            here = out[-1] & np.append(out[-1][1:], False) & self.joined if k else np.ones(len(at), bool)
+            if k // 2 < len(known):
+                some = np.flatnonzero(here)
+                here[some] = known[k // 2][at[some] >> np.uint64(3)] >> (7 - (at[some] & np.uint64(7)).astype(np.uint8)) & 1
+            out.append(here)
+        return out
 
 
 def read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     """Bounded lots of (lang, text) rows. A long text is parted between two pieces, which have nothing in common; only one piece is never parted."""
     for batch in batches:
-        for part in slices(batch, 1):
+        for part in slices(batch, 1, SLICE_BYTES):
             langs, texts = [], []
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 while len(text) > SLICE_BYTES:
@@ -88,14 +103,16 @@ def read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
             yield Words(langs, texts)
 
 
-def sketch(rows: DataFrame, least: int, bits: int) -> bytes:
-    """A bit for each counter: whether words or pairs counted there come to ``least``. ``rows``: lang, text. What reaches the driver has 2 ** bits bits at any size of the table."""
+def sketch(rows: DataFrame, least: int, bits: int, below: tuple = ()) -> bytes:
+    """A bit for each counter: whether runs of words counted there come to ``least``. ``rows``: lang, text. The first sketch counts runs of one and two words; the second, given the first as ``below``,
+    those of three and four that the first does not tell to be rare. What reaches the driver has 2 ** bits bits at any size of the table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << bits, np.uint8)
+        held, known = np.zeros(1 << bits, np.uint8), opened(below)
         for w in read_texts(batches):
-            own, pairs = w.cells(bits)
-            at, n = np.unique(np.concatenate([own, pairs[w.joined[:-1]]]), return_counts=True)
+            cells = w.cells(bits)
+            kept = w.common(cells, known)
+            at, n = np.unique(np.concatenate([cells[k][kept[k]] for k in ((2, 3) if below else (0, 1))]), return_counts=True)
             held[at] = np.minimum(held[at] + n, FULL)
         for i in range(0, len(held), CHUNK):
             if (part := held[i : i + CHUNK]).any():
@@ -117,41 +134,33 @@ def sketch(rows: DataFrame, least: int, bits: int) -> bytes:
     return bytes(out)
 
 
-def runs(rows: DataFrame, common: bytes, bits: int) -> DataFrame:
-    """lang, k, gram, n from each lot of texts: edges (k 4), what pieces end in (k 3, 2, 1), all words of a language (k 0), pieces cut at pairs that are not ``common``."""
-    sent = rows.sparkSession.sparkContext.broadcast(common)  # 2 ** bits bits
+def opened(sent: tuple) -> list[np.ndarray]:
+    """The bytes of broadcast sketches."""
+    return [np.frombuffer(x.value, np.uint8) for x in sent]
+
+
+def runs(rows: DataFrame, sent: tuple, bits: int) -> DataFrame:
+    """lang, k, gram, n from each lot of texts: of each place the longest run that is not known to be rare. Those of four words are the edges; shorter ones (k 3, 2, 1) are
+    where pieces end, or are cut since what follows is rare. All words of a language are k 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(np.frombuffer(sent.value, np.uint8)).view(bool)
+        known = opened(sent)
         for w in read_texts(batches):
-            if not len(w.ids):
-                continue
-            own, pairs = (known[c] for c in w.cells(bits))
-            joined = w.joined.copy()
-            joined[:-1] &= pairs & own[:-1] & own[1:]
-            yield from counted(w, joined, own)
+            if len(w.ids):
+                yield from counted(w, np.sum(w.common(w.cells(bits), known), 0))
 
     return rows.mapInArrow(count, "lang string, k int, gram string, n long")
 
 
-def counted(w: Words, joined: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of ``runs`` for one lot; ``joined``: whether a word and the next are still together, ``own``: whether a word can be part of a candidate."""
+def counted(w: Words, longest: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of ``runs`` for one lot; ``longest``: words of the run that counts from each word, 0 for none."""
     n, size = len(w.ids), len(w.words)
     per = np.bincount(w.langs, minlength=len(w.names))
-    yield made([w.names[i] for i in range(len(per))], 0, [""] * len(per), per)
-    whole = [np.ones(n, bool), joined]  # whether k + 1 words from here are together
-    for k in (2, 3):
-        whole.append(whole[-1] & np.concatenate([joined[k - 1 :], np.zeros(k - 1, bool)]))
-    _, pair = np.unique(w.langs * size * size + w.ids * size + np.concatenate([w.ids[1:], [0]]), return_inverse=True)
-    for k in (4, 3, 2, 1):
-        if k == LONGEST:
-            at = np.flatnonzero(whole[3])
-            key = pair[at] * n + pair[np.minimum(at + 2, n - 1)]
-        else:
-            last = np.flatnonzero(~joined & own)
-            at = last[last >= k - 1] - (k - 1)
-            at = at[whole[k - 1][at]]
-            key = w.langs[at] * size + w.ids[at] if k == 1 else pair[at] * (n if k == 3 else 1) + (pair[at + 1] if k == 3 else 0)
+    yield made(pa.array([str(x) for x in w.names]), 0, [""] * len(per), per)
+    _, pair = np.unique(w.langs * size * size + w.ids * size + np.roll(w.ids, -1), return_inverse=True)
+    for k in range(LONGEST, 0, -1):
+        at = np.flatnonzero(longest == k)
+        key = w.langs[at] * size + w.ids[at] if k == 1 else pair[at] if k == 2 else pair[at] * n + pair[at + k - 2]
         _, first, many = np.unique(key, return_index=True, return_counts=True)
         at = at[first]
         if len(at):
@@ -160,8 +169,8 @@ def counted(w: Words, joined: np.ndarray, own: np.ndarray) -> Iterator[pa.Record
             yield made(pa.array([str(x) for x in w.names]).take(pa.array(w.langs[at])), k, gram.cast(pa.string()), many)
 
 
-def made(lang, k: int, gram, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()) if isinstance(lang, list) else lang, "k": pa.array(np.full(len(n), k, np.int32)), "gram": gram, "n": pa.array(np.asarray(n, np.int64))})
+def made(lang: pa.Array, k: int, gram: pa.Array | list, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"lang": lang, "k": pa.array(np.full(len(n), k, np.int32)), "gram": gram, "n": pa.array(np.asarray(n, np.int64))})
 
 
 def first_words(gram: Column, k: int | Column) -> Column:
@@ -169,7 +178,7 @@ def first_words(gram: Column, k: int | Column) -> Column:
 
 
 def flows(counts: DataFrame) -> list[DataFrame]:
-    """(lang, gram, n) of all runs of 4, 3, 2 and 1 words: what leaves a node, and the pieces that end in it."""
+    """(lang, gram, n) of all runs of 4, 3, 2 and 1 words that may be common: what leaves a node, and the pieces that end in it or are cut behind it."""
     now = counts.filter(F.col("k") == LONGEST).select("lang", "gram", "n")
     out = [now]
     for k in range(LONGEST - 1, 0, -1):
@@ -207,7 +216,10 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     spark: SparkSession = df.sparkSession
     ship_package(spark)
     rows = df.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    counts = cut(runs(rows, sketch(rows, least, bits), bits).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")))
+    sent: tuple = ()
+    for _ in range(2):
+        sent += (spark.sparkContext.broadcast(sketch(rows, least, bits, sent)),)  # 2 ** bits bits each
+    counts = cut(runs(rows, sent, bits).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")))
     totals = counts.filter("k = 0").select("lang", F.col("n").alias("n"))  # one row a language
     of = [f.filter(F.col("n") >= least).withColumn("k", F.lit(LONGEST - i)) for i, f in enumerate(flows(counts))]
     all_ = cut(of[0].unionByName(of[1]).unionByName(of[2]).unionByName(of[3]))
