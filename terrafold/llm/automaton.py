@@ -42,8 +42,8 @@ class _Parser:
         while (c := self.peek()) and c in "?*+{":
             if c == "{":
                 end = self.text.index("}", self.at)
-                low, _, high = self.text[self.at + 1 : end].partition(",")
-                bounds = int(low), int(high or low)
+                low, comma, high = self.text[self.at + 1 : end].partition(",")
+                bounds = int(low), int(high) if high else None if comma else int(low)
                 self.at = end + 1
             else:
                 bounds = {"?": (0, 1), "*": (0, None), "+": (1, None)}[c]
@@ -119,7 +119,10 @@ class _Parser:
                 self.eps[at].append(b)
                 at = e
             if high is None:
+                before = len(self.eps)
                 b, e = self.build(inner)
+                if node is self.last:  # beyond the count: further than all
+                    self.count |= {x: low for x in range(before, len(self.eps)) if self.move[x]}
                 self.eps[at] += [b, z]
                 self.eps[e] += [b, z]
             else:
@@ -198,11 +201,16 @@ def compile_rules(rules: list[tuple[str, bool]], search: bool = True, backward:
 LANE, BLOCK = 2048, 4 << 20
 
 
-def scan(data: bytes, step: np.ndarray, column: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``data`` where a match can end, and the rules of each as bits: one step a byte. Memory is that of a block."""
+def scan(data: bytes, step: np.ndarray, column: np.ndarray, hits: np.ndarray, once: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``data`` where a match can end, and the rules of each as bits: one step a byte. Of places side by side, the rules ``once`` (bits) have the first only. Memory is that of a block."""
     where, bits, state = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for a in range(0, len(data), BLOCK):
+        before = int(hits[state // (int(column.max()) + 1)])
         at, found, state = _scan_block(data[a : a + BLOCK], state, step, column, hits)
+        if once and len(at):
+            beside = np.where(np.diff(at, prepend=-1) == 1, np.append(before if at[0] == 0 else 0, found[:-1]), 0)
+            found = found & ~(beside & once)
+            at, found = at[found != 0], found[found != 0]
         where.append(at + a)
         bits.append(found)
     return np.concatenate(where), np.concatenate(bits)
@@ -233,12 +241,9 @@ def _scan_block(data: bytes, state: int, step: np.ndarray, column: np.ndarray, h
             path[i, k] = true
             i += 1
     marked = (hits != 0).repeat(n)[path]
-    i, k = np.nonzero(marked)
-    where = k * LANE + i
-    order = np.argsort(where, kind="stable")
-    order = order[where[order] < size]
-    found = hits[path[i, k] // n]
-    return where[order], found[order], int(path[(size - 1) % LANE, (size - 1) // LANE])
+    where = np.flatnonzero(marked.T)  # lane after lane
+    where = where[where < size]
+    return where, hits[path[where % LANE, where // LANE] // n], int(path[(size - 1) % LANE, (size - 1) // LANE])
 
 
 class Walk:

@@ -66,10 +66,19 @@ class Profiles:
         return self.letters[point]
 
     def runs(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct runs of three in a text, other characters squeezed to one break, and their counts. A long text is read piece by piece."""
+        """Distinct runs of three in a text, other characters squeezed to one break, and their counts. A long text is read piece by piece, each with what of the one before its first runs need."""
         found: list[tuple[np.ndarray, np.ndarray]] = []
+        last = np.zeros(0, np.int64)
         for a in range(0, len(text), CHARS):
             c = letters_of(text[a : a + CHARS])
+            if len(c):
+                if a and text[a - 1].isalpha() and text[a].isalpha():  # one word goes on: no end before it, none behind the piece before
+                    c = np.concatenate([last[-3:-1], c[1:]])
+                elif len(last):
+                    c = np.concatenate([last[-2:-1], c])
+                last = c
+            cut_here = a + CHARS < len(text) and len(c) and text[a + CHARS - 1].isalpha() and text[a + CHARS].isalpha()
+            c = c[:-1] if cut_here else c
             found.append(np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:], return_counts=True))
         if len(found) < 2:
             return found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafold.llm.hot_keys import join_split
 from terrafold.session import cut, ship_package
 
 #: Documents of a block.
@@ -27,6 +28,8 @@ BLOCK_DOCS = 64
 SOURCES_TOLD, BLOCKS_TOLD = 4096, 200_000
 #: Documents, about, that one task ranks at once.
 RANK_ROWS = 4_000
+#: Times of RANK_ROWS rows that tell a run of equal rows.
+FULL_RUN = 4
 #: Blocks in a batch of the timetable.
 TIMES = 20_000
 
@@ -145,7 +148,7 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", seed
     own; those that ``weights`` leaves out have the mean weight together, in
     proportion to the square roots of their sizes. A weight of 0 means no share: such sources come after all others. Negative weights and such
     that are not finite raise ValueError. Within a source the order is by a hash of
-    all columns, so it is the same in every run and rows without an id spread like others. An empty table gives an
+    all columns, so it is the same in every run and rows without an id spread like others; rows alike in all columns are told apart by number. An empty table gives an
     empty result; columns with the new names are replaced.
     """
     new = ["mix_slot", "mix_place", "mix_block", "mix_release", "mix_due"]
@@ -159,11 +162,25 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", seed
     times = told(times.select(F.col("key").alias("__s"), F.col("block").alias("__block"), *[F.col(c).alias(f"__{c}") for c in ("slot", "release", "due")]), (all_["blocks"] or 0) <= BLOCKS_TOLD)
 
     # A source is cut by hash into runs of about RANK_ROWS rows: ranks within runs, then the runs before, give ranks.
-    lanes = rows.withColumn("__s", key).withColumn("__h", F.xxhash64(*[rows[c] for c in rows.columns], F.lit(seed))).join(counts, "__s")
-    run = F.floor(F.shiftrightunsigned("__h", 33) * F.ceil(F.col("__n") / RANK_ROWS) / F.lit(1 << 31)).cast("long")
-    lanes = lanes.withColumn("__run", run)
-    before = lanes.groupBy("__s", "__run").agg(F.count("*").alias("n"))
-    before = before.select("__s", "__run", (F.sum("n").over(Window.partitionBy("__s").orderBy("__run")) - F.col("n")).alias("__before"))
+    lanes = rows.withColumn("__s", key).withColumn("__h", F.xxhash64(*[rows[c] for c in rows.columns], F.lit(seed)))
+    if all_["sources"] <= SOURCES_TOLD:
+        lanes = lanes.join(counts, "__s")
+    else:
+        lanes = join_split(lanes, counts, "__s", counts.select("__s", F.col("__n").alias("n")), sizes.agg(F.sum("n")).first()[0] or 0)
+    in_runs = lambda r: r.withColumn("__run", F.floor(F.shiftrightunsigned("__h", 33) * F.ceil(F.col("__n") / RANK_ROWS) / F.lit(1 << 31)).cast("long"))
+    lanes = in_runs(lanes)
+    counted = cut(lanes.groupBy("__s", "__run").agg(F.count("*").alias("n")))
+    full = counted.filter(F.col("n") > FULL_RUN * RANK_ROWS).select("__s", "__run")
+    if not full.isEmpty():
+        # A run is so full only of rows alike in all columns. These are counted, which Spark does where they lie, and made anew from their number, each with a hash of its own.
+        alike = lanes.join(full, ["__s", "__run"]).groupBy("__s", "__run", "__h").agg(F.count("*").alias("__c")).filter(F.col("__c") > RANK_ROWS)
+        alike = cut(alike.select("__s", "__h"))
+        again = lanes.join(alike, ["__s", "__h"], "left_semi").groupBy(*rows.columns, "__s", "__h", "__n").agg(F.count("*").alias("__c"))
+        again = again.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__c")))).withColumn("__h", F.xxhash64("__h", "__copy"))
+        rest = lanes.join(alike, ["__s", "__h"], "left_anti")
+        lanes = in_runs(rest.drop("__run").unionByName(again.drop("__c", "__copy")))
+        counted = cut(lanes.groupBy("__s", "__run").agg(F.count("*").alias("n")))
+    before = counted.select("__s", "__run", (F.sum("n").over(Window.partitionBy("__s").orderBy("__run")) - F.col("n")).alias("__before"))
     order = Window.partitionBy("__s", "__run").orderBy("__h")
     ranked = lanes.withColumn("__rn", F.row_number().over(order)).join(before, ["__s", "__run"])
     rank = F.col("__before") + F.col("__rn") - 1

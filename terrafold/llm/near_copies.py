@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from terrafold.llm.arrow_map import map_texts, slices
-from terrafold.llm.simhash_index import links
+from terrafold.llm.simhash_index import links, links_across
 from terrafold.operators.components import connected_components
 from terrafold.session import cut, ship_package
 
@@ -66,7 +66,7 @@ def prints(found: set) -> list[int]:
 
 
 def sketches(df: DataFrame) -> DataFrame:
-    """doc_id, key, n (distinct shingles), prints of a table (doc_id, key, text)."""
+    """doc_id, key, n (distinct shingles), prints of a table (doc_id, key, text), and what other columns it has."""
 
     def make():
         def run(texts: list) -> list:
@@ -79,23 +79,31 @@ def sketches(df: DataFrame) -> DataFrame:
 
         return run
 
-    return map_texts(df, "text", ["doc_id", "key"], StructType([StructField("n", LongType()), StructField("prints", ArrayType(LongType()))]), make)
+    return map_texts(df, "text", [c for c in df.columns if c != "text"], StructType([StructField("n", LongType()), StructField("prints", ArrayType(LongType()))]), make)
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """a, b, met: pairs of keys of a table (key, n, prints) that the index links, by how many fingerprints, and whose sizes allow the similarity.
+def codes_of(texts: DataFrame) -> DataFrame:
+    return texts.select("key", F.posexplode("prints").alias("lane", "fp"))
+
+
+def met(texts: DataFrame) -> DataFrame:
+    """a, b, met: pairs of keys of a table (key, prints), by how many fingerprints they meet: enough to connect all that the index links.
 
     Texts that share a fingerprint of a lane meet as a star around one of them, another in each lane.
     """
-    codes = texts.select("key", F.posexplode("prints").alias("lane", "fp"))
+    codes = codes_of(texts)
     turn = F.element_at(F.array(*[F.lit(int(x) >> 1) for x in _SEEDS]), F.col("lane") + 1)
     points = codes.groupBy("lane", "fp").agg(F.min(F.col("key").bitwiseXOR(turn)).alias("__m"), F.count("*").alias("size")).withColumn("node", F.col("__m").bitwiseXOR(turn))
     same = codes.join(points.filter("size > 1"), ["lane", "fp"]).filter("key <> node").select(F.col("key").alias("src"), F.col("node").alias("dst"))
     edges = links(points.select("lane", "fp", "node"), DISTANCE).unionByName(same)
-    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").alias("met"))
+    return edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").alias("met"))
+
+
+def of_like_size(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes allow the similarity."""
     sizes = texts.select("key", "n")
-    pairs = pairs.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
-    return pairs.filter(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9).select("a", "b", "met")
+    both = pairs.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
+    return both.filter(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9).drop("na", "nb")
 
 
 def texts_of(keys: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -106,7 +114,7 @@ def texts_of(keys: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys of a table (key, text) whose shingles have the similarity."""
+    """The pairs (a, b) of keys of a table (key, text) whose shingles have the similarity. The joins are Spark's sort-merge joins, of which it splits what one key makes large."""
     ship_package(texts.sparkSession)
     both = pairs.select("a", "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
@@ -128,21 +136,41 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def groups(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """node, component: the keys that near copies link, and the least key of each group; ``rows`` has doc_id, key, n and prints, ``docs`` doc_id, key and text.
 
-    First each text is held against the candidate that it meets most often, either
-    way, then all pairs that this has neither linked nor refused.
+    First each text is held against the candidate that it meets most often, either way, then all pairs of ``met`` that this has neither linked nor
+    refused. These connect what the index links, but where one is refused others can be left out that hold: where
+    texts that the index connects are still in several groups, all its pairs between these groups are held against the sets.
     """
     texts = cut(rows.groupBy("key").agg(F.first("n").alias("n"), F.first("prints").alias("prints")))
-    pairs = cut(candidates(texts))
+    meets = cut(met(texts))
+    pairs = cut(of_like_size(meets, texts))
     best = [pairs.groupBy(x).agg(F.max(F.struct("met", y)).alias("p")).select(x, f"p.{y}").select("a", "b") for x, y in (("a", "b"), ("b", "a"))]
     tried = cut(best[0].unionByName(best[1]).distinct())
-    held = cut(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), rows, docs))
+    held = cut(texts_of(meets.select(F.explode(F.array("a", "b")).alias("key")).distinct(), rows, docs))
     edges = cut(verified(tried, held))
     found = cut(connected_components(edges, "a", "b"))
+    rest = cut(_between(pairs, found).join(tried, ["a", "b"], "left_anti"))
+    more = cut(verified(rest, held))
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        found = cut(connected_components(edges, "a", "b"))
+    connected = connected_components(meets, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("whole"))
+    placed = cut(connected.join(found.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "whole", F.coalesce("component", "key").alias("of")))
+    several = placed.groupBy("whole").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count("*").alias("n")).filter("x <> y AND n > 2").select("whole")
+    again = cut(texts.join(placed.join(several, "whole", "left_semi").select("key", "of"), "key"))
+    if again.isEmpty():
+        return found
+    across = links_across(again.select("key", "of", F.posexplode("prints").alias("lane", "fp")).select("lane", "fp", F.col("key").alias("node"), "of"), DISTANCE)
+    across = across.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    left = cut(of_like_size(across, texts).join(tried.unionByName(rest), ["a", "b"], "left_anti"))
+    last = cut(verified(left, held))
+    return found if last.isEmpty() else connected_components(edges.unionByName(last), "a", "b")
+
+
+def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different groups."""
     of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
-    rest = pairs.join(tried, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    more = cut(verified(cut(rest), held))
-    return found if more.isEmpty() else connected_components(edges.unionByName(more), "a", "b")
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
 def without_near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -153,14 +181,17 @@ def without_near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id
     without words are copies of each other.
     """
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = df.withColumn("__key", F.xxhash64(own))
-    given = keyed.select(F.col(doc_id).alias("doc_id"), F.col("__key").alias("key"), own.alias("text"))
+    keyed = df.withColumns({"__key": F.xxhash64(own), "__check": F.xxhash64(F.lit("another seed"), own, F.length(own))})
+    given = keyed.select(F.col(doc_id).alias("doc_id"), F.col("__key").alias("key"), F.col("__check").alias("check"), own.alias("text"))
     rows = cut(sketches(given))
     found = groups(rows, given)
-    placed = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).join(found, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
-    stays = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("s"))
-    stays = cut(stays.select(F.col("s.doc_id").alias("__id"), F.col("s.key").alias("__k"), F.col("s.n").alias("__n")))
-    one = lambda repeated: keyed.join(stays.filter((F.col("__n") > 1) == F.lit(repeated)), keyed[doc_id].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")))
+    placed = rows.groupBy("doc_id", "key", "check").agg(F.count("*").alias("n")).join(found, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
+    # Different texts with one key, which a table of some billions can have, are groups of their own, so none is dropped for another.
+    clash = rows.groupBy("key").agg(F.min("check").alias("__x"), F.max("check").alias("__y")).filter("__x <> __y").select("key", F.lit(True).alias("clash"))
+    placed = placed.join(clash, "key", "left").withColumn("odd", F.when(F.col("clash"), F.struct("key", "check")))
+    stays = placed.groupBy("component", "odd").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "check", "n")).alias("s"))
+    stays = cut(stays.select(F.col("s.doc_id").alias("__id"), F.col("s.key").alias("__k"), F.col("s.check").alias("__c"), F.col("s.n").alias("__n")))
+    one = lambda repeated: keyed.join(stays.filter((F.col("__n") > 1) == F.lit(repeated)), keyed[doc_id].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")) & (F.col("__check") == F.col("__c")))
     # Only a text that stands under its id more than once has to be thinned to one row.
-    single = one(True).groupBy("__key", doc_id).agg(F.min(F.struct(*[F.col(c) for c in df.columns])).alias("d")).select("d.*")
+    single = one(True).groupBy("__key", "__check", doc_id).agg(F.min(F.struct(*[F.col(c) for c in df.columns])).alias("d")).select("d.*")
     return one(False).select(*df.columns).unionByName(single)

@@ -135,9 +135,14 @@ def alphabet(c: str) -> str:
     return "".join(x for x in some if (any(x.lower() in v for v in _VOWELS)) == (vowels is not None)) or c
 
 
+def whole_key(key: bytes) -> bytes:
+    """A key as the hash takes it: of more than 64 bytes its digest, so all of them count."""
+    return key if len(key) <= 64 else hashlib.blake2b(key).digest()
+
+
 def _mixed(key: bytes, label: bytes, step: int, value: int, bits: int) -> int:
     size = (bits + 7) // 8
-    raw = b"".join(hashlib.blake2b(label + b"|%d|%d|%d" % (step, i, value), key=key[:64]).digest() for i in range(-(-size // 64)))
+    raw = b"".join(hashlib.blake2b(label + b"|%d|%d|%d" % (step, i, value), key=whole_key(key)).digest() for i in range(-(-size // 64)))
     return int.from_bytes(raw[:size], "big") & ((1 << bits) - 1)
 
 
@@ -164,7 +169,7 @@ def moved(s: str, letters: list[str], key: bytes, label: str) -> str:
         n, x = n * len(group), x * len(group) + group.index(c)
     if n == 1:
         return s
-    tag = hashlib.blake2b(repr((label, letters)).encode(), key=key[:64]).digest()
+    tag = hashlib.blake2b(repr((label, letters)).encode(), key=whole_key(key)).digest()
     turn = 1 + _mixed(key, tag, PASSES, 0, n.bit_length() + 64) % (n - 1)
     # The texts in the order of one keyed permutation, each moved on by the same number of places.
     x = permuted((permuted(x, n, key, tag) + turn) % n, n, key, tag, True)

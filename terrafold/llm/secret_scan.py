@@ -80,7 +80,9 @@ def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     and has no spans; a row stays a row, however often it repeats; an empty table
     gives an empty result; columns outside ``keep`` take no part.
     """
-    step, column, hits = compile_rules([(f"{r.head}{r.body}{{{r.sure}}}", r.fold) for r in rules])
+    # Behind the sure length the automaton stays where it is, so that lanes agree in runs of any length; one mark a run is enough.
+    step, column, hits = compile_rules([(f"{r.head}{r.body}{{{r.sure}{',' if r.sure > 1 else ''}}}", r.fold) for r in rules])
+    once = sum(1 << k for k, r in enumerate(rules) if r.sure > 1)
 
     def make():
         readers = [Reader(r) for r in rules]
@@ -88,7 +90,7 @@ def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
         def run(texts: list) -> list:
             raw = [(t or "").encode() for t in texts]
             starts = np.cumsum([0] + [len(x) + 1 for x in raw])
-            where, bits = scan(bytes([BREAK]).join(raw), step, column, hits)
+            where, bits = scan(bytes([BREAK]).join(raw), step, column, hits, once)
             of = np.searchsorted(starts, where, "right") - 1
             out: list[list] = [[] for _ in raw]
             for i, a, z in zip(*np.unique(of, return_index=True), np.flatnonzero(np.append(np.diff(of) != 0, True)) + 1, strict=True) if of.size else ():

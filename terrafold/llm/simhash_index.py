@@ -11,6 +11,8 @@ all below; two whose bits can differ too little are linked at once. A range give
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -150,22 +152,82 @@ def link_codes(codes: np.ndarray, limits: list[tuple[np.uint64, int]], distance:
     return forest.edges
 
 
+def pairs_across(codes: np.ndarray, of: np.ndarray, limits: list[tuple[np.uint64, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of ``codes``, in Gray order, that keep within ``limits`` and are of different groups ``of``: nodes that hold rows of one and the same group only are left whole."""
+    n, levels = len(codes), build(codes) if len(codes) else []
+    ends = [(of, of)]
+    for every, _ in levels[1:]:
+        step = np.arange(0, len(ends[-1][0]), FANOUT)
+        ends.append((np.minimum.reduceat(ends[-1][0], step), np.maximum.reduceat(ends[-1][1], step)))
+    a, b = np.triu_indices(len(levels[-1][0])) if n else (np.zeros(0, int),) * 2
+    todo = [(len(levels) - 1, a, b)]
+    while todo:
+        level, a, b = todo.pop()
+        if len(a) > PAIRS_AT_ONCE:
+            todo += [(level, a[i : i + PAIRS_AT_ONCE], b[i : i + PAIRS_AT_ONCE]) for i in range(0, len(a), PAIRS_AT_ONCE)]
+            continue
+        least, most = ends[level]
+        apart = np.minimum(least[a], least[b]) != np.maximum(most[a], most[b])
+        a, b = a[apart], b[apart]
+        every, some = levels[level]
+        for mask, allowed in limits:
+            near = np.bitwise_count(((every[a] & ~some[b]) | (every[b] & ~some[a])) & mask) <= allowed
+            a, b = a[near], b[near]
+        if not level:
+            if len(a):
+                yield a, b
+            continue
+        size = len(levels[level - 1][0])
+        x = (a[:, None] * FANOUT + np.arange(FANOUT))[:, :, None].repeat(FANOUT, 2)
+        y = (b[:, None] * FANOUT + np.arange(FANOUT))[:, None, :].repeat(FANOUT, 1)
+        good = (x < size) & (y < size) & (x <= y if level > 1 else x < y)
+        todo.append((level - 1, x[good], y[good]))
+
+
 def _turned(fp: Column, by: int) -> Column:
     """The bits of a long moved up by so many places, those that leave coming in below."""
     return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by))
 
 
 def links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges (src, dst) between the ``node`` values of a table (lane, fp, node): pairs of fingerprints of one lane within the distance, enough to connect all that are.
+    """Edges (src, dst) between the ``node`` values of a table (lane, fp, node): pairs of fingerprints of one lane within the distance, enough to connect all that are. The fingerprints of a lane are distinct."""
 
-    The fingerprints of a lane are distinct. A first block with more than BLOCK_ROWS codes is dealt by its second one: a code then goes to its own
+    def linked(table: pa.Table) -> pa.Table:
+        codes, nodes = np.asarray(table["code"]).view(np.uint64), np.asarray(table["node"])
+        order = np.argsort(gray_rank(codes), kind="stable")
+        found = np.array(link_codes(codes[order], shares(table["turn"][0].as_py(), distance), distance), np.int64).reshape(-1, 2)
+        nodes = nodes[order]
+        return pa.table({"src": pa.array(nodes[found[:, 0]], pa.int64()), "dst": pa.array(nodes[found[:, 1]], pa.int64())})
+
+    return ranges_of(points, distance).groupBy("lane", "turn", "range").applyInArrow(linked, "src long, dst long")
+
+
+def links_across(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """All pairs (src, dst) of ``node`` values of a table (lane, fp, node, of) whose fingerprints of one lane lie within the distance and whose groups ``of`` differ; a pair can come more than once."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        codes, nodes, of = np.asarray(table["code"]).view(np.uint64), np.asarray(table["node"]), np.asarray(table["of"])
+        order = np.argsort(gray_rank(codes), kind="stable")
+        nodes = nodes[order]
+        for a, b in pairs_across(codes[order], of[order], shares(table["turn"][0].as_py(), distance)):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a], pa.int64()), pa.array(nodes[b], pa.int64())], names=["src", "dst"])
+
+    return ranges_of(points, distance).groupBy("lane", "turn", "range").applyInArrow(linked, "src long, dst long")
+
+
+def ranges_of(points: DataFrame, distance: int) -> DataFrame:
+    """lane, turn, range, code, node (and ``of``) of a table (lane, fp, node): its fingerprints turned so that each block comes first, in ranges of about RANGE_ROWS in which linked ones meet.
+
+    A first block with more than BLOCK_ROWS codes is dealt by its second one: a code then goes to its own
     second block and to those that lack one of its bits, so that two which differ in one bit there meet once.
     """
     ship_package(points.sparkSession)
     edges, b = block_edges(distance), distance + 1
     width = [edges[t + 1] - edges[t] for t in range(b)]
     turns = F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), _turned(F.col("fp"), edges[t]).alias("code")) for t in range(b)])).alias("t")
-    rows = points.select("lane", "node", turns).select("lane", "node", "t.turn", "t.code")
+    more = [c for c in points.columns if c == "of"]
+    rows = points.select("lane", "node", *more, turns).select("lane", "node", *more, "t.turn", "t.code")
     of_turn = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("turn") + 1)
     rows = rows.withColumn("first", F.expr(f"shiftrightunsigned(code, 64 - element_at(array({', '.join(map(str, width))}), turn + 1))"))
     # Ranges of first blocks in Gray order: as many rows as blocks, turns and lanes have values, at any size of the table.
@@ -177,7 +239,7 @@ def links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
     ranges = sizes.withColumn("gray", gray).select("lane", "turn", "first", F.floor(before / RANGE_ROWS).cast("long").alias("range"), F.when(F.col("n") > BLOCK_ROWS, F.ceil(F.col("n") * 8 / BLOCK_ROWS)).alias("parts"))
     placed = rows.join(F.broadcast(ranges), ["lane", "turn", "first"])
     if sizes.filter(F.col("n") > BLOCK_ROWS).isEmpty():
-        dealt = placed.select("lane", "turn", "range", "code", "node")
+        dealt = placed.select("lane", "turn", "range", "code", "node", *more)
     else:
         second = F.expr(f"shiftrightunsigned(code, 64 - element_at(array({', '.join(str(width[t] + width[(t + 1) % b]) for t in range(b))}), turn + 1))")
         w2 = of_turn([width[(t + 1) % b] for t in range(b)])
@@ -185,17 +247,9 @@ def links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
         lacking = F.filter(F.sequence(F.lit(0), w2 - 1), lambda i: F.col("second").bitwiseAND(bit(i)) != 0)
         meets = F.concat(F.array("second"), F.transform(lacking, lambda i: F.col("second") - bit(i)))
         many = placed.filter("parts IS NOT NULL").withColumn("second", second).withColumn("target", F.explode(meets))
-        many = many.select("lane", "turn", (-1 - F.pmod(F.xxhash64("target"), F.col("parts"))).cast("long").alias("range"), "code", "node").distinct()
-        dealt = placed.filter("parts IS NULL").select("lane", "turn", "range", "code", "node").unionByName(many)
-
-    def linked(table: pa.Table) -> pa.Table:
-        codes, nodes = np.asarray(table["code"]).view(np.uint64), np.asarray(table["node"])
-        order = np.argsort(gray_rank(codes), kind="stable")
-        found = np.array(link_codes(codes[order], shares(table["turn"][0].as_py(), distance), distance), np.int64).reshape(-1, 2)
-        nodes = nodes[order]
-        return pa.table({"src": pa.array(nodes[found[:, 0]], pa.int64()), "dst": pa.array(nodes[found[:, 1]], pa.int64())})
-
-    return dealt.groupBy("lane", "turn", "range").applyInArrow(linked, "src long, dst long")
+        many = many.select("lane", "turn", (-1 - F.pmod(F.xxhash64("target"), F.col("parts"))).cast("long").alias("range"), "code", "node", *more).distinct()
+        dealt = placed.filter("parts IS NULL").select("lane", "turn", "range", "code", "node", *more).unionByName(many)
+    return dealt
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

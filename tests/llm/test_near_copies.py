@@ -65,3 +65,55 @@ def test_stage_goes_by_text_not_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((str(r.doc_id), r.text) for r in pipeline.simhash_dedup(spark, df, "").collect())
     assert got == sorted([("7", text), ("7", other), ("None", "alone in all the world")])
+
+
+def test_pairs_in_a_family_of_like_texts_are_found(spark):
+    """400 pairs of about 0.82 among 800 texts alike to about 0.73: what lies between must not hide them."""
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(400)]
+
+    def changed(words, n):
+        w = list(words)
+        for i in rnd.sample(range(len(w) - 6), n):
+            w[i] = f"z{rnd.randrange(10**7)}"
+        return w
+
+    texts, pairs = [], []
+    for _ in range(250):
+        one = changed(base, 7)
+        texts += [one, changed(one, 8)]
+        pairs.append((len(texts) - 2, len(texts) - 1))
+    texts += [changed(base, 7) for _ in range(250)]
+    sets = [plain_shingles(" ".join(t)) for t in texts]
+    good = [(i, j) for i, j in pairs if similarity(sets[i], sets[j]) >= 0.8]
+    df = spark.createDataFrame([(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in near_copies.without_near_copies(df.repartition(4)).collect()}
+    assert len(good) > 200 and sum(not (i in kept and j in kept) for i, j in good) >= 0.97 * len(good)
+
+
+def test_texts_with_one_key_are_not_taken_for_one(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    real = F.xxhash64
+    monkeypatch.setattr(near_copies.F, "xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 1 else real(*c))
+    rows = [(1, "one text of its own that is here"), (2, "quite another one with other words"), (3, "one text of its own that is here")]
+    got = near_copies.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2]
+
+
+def test_all_pairs_across_groups_are_found():
+    import numpy as np
+
+    from terrafold.llm import simhash_index as ix
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 6).astype(np.uint64)
+    codes = np.concatenate([base, *[b ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (6, 60)).astype(np.uint64)) for b in base]])
+    codes = np.concatenate([codes, codes[:30]])
+    of = rng.integers(0, 5, len(codes))
+    order = np.argsort(ix.gray_rank(codes), kind="stable")
+    codes, of = codes[order], of[order]
+    limits = ix.shares(0, 8)
+    got = {(min(i, j), max(i, j)) for a, b in ix.pairs_across(codes, of, limits) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if of[i] != of[j] and all(bin(int((codes[i] ^ codes[j]) & m)).count("1") <= most for m, most in limits)}
+    assert got == want and len(want) > 100

@@ -445,3 +445,9 @@ def test_likely_passes_all_mentions(spark):
     texts = [p for p in parts if pii_surrogates.mentions(p)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert len(texts) > 8 and df.filter(~pii_surrogates.likely(F.col("t"))).count() == 0
+
+
+def test_all_bytes_of_a_key_count():
+    one, other = b"k" * 64 + b"a", b"k" * 64 + b"b"
+    assert pii_surrogates.permuted(5, 10**9, one, b"x") != pii_surrogates.permuted(5, 10**9, other, b"x")
+    assert pii_surrogates.moved("abcdef", ["abcdefgh"] * 6, one, "x") != pii_surrogates.moved("abcdef", ["abcdefgh"] * 6, other, "x")

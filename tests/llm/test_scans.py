@@ -198,3 +198,35 @@ def test_labels_of_usual_notices(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in license_join.scan_licenses(df).collect()}
     assert got == {i: labels for i, (_, labels) in enumerate(cases)}
+
+
+def test_language_runs_of_pieces_are_those_of_the_whole(monkeypatch):
+    from terrafold.llm import language_id
+
+    rnd = random.Random(5)
+    for _ in range(200):
+        text = "".join(rnd.choice("abC \u00e9. 1\n\u00df\u03a3x") for _ in range(rnd.randrange(0, 40)))
+        monkeypatch.setattr(language_id, "CHARS", 1 << 20)
+        whole = dict(zip(*[x.tolist() for x in language_id.Profiles().runs(text)], strict=True))
+        for size in (1, 2, 3, 7):
+            monkeypatch.setattr(language_id, "CHARS", size)
+            assert dict(zip(*[x.tolist() for x in language_id.Profiles().runs(text)], strict=True)) == whole
+
+
+def test_long_runs_are_read_once_and_as_a_plain_search_reads_them(spark):
+    import time
+
+    rnd = random.Random(9)
+    hexes = "".join(rnd.choice("0123456789abcdef") for _ in range(4 << 20))
+    upper = "AKIA" + "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZAKIA") for _ in range(300_000))
+    texts = [hexes, hexes[: 1 << 20] + "g" + hexes[:30] + " " + hexes[:23] + "-" + hexes[:24], upper + " AKIA" + "A" * 15 + " AKIAAKIA" + "B" * 20, "xoxb-" + "a" * 50 + "xoxb-" + "b" * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in secret_scan.find_secrets(df).collect()}
+    for i, t in enumerate(texts):
+        want = [("hex", x.start(), x.end()) for x in re.finditer("[0-9a-f]+", t) if x.end() - x.start() >= 24]
+        want += [("access", x.start(), x.end()) for x in re.finditer("AKIA[A-Z0-9]+", t) if x.end() - x.start() >= 20]
+        assert sorted(s for s in got[i] if s[0] in ("hex", "access")) == sorted(want)
+    step, column, hits = automaton.compile_rules([(f"{r.head}{r.body}{{{r.sure}{',' if r.sure > 1 else ''}}}", r.fold) for r in secret_scan.BASE_RULES])
+    began = time.process_time()
+    automaton.scan(hexes.encode(), step, column, hits, 6)
+    assert time.process_time() - began < 2
