@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions.geometry import iou
-from terrafold.session import ship_package
+from terrafold.session import cut, ship_package
+
+#: Pixels of a tile's side.
+TILE = 64
 
 
 def pixel(c: str) -> Column:
@@ -93,42 +96,46 @@ def best_class(candidates: DataFrame, scores: str, threshold: float) -> DataFram
     return candidates.withColumns({"confidence": top, "class_id": (F.array_position(scores, top) - 1).cast("int")}).filter(F.col("confidence") >= threshold)
 
 
+def _in_tiles(boxes: DataFrame) -> DataFrame:
+    """Boxes of some size once for each tile, TILE pixels wide, that they touch (``tx``, ``ty``)."""
+    over = lambda at, size: F.explode(F.sequence(F.floor(F.col(at) / TILE), F.floor((F.col(at) + F.col(size) - 1) / TILE)))
+    return boxes.filter("w > 0 AND h > 0").withColumn("tx", over("x", "w")).withColumn("ty", over("y", "h"))
+
+
 def class_map(boxes: DataFrame, by: str = "image_id") -> DataFrame:
-    """(image, v, u, class_id, confidence) of all pixels that boxes cover: the most confident wins, the earlier of equals.
+    """(image, v, u, class_id, confidence) of all pixels that boxes cover: the most confident wins, the earlier of equals. A null image is one like others.
 
-    Only boxes are shuffled: an image's boxes are painted one over the other, the winner last.
+    Only boxes are shuffled, to the tiles that they touch: those of a tile are painted one over the other as they come, the winner last.
     """
     ship_package(boxes.sparkSession)
-    kept = boxes.filter("w > 0 AND h > 0").select(by, "det_idx", "class_id", "confidence", "x", "y", "w", "h")
+    kept = _in_tiles(boxes.select(by, "det_idx", "class_id", "confidence", "x", "y", "w", "h"))
     kind = lambda c: kept.schema[c].dataType.simpleString()
 
     def painted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        now, seen, names = None, np.zeros((TILE, TILE), bool), [by, "v", "u", "class_id", "confidence"]
+        won, sure = np.zeros((TILE, TILE), np.int64), np.zeros((TILE, TILE))
+        kinds: list[pa.DataType] = []
+
+        def tile() -> pa.RecordBatch:
+            v, u = np.nonzero(seen)
+            place = lambda at, of: pa.array((at + now[of] * TILE).astype(np.int32))
+            image = pa.nulls(len(v), kinds[0]) if now[0] is None else pa.repeat(pa.scalar(now[0], kinds[0]), len(v))
+            return pa.RecordBatch.from_arrays([image, place(v, 2), place(u, 1), pa.array(won[v, u]).cast(kinds[1]), pa.array(sure[v, u]).cast(kinds[2])], names=names)
+
         for batch in batches:
-            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            image = np.asarray(t[by])
-            ends = np.flatnonzero(image[1:] != image[:-1]) + 1
-            last = int(ends[-1]) if len(ends) else 0  # the last image may go on in the next batch
-            held = t.slice(last)
-            for a, z in zip([0, *ends.tolist()[:-1]], ends.tolist(), strict=True) if len(ends) else ():
-                yield image_of(t.slice(a, z - a))
-        if held is not None and held.num_rows:
-            yield image_of(held)
-
-    def image_of(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        x, y, w, h = (np.asarray(t[c]).astype(np.int64) for c in "xywh")
-        left, top = int(x.min()), int(y.min())
-        owner = np.full((int((y + h).max()) - top, int((x + w).max()) - left), -1, np.int64)
-        for i in np.lexsort((-np.asarray(t["det_idx"]), np.asarray(t["confidence"]))).tolist():
-            owner[y[i] - top : y[i] - top + h[i], x[i] - left : x[i] - left + w[i]] = i
-        v, u = np.nonzero(owner >= 0)
-        who = pa.array(owner[v, u])
-        place = lambda at, low: pa.array((at + low).astype(np.int32), pa.int32())
-        cols = [t[by].take(who), place(v, top), place(u, left), t["class_id"].take(who), t["confidence"].take(who)]
-        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=[by, "v", "u", "class_id", "confidence"])
-
-    dealt = kept.repartition(by).sortWithinPartitions(by)
+            kinds = [batch.schema.field(c).type for c in (by, "class_id", "confidence")]
+            for image, tx, ty, c, k, x, y, w, h in zip(*(batch.column(n).to_pylist() for n in (by, "tx", "ty", "class_id", "confidence", "x", "y", "w", "h")), strict=True):
+                if (image, tx, ty) != now:
+                    if now is not None:
+                        yield tile()
+                    now = (image, tx, ty)
+                    seen[:] = False
+                at = slice(max(0, y - ty * TILE), y + h - ty * TILE), slice(max(0, x - tx * TILE), x + w - tx * TILE)
+                seen[at], won[at], sure[at] = True, c, k
+        if now is not None:
+            yield tile()
+
+    dealt = kept.repartition(by, "tx", "ty").sortWithinPartitions(by, "tx", "ty", F.asc("confidence"), F.desc("det_idx"))
     return dealt.mapInArrow(painted, f"{by} {kind(by)}, v int, u int, class_id {kind('class_id')}, confidence {kind('confidence')}")
 
 
@@ -142,35 +149,37 @@ def masked_class_map(boxes: DataFrame, masks: DataFrame, by: str = "image_id") -
 
 def iou_pairs(boxes: DataFrame, by: str = "image_id", least: float = 0.0) -> DataFrame:
     """Pairs of one image's boxes that overlap. Boxes meet by the tiles that they touch, so far ones never do."""
-    tile = 64
-    tiles = boxes.withColumn("tx", F.explode(F.sequence(F.floor(F.col("x") / tile), F.floor((F.col("x") + F.col("w") - 1) / tile)))).withColumn("ty", F.explode(F.sequence(F.floor(F.col("y") / tile), F.floor((F.col("y") + F.col("h") - 1) / tile))))
-    a, b = tiles.filter("w > 0 AND h > 0").alias("a"), tiles.filter("w > 0 AND h > 0").alias("b")
-    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (by, "tx", "ty")] + [F.col("a.det_idx") < F.col("b.det_idx")])
+    tiles = _in_tiles(boxes)
+    a, b = tiles.alias("a"), tiles.alias("b")
+    met = a.join(b, [F.col(f"a.{by}").eqNullSafe(F.col(f"b.{by}"))] + [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("tx", "ty")] + [F.col("a.det_idx") < F.col("b.det_idx")])
     # Of the tiles that two boxes share only the first one gives the pair.
-    first = (F.col("a.tx") == F.floor(F.greatest("a.x", "b.x") / tile)) & (F.col("a.ty") == F.floor(F.greatest("a.y", "b.y") / tile))
+    first = (F.col("a.tx") == F.floor(F.greatest("a.x", "b.x") / TILE)) & (F.col("a.ty") == F.floor(F.greatest("a.y", "b.y") / TILE))
     return met.filter(first).select(F.col(f"a.{by}").alias(by), F.col("a.det_idx").alias("det_a"), F.col("b.det_idx").alias("det_b"), iou("a", "b").alias("iou")).filter(F.col("iou") > least)
 
 
 def suppress(boxes: DataFrame, threshold: float = 0.45, by: str = "image_id") -> DataFrame:
-    """Boxes that greedy suppression keeps: by falling confidence, then ``det_idx``, each unless a kept one overlaps it by more than the threshold."""
-    ship_package(boxes.sparkSession)
-    schema = boxes.schema
-
-    def one(table: pa.Table) -> pa.Table:
-        t = table.sort_by([("confidence", "descending"), ("det_idx", "ascending")])
-        box = list(zip(*(t[c].to_pylist() for c in "xywh"), strict=True))
-        kept: list[int] = []
-        for i, (x, y, w, h) in enumerate(box):
-            for j in kept:
-                a, b, c, d = box[j]
-                inter = max(0, min(x + w, a + c) - max(x, a)) * max(0, min(y + h, b + d) - max(y, b))
-                if inter and inter / (w * h + c * d - inter) > threshold:
-                    break
-            else:
-                kept.append(i)
-        return t.take(pa.array(kept, pa.int64()))
-
-    return boxes.groupBy(by).applyInArrow(one, schema)
+    """Boxes that greedy suppression keeps: by falling confidence, then ``det_idx``, each unless a kept one overlaps it by more than the threshold. ``det_idx`` is unique in an image; boxes without size overlap none.
+
+    In rounds over the graph of overlaps: a box without a better neighbour left is kept, its neighbours go. Edges are as
+    many as overlaps, so an image with very many boxes costs no more than what they overlap.
+    """
+    score = boxes.select(F.col(by).alias("__i"), F.col("det_idx").alias("__d"), F.struct(F.col("confidence"), -F.col("det_idx")).alias("__s"))
+    ends = iou_pairs(boxes.select(by, "det_idx", "x", "y", "w", "h"), by, threshold).withColumnRenamed(by, "i")
+    of = lambda x: score.select(F.col("__i").alias(f"i_{x}"), F.col("__d").alias(f"d_{x}"), F.col("__s").alias(f"s_{x}"))
+    both = ends.join(of("a"), ends["i"].eqNullSafe(F.col("i_a")) & (F.col("det_a") == F.col("d_a"))).join(of("b"), ends["i"].eqNullSafe(F.col("i_b")) & (F.col("det_b") == F.col("d_b")))
+    first = F.col("s_a") > F.col("s_b")
+    edges = cut(both.select("i", F.when(first, F.col("det_a")).otherwise(F.col("det_b")).alias("better"), F.when(first, F.col("det_b")).otherwise(F.col("det_a")).alias("worse")))
+    gone = None
+    while not edges.isEmpty():
+        # Better ends that are no edge's worse one are kept; what they touch goes, with all edges of either.
+        worse = edges.select("i", F.col("worse").alias("better")).distinct()
+        on = lambda x, y, end: x["i"].eqNullSafe(y["i"]) & (x[end] == y["better"])
+        kept = edges.join(worse, on(edges, worse, "better"), "left_anti")
+        now = cut(kept.select("i", F.col("worse").alias("better")).distinct())
+        gone = now if gone is None else gone.unionByName(now)
+        edges = edges.join(now, on(edges, now, "worse"), "left_anti")
+        edges = cut(edges.join(now, on(edges, now, "better"), "left_anti"))
+    return boxes if gone is None else boxes.join(gone, boxes[by].eqNullSafe(gone["i"]) & (boxes["det_idx"] == gone["better"]), "left_anti")
 
 
 def class_names(df: DataFrame, names: DataFrame) -> DataFrame:

@@ -1,24 +1,29 @@
-"""Neighbour search as equi-joins on grid cells.
+"""Neighbour search: equi-joins on grid cells within a radius, blocks of bounded size for the k nearest.
 
-Space is cut into cells as wide as the radius: whoever lies within it is in the same
-cell or one of the 26 around it. For the k nearest the radius grows for those points that have
-not k within it yet; a point is settled once its k-th lies within the radius.
+Within a radius, space is cut into cells as wide as it: whoever lies within it is in the same
+cell or one of the 26 around it. For the k nearest each frame is cut into blocks of about as many points,
+slabs along x and then along y, by approximate quantiles. A block's queries meet its points in one task; those
+whose k-th neighbour lies further than their block reaches go to the other blocks that it can touch, once.
 """
 
 from __future__ import annotations
 
-import math
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions.geometry import XYZ, all_finite
-from terrafold.session import cut
+from terrafold.session import cut, ship_package
 
 _AROUND = list(product((-1, 0, 1), repeat=3))
-#: Cell sizes that a first radius is chosen from, each half the one before.
-LEVELS = 16
+#: Points of a block, about, and slabs along an axis at most (a power of two).
+BLOCK, SLABS = 16_384, 64
+#: Points of a leaf, by which the points of a block are searched.
+LEAF = 64
 
 
 def _cells(df: DataFrame, size: float, prefix: str) -> DataFrame:
@@ -55,75 +60,149 @@ def radius_pairs(points: DataFrame, radius: float, key: str = "pid", by: tuple[s
     return pairs.select(*[F.col(f"q_{b}").alias(b) for b in by], F.col(f"q_{key}").alias("a"), F.col(f"p_{key}").alias("b"), F.sqrt("d2").alias("distance"))
 
 
-def _start(points: DataFrame, k: int, by: tuple[str, ...]) -> tuple[float, float] | None:
-    """Two radii: one that leads most points to about k others, and one that reaches across every frame; None of no points.
-
-    The first comes from how many points share a cell, averaged over points: a stray point adds one cell
-    with one point, so it moves nothing, and where points lie dense the cells are not overfull.
-    """
-    spans = points.groupBy(*by).agg(*[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).agg(*[F.max(c).alias(c) for c in XYZ]).first()
-    if spans is None or spans["x"] is None:
-        return None
-    reach = max(1e-9, sum(spans[c] * spans[c] for c in XYZ) ** 0.5 * 1.001)
-    sizes = F.explode(F.array(*[F.lit(reach / 2**j) for j in range(1, LEVELS)])).alias("__size")
-    cells = points.select(*by, *XYZ, sizes).groupBy("__size", *by, *[F.floor(F.col(c) / F.col("__size")).alias(f"c{c}") for c in XYZ]).agg(F.count("*").cast("double").alias("n"))
-    shared = {r["__size"]: r["n"] for r in cells.groupBy("__size").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n")).collect()}  # LEVELS rows
-    radius, above, want = reach, None, 0.5 * (k + 1)
-    for size, n in sorted(shared.items(), reverse=True):
-        if n <= want:
-            # Between two sizes the number grows as a power of the size.
-            part = 0.0 if above is None or above[1] <= n else math.log(want / n) / math.log(above[1] / n)
-            return size * 2**part, reach
-        radius, above = size, (size, n)
-    return radius, reach
+def _morton(x: np.ndarray) -> np.ndarray:
+    """Codes by which points that lie together stand together: ten bits of each axis, in turn."""
+    low, span = x.min(0), np.maximum(x.max(0) - x.min(0), 1e-300)
+    g = ((x - low) / span * 1023).astype(np.int64)
+    code = np.zeros(len(x), np.int64)
+    for bit in range(10):
+        for axis in range(3):
+            code |= ((g[:, axis] >> bit) & 1) << (3 * bit + axis)
+    return code
+
+
+class _Leaves:
+    """Points in leaves of about LEAF along a curve, with the box of each."""
+
+    def __init__(self, x: np.ndarray):
+        self.order = np.argsort(_morton(x), kind="stable") if len(x) else np.zeros(0, int)
+        self.x = x[self.order]
+        self.begin = np.arange(0, len(x), LEAF)
+        self.low = np.minimum.reduceat(self.x, self.begin) if len(x) else self.x
+        self.high = np.maximum.reduceat(self.x, self.begin) if len(x) else self.x
+
+    def rows(self, leaves: np.ndarray) -> np.ndarray:
+        at = (self.begin[leaves][:, None] + np.arange(LEAF)).ravel()
+        return at[at < len(self.x)]
+
+
+def nearest_rows(queries: np.ndarray, own: np.ndarray, points: np.ndarray, rank: np.ndarray, k: int, within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, squared distance) of the k nearest of each query no further than ``within`` (squared), by query and distance, ties by ``rank``; ``own``: the rank that a query must not meet, or -1."""
+    out: list[tuple] = []
+    q, p = _Leaves(queries), _Leaves(points)
+    ranks = rank[p.order]
+    for i in range(len(q.begin) if len(points) else 0):
+        at = q.order[q.begin[i] : q.begin[i] + LEAF]
+        x = queries[at]
+        gap = np.maximum(0, np.maximum(p.low - q.high[i], q.low[i] - p.high))
+        gap = (gap * gap).sum(1)
+        near = np.argsort(gap, kind="stable")
+        bound = float(within[at].max())
+        first = near[: -(-(k + 1) // LEAF) + 1]
+        if len(first) < len(near):  # what the nearest leaves hold says how far it can be
+            d = _squared(x, p.x[rows := p.rows(np.sort(first))])
+            d[ranks[rows] == own[at][:, None]] = np.inf
+            bound = min(bound, float(np.partition(d, k - 1, 1)[:, k - 1].max()) if d.shape[1] >= k else np.inf)
+        rows = p.rows(np.sort(near[gap[near] <= bound]))
+        d = _squared(x, p.x[rows])
+        d[(ranks[rows] == own[at][:, None]) | (d > within[at][:, None])] = np.inf
+        most = np.partition(d, k - 1, 1)[:, k - 1 : k] if d.shape[1] > k else np.inf
+        a, b = np.nonzero((d <= most) & np.isfinite(d))
+        order = np.lexsort((ranks[rows[b]], d[a, b], a))
+        a, b = a[order], b[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        a, b = a[place < k], b[place < k]
+        out.append((at[a], p.order[rows[b]], d[a, b]))
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (empty, empty, np.zeros(0))  # type: ignore[return-value]
+
+
+def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    d = x[:, None, 0] - y[None, :, 0]
+    out = d * d
+    for axis in (1, 2):
+        d = x[:, None, axis] - y[None, :, axis]
+        out += d * d
+    return out
+
+
+def _cut_at(points: DataFrame, by: list[str], axis: str, slabs: Column) -> DataFrame:
+    """by and ``cuts``: where each group is cut along an axis into ``slabs`` (a power of two) parts of about as many points."""
+    parts = F.percentile_approx(axis, F.array(*[F.lit(i / SLABS) for i in range(1, SLABS)]), 4 * SLABS)
+    all_ = points.groupBy(*by).agg(parts.alias("all"), F.first(slabs).alias("m"))
+    every = F.filter("all", lambda v, i: (i + 1) % (SLABS / F.col("m")) == 0)
+    return all_.select(*by, F.array_distinct(every).alias("cuts"))
+
+
+def _slab(value: Column, cuts: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c <= value))
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, key: str = "pid", by: tuple[str, ...] = ("frame",), include_self: bool = True, point_filter: Column | None = None) -> DataFrame:
     """q, p, rank (from 1), distance: the k nearest points of each query in its own frame, ties to the smaller id; all, where a frame has fewer.
 
-    Rows without finite coordinates have no neighbours and are nobody's. The radius
-    starts small and grows only for queries that lack neighbours, so what a query is
-    held against stays near k wherever it lies.
+    Rows without finite coordinates have no neighbours and are nobody's, nor are rows of a null frame. Frames of up to BLOCK points are a task each; larger ones are
+    cut into blocks, and a query meets the blocks that its k nearest can lie in.
     """
-    q, p = (df.select(key, *by, *XYZ).filter(all_finite()) for df in (queries, points if point_filter is None else points.filter(point_filter)))
-    radii = _start(p, k, by)
-    if radii is None:
-        return q.join(p.select(F.col(key).alias("p")), F.lit(False)).select(F.col(key).alias("q"), "p", F.lit(1).alias("rank"), F.lit(0.0).alias("distance"))
-    radius, reach = radii
-    reach = max(reach, _apart(q, p, reach, by))
-    own = F.col(f"q_{key}") == F.col(f"p_{key}")
-    ahead = Window.partitionBy("q_" + key).orderBy("d2", "p_" + key)
+    spark, group = points.sparkSession, list(by)
+    ship_package(spark)
+    known = all_finite()
+    for b in by:
+        known = known & F.col(b).isNotNull()
+    q, p = (df.select(key, *by, *XYZ).filter(known) for df in (queries, points if point_filter is None else points.filter(point_filter)))
+    same = q.sameSemantics(p)
     sizes = p.groupBy(*by).agg(F.count("*").alias("__n"))
-    todo, left, found, factor = q.join(sizes, list(by)), None, None, 2
-    while True:
-        pairs = radius_join(todo, p, radius, by)
-        need = F.least(F.lit(k), F.col("q___n") - (0 if include_self else F.max(own.cast("int")).over(Window.partitionBy("q_" + key))))
-        pairs = pairs.select(f"q_{key}", f"p_{key}", "d2", need.alias("need"))
-        if not include_self:
-            pairs = pairs.filter(~own)
-        best = pairs.withColumn("rank", F.row_number().over(ahead)).filter(F.col("rank") <= k)
-        if radius < reach:
-            best = cut(best)
-            done = best.filter(F.col("rank") == F.col("need")).select(F.col(f"q_{key}").alias(key))
-            settled = best.join(done, best[f"q_{key}"] == done[key], "left_semi")
-        else:
-            settled = best
-        settled = settled.select(F.col(f"q_{key}").alias("q"), F.col(f"p_{key}").alias("p"), "rank", F.sqrt("d2").alias("distance"))
-        found = settled if found is None else found.unionByName(settled)
-        if radius >= reach:
-            return found
-        left = (todo.count() if left is None else left) - done.count()
-        if left <= 0:
-            return found
-        todo, radius, factor = cut(todo.join(done, key, "left_anti")), min(reach, radius * factor), 4
-
-
-def _apart(q: DataFrame, p: DataFrame, reach: float, by: tuple[str, ...]) -> float:
-    """A radius that leads any query to any point of its frame, for queries that are not points themselves."""
-    if q.sameSemantics(p):
-        return reach
-    both = q.select(*by, *XYZ).unionByName(p.select(*by, *XYZ)).groupBy(*by).agg(*[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).agg(*[F.max(c).alias(c) for c in XYZ]).first()
-    return sum((both[c] or 0.0) ** 2 for c in XYZ) ** 0.5 * 1.001
+    small = (sizes.agg(F.max("__n")).first()[0] or 0) <= BLOCK
+    sides = [p.withColumn("side", F.lit(3))] if same else [p.withColumn("side", F.lit(1)), q.withColumn("side", F.lit(2))]
+    rows = sides[0] if same else sides[0].unionByName(sides[1])
+    rows = rows.withColumn("within", F.lit(float("inf")))
+    kind = p.schema[key].dataType.simpleString()
+    out = f"q {kind}, p {kind}, d2 double"
+
+    def met(table: pa.Table) -> pa.Table:
+        side, x = np.asarray(table["side"]), np.column_stack([np.asarray(table[c], float) for c in XYZ])
+        ids = table[key].combine_chunks()
+        rank = np.empty(len(side), np.int64)
+        rank[np.asarray(pc.sort_indices(ids))] = np.arange(len(side))
+        if not same:  # a query and a point of one id have one rank
+            rank = np.asarray(pc.rank(ids, "ascending", tiebreaker="min")).astype(np.int64)
+        asks, gives = np.flatnonzero(side & 2), np.flatnonzero(side & 1)
+        own = rank[asks] if not include_self else np.full(len(asks), -1)
+        a, b, d2 = nearest_rows(x[asks], own, x[gives], rank[gives], k, np.asarray(table["within"])[asks])
+        return pa.table({"q": ids.take(pa.array(asks[a])), "p": ids.take(pa.array(gives[b])), "d2": d2})
+
+    ahead = Window.partitionBy("q").orderBy("d2", "p")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(ahead)).filter(F.col("rank") <= k).select("q", "p", "rank", F.sqrt("d2").alias("distance"))
+    if small:
+        return ranked(rows.groupBy(*by).applyInArrow(met, out))
+    # As many slabs along x as along y.
+    slabs = F.least(F.lit(SLABS), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("__n") / BLOCK)) / 2)))
+    sized = p.join(sizes, group)
+    along_x = cut(_cut_at(sized, group, "x", slabs).withColumnRenamed("cuts", "xs"))
+    in_slab = sized.join(along_x, group).withColumn("sx", _slab(F.col("x"), F.col("xs")))
+    along_y = cut(_cut_at(in_slab, [*group, "sx"], "y", slabs).withColumnRenamed("cuts", "ys"))
+    placed = rows.join(along_x, group).withColumn("sx", _slab(F.col("x"), F.col("xs"))).join(along_y, [*group, "sx"], "left")
+    placed = placed.withColumn("ys", F.coalesce("ys", F.expr("cast(array() AS array<double>)"))).withColumn("sy", _slab(F.col("y"), F.col("ys")))
+    columns = [key, *by, *XYZ, "side", "within", "sx", "sy"]
+    inside = cut(placed.select(*columns, "xs", "ys"))
+    first = cut(inside.select(*columns).groupBy(*by, "sx", "sy").applyInArrow(met, out))
+    # A query is settled where the ball to its k-th neighbour stays in its slabs.
+    far = first.groupBy("q").agg(F.count("*").alias("n"), F.max("d2").alias("d2"))
+    asks = inside.filter(F.col("side") >= 2).join(far, F.col(key) == F.col("q"), "left").withColumn("within", F.when(F.col("n") >= k, F.col("d2")).otherwise(float("inf")))
+    r = F.sqrt("within") * (1 + 1e-12)
+    edge = lambda cuts, at: (F.when(F.col(at) > 0, F.element_at(cuts, F.greatest(F.col(at), F.lit(1)))), F.when(F.col(at) < F.size(cuts), F.element_at(cuts, F.least(F.col(at) + 1, F.greatest(F.size(cuts), F.lit(1))))))
+    out_of = F.lit(False)
+    for c, cuts, at in (("x", "xs", "sx"), ("y", "ys", "sy")):
+        low, high = edge(cuts, at)
+        out_of = out_of | F.coalesce(F.col(c) - r <= low, F.lit(False)) | F.coalesce(F.col(c) + r >= high, F.lit(False))
+    open_ = cut(asks.filter(out_of).select(key, *by, *XYZ, "within", F.col("sx").alias("own_x"), F.col("sy").alias("own_y"), "xs"))
+    reach = lambda c, cuts: F.sequence(_slab(F.col(c) - r, F.col(cuts)), _slab(F.col(c) + r, F.col(cuts)))
+    asked = open_.withColumn("sx", F.explode(reach("x", "xs"))).join(along_y, [*group, "sx"])
+    asked = asked.withColumn("sy", F.explode(reach("y", "ys"))).filter((F.col("sx") != F.col("own_x")) | (F.col("sy") != F.col("own_y"))).withColumn("side", F.lit(2))
+    gives = inside.filter(F.col("side").bitwiseAND(F.lit(1)) == 1).withColumn("side", F.lit(1))
+    same = False
+    second = gives.select(*columns).unionByName(asked.select(*columns)).groupBy(*by, "sx", "sy").applyInArrow(met, out)
+    return ranked(first.unionByName(second))
 
 
 def statistical_outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, key: str = "pid", by: str = "frame") -> DataFrame:

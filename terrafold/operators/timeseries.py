@@ -14,6 +14,8 @@ from terrafold.session import cut
 
 #: A run of a stream: so many units of its order, which is a number. An hour of stamps in microseconds; as many sequence numbers.
 RUN_STAMPS, RUN_NUMBERS = 3_600_000_000, 1_000_000
+#: Runs that rows without an order are dealt to, and runs of a run of runs.
+NULL_RUNS, RUNS = 64, 1000
 #: Places of a sketch of values: ranks are known to one part in so many.
 SKETCH = 2000
 
@@ -39,9 +41,14 @@ def carried(rows: DataFrame, by: str, t: str, values: dict[str, Column], run: in
     return out.select(*rows.columns, *[f"{n}_{s}" for n in values for s in ("before", "after")])
 
 
+def run_of(rows: DataFrame, order: str, run: int) -> Column:
+    """The run of each row. Rows without an order come before all others, in runs by a hash."""
+    return F.coalesce(F.floor(F.col(order) / run), F.lit(-(1 << 62)) + F.pmod(F.xxhash64(*rows.columns), F.lit(NULL_RUNS)))
+
+
 def numbered(rows: DataFrame, by: str, order: str, run: int = RUN_NUMBERS) -> DataFrame:
-    """``rows`` with ``rn``, the place of each in its stream by ``order`` (a number), from 1, and ``rn_total``, the rows of the stream."""
-    r = rows.withColumn("__run", F.floor(F.col(order) / run))
+    """``rows`` with ``rn``, the place of each in its stream by ``order`` (a number; rows without one come first), from 1, and ``rn_total``, the rows of the stream."""
+    r = rows.withColumn("__run", run_of(rows, order, run))
     sizes = r.groupBy(F.col(by).alias("__by"), F.col("__run").alias("__at")).agg(F.count("*").alias("__n"))
     w = Window.partitionBy("__by")
     sizes = sizes.select("__by", "__at", (F.sum("__n").over(w.orderBy("__at")) - F.col("__n")).alias("__before"), F.sum("__n").over(w).alias("rn_total"))
@@ -177,9 +184,16 @@ def every_nth(rows: DataFrame, n: int, by: str, order: str) -> DataFrame:
     return numbered(rows, by, order).withColumnRenamed("rn", "received").drop("rn_total").filter((F.col("received") - 1) % n == 0)
 
 
-def last_n(rows: DataFrame, n: int, by: str, order: str) -> DataFrame:
-    """The newest n rows of each stream, as a bounded buffer holds them, with ``age`` from 1."""
-    return numbered(rows, by, order).withColumn("age", F.col("rn_total") - F.col("rn") + 1).drop("rn", "rn_total").filter(F.col("age") <= n)
+def last_n(rows: DataFrame, n: int, by: str, order: str, run: int = RUN_NUMBERS) -> DataFrame:
+    """The newest n rows of each stream, as a bounded buffer holds them, with ``age`` from 1; rows without an order are the oldest.
+
+    Runs, then runs of runs, then streams keep n rows each, so no task orders a whole stream.
+    """
+    kept = rows.withColumn("__run", run_of(rows, order, run)).withColumn("__far", F.floor(F.col("__run") / RUNS))
+    for part in (["__far", "__run"], ["__far"], []):
+        newest = Window.partitionBy(by, *part).orderBy(F.desc("__run"), F.desc_nulls_last(order))
+        kept = kept.withColumn("age", F.row_number().over(newest)).filter(F.col("age") <= n)
+    return kept.select(*rows.columns, F.col("age").cast("long").alias("age"))
 
 
 def synchronized(frames: DataFrame, poses: DataFrame, images: DataFrame, by: str, columns: tuple[str, ...], quaternion: tuple[str, ...] = (), stamp: str = "stamp_us", key: str = "seq", timeout: int = 100_000, slack: int = 50_000) -> DataFrame:

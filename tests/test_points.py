@@ -76,6 +76,28 @@ def test_neighbours_match_brute_force(spark):
     assert neighbors.knn(p.limit(0), p.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("include_self", [True, False])
+def test_neighbours_across_blocks(spark, monkeypatch, include_self):
+    monkeypatch.setattr(neighbors, "BLOCK", 40)
+    rng = np.random.default_rng(21)
+    x = np.vstack([rng.uniform(-10, 10, (400, 3)), rng.normal(0, 0.01, (200, 3)), np.repeat([[3.0, 3.0, 3.0]], 60, 0), [[500.0, -500, 0]]]).round(3)
+    p = frame(spark, x.tolist())
+    got = {}
+    for r in neighbors.knn(p, p, 6, include_self=include_self).collect():
+        got.setdefault(r.q, {})[r["rank"]] = (r.p, r.distance)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    for i in range(len(x)):
+        order = [j for j in np.lexsort((np.arange(len(x)), d[i])).tolist() if include_self or j != i][:6]
+        assert [got[i][n + 1][0] for n in range(6)] == order
+    q = frame(spark, (rng.uniform(-12, 12, (50, 3))).tolist()).withColumn("pid", F.col("pid") + 1000)
+    found = {}
+    for r in neighbors.knn(q, p, 3).collect():
+        found.setdefault(r.q, []).append((r["rank"], r.p))
+    for r in q.collect():
+        e = ((x - [r.x, r.y, r.z]) ** 2).sum(1)
+        assert [n for _, n in sorted(found[r.pid])] == np.lexsort((np.arange(len(x)), e))[:3].tolist()
+
+
 def test_outliers(spark):
     rng = np.random.default_rng(2)
     p = frame(spark, [*rng.normal(0, 0.05, (300, 3)).tolist(), (5, 5, 5)])
@@ -428,3 +450,39 @@ def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen[-1] == {1: 3, 2: 2} and len(seen) == 3
+
+
+def test_rows_without_an_order_come_first_and_stay(spark):
+    rows = [("a", 1, 1.0), ("a", 2, 2.0), ("a", None, 9.0), (None, 5, 5.0), (None, None, 6.0), ("a", 3_000_000, 3.0)]
+    df = spark.createDataFrame(rows, "topic string, seq long, v double")
+    assert timeseries.every_nth(df, 1, "topic", "seq").count() == 6 and timeseries.rolling(df, 2, "v", "topic", "seq").count() == 6 and timeseries.with_steps(df.withColumn("stamp_us", F.col("seq"))).count() == 6
+    got = {(r.topic, r.seq): r.received for r in timeseries.every_nth(df, 1, "topic", "seq").collect()}
+    assert got == {("a", None): 1, ("a", 1): 2, ("a", 2): 3, ("a", 3_000_000): 4, (None, None): 1, (None, 5): 2}
+    assert {(r.topic, r.seq): r.age for r in timeseries.last_n(df, 3, "topic", "seq").collect()} == {("a", 3_000_000): 1, ("a", 2): 2, ("a", 1): 3, (None, 5): 1, (None, None): 2}
+    assert timeseries.last_n(df, 9, "topic", "seq").count() == 6
+
+
+def test_far_boxes_and_null_images_are_painted_by_tiles(spark):
+    kind = "image_id long, det_idx int, class_id int, confidence double, x int, y int, w int, h int"
+    big = (1 << 53) + 1
+    rows = [(1, 0, 1, 0.5, -5, 0, 10, 10), (1, 1, 2, 0.6, 40_000, 40_000, 10, 10), (None, 0, 3, 0.5, 0, 0, 3, 3), (None, 1, 4, 0.9, 2, 2, 2, 2), (big, 0, 5, 0.5, 60, 60, 10, 1), (big - 1, 0, 6, 0.5, 60, 60, 10, 1)]
+    got = [tuple(r) for r in camera.class_map(spark.createDataFrame(rows, kind)).collect()]
+    count = lambda i: sum(g[0] == i for g in got)
+    assert [count(i) for i in (1, None, big, big - 1)] == [200, 12, 10, 10] and len(set(got)) == len(got) == 232
+    assert (None, 2, 2, 4, 0.9) in got and (1, 0, -5, 1, 0.5) in got
+
+
+def test_suppression_is_greedy_in_long_chains(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i % 3 or None, i, 1, float(rng.integers(1, 30)) / 30, int(rng.integers(0, 200)), int(rng.integers(0, 60)), 20, 20) for i in range(400)]
+    rows += [(9, i, 1, 0.9 - i / 100, 5 * i, 0, 20, 20) for i in range(30)] + [(9, 99, 1, 0.1, 5, 5, 0, 4)]
+    df = spark.createDataFrame(rows, "image_id int, det_idx int, class_id int, confidence double, x int, y int, w int, h int")
+    want = set()
+    for image in {r[0] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[0] == image), key=lambda r: (-r[3], r[1])):
+            over = lambda a, b: max(0, min(a[4] + a[6], b[4] + b[6]) - max(a[4], b[4])) * max(0, min(a[5] + a[7], b[5] + b[7]) - max(a[5], b[5]))
+            if not any(over(r, o) / (r[6] * r[7] + o[6] * o[7] - over(r, o)) > 0.45 for o in kept):
+                kept.append(r)
+        want |= {(r[0], r[1]) for r in kept}
+    assert {(r.image_id, r.det_idx) for r in camera.suppress(df).collect()} == want
