@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as g
-from terrafold.operators import camera, clusters, filters, neighbors, planes, registration, semantic_map, timeseries
+from terrafold.operators import camera, clusters, components, filters, neighbors, planes, registration, semantic_map, timeseries
 from terrafold.operators.components import connected_components
 from terrafold.plans.lidar import ScanConfig, reduction, run_scan
 from terrafold.sources import bag, cloud
@@ -114,6 +114,23 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}, 500: 500}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    words = {r.node: r.component for r in connected_components(spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "y")], "src string, dst string")).collect()}
+    assert words == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
+
+
+@pytest.mark.parametrize("alone", [0, 10**6])
+def test_components_in_rounds_and_alone(spark, monkeypatch, alone):
+    monkeypatch.setattr(components, "ALONE", alone)
+    rng = np.random.default_rng(31)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 500, (330, 2))] + [(1000 + i, 1001 + i) for i in range(300)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(7)).collect()}
+    top = {n: n for e in edges for n in e}
+    for _ in range(len(top)):
+        if not any(top[a] != top[b] for a, b in edges):
+            break
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    assert got == top
 
 
 def test_clusters(spark):
