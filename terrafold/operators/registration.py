@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions.geometry import XYZ
@@ -53,6 +53,24 @@ def small_motion(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sums(method: str) -> list[Column]:
+    """What a step of either method adds up over correspondences (q_ and p_ columns): cross-covariance and means, or the 6 x 6 system of distances to planes."""
+    if method != "point_to_plane":
+        return [F.covar_pop(f"q_{a}", f"p_{b}").alias(f"h{i}{j}") for i, a in enumerate(XYZ) for j, b in enumerate(XYZ)] + [F.avg(f"{s}_{a}").alias(f"m{s}{a}") for s in "qp" for a in XYZ]
+    s, n = [F.col(f"q_{a}") for a in XYZ], [F.col(f"p_n{a}") for a in XYZ]
+    row = [s[1] * n[2] - s[2] * n[1], s[2] * n[0] - s[0] * n[2], s[0] * n[1] - s[1] * n[0], *n]
+    gap = sum(((F.col(f"p_{a}") - F.col(f"q_{a}")) * F.col(f"p_n{a}") for a in XYZ[1:]), (F.col("p_x") - F.col("q_x")) * F.col("p_nx"))
+    return [F.sum(row[i] * row[j]).alias(f"a{i}{j}") for i in range(6) for j in range(i, 6)] + [F.sum(r * gap).alias(f"b{i}") for i, r in enumerate(row)]
+
+
+def _move(got: dict, method: str) -> np.ndarray:
+    """The motion that the sums of a step ask for."""
+    if method == "point_to_plane":
+        a = np.array([[got[f"a{min(i, j)}{max(i, j)}"] for j in range(6)] for i in range(6)])
+        return small_motion(np.linalg.lstsq(a, np.array([got[f"b{i}"] for i in range(6)]), rcond=None)[0])
+    return rigid(np.array([[got[f"h{i}{j}"] for j in range(3)] for i in range(3)]), np.array([got[f"mq{a}"] for a in XYZ]), np.array([got[f"mp{a}"] for a in XYZ]))
+
+
 def icp(source: DataFrame, target: DataFrame, max_distance: float = 0.3, iterations: int = 50, epsilon: float = 1e-6, method: str = "point_to_point", initial: np.ndarray | None = None) -> dict:
     """transform, fitness (mean squared distance of correspondences), inlier_rmse, correspondences, iterations, converged.
 
@@ -65,20 +83,10 @@ def icp(source: DataFrame, target: DataFrame, max_distance: float = 0.3, iterati
         c = correspondences(transformed(source, t), target, max_distance)
         if method == "point_to_plane":
             c = c.filter("p_nx IS NOT NULL")
-            s, n = [F.col(f"q_{a}") for a in XYZ], [F.col(f"p_n{a}") for a in XYZ]
-            row = [s[1] * n[2] - s[2] * n[1], s[2] * n[0] - s[0] * n[2], s[0] * n[1] - s[1] * n[0], *n]
-            gap = sum(((F.col(f"p_{a}") - F.col(f"q_{a}")) * F.col(f"p_n{a}") for a in XYZ[1:]), (F.col("p_x") - F.col("q_x")) * F.col("p_nx"))
-            sums = [F.sum(row[i] * row[j]).alias(f"a{i}{j}") for i in range(6) for j in range(i, 6)] + [F.sum(r * gap).alias(f"b{i}") for i, r in enumerate(row)]
-        else:
-            sums = [F.covar_pop(f"q_{a}", f"p_{b}").alias(f"h{i}{j}") for i, a in enumerate(XYZ) for j, b in enumerate(XYZ)] + [F.avg(f"{s}_{a}").alias(f"m{s}{a}") for s in "qp" for a in XYZ]
-        got = c.agg(F.count("*").alias("n"), F.avg("d2").alias("f"), *sums).first()
+        got = c.agg(F.count("*").alias("n"), F.avg("d2").alias("f"), *_sums(method)).first()
         if got["n"] < 3:
             break
-        if method == "point_to_plane":
-            a = np.array([[got[f"a{min(i, j)}{max(i, j)}"] for j in range(6)] for i in range(6)])
-            step = small_motion(np.linalg.lstsq(a, np.array([got[f"b{i}"] for i in range(6)]), rcond=None)[0])
-        else:
-            step = rigid(np.array([[got[f"h{i}{j}"] for j in range(3)] for i in range(3)]), np.array([got[f"mq{a}"] for a in XYZ]), np.array([got[f"mp{a}"] for a in XYZ]))
+        step = _move(got.asDict(), method)
         t, change = step @ t, abs(fitness - got["f"])
         fitness, found = got["f"], got["n"]
         if np.abs(step - np.eye(4)).max() < epsilon or change < epsilon * epsilon:
@@ -128,26 +136,33 @@ def motion_metrics(t: np.ndarray, start: np.ndarray | None = None) -> dict:
 _MOTION = tuple(f"t{i}{j}" for i in range(3) for j in range(4))
 
 
-def register_frames(points: DataFrame, max_distance: float = 0.3, iterations: int = 20, epsilon: float = 1e-6, by: str = "frame", min_points: int = 20) -> DataFrame:
-    """previous, current, t00 to t23 (the motion that takes the current frame onto the previous one), n, rmse, shift, turn: all pairs of consecutive frames at once, point to point.
+def register_frames(points: DataFrame, max_distance: float = 0.3, iterations: int = 20, epsilon: float = 1e-6, by: str = "frame", min_points: int = 20, method: str = "point_to_point", initial: DataFrame | None = None) -> DataFrame:
+    """previous, current, t00 to t23 (the motion that takes the current frame onto the previous one), n, rmse, shift, turn: all pairs of consecutive frames at once.
 
     A step is one neighbour join and one aggregate over all pairs; the motions of the pairs are a table of one row each, solved where they
-    lie. Pairs that move no more than ``epsilon`` stay as they are; it ends when none moves.
+    lie. Pairs that move no more than ``epsilon`` stay as they are; it ends when none moves. ``point_to_plane`` takes normals nx, ny, nz of the points, or finds them. ``initial``: a
+    result to begin with, of the same pairs.
     """
     ship_package(points.sparkSession)
+    plane = method == "point_to_plane"
+    if plane and "nx" not in points.columns:
+        points = normals(points, 12, orientation="reference", by=by)
+    facing = [f"n{c}" for c in XYZ] if plane else []
     pairs = frame_pairs(points, by, min_points).select("previous", "current")
     identity = [F.lit(float(i == j)).alias(f"t{i}{j}") for i in range(3) for j in range(4)]
-    motions = cut(pairs.select("previous", "current", *identity, F.lit(True).alias("moves")))
-    p = cut(points.select("pid", by, *XYZ))
+    begin = pairs.select("previous", "current", *identity) if initial is None else pairs.join(initial.select("previous", "current", *_MOTION), ["previous", "current"])
+    motions = cut(begin.withColumn("moves", F.lit(True)))
+    p = cut(points.select("pid", by, *XYZ, *facing))
     kind = p.schema[by].dataType.simpleString()
-    target = p.join(pairs.select(F.col("previous").alias(by), F.col("current").alias("pair")), by).select("pid", "pair", *XYZ)
+    target = p.join(pairs.select(F.col("previous").alias(by), F.col("current").alias("pair")), by).select("pid", "pair", *XYZ, *facing)
+    target = target.filter("nx IS NOT NULL") if plane else target
     turned = {c: F.col(f"t{i}0") * F.col("x") + F.col(f"t{i}1") * F.col("y") + F.col(f"t{i}2") * F.col("z") + F.col(f"t{i}3") for i, c in enumerate(XYZ)}
     schema = f"previous {kind}, current {kind}, {', '.join(f'{m} double' for m in _MOTION)}, moves boolean"
 
     def met(motions: DataFrame) -> DataFrame:
         source = p.join(motions, p[by] == motions["current"]).select("pid", F.col("current").alias("pair"), *[v.alias(c) for c, v in turned.items()])
         near = radius_join(source, target, max_distance, ("pair",))
-        return near.groupBy("q_pair", "q_pid").agg(F.min_by(F.struct("d2", *[f"{s}_{a}" for s in "qp" for a in XYZ]), F.struct("d2", "p_pid")).alias("b")).select(F.col("q_pair").alias("pair"), "b.*")
+        return near.groupBy("q_pair", "q_pid").agg(F.min_by(F.struct("d2", *[f"{s}_{a}" for s in "qp" for a in XYZ], *[f"p_{n}" for n in facing]), F.struct("d2", "p_pid")).alias("b")).select(F.col("q_pair").alias("pair"), "b.*")
 
     def step(batches):
         for batch in batches:
@@ -156,14 +171,14 @@ def register_frames(points: DataFrame, max_distance: float = 0.3, iterations: in
                 if r["n"] is None or r["n"] < 3:
                     r["moves"] = False
                     continue
-                move = rigid(np.array([[r[f"h{i}{j}"] for j in range(3)] for i in range(3)]), np.array([r[f"mq{a}"] for a in XYZ]), np.array([r[f"mp{a}"] for a in XYZ]))
+                move = _move(r, method)
                 t = move @ np.vstack([np.array([r[m] for m in _MOTION]).reshape(3, 4), [0, 0, 0, 1]])
                 r |= dict(zip(_MOTION, t[:3].ravel().tolist(), strict=True)) | {"moves": bool(np.abs(move - np.eye(4)).max() >= epsilon)}
             yield pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in rows], batch.schema.field(c).type) for c in ("previous", "current", *_MOTION, "moves")})
 
     for _ in range(iterations):
         open_ = motions.filter("moves")
-        sums = met(open_).groupBy("pair").agg(F.count("*").alias("n"), *[F.covar_pop(f"q_{a}", f"p_{b}").alias(f"h{i}{j}") for i, a in enumerate(XYZ) for j, b in enumerate(XYZ)], *[F.avg(f"{s}_{a}").alias(f"m{s}{a}") for s in "qp" for a in XYZ])
+        sums = met(open_).groupBy("pair").agg(F.count("*").alias("n"), *_sums(method))
         moved = open_.join(sums, open_["current"] == sums["pair"], "left").drop("pair").mapInArrow(step, schema)
         motions = cut(motions.filter("NOT moves").unionByName(moved))
         if motions.filter("moves").isEmpty():
@@ -173,3 +188,16 @@ def register_frames(points: DataFrame, max_distance: float = 0.3, iterations: in
     shift = F.sqrt(F.col("t03") * F.col("t03") + F.col("t13") * F.col("t13") + F.col("t23") * F.col("t23"))
     out = motions.join(last, motions["current"] == last["pair"], "left").drop("pair", "moves")
     return out.withColumns({"n": F.coalesce("n", F.lit(0)), "shift": shift, "turn": angle})
+
+
+def register_scales(points: DataFrame, sizes=(0.2, 0.1, 0.05), factors=(2.5, 2.0, 1.5), iterations=(40, 30, 20), method: str = "point_to_point", by: str = "frame", min_points: int = 20) -> DataFrame:
+    """As ``register_frames``, from coarse voxels to fine: each level thins all frames at once and begins with the motions of the one before. A size of 0 takes all points; pairs are those of the coarsest level."""
+    if not len(sizes) == len(factors) == len(iterations):
+        raise ValueError("sizes, factors and iterations have one value for each level")
+    found = None
+    for size, factor, most in zip(sizes, factors, iterations, strict=True):
+        p = points.select("pid", by, *XYZ)
+        if size > 0:
+            p = voxel_grid(p, size, by=(by,)).select(F.xxhash64(by, "ix", "iy", "iz").alias("pid"), by, *XYZ)
+        found = cut(register_frames(p, (size or sizes[0]) * factor, most, by=by, min_points=min_points, method=method, initial=found))
+    return found

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions.geometry import voxel_keys
+from terrafold.session import cut, ship_package
 
 _KEY = ("ix", "iy", "iz")
 #: Sums of floats differ by the order of adding: evidence equal to so many digits is equal.
@@ -70,22 +74,49 @@ def evidence_map(observations: DataFrame, resolution: float = 0.1, classes: int
     return out.filter(F.col("posterior") >= min_posterior)
 
 
+_SLOTS = "array<struct<score:double,class_id:int>>"
+
+
 def slots_in_order(observations: DataFrame, resolution: float, max_classes: int, order: str = "seq") -> DataFrame:
     """class scores of a voxel that keeps ``max_classes`` only: a new class takes the weakest one's place if it is more confident, else is not kept.
 
-    The result depends on the order, so each voxel's observations are folded in it.
+    A voxel that sees no more classes than it keeps has their sums, in whatever order. Only where classes contend does the result depend on it: those voxels' observations
+    are sorted by it and folded as they come, with the slots in memory and nothing else.
     """
-    keyed = observations.filter("class_id >= 0").select(order, "class_id", "confidence", *voxel_keys(resolution))
-    seen = keyed.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct(order, "class_id", F.col("confidence").cast("double").alias("confidence")))).alias("seen"))
-    empty = F.expr("cast(array() AS array<struct<score:double,class_id:int>>)")
-    pair = lambda s, c: F.struct(s.alias("score"), c.cast("int").alias("class_id"))
-
-    def step(slots, o):
-        here = F.exists(slots, lambda s: s["class_id"] == o["class_id"])
-        added = F.transform(slots, lambda s: F.when(s["class_id"] == o["class_id"], pair(s["score"] + o["confidence"], s["class_id"])).otherwise(s))
-        grown = F.concat(slots, F.array(pair(o["confidence"], o["class_id"])))
-        weakest = F.array_min(slots)
-        swapped = F.concat(F.filter(slots, lambda s: s != weakest), F.array(pair(o["confidence"], o["class_id"])))
-        return F.when(here, added).when(F.size(slots) < max_classes, grown).when(o["confidence"] > weakest["score"], swapped).otherwise(slots)
-
-    return seen.select(*_KEY, F.array_sort(F.aggregate("seen", empty, step)).alias("slots"))
+    ship_package(observations.sparkSession)
+    kept = observations.filter("class_id >= 0").select(F.col(order).alias("__o"), F.col("class_id").cast("int").alias("class_id"), F.col("confidence").cast("double").alias("confidence"), *voxel_keys(resolution))
+    sums = cut(kept.groupBy(*_KEY, "class_id").agg(F.sum("confidence").alias("score")))
+    classes = sums.groupBy(*_KEY).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("score", "class_id"))).alias("slots"))  # one entry a class
+    alone = classes.filter(F.col("n") <= max_classes).select(*_KEY, "slots")
+    contended = kept.join(classes.filter(F.col("n") > max_classes).select(*_KEY), list(_KEY), "left_semi")
+    dealt = contended.repartition(*_KEY).sortWithinPartitions(*_KEY, "__o", "class_id", "confidence")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, slots, out = None, {}, []
+
+        def made() -> pa.RecordBatch:
+            keys = list(zip(*[k for k, _ in out], strict=True))
+            rows = [[{"score": s, "class_id": c} for s, c in sorted((s, c) for c, s in held.items())] for _, held in out]
+            return pa.RecordBatch.from_arrays([*[pa.array(k, pa.int64()) for k in keys], pa.array(rows, pa.list_(pa.struct([("score", pa.float64()), ("class_id", pa.int32())])))], names=[*_KEY, "slots"])
+
+        for batch in batches:
+            for *key, c, k in zip(*(batch.column(n).to_pylist() for n in (*_KEY, "class_id", "confidence")), strict=True):
+                if key != now:
+                    if now is not None:
+                        out.append((now, slots))
+                    now, slots = key, {}
+                if c in slots:
+                    slots[c] += k
+                elif len(slots) < max_classes:
+                    slots[c] = k
+                elif k > (weakest := min((s, x) for x, s in slots.items()))[0]:
+                    del slots[weakest[1]]
+                    slots[c] = k
+            if out:
+                yield made()
+                out = []
+        if now is not None:
+            out.append((now, slots))
+            yield made()
+
+    return alone.unionByName(dealt.mapInArrow(folded, f"ix long, iy long, iz long, slots {_SLOTS}"))

@@ -147,6 +147,21 @@ def frame_registration(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found.select("previous", "current", "n", "rmse", "shift", "turn"), "rmse", "shift", "turn", digits=4)
 
 
+_SHIFT, _TURN = (0.04, -0.03, 0.02), 0.01
+
+
+@query(f"""WITH f AS (SELECT range AS f, range * {_TURN} AS a, range * {_SHIFT[0]} AS x, range * {_SHIFT[1]} AS y, range * {_SHIFT[2]} AS z FROM range(4)),
+m AS (SELECT p.f AS previous, c.f AS current, p.x - cos(-{_TURN}) * c.x + sin(-{_TURN}) * c.y AS tx, p.y - sin(-{_TURN}) * c.x - cos(-{_TURN}) * c.y AS ty, p.z - c.z AS tz FROM f p JOIN f c ON c.f = p.f + 1)
+SELECT method, previous, current, round(sqrt(tx * tx + ty * ty + tz * tz), 3) AS shift, round(degrees({_TURN}), 2) AS turn FROM m, (VALUES ('point_to_point'), ('point_to_plane')) v(method)""")
+def registered_motions(spark: SparkSession, d: str) -> DataFrame:
+    """Frames that are one scene moved on and turned step by step: the motions found between all of them at once, by both methods."""
+    f, a = F.col("frame"), F.col("frame") * _TURN
+    p = points(spark, d).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("frame"), "pid", *XYZ)
+    p = p.select((F.col("pid") * 4 + f).alias("pid"), "frame", (F.cos(a) * F.col("x") - F.sin(a) * F.col("y") + f * _SHIFT[0]).alias("x"), (F.sin(a) * F.col("x") + F.cos(a) * F.col("y") + f * _SHIFT[1]).alias("y"), (F.col("z") + f * _SHIFT[2]).alias("z"))
+    found = [rg.register_frames(p, 0.3, 15, 1e-9, method=m).withColumn("method", F.lit(m)) for m in ("point_to_point", "point_to_plane")]
+    return rounded(rounded(found[0].unionByName(found[1]).select("method", "previous", "current", "shift", "turn"), "shift", digits=3), "turn", digits=2)
+
+
 @query(f"""WITH e AS (SELECT event_id AS id, event_type AS topic, epoch_us(ts) AS h, epoch_us(ts) + event_id % 7 * 1000 AS b FROM events),
 s AS (SELECT *, (h - lag(h) OVER w) / 1e6 AS dh, (b - lag(b) OVER w) / 1e6 AS db FROM e WINDOW w AS (PARTITION BY topic ORDER BY id))
 SELECT topic, 'event' AS type, count(*) AS n, round(quantile_cont(dh, 0.5) FILTER (dh > 0), 6) AS header_step, round(quantile_cont(db, 0.5) FILTER (db > 0), 6) AS bag_step, count(*) FILTER (dh <= 0) AS steps_back, round(avg(b - h), 3) AS delay_mean, max(b - h) AS delay_max FROM s GROUP BY topic

@@ -245,6 +245,26 @@ def test_consecutive_frames_are_registered_at_once(spark):
     assert abs(m["translation_m"] - np.linalg.norm(steps[1][:3, 3])) < 1e-9
 
 
+@pytest.mark.parametrize("method", ["point_to_point", "point_to_plane"])
+def test_all_frames_are_registered_coarse_to_fine(spark, method):
+    rng = np.random.default_rng(18)
+    xy = rng.uniform(-3, 3, (700, 2))
+    p = np.column_stack([xy, np.sin(xy[:, 0]) + np.cos(xy[:, 1])])
+    step = registration.small_motion(np.array([0.02, -0.03, 0.05, 0.12, -0.1, 0.06]))
+    rows, at = [], np.eye(4)
+    for f in range(3):
+        rows += [(1000 * f + i, f, *map(float, (at @ [*x, 1])[:3])) for i, x in enumerate(p)]
+        at = step @ at
+    df = spark.createDataFrame(rows, "pid long, frame long, x double, y double, z double")
+    got = registration.register_scales(df, (0.4, 0.0), (2.0, 1.0), (12, 12), method).collect()
+    assert sorted((r.previous, r.current) for r in got) == [(0, 1), (1, 2)]
+    for r in got:
+        t = np.array([[r[f"t{i}{j}"] for j in range(4)] for i in range(3)])
+        assert np.abs(t - np.linalg.inv(step)[:3]).max() < 0.02 and r.n > 500
+    with pytest.raises(ValueError):
+        registration.register_scales(df, (0.1,), (1.0, 2.0), (1,))
+
+
 def test_multiscale_registration(spark):
     rng = np.random.default_rng(17)
     xy = rng.uniform(-3, 3, (250, 2))
