@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.functions.geometry import XYZ, dominant_shape, dot, eigenvalues, shape_features, with_eigen
+from terrafold.functions.geometry import XYZ, dominant_shape, dot, eigenvalues, plane_basis, shape_features, unit, with_eigen
 from terrafold.operators.components import connected_components
 from terrafold.operators.neighbors import knn, radius_pairs
 from terrafold.session import cut, ship_package
@@ -159,9 +159,19 @@ def _axes(inside: DataFrame, kind: str, by: str) -> DataFrame:
     return given.select(by, "cluster_id", column, *(MOMENTS if kind == "pca" else ())).mapInArrow(turned, f"{keys}, rotation array<array<double>>")
 
 
-def boxes(clustered: DataFrame, kind: str = "upright", by: str = "frame") -> DataFrame:
-    """A box of each cluster: ``axis`` aligned, ``upright`` of least area in plan, or along the ``pca`` axes, the longest spread first: center, extent, rotation, volume."""
+def boxes(clustered: DataFrame, kind: str = "upright", by: str = "frame", up: tuple[float, float, float] = (0.0, 0.0, 1.0)) -> DataFrame:
+    """A box of each cluster: ``axis`` aligned, ``upright`` of least area in plan, or along the ``pca`` axes, the longest spread first: center, extent, rotation, volume.
+
+    ``up`` is the direction that upright boxes stand along, of any length but 0.
+    """
     ship_package(clustered.sparkSession)
+    if kind == "upright" and unit(up) != (0.0, 0.0, 1.0):
+        # Boxes of the points seen from axes of which the last is up, turned back.
+        axes = [*plane_basis(up), tuple(unit(up))]
+        seen = clustered.select(by, "cluster_id", *[sum((F.col(c) * w for c, w in zip(XYZ[1:], a[1:], strict=True)), F.col("x") * a[0]).alias(n) for n, a in zip(XYZ, axes, strict=True)])
+        back = lambda at: [sum((at(k) * axes[k][i] for k in (1, 2)), at(0) * axes[0][i]) for i in range(3)]
+        rotation = F.array(*[F.array(*[back(lambda k, j=j: F.col("rotation")[k][j])[i] for j in range(3)]) for i in range(3)])
+        return boxes(seen, kind, by).select(by, "cluster_id", F.array(*back(lambda k: F.col("center")[k])).alias("center"), "extent", rotation.alias("rotation"), "volume")
     inside = clustered.filter("cluster_id >= 0").select(by, "cluster_id", *XYZ)
     if kind == "axis":
         unit_axes = F.array(*[F.array(*[F.lit(float(i == j)) for j in range(3)]) for i in range(3)])

@@ -69,6 +69,14 @@ def organized(marked: DataFrame) -> DataFrame:
     return marked.withColumns({c: F.when(F.col("removed_by").isNull(), F.col(c)) for c in XYZ}).withColumn("kept", F.col("removed_by").isNull())
 
 
+def frame_density(marked: DataFrame, by: str = "frame") -> DataFrame:
+    """Per frame: ``organized_dense``, whether the cloud that keeps its places has lost no point, and of the cloud of kept points alone its width and whether all of them are finite."""
+    kept = F.col("removed_by").isNull()
+    return marked.groupBy(by).agg(
+        F.bool_and(kept).alias("organized_dense"), F.count_if(kept).alias("filtered_width"), F.bool_and(~kept | F.coalesce(all_finite(), F.lit(False))).alias("filtered_dense")
+    )
+
+
 def voxel_grid(points: DataFrame, size: float, averages: tuple[str, ...] = (), min_points: int = 1, by: tuple[str, ...] = ("frame",)) -> DataFrame:
     """Centroid, means of other fields and count of each voxel that holds ``min_points`` or more."""
     keys = voxel_keys(size)

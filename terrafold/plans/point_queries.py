@@ -53,6 +53,11 @@ def organized_mask(spark: SparkSession, d: str) -> DataFrame:
     return fl.organized(fl.with_removed_by(raw_points(spark, d), fl.removal_stages(_STAGES))).select("pid", "frame", *XYZ, "intensity", "kept")
 
 
+@query(f"WITH {RAW}, m AS (SELECT *, {_REMOVED} AS r FROM fin) SELECT frame, bool_and(r IS NULL) AS organized_dense, count(*) FILTER (r IS NULL) AS filtered_width, bool_and(r IS NOT NULL OR ok) AS filtered_dense FROM m GROUP BY frame")
+def frame_density(spark: SparkSession, d: str) -> DataFrame:
+    return fl.frame_density(fl.with_removed_by(raw_points(spark, d), fl.removal_stages(_STAGES)))
+
+
 _KEYS = "CAST(floor(x / {s}) AS BIGINT) AS ix, CAST(floor(y / {s}) AS BIGINT) AS iy, CAST(floor(z / {s}) AS BIGINT) AS iz"
 
 

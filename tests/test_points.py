@@ -523,3 +523,17 @@ def test_suppression_is_greedy_in_long_chains(spark):
                 kept.append(r)
         want |= {(r[0], r[1]) for r in kept}
     assert {(r.image_id, r.det_idx) for r in camera.suppress(df).collect()} == want
+
+
+def test_upright_boxes_stand_along_any_direction(spark):
+    rng = np.random.default_rng(41)
+    corners = np.array([(x, y, z) for x in (-2, 2) for y in (-0.5, 0.5) for z in (-1.5, 1.5)])
+    p = np.vstack([corners, rng.uniform(-1, 1, (100, 3)) * [2, 0.5, 1.5]])
+    turn = registration.small_motion(np.array([0.7, -0.4, 0.5, 3.0, 1.0, -2.0]))
+    c = frame(spark, (p @ turn[:3, :3].T + turn[:3, 3]).tolist()).withColumn("cluster_id", F.lit(0))
+    up = tuple((2.5 * turn[:3, 2]).tolist())
+    box = clusters.boxes(c, "upright", up=up).first()
+    assert np.allclose(sorted(box.extent), [1, 3, 4], atol=1e-6) and abs(box.extent[2] - 3) < 1e-6 and np.allclose(box.center, turn[:3, 3], atol=1e-6)
+    r = np.array(box.rotation)
+    assert np.allclose(r @ r.T, np.eye(3)) and np.linalg.det(r) > 0 and np.allclose(r[:, 2], turn[:3, 2])
+    assert clusters.boxes(c, "upright").first().volume > box.volume
