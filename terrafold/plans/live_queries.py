@@ -53,7 +53,7 @@ _FADED = _evidence_sql("c * exp(-(t1 - stamp_us) / 1e6 / 31536000.0)", "0.001 *
 
 @query(f"SELECT *, CAST(0 AS BIGINT) AS late FROM ({_FADED})")
 def streaming_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence of observations out of order by up to two batches: held back until final, none too late. After the third batch the stream ends and starts again."""
+    """Evidence of observations out of order by up to two batches, none too late. After the third batch the stream ends and starts again."""
     seen = observations(spark, d)
     path, rows, place = (scratch_path(spark, n) for n in ("replay", "rows", "stream"))
     at, found = _by_month(seen), None
@@ -97,9 +97,10 @@ def streaming_every_nth(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_LATE} SELECT r.user_id, r.seq, o.value AS latest FROM (SELECT * FROM l WHERE topic = 'click' AND NOT late) r ASOF LEFT JOIN (SELECT * FROM l WHERE topic = 'view' AND NOT late) o ON r.user_id = o.user_id AND r.seq >= o.seq""")
 def streaming_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Each click with its user's view before it by number, whatever their stamps."""
     stream, delay = _late_events(spark, d)
     s = stream.withColumn("side", F.col("topic") == "view").filter(F.col("topic").isNull() | F.col("topic").isin("click", "view"))
-    return maps.collected(maps.with_latest(s, "user_id", "seq", "side", "value", "stamp_us", delay), "update").drop("batch")
+    return maps.collected(maps.with_latest(s, "user_id", "seq", "side", "value", "stamp_us", delay, by_order=True), "update").drop("batch")
 
 
 @query(f"SELECT event_id AS seq, user_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {_BATCH} DESC, event_id DESC) <= 20")

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from terrafold.functions.geometry import voxel_keys
 from terrafold.operators.semantic_map import is_evidence
-from terrafold.session import cut, scratch_path
+from terrafold.session import scratch_path
 from terrafold.streaming import keyed
 
+#: Rows of a file of a replayed batch, about.
+FILE_ROWS = 500_000
+
 
 def arriving(spark: SparkSession, folder: str, name: str, files: int = 8) -> DataFrame:
     """A stream of the files of a table, at most so many a batch."""
@@ -20,14 +25,18 @@ def arriving(spark: SparkSession, folder: str, name: str, files: int = 8) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}.parquet*")
 
 
-def replayed(rows: DataFrame, batch: Column, batches: int, path: str | None = None, stamp: str | None = None, files: int = 4) -> DataFrame:
+def replayed(rows: DataFrame, batch: Column, batches: int, path: str | None = None, stamp: str | None = None) -> DataFrame:
     """A stream that brings ``rows`` as ``batch`` (from 0) tells, in files below ``path``, and with ``stamp`` a last row that ends it (see ``keyed.END_US``).
 
-    A batch is written as ``files`` files and read as as many; one of fewer rows than files comes together with rows of the next.
+    A batch is written as so many files, by the number of all rows, and read as as many; one of fewer rows than files comes together with rows of the next.
     """
     spark = rows.sparkSession
     path = path or scratch_path(spark, "replay")
-    dealt = cut(rows.withColumn("__batch", batch))
+    # Written once by batch, so that each batch is read once.
+    dealt = scratch_path(spark, "dealt")
+    rows.withColumn("__batch", batch.cast("int")).write.partitionBy("__batch").parquet(dealt)
+    dealt = spark.read.schema(StructType([*rows.schema.fields, StructField("__batch", IntegerType())])).parquet(dealt)
+    files = max(4, math.ceil(dealt.count() / batches / FILE_ROWS))
     for i in range(batches):
         dealt.filter(F.col("__batch") == i).drop("__batch").repartition(files).write.mode("append").parquet(path)
     if stamp:
@@ -89,30 +98,27 @@ def bounded(stream: DataFrame, n: int, by: str, order: str) -> DataFrame:
     The state of a key is a ring of chunks in RocksDB; what is left in it when the stream has been read is taken from the state itself.
     """
     spark = stream.sparkSession
-    kinds = {f.name: f.dataType.simpleString().replace("bigint", "long") for f in stream.schema.fields}
-    fields = [c for c in stream.columns if c != by]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
     place = scratch_path(spark, "stream")
-    fold = keyed.RingFold(fields, [kinds[f] for f in fields], [order], None, n=n)
-    drain(keyed.grouped(stream, [by], fold, f"{by} {kinds[by]}, kept long, first long", False), "update", lambda df, batch: df.write.format("noop").mode("overwrite").save(), place)
+    fold = keyed.RingFold([by], [order], None, n=n)
+    drain(keyed.grouped(stream, fold, "held long", False), "update", lambda df, batch: df.write.format("noop").mode("overwrite").save(), place)
     chunks = spark.read.format("statestore").option("stateVarName", "chunks").load(place)
-    rows = chunks.select(F.col(f"key.{by}").alias(by), F.col("user_map_key.at").alias("at"), F.posexplode(F.arrays_zip(*[F.col(f"user_map_value.{f}") for f in fields])).alias("place", "row"))
-    # The oldest chunk reaches further back than n rows.
-    ahead = Window.partitionBy(by).orderBy(F.desc("at"))
-    sizes = chunks.select(F.col(f"key.{by}").alias(by), F.col("user_map_key.at").alias("at"), F.size(f"user_map_value.{fields[0]}").alias("size"))
-    sizes = sizes.withColumn("newer", F.sum("size").over(ahead) - F.col("size"))
-    kept = rows.join(sizes, [by, "at"]).filter(F.col("newer") + F.col("size") - F.col("place") <= n)
-    return kept.select(by, *[F.col(f"row.{f}").alias(f) for f in fields]).select(*stream.columns)
+    rows = keyed.unpacked(chunks.select(F.col("user_map_key.at").alias("at"), F.col("user_map_value.rows").alias("rows")), kinds)
+    # The oldest chunks reach further back than n rows.
+    newest = Window.partitionBy(by).orderBy(F.desc("at"), F.desc("place"))
+    return rows.withColumn("__age", F.row_number().over(newest)).filter(F.col("__age") <= n).select(*stream.columns)
 
 
 def evidence_stream(observations: DataFrame, size: float, classes: int = 20, prior: float = 0.001, tau: float = 0.0, delay: str | None = None) -> DataFrame:
-    """A voxel's class whenever its evidence changes, and how many of its observations came too ``late``. The state of a voxel is bounded by the number of classes, and with a ``delay`` by what that time brings.
+    """A voxel's class whenever its evidence changes, and how many of its observations came too ``late``. The state of a voxel is bounded by the number of classes; with a ``delay``, what comes further behind the newest stamp is late.
 
-    With a delay observations wait until the watermark has passed them. Fading has a closed form, so what a voxel comes to
-    does not depend on the order of those that are taken: the table form, ``evidence_map``, gives the same.
+    Fading has a closed form, so what a voxel comes to
+    does not depend on the order of those that are taken, and none waits for others: the table form, ``evidence_map``, gives the same.
     """
-    fold = keyed.EvidenceFold(classes, prior, tau, delay is not None)
+    by = ["ix", "iy", "iz"]
+    fold = keyed.EvidenceFold(by, classes, prior, tau, delay is not None)
     rows = keyed.timed(observations, "stamp_us", delay, is_evidence(classes)).select(*voxel_keys(size), "class_id", F.least("confidence", F.lit(1.0)).alias("confidence"), "z", "stamp_us")
-    return keyed.grouped(rows, ["ix", "iy", "iz"], fold, keyed.EVIDENCE, delay is not None)
+    return keyed.grouped(rows, fold, keyed.EVIDENCE, delay is not None)
 
 
 def latest(rows: DataFrame, *key: str) -> DataFrame:
@@ -127,23 +133,26 @@ def latest(rows: DataFrame, *key: str) -> DataFrame:
 def with_previous(stream: DataFrame, by: str, order: str, value: str, stamp: str | None = None, delay: str | None = None) -> DataFrame:
     """by, order, value (a number), those of the row of its key before it, ``previous`` and ``previous_value`` (the first row of a key has none), and whether it came too ``late`` to be told."""
     out = f"{by} long, {order} long, {value} double, previous long, previous_value double, late boolean"
-    return _in_order(stream, by, keyed.PreviousFold, [(order, "long"), (value, "double")], order, stamp, delay, out)
+    return _in_order(stream, by, keyed.PreviousFold, [(order, "long"), (value, "double")], [order], stamp, delay, out)
 
 
 def every_nth_arrival(stream: DataFrame, n: int, by: str, order: str, stamp: str | None = None, delay: str | None = None) -> DataFrame:
     """by, order, received: the first row of each key and every n-th after it; late rows do not count."""
-    return _in_order(stream, by, keyed.EveryNthFold, [(order, "long")], order, stamp, delay, f"{by} long, {order} long, received long", n=n)
+    return _in_order(stream, by, keyed.EveryNthFold, [(order, "long")], [order], stamp, delay, f"{by} long, {order} long, received long", n=n)
+
 
+def with_latest(stream: DataFrame, by: str, order: str, is_side: str, value: str, stamp: str | None = None, delay: str | None = None, by_order: bool = False) -> DataFrame:
+    """by, order, latest: the rows of a stream that are not of the side input (``is_side``), each with the value of the side row of its key that came last before it, by ``stamp`` and order.
 
-def with_latest(stream: DataFrame, by: str, order: str, is_side: str, value: str, stamp: str | None = None, delay: str | None = None) -> DataFrame:
-    """by, order, latest: the rows of a stream that are not of the side input (``is_side``), each with the value of the side row of its key that came last before it."""
-    return _in_order(stream, by, keyed.LatestFold, [(order, "long"), (is_side, "boolean"), (value, "double")], order, stamp, delay, f"{by} long, {order} long, latest double")
+    ``by_order``: by order alone, which stamps need not follow. No watermark then tells that a row can have no other before it, so rows that are not late wait in the state for the stream's end.
+    """
+    return _in_order(stream, by, keyed.LatestFold, [(order, "long"), (is_side, "boolean"), (value, "double")], [order, "__after"], stamp, delay, f"{by} long, {order} long, latest double", by_order)
 
 
-def _in_order(stream: DataFrame, by: str, fold: type, fields: list[tuple[str, str]], order: str, stamp: str | None, delay: str | None, out: str, **more) -> DataFrame:
+def _in_order(stream: DataFrame, by: str, fold: type, fields: list[tuple[str, str]], order: list[str], stamp: str | None, delay: str | None, out: str, by_order: bool = False, **more) -> DataFrame:
     """``stamp`` (microseconds) and ``delay`` tell how long rows are waited for; without them the batches themselves must be in order."""
     if delay is not None and stamp not in [f for f, _ in fields]:
         fields = [*fields, (stamp, "long")]
-    names = [f for f, _ in fields]
-    rows = stream.select(by, *names) if delay is None else keyed.timed(stream, stamp, delay).select(by, *names)
-    return keyed.grouped(rows, [by], fold(names, [k for _, k in fields], [stamp, order] if delay else [order], stamp if delay else None, **more), out, delay is not None)
+    rows = (stream if delay is None else keyed.timed(stream, stamp, delay)).select(F.col(by).cast("long"), *[F.col(f).cast(k) for f, k in fields])
+    timed = delay is not None
+    return keyed.grouped(rows, fold([by], [stamp, *order] if timed and not by_order else order, stamp if timed else None, by_order and timed, **more), out, timed)

@@ -83,3 +83,35 @@ def test_versions_of_a_map(spark):
     assert touched == 1 and as_dict() == before
     store.vacuum(2)
     assert as_dict() == before
+
+
+def test_latest_goes_by_number_where_stamps_start_again(spark, tmp_path):
+    """Events of one user from two recorders, numbered on, with the same stamps: the SQL's order is the number."""
+    import datetime
+
+    import duckdb
+
+    import __spark_entry__
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(100 * r + i, at + datetime.timedelta(hours=i), None if i % 13 == 5 else 1, ("view", "click")[i % 2], float(r * 100 + i)) for r in range(2) for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.user_id or 0, r.seq, r.latest) for r in __spark_entry__.queries()["streaming_latest"](spark, str(tmp_path)).collect())
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted((u or 0, s, v) for u, s, v in duckdb.sql(f"SELECT user_id, seq, latest FROM ({__spark_entry__.oracle_sql()['streaming_latest']})").fetchall())
+    assert got == want and len(want) > 20
+
+
+def test_keys_are_folded_by_buckets(spark):
+    """Many keys make few calls to the state: as many pieces reach it as buckets, whatever the number of keys."""
+    rows = spark.range(5000).selectExpr("id AS user_id", "id AS seq", "1.0D AS value", "id AS stamp_us").coalesce(1)
+    dealt = rows.select((F.col("user_id") % keyed.BUCKETS).cast("int").alias("bucket"), *rows.columns)
+    assert dealt.mapInArrow(keyed._packed, "bucket int, rows binary").count() == keyed.BUCKETS
+
+
+def test_a_ring_is_packed_anew_when_it_has_doubled(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "RING_ROWS", 4)
+    parts = [[(u, 10 * b + i, None, 0) for u in (1, None) for i in range(5)] for b in range(4)]
+    got = maps.bounded(batches(spark, *parts, end=False).select("user_id", "seq", "value"), 7, "user_id", "seq").collect()
+    for u in (1, None):
+        assert sorted(r.seq for r in got if r.user_id == u) == [23, 24, 30, 31, 32, 33, 34]
