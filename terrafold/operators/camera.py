@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from terrafold.session import cut, ship_package
 
 #: Pixels of a tile's side.
 TILE = 64
+#: Boxes whose tiles are painted together: as many tiles at most, of 32 KB each.
+TILES = 1024
 
 
 def pixel(c: str) -> Column:
@@ -102,49 +105,110 @@ def _in_tiles(boxes: DataFrame) -> DataFrame:
     return boxes.filter("w > 0 AND h > 0").withColumn("tx", over("x", "w")).withColumn("ty", over("y", "h"))
 
 
-def class_map(boxes: DataFrame, by: str = "image_id") -> DataFrame:
-    """(image, v, u, class_id, confidence) of all pixels that boxes cover: the most confident wins, the earlier of equals. A null image is one like others.
+#: Pixels that are painted together, about.
+PAINTED = 1 << 20
+
+
+def _painted(by: str):
+    """A task's tiles, each with its boxes in the order in which they are painted, as pixels; see ``class_map``."""
+    names = [by, "v", "u", "class_id", "confidence"]
+
+    def spread(size: np.ndarray) -> np.ndarray:
+        """0, 1, ... up to each of the sizes."""
+        return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+    def some(rows: pa.Table, held: dict | None) -> tuple[pa.RecordBatch | None, dict]:
+        """The pixels of all tiles but the last, which more rows can belong to: that one is ``held`` as it is painted so far."""
+        n = {c: np.asarray(rows[c]) for c in ("tx", "ty", "x", "y", "w", "h")}
+        image = rows[by].combine_chunks()
+        code = np.asarray(pc.fill_null(pc.dictionary_encode(image).indices, -1))
+        new = np.r_[True, (code[1:] != code[:-1]) | (n["tx"][1:] != n["tx"][:-1]) | (n["ty"][1:] != n["ty"][:-1])]
+        tile = np.cumsum(new) - 1
+        begin = np.flatnonzero(new)
+        key = lambda at: (image[int(at)].as_py(), int(n["tx"][at]), int(n["ty"][at]))
+        goes_on = held is not None and held["key"] == key(0)
+        if held is not None and not goes_on:  # a tile of its own ahead of the others
+            tile = tile + 1
+        tiles = int(tile[-1]) + 1
+        top = np.full((tiles, TILE * TILE), -1, np.int64)
+        if held is not None:
+            top[0, held["at"]] = np.arange(len(held["at"]))
+        kept = 0 if held is None else len(held["at"])
+        x0, y0 = np.maximum(0, n["x"] - n["tx"] * TILE), np.maximum(0, n["y"] - n["ty"] * TILE)
+        wide, high = np.minimum(TILE, n["x"] + n["w"] - n["tx"] * TILE) - x0, np.minimum(TILE, n["y"] + n["h"] - n["ty"] * TILE) - y0
+        area = wide * high
+        cut_ = np.r_[0, np.flatnonzero(np.diff(np.cumsum(area) // PAINTED)) + 1, len(area)]
+        for a, z in zip(cut_[:-1].tolist(), cut_[1:].tolist(), strict=True):
+            line = np.repeat(np.arange(a, z), high[a:z])
+            row = y0[line] + spread(high[a:z])
+            of = np.repeat(np.arange(len(line)), wide[line])
+            u = x0[line[of]] + spread(wide[line])
+            top[tile[line[of]], row[of] * TILE + u] = kept + line[of]  # of places painted more than once the last one stays
+        values = {}
+        for c in ("class_id", "confidence"):
+            own = rows[c].combine_chunks()
+            values[c] = own if held is None else pa.concat_arrays([held[c], own])
+        last = np.flatnonzero(top[-1] >= 0)
+        from_ = pa.array(top[-1, last])
+        at_end = {"key": key(len(code) - 1), "at": last} | {c: v.take(from_) for c, v in values.items()}
+        done = top[:-1]
+        if not len(done):
+            return None, at_end
+        t, place = np.nonzero(done >= 0)
+        won = pa.array(done[t, place])
+        first = begin if held is None or goes_on else np.r_[0, begin]
+        tx, ty = n["tx"][first].copy(), n["ty"][first].copy()
+        images = image.take(pa.array(first))
+        if held is not None:
+            tx[0], ty[0] = held["key"][1:]
+            images = pa.concat_arrays([pa.array([held["key"][0]], images.type), images.slice(1)])
+        v, u = ty[t] * TILE + place // TILE, tx[t] * TILE + place % TILE
+        return pa.RecordBatch.from_arrays([images.take(pa.array(t)), pa.array(v.astype(np.int32)), pa.array(u.astype(np.int32)), values["class_id"].take(won), values["confidence"].take(won)], names=names), at_end
 
-    Only boxes are shuffled, to the tiles that they touch: those of a tile are painted one over the other as they come, the winner last.
-    """
-    ship_package(boxes.sparkSession)
-    kept = _in_tiles(boxes.select(by, "det_idx", "class_id", "confidence", "x", "y", "w", "h"))
+    def painted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, schema = None, None
+        for batch in batches:
+            for i in range(0, batch.num_rows, TILES):
+                schema = batch.schema
+                out, held = some(pa.Table.from_batches([batch.slice(i, TILES)]), held)
+                if out is not None:
+                    yield out
+        if held is not None:
+            image, tx, ty = held["key"]
+            place = lambda v: pa.array(v.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([image], schema.field(by).type).take(pa.array(np.zeros(len(held["at"]), np.int64))), place(ty * TILE + held["at"] // TILE), place(tx * TILE + held["at"] % TILE), held["class_id"], held["confidence"]], names=names)
+
+    return painted
+
+
+def _paint(kept: DataFrame, by: str) -> DataFrame:
+    ship_package(kept.sparkSession)
     kind = lambda c: kept.schema[c].dataType.simpleString()
+    dealt = kept.repartition(by, "tx", "ty").sortWithinPartitions(by, "tx", "ty", F.asc("confidence"), F.asc("order"))
+    return dealt.mapInArrow(_painted(by), f"{by} {kind(by)}, v int, u int, class_id {kind('class_id')}, confidence {kind('confidence')}")
 
-    def painted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen, names = None, np.zeros((TILE, TILE), bool), [by, "v", "u", "class_id", "confidence"]
-        won, sure = np.zeros((TILE, TILE), np.int64), np.zeros((TILE, TILE))
-        kinds: list[pa.DataType] = []
 
-        def tile() -> pa.RecordBatch:
-            v, u = np.nonzero(seen)
-            place = lambda at, of: pa.array((at + now[of] * TILE).astype(np.int32))
-            image = pa.nulls(len(v), kinds[0]) if now[0] is None else pa.repeat(pa.scalar(now[0], kinds[0]), len(v))
-            return pa.RecordBatch.from_arrays([image, place(v, 2), place(u, 1), pa.array(won[v, u]).cast(kinds[1]), pa.array(sure[v, u]).cast(kinds[2])], names=names)
+def class_map(boxes: DataFrame, by: str = "image_id") -> DataFrame:
+    """(image, v, u, class_id, confidence) of all pixels that boxes cover: the most confident wins, the earlier of equals. A null image is one like others.
 
-        for batch in batches:
-            kinds = [batch.schema.field(c).type for c in (by, "class_id", "confidence")]
-            for image, tx, ty, c, k, x, y, w, h in zip(*(batch.column(n).to_pylist() for n in (by, "tx", "ty", "class_id", "confidence", "x", "y", "w", "h")), strict=True):
-                if (image, tx, ty) != now:
-                    if now is not None:
-                        yield tile()
-                    now = (image, tx, ty)
-                    seen[:] = False
-                at = slice(max(0, y - ty * TILE), y + h - ty * TILE), slice(max(0, x - tx * TILE), x + w - tx * TILE)
-                seen[at], won[at], sure[at] = True, c, k
-        if now is not None:
-            yield tile()
-
-    dealt = kept.repartition(by, "tx", "ty").sortWithinPartitions(by, "tx", "ty", F.asc("confidence"), F.desc("det_idx"))
-    return dealt.mapInArrow(painted, f"{by} {kind(by)}, v int, u int, class_id {kind('class_id')}, confidence {kind('confidence')}")
+    Only boxes are shuffled, to the tiles that they touch: those of a tile are painted one over the other as they come, the winner last, the tiles
+    of some thousand boxes at once.
+    """
+    kept = _in_tiles(boxes.select(by, "det_idx", "class_id", "confidence", "x", "y", "w", "h"))
+    return _paint(kept.withColumn("order", -F.col("det_idx")), by)
 
 
 def masked_class_map(boxes: DataFrame, masks: DataFrame, by: str = "image_id") -> DataFrame:
-    """As ``class_map``, where a mask (image, det_idx, v, u, weight) overwrites with confidence * weight, if strictly greater."""
-    flat = class_map(boxes, by).withColumn("order", F.lit(1))
-    weighted = masks.join(boxes.select(by, "det_idx", "class_id", "confidence"), [by, "det_idx"]).select(by, "v", "u", "class_id", (F.col("confidence") * F.col("weight")).alias("confidence"), (-F.col("det_idx") - 1).alias("order"))
-    both = flat.unionByName(weighted)
-    return both.groupBy(by, "v", "u").agg(F.max_by(F.struct("class_id", "confidence"), F.struct("confidence", "order")).alias("b")).select(by, "v", "u", "b.*")
+    """As ``class_map``, where a mask (image, det_idx, v, u, weight) overwrites with confidence * weight, if strictly greater.
+
+    A mask's pixel is a box of one pixel behind all boxes, and painted like them: what is shuffled is boxes and masks, no painted pixel.
+    """
+    flat = boxes.select(by, "det_idx", "class_id", "confidence", "x", "y", "w", "h").withColumn("order", F.lit(0).cast("long"))
+    one = F.lit(1)
+    weighted = masks.join(boxes.select(by, "det_idx", "class_id", "confidence"), [by, "det_idx"]).select(by, "det_idx", "class_id", (F.col("confidence") * F.col("weight")).alias("confidence"), F.col("u").alias("x"), F.col("v").alias("y"), one.alias("w"), one.alias("h"), F.lit(-1).cast("long").alias("order"))
+    # Of equals boxes stay ahead of masks, and of either the earlier.
+    both = _in_tiles(flat.unionByName(weighted)).withColumn("order", F.struct("order", -F.col("det_idx")))
+    return _paint(both, by)
 
 
 def iou_pairs(boxes: DataFrame, by: str = "image_id", least: float = 0.0) -> DataFrame:

@@ -537,3 +537,30 @@ def test_upright_boxes_stand_along_any_direction(spark):
     r = np.array(box.rotation)
     assert np.allclose(r @ r.T, np.eye(3)) and np.linalg.det(r) > 0 and np.allclose(r[:, 2], turn[:3, 2])
     assert clusters.boxes(c, "upright").first().volume > box.volume
+
+
+@pytest.mark.parametrize("tiles", [1, 3, 1024])
+def test_class_maps_are_those_of_plain_painting(spark, monkeypatch, tiles):
+    """Tiles that go over batches, several tiles of an image, ties of boxes and masks: pixel by pixel."""
+    monkeypatch.setattr(camera, "TILES", tiles)
+    rng = np.random.default_rng(23)
+    boxes = [(int(i) if i else None, k, int(rng.integers(0, 5)), float(rng.integers(1, 5)) / 4, *map(int, rng.integers(-10, 150, 2)), *map(int, rng.integers(0, 90, 2))) for k, i in enumerate(rng.integers(0, 4, 60))]
+    masks = [(b[0], b[1], b[5] + 1, b[4] + 2, 1.0 if b[1] % 2 else 1.25) for b in boxes if b[0] is not None]
+    plain, order = {}, {}
+    for i, k, c, s, x, y, w, h in boxes:
+        for v in range(y, y + h):
+            for u in range(x, x + w):
+                if order.get((i, v, u), (-1,)) < (s, 1, -k):
+                    order[i, v, u], plain[i, v, u] = (s, 1, -k), (c, s)
+    df = spark.createDataFrame(boxes, "image_id long, det_idx long, class_id int, confidence double, x int, y int, w int, h int")
+    got = [tuple(r) for r in camera.class_map(df).collect()]
+    assert len(got) == len(plain) and {g[:3]: g[3:] for g in got} == plain
+    by_id = {(b[0], b[1]): b for b in boxes}
+    for i, k, v, u, weight in masks:
+        s = by_id[i, k][3] * weight
+        if order.get((i, v, u), (-1,)) < (s, 0, -k):
+            order[i, v, u], plain[i, v, u] = (s, 0, -k), (by_id[i, k][2], s)
+    found = camera.masked_class_map(df, spark.createDataFrame(masks, "image_id long, det_idx long, v int, u int, weight double"))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(plain) and {g[:3]: g[3:] for g in got} == plain
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
