@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from terrafold.llm.arrow_map import map_texts
-from terrafold.llm.simhash_index import links, links_across
+from terrafold.llm.simhash_index import links
 from terrafold.operators.components import connected_components
 from terrafold.session import cut, ship_package
 
@@ -29,6 +29,8 @@ SHINGLE, SIMILARITY, LANES, DISTANCE = 5, 0.8, 8, 8
 APART = 110
 #: Pairs that are held against their sets together, about.
 PAIRS = 4096
+#: Texts, and shingles of all of them, of a tile, about: those of two tiles are held against each other in one task.
+TILE_TEXTS, TILE_SHINGLES = 2048, 1_000_000
 #: Shingles that are counted together.
 CODES = 16_384
 
@@ -135,8 +137,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         good = []
         for a, b in zip(some["a"].to_pylist(), some["b"].to_pylist(), strict=True):
             x, y = sets.get(a), sets.get(b)
-            common = 0 if x is None or y is None else len(np.intersect1d(x, y, assume_unique=True))
-            good.append(x is not None and y is not None and common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9)
+            good.append(x is not None and y is not None and alike(x, y))
         return some.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return dealt.groupBy("ga", "gb").cogroup(needed.groupBy("ka", "kb")).applyInArrow(held, "a long, b long")
@@ -147,7 +148,7 @@ def groups(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
     First each text is held against the candidate that it meets most often, either way, then all pairs of ``met`` that this has neither linked nor
     refused. These connect what the index links, but where one is refused others can be left out that hold: where
-    texts that the index connects are still in several groups, all its pairs between these groups are held against the sets.
+    texts that the index connects are still in several groups, all candidate pairs between these groups are held against the sets: see ``joining``.
     """
     texts = cut(rows.groupBy("key").agg(F.first("n").alias("n"), F.first("prints").alias("prints")))
     meets = cut(met(texts))
@@ -165,16 +166,89 @@ def groups(rows: DataFrame, docs: DataFrame) -> DataFrame:
     connected = connected_components(meets, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("whole"))
     placed = cut(connected.join(found.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "whole", F.coalesce("component", "key").alias("of")))
     several = placed.groupBy("whole").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count("*").alias("n")).filter("x <> y AND n > 2").select("whole")
-    again = cut(texts.join(placed.join(several, "whole", "left_semi").select("key", "of"), "key"))
+    again = cut(texts.join(placed.join(several, "whole", "left_semi"), "key"))
     if again.isEmpty():
         return found
-    across = links_across(again.select("key", "of", F.posexplode("prints").alias("lane", "fp")).select("lane", "fp", F.col("key").alias("node"), "of"), DISTANCE)
-    across = across.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    left = cut(of_like_size(across, texts).join(tried.unionByName(rest), ["a", "b"], "left_anti"))
-    last = cut(verified(left, held))
+    last = cut(joining(again, held))
     return found if last.isEmpty() else connected_components(edges.unionByName(last), "a", "b")
 
 
+def likely(prints: np.ndarray, n: np.ndarray, of: np.ndarray, other: slice, rows: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of the candidates between texts in ``rows`` and those in ``other``, the most alike first: of different groups, linked in one lane, and no further apart than ``of_like_size`` allows."""
+    apart, least = np.zeros((rows.stop - rows.start, other.stop - other.start), np.uint16), np.uint8(255)
+    for lane in range(LANES):
+        bits = np.bitwise_count(prints[rows, lane][:, None] ^ prints[other, lane])
+        apart += bits
+        least = np.minimum(least, bits)
+    x, y = n[rows][:, None], n[other]
+    good = (least <= DISTANCE) & (apart <= APART) & (of[rows][:, None] != of[other]) & (np.minimum(x, y) >= SIMILARITY * np.maximum(x, y) - 1e-9)
+    a, b = np.nonzero(good)
+    order = np.argsort(apart[a, b], kind="stable")
+    return a[order] + rows.start, b[order] + other.start
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9
+
+
+def joining(again: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys that have the similarity and join all groups that any candidate pair joins: ``again`` (key, n, prints, whole, of), ``held`` (key, text).
+
+    Candidates are tested where they meet, and only those that join two groups not yet joined there become rows. Texts that the index connects (``whole``) are one tile, or, if they are many,
+    several, each pair of which meets in a task, so a task holds a bounded number of texts and no family meets in one. Few go many to a task.
+    """
+    ship_package(again.sparkSession)
+    tiles = F.ceil(F.greatest(F.count("*") / TILE_TEXTS, F.sum("n") / TILE_SHINGLES)).cast("int")
+    # At most one row for each tile's worth of texts.
+    large = F.broadcast(cut(again.groupBy("whole").agg(tiles.alias("tiles")).filter("tiles > 1")))
+    lots = max(1, math.ceil(again.agg(F.greatest(F.count("*") / TILE_TEXTS, F.sum("n") / TILE_SHINGLES)).first()[0]))
+    t = F.pmod(F.xxhash64("key", F.lit(1)), F.col("tiles")).cast("int")
+    pairs_of = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: F.struct(F.least(i, "tile").alias("i"), F.greatest(i, "tile").alias("j")))
+    placed = again.join(large, "whole", "left").withColumn("tile", F.coalesce(t, F.lit(0)))
+    placed = placed.withColumn("lot", F.when(F.col("tiles").isNull(), F.pmod(F.xxhash64("whole"), F.lit(lots))).otherwise(F.col("whole")))
+    placed = placed.join(held, "key").withColumn("p", F.explode(F.when(F.col("tiles").isNull(), F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(pairs_of)))
+
+    def met(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("whole", "ascending"), ("tile", "ascending"), ("key", "ascending")]).combine_chunks()
+        keys, whole, tile, of, n = (np.asarray(table[c]) for c in ("key", "whole", "tile", "of", "n"))
+        prints = np.asarray(table["prints"].combine_chunks().flatten()).view(np.uint64).reshape(-1, LANES)
+        texts, sets = table["text"].combine_chunks(), {}
+        names, groups_ = np.unique(of, return_inverse=True)
+        top = list(range(len(names)))
+
+        def root(i: int) -> int:
+            while top[i] != i:
+                top[i] = top[top[i]]
+                i = top[i]
+            return i
+
+        def codes(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = hashed(texts[i].as_py())
+            return sets[i]
+
+        out: list[tuple[int, int]] = []
+        crossed = table["i"][0] != table["j"][0]
+        begin = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(whole)], strict=True):
+            middle = int(np.searchsorted(tile[lo:hi], tile[lo], "right")) + lo if crossed else hi
+            if crossed and middle == hi:  # one of the two tiles is empty
+                continue
+            for at in range(lo, middle, 256):
+                rows = slice(at, min(at + 256, middle))
+                a, b = likely(prints, n, of, slice(middle, hi) if crossed else slice(at, hi), rows)
+                for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                    if i < j and (x := root(groups_[i])) != (y := root(groups_[j])) and alike(codes(i), codes(j)):
+                        top[max(x, y)] = min(x, y)
+                        out.append((i, j))
+        found = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(keys[found[:, 0]], pa.int64()), "b": pa.array(keys[found[:, 1]], pa.int64())})
+
+    rows = placed.select("lot", "p.i", "p.j", "whole", "tile", "key", "of", "n", "prints", "text")
+    return rows.groupBy("lot", "i", "j").applyInArrow(met, "a long, b long")
+
+
 def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs (a, b) of different groups."""
     of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))

@@ -202,22 +202,8 @@ def links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return ranges_of(points, distance).groupBy("lane", "turn", "range").applyInArrow(linked, "src long, dst long")
 
 
-def links_across(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """All pairs (src, dst) of ``node`` values of a table (lane, fp, node, of) whose fingerprints of one lane lie within the distance and whose groups ``of`` differ; a pair can come more than once."""
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        codes, nodes, of = np.asarray(table["code"]).view(np.uint64), np.asarray(table["node"]), np.asarray(table["of"])
-        order = np.argsort(gray_rank(codes), kind="stable")
-        nodes = nodes[order]
-        for a, b in pairs_across(codes[order], of[order], shares(table["turn"][0].as_py(), distance)):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[a], pa.int64()), pa.array(nodes[b], pa.int64())], names=["src", "dst"])
-
-    return ranges_of(points, distance).groupBy("lane", "turn", "range").applyInArrow(linked, "src long, dst long")
-
-
 def ranges_of(points: DataFrame, distance: int) -> DataFrame:
-    """lane, turn, range, code, node (and ``of``) of a table (lane, fp, node): its fingerprints turned so that each block comes first, in ranges of about RANGE_ROWS in which linked ones meet.
+    """lane, turn, range, code, node of a table (lane, fp, node): its fingerprints turned so that each block comes first, in ranges of about RANGE_ROWS in which linked ones meet.
 
     A first block with more than BLOCK_ROWS codes is dealt by its second one: a code then goes to its own
     second block and to those that lack one of its bits, so that two which differ in one bit there meet once.
@@ -226,8 +212,7 @@ def ranges_of(points: DataFrame, distance: int) -> DataFrame:
     edges, b = block_edges(distance), distance + 1
     width = [edges[t + 1] - edges[t] for t in range(b)]
     turns = F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), _turned(F.col("fp"), edges[t]).alias("code")) for t in range(b)])).alias("t")
-    more = [c for c in points.columns if c == "of"]
-    rows = points.select("lane", "node", *more, turns).select("lane", "node", *more, "t.turn", "t.code")
+    rows = points.select("lane", "node", turns).select("lane", "node", "t.turn", "t.code")
     of_turn = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("turn") + 1)
     rows = rows.withColumn("first", F.expr(f"shiftrightunsigned(code, 64 - element_at(array({', '.join(map(str, width))}), turn + 1))"))
     # Ranges of first blocks in Gray order: as many rows as blocks, turns and lanes have values, at any size of the table.
@@ -239,7 +224,7 @@ def ranges_of(points: DataFrame, distance: int) -> DataFrame:
     ranges = sizes.withColumn("gray", gray).select("lane", "turn", "first", F.floor(before / RANGE_ROWS).cast("long").alias("range"), F.when(F.col("n") > BLOCK_ROWS, F.ceil(F.col("n") * 8 / BLOCK_ROWS)).alias("parts"))
     placed = rows.join(F.broadcast(ranges), ["lane", "turn", "first"])
     if sizes.filter(F.col("n") > BLOCK_ROWS).isEmpty():
-        dealt = placed.select("lane", "turn", "range", "code", "node", *more)
+        dealt = placed.select("lane", "turn", "range", "code", "node")
     else:
         second = F.expr(f"shiftrightunsigned(code, 64 - element_at(array({', '.join(str(width[t] + width[(t + 1) % b]) for t in range(b))}), turn + 1))")
         w2 = of_turn([width[(t + 1) % b] for t in range(b)])
@@ -247,8 +232,8 @@ def ranges_of(points: DataFrame, distance: int) -> DataFrame:
         lacking = F.filter(F.sequence(F.lit(0), w2 - 1), lambda i: F.col("second").bitwiseAND(bit(i)) != 0)
         meets = F.concat(F.array("second"), F.transform(lacking, lambda i: F.col("second") - bit(i)))
         many = placed.filter("parts IS NOT NULL").withColumn("second", second).withColumn("target", F.explode(meets))
-        many = many.select("lane", "turn", (-1 - F.pmod(F.xxhash64("target"), F.col("parts"))).cast("long").alias("range"), "code", "node", *more).distinct()
-        dealt = placed.filter("parts IS NULL").select("lane", "turn", "range", "code", "node", *more).unionByName(many)
+        many = many.select("lane", "turn", (-1 - F.pmod(F.xxhash64("target"), F.col("parts"))).cast("long").alias("range"), "code", "node").distinct()
+        dealt = placed.filter("parts IS NULL").select("lane", "turn", "range", "code", "node").unionByName(many)
     return dealt
 
 

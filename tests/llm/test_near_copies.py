@@ -117,3 +117,31 @@ def test_all_pairs_across_groups_are_found():
     got = {(min(i, j), max(i, j)) for a, b in ix.pairs_across(codes, of, limits) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
     want = {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if of[i] != of[j] and all(bin(int((codes[i] ^ codes[j]) & m)).count("1") <= most for m, most in limits)}
     assert got == want and len(want) > 100
+
+
+@pytest.mark.parametrize("most", [2048, 60])
+def test_groups_are_joined_without_a_row_for_each_pair(spark, monkeypatch, most):
+    """Two families, each text a group of its own: rows are fewer than texts in each task, and join what all candidate pairs join."""
+    from terrafold.operators.components import connected_components
+
+    monkeypatch.setattr(near_copies, "TILE_TEXTS", most)
+    rnd = random.Random(5)
+    texts, whole = [], []
+    for f, (size, changes) in enumerate([(200, 5), (40, 8)]):
+        base = [f"b{f}x{i}" for i in range(300)]
+        for _ in range(size):
+            w = list(base)
+            for i in rnd.sample(range(300), rnd.randint(1, changes)):
+                w[i] = f"z{rnd.randrange(10**7)}"
+            texts.append(" ".join(w))
+            whole.append(f)
+    sets = [near_copies.shingles(t) for t in texts]
+    prints = [near_copies.prints(s) for s in sets]
+    again = spark.createDataFrame([(i, len(s), p, w, i) for i, (s, p, w) in enumerate(zip(sets, prints, whole, strict=True))], "key long, n long, prints array<long>, whole long, of long")
+    got = near_copies.joining(again, spark.createDataFrame(list(enumerate(texts)), "key long, text string")).collect()
+    bits = lambda i, j: [bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(prints[i], prints[j], strict=True)]
+    want = [(i, j) for i in range(len(texts)) for j in range(i) if whole[i] == whole[j] and min(b := bits(i, j)) <= near_copies.DISTANCE and sum(b) <= near_copies.APART and similarity(sets[i], sets[j]) >= 0.8]
+    parts = lambda pairs: {(r.node, r.component) for r in connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert len(want) > 10_000 and parts([(r.a, r.b) for r in got]) == parts(want)
+    assert all(similarity(sets[r.a], sets[r.b]) >= 0.8 for r in got)
+    assert len(got) < len(texts) * (1 if most > 200 else 4)
