@@ -8,6 +8,7 @@ whose k-th neighbour lies further than their block reaches go to the other block
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from terrafold.functions.geometry import XYZ, all_finite
 from terrafold.session import cut, ship_package
@@ -22,6 +24,8 @@ from terrafold.session import cut, ship_package
 _AROUND = list(product((-1, 0, 1), repeat=3))
 #: Points of a block, about, and slabs along an axis at most (a power of two).
 BLOCK, SLABS = 16_384, 64
+#: Widths of cells that a search within a radius chooses from: the radius times 1, 2, 4 and so on.
+LEVELS = 8
 #: Points of a leaf, by which the points of a block are searched.
 LEAF = 64
 
@@ -41,6 +45,43 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float, by: tuple[
     return q.join(p, on).withColumn("d2", d2).filter(F.col("d2") <= radius * radius).drop(*[f"{s}_c{i}" for s in "qp" for i in range(3)])
 
 
+def nearest_finder(points: DataFrame, radius: float, by: tuple[str, ...] = ("frame",), key: str = "pid") -> Callable[[DataFrame], DataFrame]:
+    """A function of queries: the nearest of ``points`` within ``radius``, its end included, of each query that has any there (columns as of ``radius_join``), ties to the smaller id.
+
+    Points are dealt once, to cells of the radius times a power of two: the widest of which none holds more than BLOCK points, and to the cells beside theirs that a ball can
+    reach. A query goes to its own cell alone and comes back as one row, so the work does not grow with the pairs within the radius.
+    """
+    spark, axes = points.sparkSession, [f"c{i}" for i in range(3)]
+    ship_package(spark)
+    fine = lambda df: df.filter(all_finite()).withColumns({c: F.floor(F.col(x) / F.lit(radius)).cast("long") for c, x in zip(axes, XYZ, strict=True)})
+    given = fine(points)
+    counts = given.groupBy(*by, *axes).agg(F.count("*").alias("n")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(LEVELS)])))
+    wide = counts.groupBy("k", *by, *[F.expr(f"shiftright({c}, k)").alias(c) for c in axes]).agg(F.sum("n").alias("n")).groupBy("k").agg(F.max("n").alias("n"))
+    k = wide.filter(F.col("n") <= BLOCK).agg(F.max("k")).first()[0] or 0
+    dealt = given
+    for c in axes:
+        dealt = dealt.withColumn(c, F.explode(F.sequence(F.shiftright(F.col(c) - 1, k), F.shiftright(F.col(c) + 1, k))))
+    dealt = cut(dealt.select(*by, *axes, *[F.col(c).alias(f"p_{c}") for c in points.columns]))
+    theirs = dealt.columns[len(by) + 3 :]
+
+    def nearest(queries: DataFrame) -> DataFrame:
+        asked = fine(queries).withColumns({c: F.shiftright(c, k) for c in axes}).select(*by, *axes, *[F.col(c).alias(f"q_{c}") for c in queries.columns])
+        ours = asked.columns[len(by) + 3 :]
+
+        def met(q: pa.Table, p: pa.Table) -> pa.Table:
+            x, y = (np.column_stack([np.asarray(t[f"{s}_{c}"], float) for c in XYZ]) for t, s in ((q, "q"), (p, "p")))
+            rank = np.empty(len(y), np.int64)
+            rank[np.asarray(pc.sort_indices(p[f"p_{key}"]))] = np.arange(len(y))
+            a, b, d2 = nearest_rows(x, np.full(len(x), -1), y, rank, 1, np.full(len(x), radius * radius))
+            q, p = q.select(ours).take(pa.array(a)), p.select(theirs).take(pa.array(b))
+            return pa.table([*q.columns, *p.columns, pa.array(d2)], names=[*ours, *theirs, "d2"])
+
+        schema = StructType([*(asked.schema[c] for c in ours), *(dealt.schema[c] for c in theirs), StructField("d2", DoubleType())])
+        return asked.groupBy(*by, *axes).cogroup(dealt.groupBy(*by, *axes)).applyInArrow(met, schema)
+
+    return nearest
+
+
 def radius_count(queries: DataFrame, points: DataFrame, radius: float, key: str = "pid", by: tuple[str, ...] = ("frame",)) -> DataFrame:
     """key, n: how many points lie within the radius of each query that has any."""
     return radius_join(queries.select(key, *by, *XYZ), points.select(key, *by, *XYZ), radius, by).groupBy(F.col(f"q_{key}").alias(key)).agg(F.count("*").alias("n"))

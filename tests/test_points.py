@@ -564,3 +564,24 @@ def test_class_maps_are_those_of_plain_painting(spark, monkeypatch, tiles):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(plain) and {g[:3]: g[3:] for g in got} == plain
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_nearest_within_a_radius_is_that_of_all_pairs(spark):
+    from terrafold.operators import neighbors as nb
+
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(0, 0.2, (1500, 3)), rng.uniform(-3, 3, (300, 3)), [[0.5, 0.0, 0.0], [-0.5, 0.0, 0.0], [9.0, 9.0, 9.0]]])
+    rows = [(i, int(i % 2), *map(float, r)) for i, r in enumerate(x)] + [(5000, 0, float("nan"), 0.0, 0.0), (5001, 1, None, 0.0, 0.0)]
+    p = spark.createDataFrame(rows, "pid long, frame long, x double, y double, z double")
+    q = p.withColumn("pid", F.col("pid") + 10_000).withColumn("x", F.col("x") + 0.05).unionByName(spark.createDataFrame([(1, 0, 9.5, 9.0, 9.0), (2, 0, 9.6, 9.0, 9.0)], p.schema))
+    pairs = nb.radius_join(q, p, 0.5)
+    want = pairs.groupBy("q_pid").agg(F.min_by(F.struct("p_pid", "d2"), F.struct("d2", "p_pid")).alias("b")).select("q_pid", "b.*")
+    want = {(r.q_pid, r.p_pid, r.d2) for r in want.collect()}
+    assert pairs.count() > 100 * len(want) > 100_000
+    for block in (nb.BLOCK, 200, 10):
+        nb.BLOCK, was = block, nb.BLOCK
+        try:
+            got = nb.nearest_finder(p, 0.5)(q).select("q_pid", "p_pid", "d2").collect()
+        finally:
+            nb.BLOCK = was
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
