@@ -29,15 +29,17 @@ def replayed(rows: DataFrame, batch: Column, batches: int, path: str | None = No
     """A stream that brings ``rows`` as ``batch`` (from 0) tells, in files below ``path``, and with ``stamp`` a last row that ends it (see ``keyed.END_US``).
 
     A batch is written as so many files, by the number of all rows, and read as as many; one of fewer rows than files comes together with rows of the next.
+    Rows whose ``batch`` is null do not come, and a batch without rows has no file.
     """
     spark = rows.sparkSession
     path = path or scratch_path(spark, "replay")
     # Written once by batch, so that each batch is read once.
     dealt = scratch_path(spark, "dealt")
-    rows.withColumn("__batch", batch.cast("int")).write.partitionBy("__batch").parquet(dealt)
+    rows.withColumn("__batch", batch.cast("int")).filter(F.col("__batch").between(0, batches - 1)).write.partitionBy("__batch").parquet(dealt)
     dealt = spark.read.schema(StructType([*rows.schema.fields, StructField("__batch", IntegerType())])).parquet(dealt)
-    files = max(4, math.ceil(dealt.count() / batches / FILE_ROWS))
-    for i in range(batches):
+    sizes = {r["__batch"]: r["count"] for r in dealt.groupBy("__batch").count().collect()}  # a row a batch
+    files = max(4, math.ceil(sum(sizes.values()) / max(1, len(sizes)) / FILE_ROWS))
+    for i in sorted(sizes) or [0]:
         dealt.filter(F.col("__batch") == i).drop("__batch").repartition(files).write.mode("append").parquet(path)
     if stamp:
         last = [F.lit(keyed.END_US if f.name == stamp else None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
@@ -45,18 +47,36 @@ def replayed(rows: DataFrame, batch: Column, batches: int, path: str | None = No
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def state_partitions(spark: SparkSession) -> int:
+    """Partitions of a stream's state: two rounds of the cores at most, whatever number of partitions the session shuffles tables to.
+
+    Each batch opens, folds and commits the state of each partition, also where it has no rows, and a stream keeps the number it started with.
+    """
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(16, 2 * spark.sparkContext.defaultParallelism))
+
+
+def started(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """The stream that ``start`` starts, with ``state_partitions``: it takes the session's settings over when it starts, which are then as before."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions(spark)))
+    try:
+        return start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def drain(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
     """Runs a stream until what has arrived is read; batches go to ``write``, state and offsets to ``checkpoint``, a new place in the shared folder if not given.
 
     A stream that is run again with the checkpoint of an earlier run goes on where that ended.
     """
     place = checkpoint or scratch_path(stream.sparkSession, "stream")
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    started(stream.sparkSession, stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", place).trigger(availableNow=True).start).awaitTermination()
 
 
 def publish(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second", mode: str = "complete") -> StreamingQuery:
     """A live query that gives its whole result to ``write`` on a timer, such as a map once a second; stop it by its handle, start it again with the same checkpoint."""
-    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    return started(stream.sparkSession, stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start)
 
 
 def snapshot(stream: DataFrame) -> DataFrame:

@@ -115,3 +115,24 @@ def test_a_ring_is_packed_anew_when_it_has_doubled(spark, monkeypatch):
     got = maps.bounded(batches(spark, *parts, end=False).select("user_id", "seq", "value"), 7, "user_id", "seq").collect()
     for u in (1, None):
         assert sorted(r.seq for r in got if r.user_id == u) == [23, 24, 30, 31, 32, 33, 34]
+
+
+def test_state_lies_in_few_partitions_however_many_tables_are_shuffled_to(spark):
+    """Each batch opens and commits every partition of the state, so their number must not grow with that of the tables."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        place = scratch_path(spark, "stream")
+        parts = [[(u, 10 * b + u, 1.0, b * HOUR) for u in range(6)] for b in range(2)]
+        got = maps.collected(maps.every_nth_arrival(batches(spark, *parts), 2, "user_id", "seq", "stamp_us", "1 hours"), "update", checkpoint=place).collect()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "60"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r.user_id, r.seq, r.received) for r in got) == [(u, u, 1) for u in range(6)]
+    assert {r.numPartitions for r in spark.read.format("state-metadata").load(place).collect()} == {16}
+
+
+def test_batches_without_rows_do_not_shift_those_behind_them(spark):
+    rows = spark.range(800).withColumn("b", F.when(F.col("id") % 4 > 0, F.col("id") % 4 + 2))
+    got = maps.collected(maps.replayed(rows, F.col("b"), 8)).groupBy("batch").agg(F.collect_set("b").alias("b"), F.count("*").alias("n")).orderBy("batch").collect()
+    assert [(r.b, r.n) for r in got] == [([3], 200), ([4], 200), ([5], 200)]
