@@ -136,3 +136,16 @@ def test_batches_without_rows_do_not_shift_those_behind_them(spark):
     rows = spark.range(800).withColumn("b", F.when(F.col("id") % 4 > 0, F.col("id") % 4 + 2))
     got = maps.collected(maps.replayed(rows, F.col("b"), 8)).groupBy("batch").agg(F.collect_set("b").alias("b"), F.count("*").alias("n")).orderBy("batch").collect()
     assert [(r.b, r.n) for r in got] == [([3], 200), ([4], 200), ([5], 200)]
+
+
+def test_the_ring_lies_in_few_partitions_too(spark, monkeypatch):
+    places, path = [], maps.scratch_path
+    monkeypatch.setattr(maps, "scratch_path", lambda s, name: places.append((name, path(s, name))) or places[-1][1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = maps.bounded(batches(spark, [(1, i, 1.0, 0) for i in range(9)], end=False).select("user_id", "seq", "value"), 2, "user_id", "seq").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(r.seq for r in got) == [7, 8]
+    assert {r.numPartitions for r in spark.read.format("state-metadata").load(dict(places)["stream"]).collect()} == {16}
