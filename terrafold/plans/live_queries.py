@@ -56,10 +56,9 @@ def streaming_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Evidence of observations out of order by up to two batches, none too late. After the third batch the stream ends and starts again."""
     seen = observations(spark, d)
     path, rows, place = (scratch_path(spark, n) for n in ("replay", "rows", "stream"))
-    at, found = _by_month(seen), None
-    for part in (at <= 2, at > 2):
-        batch = F.when(part, at)
-        stream = maps.replayed(seen, batch, 8, path, None if found is None else "stamp_us")
+    dealt, found = maps.dealt(seen, _by_month(seen)), None
+    for part in (range(3), range(3, 8)):
+        stream = maps.brought(dealt, part, path, None if found is None else "stamp_us")
         found = maps.collected(maps.evidence_stream(stream, 5.0, tau=31_536_000.0, delay=f"{3 * 31 * MONTHS} days"), "update", rows, place)
     return evidence_rounded(maps.latest(found, "ix", "iy", "iz"))
 

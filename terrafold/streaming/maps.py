@@ -25,26 +25,36 @@ def arriving(spark: SparkSession, folder: str, name: str, files: int = 8) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}.parquet*")
 
 
-def replayed(rows: DataFrame, batch: Column, batches: int, path: str | None = None, stamp: str | None = None) -> DataFrame:
-    """A stream that brings ``rows`` as ``batch`` (from 0) tells, in files below ``path``, and with ``stamp`` a last row that ends it (see ``keyed.END_US``).
+def dealt(rows: DataFrame, batch: Column) -> DataFrame:
+    """``rows`` with their ``__batch``, written once by batch, so that each batch is told once and read once."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, "dealt")
+    rows.withColumn("__batch", batch.cast("int")).write.partitionBy("__batch").parquet(path)
+    return spark.read.schema(StructType([*rows.schema.fields, StructField("__batch", IntegerType())])).parquet(path)
+
+
+def brought(rows: DataFrame, batches: range, path: str | None = None, stamp: str | None = None) -> DataFrame:
+    """A stream that brings ``batches`` of dealt rows one by one, in files below ``path``, and with ``stamp`` a last row that ends it (see ``keyed.END_US``).
 
-    A batch is written as so many files, by the number of all rows, and read as as many; one of fewer rows than files comes together with rows of the next.
-    Rows whose ``batch`` is null do not come, and a batch without rows has no file.
+    A batch is written as so many files, by the number of all rows, and read as as many: rounds of the cores, if more than a few. One of fewer rows than files comes together
+    with rows of the next. Rows of no or another batch do not come, and a batch without rows has no file.
     """
     spark = rows.sparkSession
-    path = path or scratch_path(spark, "replay")
-    # Written once by batch, so that each batch is read once.
-    dealt = scratch_path(spark, "dealt")
-    rows.withColumn("__batch", batch.cast("int")).filter(F.col("__batch").between(0, batches - 1)).write.partitionBy("__batch").parquet(dealt)
-    dealt = spark.read.schema(StructType([*rows.schema.fields, StructField("__batch", IntegerType())])).parquet(dealt)
-    sizes = {r["__batch"]: r["count"] for r in dealt.groupBy("__batch").count().collect()}  # a row a batch
-    files = max(4, math.ceil(sum(sizes.values()) / max(1, len(sizes)) / FILE_ROWS))
-    for i in sorted(sizes) or [0]:
-        dealt.filter(F.col("__batch") == i).drop("__batch").repartition(files).write.mode("append").parquet(path)
+    path, fields = path or scratch_path(spark, "replay"), [f for f in rows.schema.fields if f.name != "__batch"]
+    sizes = {r["__batch"]: r["count"] for r in rows.groupBy("__batch").count().collect() if r["__batch"] in batches}  # a row a batch
+    files, cores = max(4, math.ceil(sum(sizes.values()) / max(1, len(sizes)) / FILE_ROWS)), spark.sparkContext.defaultParallelism
+    files = files if files == 4 else math.ceil(files / cores) * cores
+    for i in sorted(sizes) or batches[:1]:
+        rows.filter(F.col("__batch") == i).drop("__batch").repartition(files).write.mode("append").parquet(path)
     if stamp:
-        last = [F.lit(keyed.END_US if f.name == stamp else None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+        last = [F.lit(keyed.END_US if f.name == stamp else None).cast(f.dataType).alias(f.name) for f in fields]
         spark.range(1).select(*last).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+    return spark.readStream.schema(StructType(fields)).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def replayed(rows: DataFrame, batch: Column, batches: int, path: str | None = None, stamp: str | None = None) -> DataFrame:
+    """A stream that brings ``rows`` as ``batch`` (from 0) tells; see ``brought``."""
+    return brought(dealt(rows, batch), range(batches), path, stamp)
 
 
 def state_partitions(spark: SparkSession) -> int:

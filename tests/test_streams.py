@@ -149,3 +149,17 @@ def test_the_ring_lies_in_few_partitions_too(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sorted(r.seq for r in got) == [7, 8]
     assert {r.numPartitions for r in spark.read.format("state-metadata").load(dict(places)["stream"]).collect()} == {16}
+
+
+def test_dealt_rows_are_brought_in_parts_batch_by_batch(spark):
+    rows = maps.dealt(spark.range(800), F.col("id") % 4 * 2)
+    path, out, place = (scratch_path(spark, n) for n in ("replay", "rows", "stream"))
+    for part in (range(3), range(3, 8)):
+        found = maps.collected(maps.brought(rows, part, path), "append", out, place)
+    got = found.groupBy("batch").agg(F.collect_set(F.col("id") % 4 * 2).alias("b"), F.count("*").alias("n")).orderBy("batch").collect()
+    assert [(r.b, r.n) for r in got] == [([0], 200), ([2], 200), ([4], 200), ([6], 200)]
+
+
+def test_rows_are_numbered_by_key():
+    code, at = keyed.numbered(np.array([5, 5, -1, 5, -1]), np.array([1, 2, 1, 1, 1]))
+    assert code.tolist() == [0, 1, 2, 0, 2] and at.tolist() == [3, 1, 4]
